@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and the SQL that some are held against."""
 
+from loomgraph.llm.fingerprints import op3_document_fingerprints
 from loomgraph.llm.packing import op7_best_fit_packing
 from loomgraph.llm.sharding import op4_sharding
+from loomgraph.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sharding": op4_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
