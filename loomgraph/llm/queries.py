@@ -2,14 +2,18 @@
 
 from loomgraph.llm.fingerprints import op3_document_fingerprints
 from loomgraph.llm.packing import op7_best_fit_packing
+from loomgraph.llm.quality import op9_quality_classifier
 from loomgraph.llm.sharding import op4_sharding
 from loomgraph.llm.token_counts import op2_token_counts
+from loomgraph.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 #: None of these can be written as one SQL statement of reasonable cost but op3; see the tests.
