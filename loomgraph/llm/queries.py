@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and the SQL that some are held against."""
 
+from loomgraph.llm.decontamination import op10_benchmark_decontamination
 from loomgraph.llm.fingerprints import op3_document_fingerprints
 from loomgraph.llm.packing import op7_best_fit_packing
 from loomgraph.llm.quality import op9_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 #: None of these can be written as one SQL statement of reasonable cost but op3; see the tests.
