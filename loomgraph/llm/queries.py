@@ -2,6 +2,8 @@
 
 from loomgraph.llm.decontamination import op10_benchmark_decontamination
 from loomgraph.llm.fingerprints import op3_document_fingerprints
+from loomgraph.llm.html_text import op6_html_extraction
+from loomgraph.llm.language import op8_language_id
 from loomgraph.llm.packing import op7_best_fit_packing
 from loomgraph.llm.quality import op9_quality_classifier
 from loomgraph.llm.sharding import op4_sharding
@@ -13,7 +15,9 @@ QUERIES = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
