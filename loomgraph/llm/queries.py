@@ -3,6 +3,7 @@
 from loomgraph.llm.decontamination import op10_benchmark_decontamination
 from loomgraph.llm.fingerprints import op3_document_fingerprints
 from loomgraph.llm.html_text import op6_html_extraction
+from loomgraph.llm.jaccard_join import op1_ngram_jaccard_join
 from loomgraph.llm.language import op8_language_id
 from loomgraph.llm.packing import op7_best_fit_packing
 from loomgraph.llm.quality import op9_quality_classifier
@@ -11,6 +12,7 @@ from loomgraph.llm.token_counts import op2_token_counts
 from loomgraph.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sharding": op4_sharding,
