@@ -224,11 +224,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     return out
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all columns) without the contaminated ones."""
-    bad = contamination(documents, benchmark).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)
-
-
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
