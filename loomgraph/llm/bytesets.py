@@ -120,9 +120,9 @@ def shingle_sets(array: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
                 yield s[keep]
             elif b > a:
-                short = np.uint64(b - a)
-                for x in w[a:b]:
-                    short = mix(np.array([short * _STEP + x], np.uint64))[0]
-                yield np.array([short], np.uint64)
+                short = np.array([b - a], np.uint64)
+                for i in range(a, b):
+                    short = mix(short * _STEP + w[i : i + 1])
+                yield short
             else:
                 yield np.zeros(0, np.uint64)
