@@ -227,7 +227,10 @@ def g48_plasticity(spark, sf_dir):
     )
 
 
-@query(f"SELECT src, dst, relation, round(least(greatest(weight + 0.2::DOUBLE, 0.05), 3.0), 6) AS weight FROM edges WHERE src IN ({id_of('nation::4')}, {id_of('region::4')}) AND dst IN ({id_of('nation::4')}, {id_of('region::4')}) OR (src = {id_of('nation::4')} AND relation = 'contains')")
+_LEARNT = f"{id_of('nation::4')}, {id_of('region::4')}"
+
+
+@query(f"WITH r AS (SELECT node_id FROM nodes WHERE node_id IN ({_LEARNT}) UNION SELECT dst FROM edges WHERE relation = 'contains' AND src IN ({_LEARNT})) SELECT src, dst, relation, round(least(greatest(weight + 0.2::DOUBLE, 0.05), 3.0), 6) AS weight FROM edges WHERE src IN (SELECT node_id FROM r) AND dst IN (SELECT node_id FROM r)")
 def g49_learn(spark, sf_dir):
     g = full_graph(spark, sf_dir)
     return spread.learn(g, ["nation::4", "region::4"], "correct").select("src", "dst", "relation", r6("weight").alias("weight"))
