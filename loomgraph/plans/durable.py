@@ -38,13 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     For wide or large intermediates: columnar and compressed, unlike a
-    checkpoint.  The folder goes when the driver's process ends.
+    checkpoint.  ``files``: at most so many (a number that follows the rows).
+    The folder goes when the driver's process ends.
     """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
