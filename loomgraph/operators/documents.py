@@ -26,7 +26,11 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 def links(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, target): links, DOIs, code references and capitalised terms, once for each document."""
     forms = (("link", r"\[[^\]]*\]\(([^)\s]+)\)"), ("doi", r"\b(10\.\d{4,9}/[^\s\"<>)]+)"), ("code", r"`([^`\n]+)`"), ("entity", r"\b([A-Z][A-Za-z]{3,})\b"))
-    found = F.flatten(F.array(*[F.transform(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1))), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("target"))) for kind, p in forms]))
+
+    def targets(kind: str, pattern: str):
+        return F.transform(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target")))
+
+    found = F.flatten(F.array(*[targets(*form) for form in forms]))
     return docs.select(key, F.explode(found).alias("f")).select(key, "f.kind", "f.target")
 
 
