@@ -104,9 +104,9 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
 def completion(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list[int]:
     """Lengths (longest first) that fill ``room`` with the least waste.
 
-    Branch and bound over undominated fillings: a branch that puts in a shorter
-    piece where a longer one would fit as well is dominated and met last; a
-    branch ends once the waste it is bound to leave is no less than the best.
+    Branch and bound over undominated fillings: pieces go in by falling length,
+    so that no set is met twice; a branch ends once all pieces that it may still
+    take leave no less waste than the best filling so far.
     """
     have = np.flatnonzero(counts)
     have = have[(have > 0) & (have <= room)]
@@ -122,6 +122,7 @@ def completion(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list
     if not waste or not len(have):
         return best
     smallest = int(have[0])
+    within = np.concatenate([[0], np.cumsum(have * np.minimum(counts[have], room // have))])  # all that fits up to a length
     seen = 0
 
     def search(room: int, top: int, chosen: list[int]) -> None:
@@ -130,14 +131,14 @@ def completion(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list
             waste, best = room, list(chosen)
         k = int(np.searchsorted(have, min(room, top), "right")) - 1
         while k >= 0 and waste and seen < nodes:
+            if room - int(within[k + 1]) >= waste:  # even all of them leave too much
+                return
             size = int(have[k])
             k -= 1
             rest = room - size
-            if counts[size] <= chosen.count(size):
+            if counts[size] <= chosen.count(size) or (rest < smallest and rest >= waste):
                 continue
             seen += 1
-            if rest < smallest and rest >= waste:  # nothing else fits, and shorter pieces waste more
-                return
             chosen.append(size)
             search(rest, size, chosen)
             chosen.pop()

@@ -130,7 +130,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             f, b = features(batch.column(1))
             sums = np.concatenate([[0.0], np.cumsum(weights[f].astype(np.float64))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(sums[b[1:]] - sums[b[:-1]] + bias))], ["doc_id", "score"])
+            z = sums[b[1:]] - sums[b[:-1]] + bias
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(np.isneginf(z), 0.0, sigmoid(z)))], ["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
 
