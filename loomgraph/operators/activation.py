@@ -64,7 +64,7 @@ def causal(g: PropertyGraph, seeds: DataFrame, max_depth: int = 5, threshold: fl
 
 def merge_dimensions(dimensions: dict[str, DataFrame], top: int | None = None, pagerank: DataFrame | None = None) -> DataFrame:
     """(node_id, activation, n_dimensions): weights renormalised over the dimensions that have rows, x1.3 at three, x1.5 at four."""
-    rows = reduce(DataFrame.unionByName, [d.select("node_id", F.lit(name).alias("dimension"), "activation") for name, d in dimensions.items()])
+    rows = cut(reduce(DataFrame.unionByName, [d.select("node_id", F.lit(name).alias("dimension"), "activation") for name, d in dimensions.items()]))
     present = rows.groupBy("dimension").agg(F.max("activation").alias("m")).where("m > 0")
     weight = reduce(lambda c, kv: c.when(F.col("dimension") == kv[0], kv[1]), WEIGHTS.items(), F.when(F.lit(False), 0.0))
     total = present.agg(F.sum(weight).alias("total"))

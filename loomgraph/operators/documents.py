@@ -25,7 +25,7 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def links(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, target): links, DOIs, code references and capitalised terms, once for each document."""
-    forms = (("link", r"\[[^\]]*\]\(([^)\s]+)\)"), ("doi", r"\b(10\.\d{4,9}/[^\s\"<>)]+)"), ("code", r"`([^`\n]+)`"), ("entity", r"\b([A-Z][A-Za-z]{3,})\b"))
+    forms = (("link", r"\[[^\]]*\]\(([^)\s]+)\)"), ("doi", r"\b(10\.\d{4,9}/[^\s\"<>)]+)"), ("code", r"`([^`\n]+)`"), ("entity", r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z]{3,})(?![\p{L}\p{N}_])"))
 
     def targets(kind: str, pattern: str):
         return F.transform(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target")))

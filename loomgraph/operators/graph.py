@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.durable import stored
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -20,6 +22,10 @@ class PropertyGraph:
         back = self.edges.where("direction = 1").withColumns({"src": F.col("dst"), "dst": F.col("src")})
         return self.edges.unionByName(back)
 
+    def finalised(self) -> "PropertyGraph":
+        """The same graph with its edges written once, narrow and sorted by source, for operators of many hops."""
+        return PropertyGraph(self.nodes, stored(self.edges.sortWithinPartitions("src"), "graph-edges"))
+
     def problems(self) -> DataFrame:
         """Rows that break the graph's constraints: repeated external ids, edges without an end."""
         twice = self.nodes.groupBy("external_id").count().where("count > 1").select(F.lit("duplicate_node").alias("problem"), F.col("external_id").alias("what"))

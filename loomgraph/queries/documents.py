@@ -30,7 +30,7 @@ def s16_claims(spark, sf_dir):
     return documents.claims(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "modality", "negated")
 
 
-@query("SELECT item_id, count(DISTINCT e)::BIGINT AS n_entities FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Za-z]{3,}\\b')) AS e FROM benchmark) GROUP BY item_id", graph=False)
+@query("SELECT item_id, count(DISTINCT e)::BIGINT AS n_entities FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS e FROM benchmark) WHERE regexp_full_match(e, '[A-Z][A-Za-z]{3,}') GROUP BY item_id", graph=False)
 def s16_entities(spark, sf_dir):
     return documents.links(table(spark, sf_dir, "benchmark"), "item_id", "text").where("kind = 'entity'").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_entities"))
 
@@ -76,7 +76,7 @@ def g60_perspective_suggest(spark, sf_dir):
 
 @query(f"WITH b AS (SELECT dst FROM edges WHERE src = {id_of('nation::5')}) SELECT 'edge_removed' AS kind, CAST(count(*) FILTER (dst % 3 = 0) AS BIGINT) AS n FROM b UNION ALL SELECT 'edge_reweighted', CAST(count(*) FILTER (dst % 3 = 1) AS BIGINT) FROM b UNION ALL SELECT 'node_removed', CAST(count(*) FILTER (dst % 3 = 0) AS BIGINT) FROM b")
 def u5_lock_diff(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     e = g.edges.where(f"NOT (src = {id_of('nation::5')} AND dst % 3 = 0)").withColumn("weight", F.expr(f"CASE WHEN src = {id_of('nation::5')} AND dst % 3 = 1 THEN weight / 2 ELSE weight END"))
     return sessions.lock_diff(sessions.lock(g, ["nation::5"], 1), sessions.lock(PropertyGraph(g.nodes, e), ["nation::5"], 1))
 

@@ -225,32 +225,32 @@ def g30_sympathetic(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE NOT inhibitory AND weight >= 0.1::DOUBLE), o AS (SELECT unnest([{id_of('customer::1')}, {id_of('customer::2')}, {id_of('customer::4')}])::BIGINT AS origin), l1 AS (SELECT DISTINCT origin, dst AS node_id FROM o JOIN e ON src = origin), l2 AS (SELECT DISTINCT origin, dst AS node_id FROM l1 JOIN e ON src = node_id) SELECT origin, depth::BIGINT AS depth, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL")
 def g37_flow(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     f = flow.flow_paths(g, g.seeds(["customer::1", "customer::2", "customer::4"]), 2, budget=None)
     return f.where("depth > 0").groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query()
 def g37_turbulence(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     f = flow.flow_paths(g, g.seeds(["nation::1", "nation::2", "nation::3"]), 3, budget=None)
     return g.named(flow.turbulence(g, f, 2, 0.3), "external_id").select("external_id", "origins", r6("score").alias("score"), "severity")
 
 
 @query(f"WITH l1 AS (SELECT DISTINCT dst AS node_id FROM edges WHERE src = {id_of('customer::1')}), l2 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN l1 ON src = node_id), o2 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN l1 ON src = node_id JOIN nodes n ON n.node_id = src WHERE NOT contains(lower(n.label), 'high')) SELECT external_id, depth::BIGINT AS depth, leaked FROM (SELECT node_id, 1 AS depth, true AS leaked FROM l1 UNION ALL SELECT node_id, 2, node_id IN (SELECT node_id FROM o2) FROM l2) JOIN nodes USING (node_id)")
 def g38_taint(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     return g.named(flow.taint(g, ["customer::1"], ("high",), 2), "external_id").select("external_id", F.col("depth").cast("long").alias("depth"), "leaked")
 
 
 @query()
 def g38_taint_risk(spark, sf_dir):
-    return flow.taint_risk(flow.taint(full_graph(spark, sf_dir), ["nation::2"], ("high", "urgent"), 3)).withColumn("risk", r6("risk"))
+    return flow.taint_risk(flow.taint(full_graph(spark, sf_dir).finalised(), ["nation::2"], ("high", "urgent"), 3)).withColumn("risk", r6("risk"))
 
 
 @query(f"WITH u AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), l1 AS (SELECT DISTINCT dst AS node_id FROM u WHERE src = {id_of('customer::3')}), l2 AS (SELECT DISTINCT dst AS node_id FROM u JOIN l1 ON src = node_id WHERE dst <> {id_of('customer::3')} AND dst NOT IN (SELECT node_id FROM l1)), r AS (SELECT node_id, 1 AS depth FROM l1 UNION ALL SELECT node_id, 2 FROM l2), h AS (SELECT *, CASE WHEN node_id % 9 = 0 THEN 0.6::DOUBLE WHEN node_id % 9 = 1 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS heat, node_id % 4 = 0 AS tested FROM r), a AS (SELECT count(*) AS blast, count(*) FILTER (depth = 1 OR heat >= 0.55::DOUBLE) AS critical, count(*) FILTER (NOT (depth = 1 OR heat >= 0.55::DOUBLE) AND heat >= 0.25::DOUBLE) AS warnings, avg(CASE WHEN tested THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS un, coalesce(max(heat), 0) AS heat FROM h), z AS (SELECT *, 0.3::DOUBLE * least(0.1::DOUBLE * critical, 1.0) + 0.25::DOUBLE * un + 0.2::DOUBLE * blast / (SELECT count(*) FROM nodes) + 0.25::DOUBLE * heat AS risk FROM a) SELECT CAST(blast AS BIGINT) AS blast, CAST(critical AS BIGINT) AS critical, CAST(warnings AS BIGINT) AS warnings, round(risk, 6) AS risk, CASE WHEN risk >= 0.8 THEN 'critical' WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM z")
 def g51_validate_plan(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     hot = g.nodes.select("node_id", F.when(F.col("node_id") % 9 == 0, 0.6).when(F.col("node_id") % 9 == 1, 0.3).otherwise(0.0).alias("heat"))
     return flow.validate_plan(g, ["customer::3"], g.nodes.where("node_id % 4 = 0"), hot, 2).withColumn("risk", r6("risk"))
 

@@ -109,7 +109,7 @@ def _levels_sql(source: int, hops: int) -> str:
 
 @query(_levels_sql(id_of("region::1"), 5) + " SELECT depth::BIGINT AS depth, CAST(count(*) AS BIGINT) AS affected FROM (" + " UNION ALL ".join(f"SELECT {k} AS depth FROM w{k}" for k in range(1, 6)) + ") GROUP BY depth")
 def g33_cascade(spark, sf_dir):
-    return traversal.cascade(full_graph(spark, sf_dir), "region::1").withColumn("depth", F.col("depth").cast("long"))
+    return traversal.cascade(full_graph(spark, sf_dir).finalised(), "region::1").withColumn("depth", F.col("depth").cast("long"))
 
 
 @query(
@@ -169,7 +169,7 @@ def g1_pagerank(spark, sf_dir):
     "SELECT a.external_id AS source, b.external_id AS target, relation FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE src IN (SELECT node_id FROM region) AND dst IN (SELECT node_id FROM region)"
 )
 def g61_lock_region(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
+    g = full_graph(spark, sf_dir).finalised()
     e = traversal.induced(g, traversal.reach(g, g.seeds(["customer::5"]), 2)).select("src", "dst", "relation")
     e = g.named(e, "external_id", on="src").withColumnRenamed("external_id", "source")
     return g.named(e, "external_id", on="dst").select("source", F.col("external_id").alias("target"), "relation")
