@@ -36,7 +36,7 @@ SAMPLE_ROWS, SAMPLE_WORDS = 1200, 60_000
 #: A word is in the lexicon if the sample has it so often.
 LEXICON = 5
 #: Bytes of text labelled at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
