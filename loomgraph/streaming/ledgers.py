@@ -80,10 +80,11 @@ def ingest_stream(source: DataFrame, state_path: str, checkpoint: str):
     spark = source.sparkSession
 
     def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "hash"), "mtime").alias("s")).select("path", "s.*")
+        rows = batch.select("path", "size", "mtime", "hash")
         if number:
-            old = spark.read.parquet(f"{state_path}/v={number - 1}")
-            new = old.join(new.select("path"), "path", "left_anti").unionByName(new)
+            rows = rows.unionByName(spark.read.parquet(f"{state_path}/v={number - 1}"))
+        # the latest state of a path counts, whatever order batches bring them in
+        new = rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "hash"), "mtime").alias("s")).select("path", "s.*")
         new.write.mode("overwrite").parquet(f"{state_path}/v={number}")
 
     return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
