@@ -33,9 +33,10 @@ SIZE = 1 << 20
 POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 6000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: A feature is used if it is in so many confirmed texts, so many times as frequent there, and if the
-#: likelihood ratio of that exceeds EVIDENCE times the logarithm of the confirmed texts' number.
-LEAST_TEXTS, LEAST_LIFT, EVIDENCE = 3, 3.0, 4.0
+#: A feature is used if it is in so many confirmed texts, if so great a share of the unlabelled texts that
+#: have it is toxic by the prior, and if the likelihood ratio of its being more frequent in confirmed
+#: texts exceeds EVIDENCE times the logarithm of their number.
+LEAST_TEXTS, LEAST_SHARE, EVIDENCE = 3, 0.8, 4.0
 
 
 @dataclass
@@ -55,13 +56,16 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(f), np.concatenate(b)
 
 
-def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> Model:
-    """Fit on presence features of confirmed (p) and unlabelled (u) rows; ``b``: bounds by row."""
+def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Fit on presence features of confirmed (p) and unlabelled (u) rows; ``b``: bounds by row.
+
+    The steps go back and forth about where the corrected term is zero; the mean of the later half is kept.
+    """
     n_p, n_u = len(pb) - 1, len(ub) - 1
     in_p, in_u = np.bincount(pf, minlength=SIZE), np.bincount(uf, minlength=SIZE)
     expected = (in_u + 1) * n_p / max(n_u, 1)
     ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / expected) - (in_p - expected))
-    chosen = np.flatnonzero((in_p >= LEAST_TEXTS) & (in_p > LEAST_LIFT * expected) & (ratio > EVIDENCE * np.log1p(n_p)))
+    chosen = np.flatnonzero((in_p >= LEAST_TEXTS) & (in_p > max(1.0, LEAST_SHARE / prior) * expected) & (ratio > EVIDENCE * np.log1p(n_p)))
     place = np.full(SIZE, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -72,7 +76,7 @@ def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, dec
 
     (px, pr), (ux, ur) = kept(pf, pb), kept(uf, ub)
     k = len(chosen)
-    w, m, s = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    w, m, s, mean = (np.zeros(k + 1) for _ in range(4))
     for t in range(1, rounds + 1):
         zp = np.bincount(pr, w[px], n_p) + w[k]
         zu = np.bincount(ur, w[ux], n_u) + w[k]
@@ -84,9 +88,11 @@ def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, dec
         g = np.append(np.bincount(px, gp[pr], k) + np.bincount(ux, gu[ur], k) + decay * w[:k], gp.sum() + gu.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        if 2 * t > rounds:
+            mean += w / (rounds - rounds // 2)
     full = np.zeros(SIZE, np.float32)
-    full[chosen] = w[:k]
-    return Model(full, float(w[k]))
+    full[chosen] = mean[:k]
+    return Model(full, float(mean[k]))
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
