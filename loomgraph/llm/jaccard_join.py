@@ -355,7 +355,7 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             .join(q, (F.col("l.b") == F.col("q.leader")) & (F.col("p.token") == F.col("q.token")))
             .where(
                 (F.col("p.root") != F.col("q.root"))
-                & ((F.col("p.apart") > 0) | (F.col("q.apart") > 0))
+                & ((F.col("p.doc") != F.col("l.a")) | (F.col("q.doc") != F.col("l.b")))  # that pair is decided
                 & _fits(F.col("p.n"), F.col("p.r"), F.col("q.n"), F.col("q.r"))
                 & ((NUM + DEN) * reach >= NUM * (F.col("p.n") + F.col("q.n")))
             )

@@ -50,6 +50,17 @@ def test_jaccard_join_equals_brute_force(spark):
     assert jaccard_join.linked_components(empty(spark)).count() == 0
 
 
+def test_jaccard_join_links_a_prefix_to_both_extensions(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        words = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+        base = words(84)
+        rows += [(10 * i, " ".join(base + words(20))), (10 * i + 1, " ".join(base + words(20))), (10 * i + 2, " ".join(base))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_components(table(spark, rows)).collect()}
+    assert got == components(rows) and got[1] == (100, 0)
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
