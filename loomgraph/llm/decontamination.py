@@ -6,8 +6,9 @@ placeholders (``<n>``, ``<u>``, ``<name>``), everything else is case folded
 with those of every document, so a question asked again with other numbers,
 names or units still meets.  Where both sides fill the slots of matched windows
 differently, the fillings must be consistent: one benchmark value always meets
-one document value within a document and item (a re-parameterised question),
-otherwise those windows do not count.
+one document value (a re-parameterised question), otherwise those windows do
+not count.  A document may hold an item several times with different values, so
+each occurrence's fillings are tried for themselves, and the best one counts.
 
 A document is contaminated by an item if at least ``SHARE`` of the item's
 windows are found in it consistently.  Items shorter than a window are one
@@ -150,6 +151,64 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(cut, f"item_id {kind}, window long, at int, n_windows int, template array<string>, plain array<string>")
 
 
+def _slots(template: list[str], plain: list[str], own: list[str]) -> dict | None:
+    """The fillings of a matched window: (kind, benchmark value) to document value; None if they contradict each other.
+
+    A window of slots alone says nothing but by its values, so these have to be equal.
+    """
+    out: dict = {}
+    for kind, a, b in zip(template, plain, own, strict=True):
+        if kind[0] == "<" and out.setdefault((kind, a), b) != b:
+            return None
+    if all(kind[0] == "<" for kind in template) and any(a != b for (_, a), b in out.items()):
+        return None
+    return out
+
+
+def _fillings(rows: list[tuple[int, int, dict]]) -> Iterator[dict]:
+    """Fillings to try: those most frequent in the whole document, then those of each occurrence.
+
+    An occurrence is a stretch of windows of one alignment (place in the document
+    less place in the item) in which no two fillings differ.
+    """
+    votes: dict = defaultdict(lambda: defaultdict(int))
+    for _, _, slots in rows:
+        for slot, value in slots.items():
+            votes[slot][value] += 1
+    yield {slot: max(sorted(v), key=v.get) for slot, v in votes.items()}
+    last, filling, met = None, {}, set()
+    for i, k, slots in [*sorted(rows, key=lambda r: (r[0] - r[1], r[1])), (0, 0, None)]:
+        if slots is None or i - k != last or any(filling.get(s, v) != v for s, v in slots.items()):
+            key = frozenset(filling.items())
+            if last is not None and key not in met:
+                met.add(key)
+                yield filling
+            last, filling = i - k, {}
+        filling.update(slots or {})
+
+
+def _consistent(filling: dict, by_window: dict) -> tuple[int, int]:
+    """Windows found with one filling, and those of them with other values than the item's.
+
+    Slots that the filling leaves open (an occurrence with an edit in it) take the
+    most frequent values that agree with it.
+    """
+    filling, good, other = dict(filling), set(), set()
+    for (k, names), found in by_window.items():
+        values = tuple(filling.get(s) for s in names)
+        if None in values:
+            agree = [v for v in found if all(w is None or w == x for w, x in zip(values, v, strict=True))]
+            if not agree:
+                continue
+            values = min(agree, key=lambda v: (-found[v], v))
+            filling.update(zip(names, values, strict=True))
+        if values in found:
+            good.add(k)
+            if any(a != b for (_, a), b in zip(names, values, strict=True)):
+                other.add(k)
+    return len(good), len(other)
+
+
 def _matches(t: Templates, hits_at: list[tuple[int, int]], index: dict, width: int) -> Iterator[tuple]:
     """(item, windows found, windows of the item, windows with other slot values) of one document."""
     hits: dict = defaultdict(list)
@@ -157,24 +216,24 @@ def _matches(t: Templates, hits_at: list[tuple[int, int]], index: dict, width: i
         own, words = t.words(i, i + width)
         for item, k, n, tpl, plain in index[h]:
             if own == tpl:  # the words themselves, not their hash alone
-                hits[(item, n)].append((k, tpl, plain, words))
+                slots = _slots(tpl, plain, words)
+                if slots is not None:
+                    hits[(item, n)].append((i, k, slots))
     for (item, n), rows in hits.items():
-        # the most frequent document value of a benchmark value is its filling; windows that differ do not count
-        votes: dict = defaultdict(lambda: defaultdict(int))
-        for _, tpl, words, own in rows:
-            for kind, a, b in zip(tpl, words, own, strict=True):
-                if kind[0] == "<":
-                    votes[kind, a][b] += 1
-        filling = {slot: max(sorted(v), key=v.get) for slot, v in votes.items()}
-        good, other = set(), set()
-        for k, tpl, words, own in rows:
-            slots = [(kind, a, b) for kind, a, b in zip(tpl, words, own, strict=True) if kind[0] == "<"]
-            if len(slots) < len(tpl) and all(filling[kind, a] == b for kind, a, b in slots):
-                good.add(k)
-                if any(a != b for _, a, b in slots):
-                    other.add(k)
+        by_window: dict = defaultdict(lambda: defaultdict(int))
+        for _, k, slots in sorted(rows, key=lambda r: r[1]):
+            names = tuple(sorted(slots))
+            by_window[k, names][tuple(slots[s] for s in names)] += 1
+        every = len({k for k, _ in by_window})
+        good = other = 0
+        for filling in _fillings(rows):
+            found, changed = _consistent(filling, by_window)
+            if (found, -changed) > (good, -other):
+                good, other = found, changed
+            if good == every and not other:
+                break
         if good:
-            yield item, len(good), n, len(other)
+            yield item, good, n, other
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:

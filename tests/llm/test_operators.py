@@ -280,3 +280,21 @@ def test_contamination_and_slots(spark):
     assert got[2, 1]["n_reparameterised"] > 0 and got[1, 1]["n_reparameterised"] == 0
     assert decontamination.contamination(empty(spark), bench).count() == 0
     assert decontamination.contamination(table(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_contamination_by_several_occurrences(spark):
+    rng = random.Random(12)
+    text = "tom has {} red pens and {} blue pens while ann has {} red caps and {} green caps so they pay {} coins for {} bags with {} pears and {} plums"
+    values = lambda: [rng.randint(10, 99) for _ in range(8)]
+    item, years = text.format(*values()), "then 3 4 5 6 7 8 9 10 11 12 13"
+    bench = spark.createDataFrame([(1, item), (2, years)], "item_id long, text string")
+    filler = " ".join(f"f{chr(97 + i % 26)}" for i in range(40))
+    rows = [(i, f"{item} {filler} {text.format(*values())}") for i in range(20)]
+    rows += [(100 + i, f"{text.format(*values())} {filler} {text.format(*values())} {filler}") for i in range(20)]
+    rows += [(200, years), (201, "then 24 25 26 27 28 29 30 31 32 33 34"), (202, item.replace("red caps", "very red caps"))]
+    got = {(r["doc_id"], r["item_id"]): (r["n_found"], r["n_windows"], r["n_reparameterised"]) for r in decontamination.contamination(table(spark, rows), bench).collect()}
+    whole = len(item.split()) - decontamination.WIDTH + 1
+    assert all(got[i, 1] == (whole, whole, 0) for i in range(20))
+    assert all(got[100 + i, 1][:2] == (whole, whole) for i in range(20))
+    assert got[200, 2] == (5, 5, 0) and (201, 2) not in got
+    assert got[202, 1] == (whole - 7, whole, 0)
