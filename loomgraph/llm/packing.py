@@ -5,8 +5,8 @@ are cut so that only the first piece may be short of a full sequence.  What is
 to pack is then a histogram of at most ``capacity`` piece lengths, whatever the
 number of documents: the plan is made on it by branch and bound (fill the room
 that the longest piece leaves with an undominated set of other lengths, prune
-by the waste that is already certain, begin from the best-fit filling), and
-used as often as the counts allow.  Pieces then find their place by their rank
+by the waste that fewer sequences than the incumbent's leave, begin from the
+greedy plan), and fillings are used as often as the counts allow first.  Pieces then find their place by their rank
 among pieces of equal length.
 
 Nulls: a null text is the empty text, one piece of the end id alone.  Ties are
@@ -32,6 +32,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Nodes that one search may visit before it keeps its best filling so far.
 SEARCH_NODES = 4000
+#: Nodes that the search for a plan of fewer sequences may visit, and how many a sequence's first filling counts for.
+PLAN_NODES, STEP_NODES = 400_000, 100
 _LONG = re.compile(r"\S{3000}|\s{3000}")
 _encoders: dict[str, tuple] = {}
 
@@ -147,11 +149,28 @@ def completion(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list
     return best
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Fillings and how often each is used; every piece is placed once."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for k, n in lengths.items():
-        counts[k] = n
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound of the sequences (Martello and Toth's second): tokens, and pieces too long to share one."""
+    size = np.arange(capacity + 1)
+    n, tokens = np.cumsum(counts), np.cumsum(counts * size)
+    least = -(-int(tokens[-1]) // capacity)
+    half = capacity // 2
+    for k in range(half + 1):
+        alone, big = int(n[-1] - n[capacity - k]), int(n[capacity - k] - n[half])
+        free = big * capacity - int(tokens[capacity - k] - tokens[half])
+        small = int(tokens[half] - (tokens[k - 1] if k else 0))
+        least = max(least, alone + big + max(0, -(-(small - free) // capacity)))
+    return least
+
+
+def _step(counts: np.ndarray, chosen: list[int]) -> int:
+    """How often the counts allow a filling."""
+    return min(int(counts[s]) // chosen.count(s) for s in set(chosen))
+
+
+def greedy(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """The incumbent: for the longest piece left its filling of least waste, as often as the counts allow."""
+    counts = counts.copy()
     out: list[tuple[list[int], int]] = []
     top = capacity
     while True:
@@ -163,12 +182,122 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[i
         rest = completion(capacity - top, counts)
         counts[top] += 1
         chosen = [top, *rest]
-        times = min(int(counts[s]) // chosen.count(s) for s in set(chosen))
+        times = _step(counts, chosen)
         for s in chosen:
             counts[s] -= times
         out.append((chosen, times))
 
 
+def _dominated(chosen: list[int], waste: int, left: np.ndarray) -> bool:
+    """Whether one piece left over could take the place of some of the chosen ones without more waste."""
+    if left[1 : waste + 1].any():
+        return True
+    if len(chosen) > 10:  # only fewer branches are cut
+        return False
+    sums = {(0, 0)}
+    for size in chosen:
+        sums |= {(total + size, min(2, k + 1)) for total, k in sums}
+    return any(left[total + (k < 2) : total + waste + 1].any() for total, k in sums if k)
+
+
+def _fillings(room: int, counts: np.ndarray, slack: int, spent: list[int]) -> Iterator[list[int]]:
+    """Undominated fillings of ``room`` that waste at most ``slack``, longest pieces first."""
+    have = np.flatnonzero(counts[: room + 1])
+    have = have[have > 0][::-1]
+    number = counts[have].tolist()
+    within = [*np.cumsum((have * np.minimum(counts[have], room // have))[::-1])[::-1].tolist(), 0]
+    sizes = have.tolist()
+
+    def search(room: int, i: int) -> Iterator[list[int]]:
+        for j in range(i, len(sizes)):
+            if spent[0] <= 0 or room - within[j] > slack:
+                return
+            for m in range(min(number[j], room // sizes[j]), 0, -1):
+                spent[0] -= 1
+                for rest in search(room - m * sizes[j], j + 1):
+                    yield [sizes[j]] * m + rest
+        if room <= slack:
+            yield []
+
+    for chosen in search(room, 0):
+        left = counts.copy()
+        np.subtract.at(left, chosen, 1)
+        if not _dominated(chosen, room - sum(chosen), left):
+            yield chosen
+
+
+def _packing(counts: np.ndarray, bins: int, capacity: int, spent: list[int]) -> list[tuple[list[int], int]] | None:
+    """A plan of at most ``bins`` sequences, or None if there is none or ``spent`` is used up.
+
+    Depth first over the fillings of the longest piece left; a branch ends once
+    its sequences waste more than ``bins`` sequences can.
+    """
+    counts = counts.copy()
+
+    def branches(slack: int) -> Iterator[tuple[list[int], int]]:
+        top = int(np.flatnonzero(counts)[-1])
+
+        def uses(rest: list[int]) -> Iterator[tuple[list[int], int]]:
+            chosen, waste = [top, *rest], capacity - top - sum(rest)
+            times = min(_step(counts, chosen), slack // waste if waste else bins)
+            yield from ((chosen, t) for t in ((times, 1) if times > 1 else (1,) if times else ()))
+
+        counts[top] -= 1
+        first = completion(capacity - top, counts)
+        free = counts.copy()
+        counts[top] += 1
+        spent[0] -= STEP_NODES
+        yield from uses(first)
+        for rest in _fillings(capacity - top, free, slack, spent):
+            if rest != first:
+                yield from uses(rest)
+
+    done: list[tuple[list[int], int]] = []
+    slack = bins * capacity - int((counts * np.arange(len(counts))).sum())
+    if slack < 0:
+        return None
+    if not counts.any():
+        return done
+    stack = [branches(slack)]
+    while stack:
+        if spent[0] <= 0:
+            return None
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
+            if done:
+                chosen, times = done.pop()
+                np.add.at(counts, chosen, times)
+                slack += times * (capacity - sum(chosen))
+            continue
+        chosen, times = branch
+        np.subtract.at(counts, chosen, times)
+        slack -= times * (capacity - sum(chosen))
+        done.append(branch)
+        if not counts.any():
+            return done
+        stack.append(branches(slack))
+    return None
+
+
+def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Fillings and how often each is used; every piece is placed once.
+
+    While the incumbent needs more than the lower bound, one sequence fewer is
+    searched for.  The plan is least unless the search used up PLAN_NODES.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for k, n in lengths.items():
+        counts[k] = n
+    best, least, spent = greedy(counts, capacity), least_bins(counts, capacity), [PLAN_NODES]
+    while (bins := sum(t for _, t in best)) > least:
+        fewer = _packing(counts, bins - 1, capacity, spent)
+        if fewer is None:
+            break
+        best = fewer
+    return best
+
+
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset; a sequence holds at most ``capacity`` ids."""
     spark = documents.sparkSession

@@ -170,6 +170,40 @@ def test_bin_completion_is_exact_on_small_cases():
         assert sum(packing.completion(room, counts)) == best
 
 
+def test_plan_needs_no_more_sequences_than_the_least():
+    from collections import Counter
+
+    def least(items, cap):
+        best = [len(items)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+                place(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+            place(i + 1, [*rooms, cap - items[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = random.Random(13)
+    cases = []
+    for n in range(40):  # sequences of 2048 that are full
+        cuts = [sorted(rng.sample(range(256, 1792), 2)) for _ in range(n % 20 + 2)]
+        cases.append(([b - a for c in cuts for a, b in zip([0, *c], [*c, 2048], strict=True)], 2048, len(cuts)))
+    for _ in range(60):
+        items = sorted((rng.randint(8, 60) for _ in range(rng.randint(0, 9))), reverse=True)
+        cases.append((items, 100, least(items, 100)))
+    for items, cap, bins in cases:
+        got = packing.plan(dict(Counter(items)), cap)
+        assert Counter(s for chosen, t in got for s in chosen * t) == Counter(items)
+        assert all(sum(chosen) <= cap for chosen, _ in got)
+        assert sum(t for _, t in got) == bins
+
+
 def labelled(spark, rng, bad_word, column):
     words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ana", "olo", "ibe", "upu", "eri")]
     rows, labels = [], []
