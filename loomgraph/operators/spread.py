@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.traversal import DECAY, reach
-from loomgraph.plans.durable import cut
+from loomgraph.plans.durable import cut, global_rank
 
 #: Transmission by relation; anything else is 0.1.
 COUPLING = {"imports": 0.8, "calls": 0.7, "inherits": 0.6, "references": 0.4, "contains": 0.3, "related_to": 0.2}
@@ -93,8 +93,7 @@ def strided_trials(g: PropertyGraph, n: int = 8) -> DataFrame:
     """``n`` single-seed trials strided over the nodes by falling out-degree."""
     total = g.nodes.count()
     stride = max(1, total // n)
-    d = g.degrees().orderBy(F.desc("out_degree"), "node_id").limit(stride * n)
-    ranked = d.withColumn("r", F.row_number().over(Window.orderBy(F.desc("out_degree"), "node_id")) - 1) if total <= 100_000 else d.limit(n).withColumn("r", F.monotonically_increasing_id() * stride)
+    ranked = global_rank(g.degrees().select((-F.col("out_degree")).alias("falling"), "node_id"), ["falling", "node_id"], "r")
     return ranked.where(F.col("r") % stride == 0).select((F.col("r") / stride).cast("int").alias("trial"), "node_id", F.lit(1.0).alias("score")).where(F.col("trial") < n)
 
 

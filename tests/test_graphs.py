@@ -111,3 +111,12 @@ def test_constraints_are_reported(spark):
     g, _ = graph(spark, "ab", [("a", "b", "calls", 1)])
     bad = PropertyGraph(g.nodes.unionByName(g.nodes.limit(1)), g.edges.withColumn("dst", F.lit(99).cast("long")))
     assert {r["problem"] for r in bad.problems().collect()} == {"duplicate_node", "dangling_dst"}
+
+
+def test_trials_are_strided_over_all_nodes_of_a_large_graph(spark):
+    n, hubs = 100_010, 20  # the last nodes have an edge each
+    nodes = spark.range(1, n + 1).select(F.col("id").alias("node_id"))
+    edges = spark.range(n - hubs + 1, n + 1).select(F.col("id").alias("src"), F.lit(1).cast("long").alias("dst"), F.lit(0).alias("direction"))
+    got = values(spread.strided_trials(PropertyGraph(nodes, edges), 8), "trial", "node_id")
+    order = [*range(n - hubs + 1, n + 1), *range(1, n - hubs + 1)]
+    assert got == {t: order[t * (n // 8)] for t in range(8)}
