@@ -5,18 +5,22 @@ are cut so that only the first piece may be short of a full sequence.  What is
 to pack is then a histogram of at most ``capacity`` piece lengths, whatever the
 number of documents: the plan is made on it by branch and bound (fill the room
 that the longest piece leaves with an undominated set of other lengths, prune
-by the waste that fewer sequences than the incumbent's leave, begin from the
-greedy plan), and fillings are used as often as the counts allow first.  Pieces then find their place by their rank
-among pieces of equal length.
-
-Nulls: a null text is the empty text, one piece of the end id alone.  Ties are
-broken by doc_id and piece; equal rows are packed each for itself.  An empty
-table gives an empty result.  Other columns are ignored.
+by the waste that fewer sequences than the incumbent's leave, begin from
+best-fit plans), and fillings are used as often as the counts allow first.
+Pieces then find their place by their rank among pieces of equal length.
+
+Nulls: a null text is the empty text, one piece of the end id alone; a row
+without doc_id is packed like any other.  Very long texts: a text is encoded
+whole and gives one row for each 2048 ids.  Ties are broken by doc_id and
+piece; equal rows are packed each for itself.  An empty table gives an empty
+result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,10 +34,8 @@ from loomgraph.plans.durable import global_rank, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes that one search may visit before it keeps its best filling so far.
-SEARCH_NODES = 4000
-#: Nodes that the search for a plan of fewer sequences may visit, and how many a sequence's first filling counts for.
-PLAN_NODES, STEP_NODES = 400_000, 100
+#: Nodes that the search for a plan of fewer sequences may visit (None: all), and how many a sequence's first filling counts for.
+PLAN_NODES, STEP_NODES = 2_000_000, 100
 _LONG = re.compile(r"\S{3000}|\s{3000}")
 _encoders: dict[str, tuple] = {}
 
@@ -103,50 +105,68 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
     return documents.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def completion(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list[int]:
-    """Lengths (longest first) that fill ``room`` with the least waste.
+def _reachable(sizes: list[int], number: list[int], room: int) -> list[int]:
+    """Bit ``t`` of entry ``j``: whether some of ``sizes[j:]``, as often as there are any, sum to ``t`` (at most ``room``)."""
+    full = (1 << (room + 1)) - 1
+    out = [1]
+    for size, n in zip(reversed(sizes), reversed(number), strict=True):
+        sums, n, k = out[-1], min(n, room // size), 1
+        while n:  # copies by powers of two
+            k = min(k, n)
+            sums |= (sums << (k * size)) & full
+            n, k = n - k, 2 * k
+        out.append(sums)
+    return out[::-1]
+
+
+def _available(room: int, counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """Lengths that fit into ``room``, longest first, and their numbers."""
+    have = np.flatnonzero(counts[: room + 1])
+    have = have[have > 0][::-1]
+    return have.tolist(), counts[have].tolist()
+
 
-    Branch and bound over undominated fillings: pieces go in by falling length,
-    so that no set is met twice; a branch ends once all pieces that it may still
-    take leave no less waste than the best filling so far.
+def completion(room: int, counts: np.ndarray) -> list[int]:
+    """Lengths (longest first) that fill ``room`` with the least waste; among such fillings the one of longest pieces.
+
+    The sums that lengths can still reach bound the waste exactly, so the search
+    never turns back, whatever the number of pieces.
     """
-    have = np.flatnonzero(counts)
-    have = have[(have > 0) & (have <= room)]
-    best: list[int] = []
-    left = room
-    for size in have[::-1].tolist():  # best fit: the first incumbent
-        while size <= left and best.count(size) < counts[size]:
-            best.append(size)
-            left -= size
-            if left < size:
-                break
-    waste = left
-    if not waste or not len(have):
-        return best
-    smallest = int(have[0])
-    within = np.concatenate([[0], np.cumsum(have * np.minimum(counts[have], room // have))])  # all that fits up to a length
-    seen = 0
-
-    def search(room: int, top: int, chosen: list[int]) -> None:
-        nonlocal waste, best, seen
-        if room < waste:
-            waste, best = room, list(chosen)
-        k = int(np.searchsorted(have, min(room, top), "right")) - 1
-        while k >= 0 and waste and seen < nodes:
-            if room - int(within[k + 1]) >= waste:  # even all of them leave too much
-                return
-            size = int(have[k])
-            k -= 1
-            rest = room - size
-            if counts[size] <= chosen.count(size) or (rest < smallest and rest >= waste):
-                continue
-            seen += 1
-            chosen.append(size)
-            search(rest, size, chosen)
-            chosen.pop()
-
-    search(room, room, [])
-    return best
+    sizes, number = _available(room, counts)
+    reach = _reachable(sizes, number, room)
+    left, chosen = reach[0].bit_length() - 1, []
+    for j, size in enumerate(sizes):
+        m = min(number[j], left // size)
+        while not reach[j + 1] >> (left - m * size) & 1:
+            m -= 1
+        chosen += [size] * m
+        left -= m * size
+    return chosen
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing on the histogram: a piece goes where it leaves the least room."""
+    open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {capacity: []}  # by room
+    rooms = [capacity]
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[size])
+        while n and size:
+            at = bisect.bisect_left(rooms, size)
+            room = rooms[at]
+            held, k = open_bins[room].pop() if open_bins[room] else ((), n)
+            m = min(room // size, n)  # the bin that has got a piece has the least room for the next one
+            bins = min(k, n // m)
+            n -= bins * m
+            if room != capacity and k > bins:
+                open_bins[room].append((held, k - bins))
+            if room != capacity and not open_bins[room]:
+                del open_bins[room], rooms[at]
+            after = room - m * size
+            if after not in open_bins:
+                open_bins[after] = []
+                bisect.insort(rooms, after)
+            open_bins[after].append((held + (size,) * m, bins))
+    return [(list(held), n) for bins in open_bins.values() for held, n in bins]
 
 
 def least_bins(counts: np.ndarray, capacity: int) -> int:
@@ -169,7 +189,7 @@ def _step(counts: np.ndarray, chosen: list[int]) -> int:
 
 
 def greedy(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """The incumbent: for the longest piece left its filling of least waste, as often as the counts allow."""
+    """For the longest piece left its filling of least waste, as often as the counts allow."""
     counts = counts.copy()
     out: list[tuple[list[int], int]] = []
     top = capacity
@@ -188,45 +208,59 @@ def greedy(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         out.append((chosen, times))
 
 
-def _dominated(chosen: list[int], waste: int, left: np.ndarray) -> bool:
-    """Whether one piece left over could take the place of some of the chosen ones without more waste."""
-    if left[1 : waste + 1].any():
-        return True
-    if len(chosen) > 10:  # only fewer branches are cut
-        return False
-    sums = {(0, 0)}
-    for size in chosen:
-        sums |= {(total + size, min(2, k + 1)) for total, k in sums}
-    return any(left[total + (k < 2) : total + waste + 1].any() for total, k in sums if k)
+def _dominated(chosen: list[int], waste: int, left: int) -> bool:
+    """Whether one piece left over (a bit of ``left``) could take the place of some of the chosen ones.
 
+    It may be longer than they are together by up to the waste, or as long as
+    two or more of them: what it sets free is easier to place than it is.
+    """
+    any_sum, of_two = 1, 0
+    for size in chosen:
+        of_two |= (of_two | (any_sum & ~1)) << size
+        any_sum |= any_sum << size
+    longer, k = any_sum << 1 if waste else 0, 1
+    while k < waste:  # sums plus 1 to waste
+        step = min(k, waste - k)
+        longer |= longer << step
+        k += step
+    return bool((longer | of_two) & left)
+
+
+def _fillings(room: int, counts: np.ndarray, slack: int, spent: list[float]) -> Iterator[list[int]]:
+    """Undominated fillings of ``room`` that waste at most ``slack``, longest pieces first.
+
+    A branch is entered only if what is left of the lengths can still fill all
+    but the slack.  A level is a length and how often it is taken, so that the
+    depth is at most the square root of twice the room.
+    """
+    sizes, number = _available(room, counts)
+    reach = _reachable(sizes, number, room)
 
-def _fillings(room: int, counts: np.ndarray, slack: int, spent: list[int]) -> Iterator[list[int]]:
-    """Undominated fillings of ``room`` that waste at most ``slack``, longest pieces first."""
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0][::-1]
-    number = counts[have].tolist()
-    within = [*np.cumsum((have * np.minimum(counts[have], room // have))[::-1])[::-1].tolist(), 0]
-    sizes = have.tolist()
+    def open_at(room: int, j: int) -> int:
+        return reach[j] >> max(0, room - slack) & ((1 << (min(room, slack) + 1)) - 1)
 
     def search(room: int, i: int) -> Iterator[list[int]]:
         for j in range(i, len(sizes)):
-            if spent[0] <= 0 or room - within[j] > slack:
+            if spent[0] <= 0 or not open_at(room, j):
                 return
             for m in range(min(number[j], room // sizes[j]), 0, -1):
-                spent[0] -= 1
-                for rest in search(room - m * sizes[j], j + 1):
-                    yield [sizes[j]] * m + rest
+                rest = room - m * sizes[j]
+                if open_at(rest, j + 1):
+                    spent[0] -= 1
+                    for more in search(rest, j + 1):
+                        yield [sizes[j]] * m + more
         if room <= slack:
             yield []
 
     for chosen in search(room, 0):
         left = counts.copy()
         np.subtract.at(left, chosen, 1)
-        if not _dominated(chosen, room - sum(chosen), left):
+        free = sum(1 << k for k in np.flatnonzero(left[: room + 1]).tolist() if k)
+        if not _dominated(chosen, room - sum(chosen), free):
             yield chosen
 
 
-def _packing(counts: np.ndarray, bins: int, capacity: int, spent: list[int]) -> list[tuple[list[int], int]] | None:
+def _packing(counts: np.ndarray, bins: int, capacity: int, spent: list[float]) -> list[tuple[list[int], int]] | None:
     """A plan of at most ``bins`` sequences, or None if there is none or ``spent`` is used up.
 
     Depth first over the fillings of the longest piece left; a branch ends once
@@ -280,17 +314,20 @@ def _packing(counts: np.ndarray, bins: int, capacity: int, spent: list[int]) ->
     return None
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+def plan(lengths: dict[int, int], capacity: int = CAPACITY, nodes: int | None = PLAN_NODES) -> list[tuple[list[int], int]]:
     """Fillings and how often each is used; every piece is placed once.
 
-    While the incumbent needs more than the lower bound, one sequence fewer is
-    searched for.  The plan is least unless the search used up PLAN_NODES.
+    While the incumbent (best-fit decreasing, or the greedy completion if that
+    is better) needs more than the lower bound, one sequence fewer is searched
+    for.  ``nodes`` bounds that search; with None it goes on until the plan is
+    proved to be least.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for k, n in lengths.items():
         counts[k] = n
-    best, least, spent = greedy(counts, capacity), least_bins(counts, capacity), [PLAN_NODES]
-    while (bins := sum(t for _, t in best)) > least:
+    number = lambda p: sum(t for _, t in p)
+    best, least, spent = min(greedy(counts, capacity), best_fit(counts, capacity), key=number), least_bins(counts, capacity), [math.inf if nodes is None else nodes]
+    while (bins := number(best)) > least:
         fewer = _packing(counts, bins - 1, capacity, spent)
         if fewer is None:
             break
@@ -298,8 +335,8 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[i
     return best
 
 
-def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with sequence_id and offset; a sequence holds at most ``capacity`` ids."""
+def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, nodes: int | None = PLAN_NODES) -> DataFrame:
+    """Pieces with sequence_id and offset; a sequence holds at most ``capacity`` ids, ``nodes`` as in :func:`plan`."""
     spark = documents.sparkSession
     held = stored(pieces(documents, path, capacity), "pieces")
     lengths = {int(r["length"]): int(r["count"]) for r in held.groupBy("length").count().collect()}  # at most `capacity` rows
@@ -308,7 +345,7 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
         first[k], at = at, at + lengths[k]
     used = dict(first)
     steps, base = [], 0
-    for chosen, times in plan(lengths, capacity):
+    for chosen, times in plan(lengths, capacity, nodes):
         offset = 0
         for size in sorted(set(chosen), reverse=True):
             n = chosen.count(size)

@@ -204,6 +204,64 @@ def test_plan_needs_no_more_sequences_than_the_least():
         assert sum(t for _, t in got) == bins
 
 
+def placed(plan, cap):
+    from collections import Counter
+
+    used = Counter()
+    for chosen, times in plan:
+        assert sum(chosen) <= cap and times > 0
+        for x in chosen:
+            used[x] += times
+    return used
+
+
+def test_plans_of_short_pieces():
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(14)
+    assert packing.plan({}) == []
+    for n in range(60):
+        lengths = {5: 1, 4: 1, 2: 5000} if n == 0 else {k: rng.randint(1, 10 ** rng.randint(1, 6)) for k in rng.sample(range(1, 9), rng.randint(1, 8))}
+        counts = np.zeros(2049, np.int64)
+        counts[list(lengths)] = list(lengths.values())
+        got = packing.plan(lengths)
+        assert placed(got, 2048) == lengths == placed(packing.best_fit(counts, 2048), 2048)
+        assert packing.least_bins(counts, 2048) <= sum(t for _, t in got) <= min(sum(t for _, t in packing.best_fit(counts, 2048)), packing.least_bins(counts, 2048) + 1)
+    lengths = {k: rng.randint(1, 50) for k in range(1, 2049)}
+    assert placed(packing.plan(lengths, nodes=1000), 2048) == lengths
+    items = [rng.randint(1, 30) for _ in range(40)]
+    first = packing.best_fit(np.bincount(items, minlength=65), 64)
+    rooms: list[int] = []
+    for x in sorted(items, reverse=True):  # the same rule, piece by piece
+        k = min((i for i, free in enumerate(rooms) if free >= x), key=lambda i: rooms[i], default=None)
+        if k is None:
+            rooms.append(64 - x)
+        else:
+            rooms[k] -= x
+    assert sorted(64 - sum(c) for c, t in first for _ in range(t)) == sorted(rooms)
+    assert placed(first, 64) == Counter(items)
+
+
+def test_dominated_fillings():
+    bits = lambda *xs: sum(1 << x for x in xs)
+    assert packing._dominated([5, 3], 2, bits(7)) and packing._dominated([5, 3], 2, bits(2)) and packing._dominated([5, 3], 0, bits(8))
+    assert not packing._dominated([5, 3], 2, bits(3, 11)) and not packing._dominated([5, 3], 0, bits(5, 3, 6)) and not packing._dominated([], 0, bits(1))
+
+
+def test_packing_of_many_short_documents(spark):
+    rows = [(i, "a") for i in range(5000)] + [(5000, "a b c d"), (5001, "a b c"), (None, "a"), (None, "a"), (5001, "a b c")]
+    out = [r.asDict() for r in packing.pack(table(spark, rows)).collect()]
+    assert len(out) == len(rows) + 1 and len({r["sequence_id"] for r in out}) == 5
+    for s in {r["sequence_id"] for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r["sequence_id"] == s), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+
+
 def labelled(spark, rng, bad_word, column):
     words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ana", "olo", "ibe", "upu", "eri")]
     rows, labels = [], []
