@@ -6,10 +6,15 @@ fingerprint is 128 bits of xxhash64 under two seeds.  Rows of equal
 fingerprints are grouped, and inside a bucket the canonical bytes themselves
 are compared, so a hash collision never joins two documents.
 
-Nulls: a null text is the empty text.  Equal texts have equal fingerprints;
-repeated rows follow each other in the order of doc_id.  An empty table gives
-an empty result; a single row is its own next document.  Other columns are
-ignored.
+The likeness of two fingerprints is 1 if they are equal and 0 otherwise: the
+digest is exact.  NFKC and case folding come from the ICU library (``com.ibm.icu``)
+that Spark itself ships for its collations.
+
+Nulls: a null text is the empty text; rows without doc_id come after all others,
+in the order of their texts' hashes.  Equal texts have equal fingerprints;
+repeated rows, and rows of one doc_id, follow each other in the order of their
+texts' hashes.  Very long texts are digested whole.  An empty table gives an
+empty result; a single row is its own next document.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import checked_join, global_rank, stored
 
-#: Ids in a block inside which the next document is found by a window.
-BLOCK = 1024
+#: Ids in a block inside which the next document is found by a window, and blocks of rows without an id.
+BLOCK, NULL_BLOCKS = 1024, 1 << 20
+#: Number of the first block of rows without an id, beyond those of all long ids.
+NULL_BLOCK = 1 << 54
 
 
 def canonical(text: Column) -> Column:
@@ -55,9 +62,10 @@ def copies(documents: DataFrame, prints: DataFrame) -> DataFrame:
     clean = exact.join(mixed, "fingerprint", "left_anti").select("fingerprint", "copy_of", "n_copies")
     out = prints.join(clean, "fingerprint", "left")
     if mixed.limit(1).count():  # a collision of 128 bits: those rows are told apart by their bytes
-        odd = canon.join(mixed, "fingerprint", "left_semi").withColumn("sha", F.sha2("canon", 256))
-        odd = odd.join(exact, ["fingerprint", "sha"]).select("doc_id", F.col("copy_of").alias("c"), F.col("n_copies").alias("n"))
-        out = out.join(odd, "doc_id", "left").withColumns({"copy_of": F.coalesce("copy_of", "c"), "n_copies": F.coalesce("n_copies", "n")}).drop("c", "n")
+        odd = canon.join(mixed, "fingerprint", "left_semi").withColumn("sha", F.sha2("canon", 256)).join(exact, ["fingerprint", "sha"])
+        odd = odd.groupBy(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f")).agg(F.min("copy_of").alias("c"), F.max("n_copies").alias("n"))
+        out = out.join(odd, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
+        out = out.withColumns({"copy_of": F.coalesce("copy_of", "c"), "n_copies": F.coalesce("n_copies", "n")}).drop("c", "n", "d", "f")
     return out.withColumns({"copy_of": F.coalesce("copy_of", "doc_id"), "n_copies": F.coalesce("n_copies", F.lit(1).cast("long"))})
 
 
@@ -66,24 +74,26 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by the beginning of the next
     document by ascending doc_id (the first follows the last).  The next
-    document is found inside blocks of ids; only the last row of each block
-    looks at the first row of the block after it.
+    document is found by one window inside blocks of ids, to each of which a
+    copy of the first row of the block after it is added.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", text.alias("text"), F.floor(F.col("doc_id") / BLOCK).alias("block"), fingerprint(text).alias("fingerprint"))
-    w = Window.partitionBy("block").orderBy("doc_id", "fingerprint")
-    rows = rows.withColumns(
-        {"next_text": F.lead("text").over(w), "next_print": F.lead("fingerprint").over(w), "prior": F.lag("doc_id").over(w)}
-    )
-    blocks = stored(documents.select(F.floor(F.col("doc_id") / BLOCK).alias("block")).distinct(), "blocks")
-    total = blocks.count()
-    ranked = global_rank(blocks, ["block"])
-    after = ranked.select(F.col("block").alias("next_block"), F.expr(f"(rank + {max(total, 1)} - 1) % {max(total, 1)}").alias("rank")).join(ranked, "rank").select("block", "next_block")
-    firsts = rows.where("prior IS NULL").select(F.col("block").alias("next_block"), F.col("text").alias("first_text"), F.col("fingerprint").alias("first_print"))
-    inner = rows.where("next_text IS NOT NULL").select("doc_id", "text", "fingerprint", "next_text", "next_print")
-    last = rows.where("next_text IS NULL").select("doc_id", "text", "fingerprint", "block").join(after, "block").join(firsts, "next_block")
-    last = last.select("doc_id", "text", "fingerprint", F.col("first_text").alias("next_text"), F.col("first_print").alias("next_print"))
-    whole = inner.unionByName(last).withColumn("n_chars", F.char_length("text").cast("long"))
+    turn = F.xxhash64(text)
+    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), NULL_BLOCK + F.pmod(turn, F.lit(NULL_BLOCKS)))
+    rows = documents.select("doc_id", text.alias("text"), turn.alias("turn"), block.alias("block"))
+    firsts = stored(rows.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "turn")).alias("f")).select("block", "f.doc_id", "f.turn"), "blocks")
+    total = max(firsts.count(), 1)
+    ranked = global_rank(firsts, ["block"])
+    before = ranked.select(F.col("block").alias("prior"), F.expr(f"(rank + 1) % {total}").alias("rank")).join(ranked, "rank").select("prior", "block", "doc_id", "turn")
+    before = stored(before, "block-firsts").alias("b")
+    # one row for each block: repeated rows are alike
+    same = (F.col("r.block") == F.col("b.block")) & F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.turn") == F.col("b.turn"))
+    heads = checked_join(rows.alias("r"), before, same).groupBy("b.prior").agg(F.min("r.text").alias("text"))
+    heads = heads.select(F.lit(None).alias("doc_id"), "text", F.lit(0).alias("turn"), F.col("prior").alias("block"), F.lit(True).alias("is_head"))
+    rows = rows.withColumn("is_head", F.lit(False)).unionByName(heads).withColumn("fingerprint", fingerprint(F.col("text")))
+    w = Window.partitionBy("block").orderBy("is_head", F.col("doc_id").asc_nulls_last(), "turn")
+    whole = rows.withColumns({"next_text": F.lead("text").over(w), "next_print": F.lead("fingerprint").over(w)})
+    whole = whole.where("NOT is_head").withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
     out = whole.select("doc_id", "n_chars", "fingerprint", "next_print", edited.alias("edited"))

@@ -86,10 +86,45 @@ def test_fingerprints_and_edited_texts(spark):
     assert got[5]["fingerprint"] == got[7]["fingerprint"] and got[7]["copy_of"] == 5 and got[5]["near_next"] == 1.0
     assert got[3000]["fingerprint"] == got[3001]["fingerprint"] != got[5]["fingerprint"]
     assert got[9003]["copy_of"] == got[9004]["copy_of"] == 9003 and got[9000]["copy_of"] == 9000
+    for d, t in rows:  # the canonical form and the digest restated
+        assert got[d]["fingerprint"] == digest(t or "")
     assert fingerprints.edited_fingerprints(table(spark, [(1, "alone")])).first()["near_next"] == 1.0
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
 
 
+def digest(text):
+    import re
+    import unicodedata
+
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    data = re.sub(r"[\s\u2028\u2029]+", " ", nfkc(nfkc(text).casefold())).strip(" ").encode()
+    return "".join(f"{spark_xxhash64([seed, data]):016x}" for seed in (1, 2))
+
+
+def spark_xxhash64(values):
+    """xxhash64 of an int, then of a string with the first hash as its seed."""
+    import xxhash
+
+    seed = xxhash.xxh64_intdigest(values[0].to_bytes(4, "little"), 42)
+    return xxhash.xxh64_intdigest(values[1], seed)
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(None, "b"), (1, "x y"), (None, "a"), (None, "b"), (2, None), (1, "x y"), (1, "z"), (2000, "long " * 50_000), (-5, "neg")]
+    got = [r.asDict() for r in fingerprints.edited_fingerprints(table(spark, rows)).collect()]
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 3
+    h = {t: spark.sql("SELECT xxhash64(:t)", {"t": t or ""}).first()[0] for _, t in rows}
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], h[r[1]]))
+    nulls = sorted((r for r in rows if r[0] is None), key=lambda r: (h[r[1]] % fingerprints.NULL_BLOCKS, h[r[1]]))
+    order += nulls
+    want = []
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        k = len(t) // 2
+        want.append((d or -1, len(t), hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest(), float(digest(t) == digest(nxt))))
+    assert sorted(want) == sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"], r["near_next"]) for r in got)
+
+
 def test_sharding_is_minimax(spark):
     rng = random.Random(2)
     rows = [(i, "t" * rng.randint(0, 90) + str(i % 150)) for i in range(400)] + ODD[:5] + [(10_000 + i, "hot") for i in range(200)]
