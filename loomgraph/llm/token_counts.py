@@ -7,16 +7,24 @@ later candidate must be strictly better, candidates come by ascending start,
 and a character that is no piece of its own gets the unknown score (the
 vocabulary's least minus 10) and then counts as its UTF-8 bytes.
 
-The vocabulary is the pieces and scores of a public SentencePiece file; spaces
-become the file's word mark and one is put before a text that begins without.  As no piece of it
-goes on past a word mark, words can be scored one by one and remembered.
-
-Nulls: a null or empty text has 0 tokens and score 0.  Repeated rows are
-counted each.  An empty table gives an empty result; other columns are ignored.
+The vocabulary is the normal pieces of a public SentencePiece file; control,
+unknown and byte pieces never match text.  That file holds merge ranks, not
+log-probabilities, and tokenizers are not trained here, so the piece of rank r
+gets the log-probability of the Zipf-Mandelbrot law, ``1 / (r + ZIPF_SHIFT)``
+over the sum for all pieces.  A file of a unigram model keeps its own scores.
+Spaces become the file's word mark and one is put before a text that begins
+without.  As no piece of it goes on past a word mark, words can be scored one by
+one and remembered.
+
+Nulls: a null or empty text has 0 tokens and score 0; a null doc_id is kept.
+Very long texts are counted whole: the pass needs one score and one count for
+each character of a word.  Repeated rows are counted each.  An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,17 +33,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: The shift of the Zipf-Mandelbrot law that turns ranks into probabilities.
+ZIPF_SHIFT = 2.7
 #: Words remembered by a worker before it forgets them all.
 REMEMBERED = 200_000
 _models: dict[str, "Counter"] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece file, in the order of their ids."""
+    """The normal pieces of a SentencePiece file and their log-probabilities, in the order of their ids."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size())]
+    other = (p.is_unknown, p.is_control, p.is_byte, p.is_unused)
+    normal = [i for i in range(p.get_piece_size()) if not any(f(i) for f in other)]
+    scores = [p.get_score(i) for i in normal]
+    if all(s == int(s) for s in scores):  # ranks of merges
+        order = sorted(range(len(normal)), key=lambda k: -scores[k])
+        total = math.log(sum(1.0 / (r + ZIPF_SHIFT) for r in range(len(normal))))
+        for r, k in enumerate(order):
+            scores[k] = -math.log(r + ZIPF_SHIFT) - total
+    return [(p.id_to_piece(i), s) for i, s in zip(normal, scores, strict=True)]
 
 
 class Counter:

@@ -65,15 +65,58 @@ def test_token_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     vocab = token_counts.vocabulary(token_counts.default_path())
-    t = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    own = [("<unk>", 0.0), *[(f"<0x{i:02X}>", 0.0) for i in range(256)], *vocab]
+    t = Tokenizer(models.Unigram(own, unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=False)
     rng = random.Random(1)
-    rows = [r for r in ODD if r[0] != 9005] + [(i, "".join(rng.choice("ab é日🙂 \nthe") for _ in range(rng.randint(1, 50)))) for i in range(300)]
+    rows = [r for r in ODD if r[0] != 9006] + [(9007, "é ü 日本 🙂 a_b"), (9008, ("hello world " * 3000).strip())]
+    rows += [(i, "".join(rng.choice("ab é日🙂 \nthe") for _ in range(rng.randint(1, 50)))) for i in range(300)]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table(spark, rows)).collect()}
     assert got == {d: len(t.encode(x or "").ids) for d, x in rows}
+    assert got[9008] == 3000 * len(t.encode("hello world").ids)
+    assert token_counts.token_counts(table(spark, [(None, "a b"), (1, "a b")], repeat=True)).select("n_tokens").distinct().count() == 1
     assert token_counts.token_counts(empty(spark)).count() == 0
 
 
+def test_token_counts_are_the_best_of_all_segmentations():
+    mark = token_counts.MARK
+    pieces = [(mark, -1.0), (mark + "a", -2.0), ("a", -3.0), ("ab", -3.5), ("b", -2.5), ("ba", -5.5), ("bab", -6.0), (mark + "ab", -4.5), ("c", -4.0), ("<", -3.0), ("s", -3.0), (">", -3.0)]
+    counter, score = token_counts.Counter(pieces), dict(pieces)
+    unknown = min(score.values()) - token_counts.UNKNOWN_PENALTY
+
+    def every(text):
+        """(score, count) of all segmentations; an unknown character counts as its bytes."""
+        if not text:
+            return [(0.0, 0)]
+        out = []
+        for k in range(1, len(text) + 1):
+            head = text[:k]
+            if head in score:
+                own = (score[head], 1)
+            elif k == 1:
+                own = (unknown, len(head.encode()))
+            else:
+                continue
+            out += [(own[0] + s, own[1] + n) for s, n in every(text[k:])]
+        return out
+
+    rng = random.Random(2)
+    for text in ["foo<s>bar", "<s>", "<0x61>", *["".join(rng.choice("aabbcé ") for _ in range(rng.randint(1, 9))) for _ in range(300)]]:
+        marked = text.replace(" ", mark)
+        got = every(marked if marked.startswith(mark) else mark + marked)
+        count, best = counter.text(text)
+        assert abs(best - max(s for s, _ in got)) < 1e-9
+        assert count in {n for s, n in got if abs(s - best) < 1e-9}
+
+
+def test_control_and_byte_pieces_never_match():
+    names = {p for p, _ in token_counts.vocabulary(token_counts.default_path())}
+    assert not names & {"<unk>", "<s>", "</s>", "<0x41>"} and len(names) > 30_000
+    counter = token_counts.Counter(token_counts.vocabulary(token_counts.default_path()))
+    assert counter.text("hello world")[0] == 3
+    assert counter.text("foo<s>bar")[0] == 5 and counter.text("foo<0x41>bar")[0] > 5
+
+
 def test_fingerprints_and_edited_texts(spark):
     rows = [(5, "Ａ  b"), (7, "a B"), (3000, "Straße x"), (3001, "STRASSE  X "), *ODD]
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(table(spark, rows)).collect()}
