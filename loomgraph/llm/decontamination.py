@@ -2,41 +2,58 @@
 
 Words become templates: numbers, units and names are replaced by typed
 placeholders (``<n>``, ``<u>``, ``<name>``), everything else is case folded
-(ASCII and Latin-1 letters) and stripped of signs.  Windows of template words of the benchmark are hash-joined
-with those of every document, so a question asked again with other numbers,
-names or units still meets.  Where both sides fill the slots of matched windows
-differently, the fillings must be consistent: one benchmark value always meets
-one document value (a re-parameterised question), otherwise those windows do
-not count.  A document may hold an item several times with different values, so
-each occurrence's fillings are tried for themselves, and the best one counts.
+(ASCII and Latin-1 letters) and stripped of signs.  A window of template words
+has two forms, as a capital does not tell a name from the first word of a
+sentence: one keeps all capitalised words as they are (and so meets copies in
+any case), one replaces them all (and so meets other names, also where a
+sentence begins with one).  Windows of the benchmark are hash-joined with those
+of every document, form by form, and the template words compared.  Where both
+sides fill the slots of matched windows differently, the fillings must be
+consistent: one benchmark value always meets one document value (a
+re-parameterised question), otherwise those windows do not count.  A document
+may hold an item several times with different values, so each occurrence's
+fillings are tried for themselves, and the best one counts.
+
+The join: a bitmap of the benchmark's window hashes (``BITMAP_BITS`` at most,
+whatever the benchmark's size; a fuller one only lets more candidates through)
+picks the candidate windows in one pass over the documents.  Only candidates
+leave a task, and Spark joins them with the table of benchmark windows: by
+broadcast if that table is small by rows and bytes, else by shuffle.
 
 A document is contaminated by an item if at least ``SHARE`` of the item's
 windows are found in it consistently.  Items shorter than a window are one
 window as a whole.
 
 Nulls: null or empty texts match nothing, and a null or empty item is in
-nothing.  Repeated items give a row each; repeated documents give a row for
-each.  Empty tables give an empty result; other columns are ignored.
+nothing; null ids are kept.  Very long texts are read whole; one task at a time
+holds the matches of one document with one item.  Items of different ids or
+texts give a row each, an item row repeated as it is counts once; repeated
+documents give a row for each.  Ties between fillings go to the one found first.
+Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm.bytesets import _LOWER, chunks, mix, runs, span_hashes
 from loomgraph.llm.textfeatures import _UPPER, _WORDY
+from loomgraph.plans.durable import checked_join, stored
 
 WIDTH = 8
 SHARE = 0.5
-#: Most benchmark windows that are sent to the executors at once; more are done in turns.
-WINDOWS_AT_ONCE = 2_000_000
+#: Bits of the bitmap of benchmark windows: so many for each window, within these bounds (8 KB to 32 MB).
+BITS_A_WINDOW, LEAST_BITS, BITMAP_BITS = 64, 16, 28
 #: Units of measure and number words, in natural order.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms ton tons ounce ounces "
@@ -52,8 +69,6 @@ _NUMBER, _UNIT, _NAME = "<n>", "<u>", "<name>"
 _KINDS = ("", _NUMBER, _UNIT, _NAME)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_END = np.zeros(256, bool)
-_END[list(b".!?:;\n\"'()[]|")] = True
 
 
 def _fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,11 +101,11 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Template words of a run of rows.
+    """Template words of a run of rows, in two forms.
 
     A number has a digit or is a number word; a unit is a unit word right after
-    a number; a name is a capitalised word (not in capitals throughout) that
-    does not begin a sentence or the text.
+    a number; a name is a capitalised word that is not in capitals throughout.
+    The first form keeps names as words, the second one replaces them.
     """
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
@@ -99,22 +114,23 @@ class Templates:
         starts, ends = self.starts, self.ends
         code = span_hashes(self.low, starts, ends)
         total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        digits, caps, stops = total(_DIGIT[data]), total(upper), total(_END[data])
+        digits, caps = total(_DIGIT[data]), total(upper)
         first = np.zeros(len(starts), bool)
         first[self.at[:-1][self.at[:-1] < len(starts)]] = True
         number = (digits[ends] > digits[starts]) | _among(code, _NUMBER_CODES)
         after_number = np.concatenate([[False], number[:-1]]) & ~first
         unit = _among(code, _UNIT_CODES) & after_number & ~number
-        gap = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        begins = first | (stops[starts] > stops[gap])
-        name = upper[starts] & (caps[ends] - caps[starts] == 1) & (ends - starts > 1 + (data[starts] >= 128)) & ~begins & ~number & ~unit
-        self.kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-        self.code = np.where(self.kind > 0, _KIND_CODES[self.kind], code)
-
-    def words(self, a: int, b: int) -> tuple[list[str], list[str]]:
-        """Template words, and the words as they stand, from word ``a`` to ``b``."""
+        capitals = caps[ends] - caps[starts]
+        name = upper[starts] & (capitals < ends - starts) & (ends - starts > 1 + (data[starts] >= 128)) & ~number & ~unit
+        kept = np.where(number, 1, np.where(unit, 2, 0))
+        self.kinds = (kept, np.where(name, 3, kept))
+        self.codes = tuple(np.where(k > 0, _KIND_CODES[k], code) for k in self.kinds)
+        self.names = total(name)
+
+    def words(self, a: int, b: int, form: int) -> tuple[str, str]:
+        """Template words, and the words as they stand, from word ``a`` to ``b``; words hold no spaces."""
         plain = [self.low[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
-        return [_KINDS[k] or w for k, w in zip(self.kind[a:b].tolist(), plain, strict=True)], plain
+        return " ".join(_KINDS[k] or w for k, w in zip(self.kinds[form][a:b].tolist(), plain, strict=True)), " ".join(plain)
 
 
 _NUMBER_CODES, _UNIT_CODES = _hashes_of(tuple(NUMBERS)), _hashes_of(tuple(UNITS))
@@ -132,35 +148,87 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, window (hash), at, template and plain words of every item."""
+    """item_id, version (hash of the text), window (hash), at, width, n_windows, template and plain words of every item."""
+    names = ["item_id", "version", "window", "at", "width", "n_windows", "template", "plain"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            ids, versions, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for begin, _, data, off in chunks(batch.column(1)):
                 t = Templates(data, off)
                 for row, (a, b) in enumerate(zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True)):
                     k = min(width, b - a)
-                    for i, h in enumerate(windows(t.code[a:b], k).view(np.int64).tolist() if k else []):
-                        out.append((ids[begin + row], h, i, b - a - k + 1, *t.words(a + i, a + i + k)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [batch.schema.types[0], pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "window", "at", "n_windows", "template", "plain"])
+                    for form in (0, 1) if k else ():
+                        for i, h in enumerate(windows(t.codes[form][a:b], k).view(np.int64).tolist()):
+                            if not form or t.names[a + i + k] > t.names[a + i]:
+                                out.append((ids[begin + row], versions[begin + row], h, i, k, b - a - k + 1, *t.words(a + i, a + i + k, form)))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [batch.schema.types[0], pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     kind = dict(benchmark.dtypes)["item_id"]
-    return benchmark.select("item_id", "text").mapInArrow(cut, f"item_id {kind}, window long, at int, n_windows int, template array<string>, plain array<string>")
+    items = benchmark.select("item_id", "text").distinct().withColumn("version", F.xxhash64("text"))
+    return items.mapInArrow(cut, f"item_id {kind}, version long, window long, at int, width int, n_windows int, template string, plain string")
+
+
+def _bitmap(table: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Bits, and the bitmap of the first bits of all window hashes; tasks send packed positions, the driver holds the bitmap alone."""
+    bits = min(BITMAP_BITS, max(LEAST_BITS, (BITS_A_WINDOW * max(n, 1) - 1).bit_length()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(at.astype("<u4").tobytes(), 1)], pa.binary())], ["packed"])
+
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    for r in table.select("window").mapInArrow(pack, "packed binary").toLocalIterator():
+        at = np.frombuffer(zlib.decompress(r["packed"]), "<u4")
+        np.bitwise_or.at(found, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits, found
+
+
+def candidates(documents: DataFrame, bits: int, bitmap: np.ndarray, widths: list[int]) -> DataFrame:
+    """uid (of the row), doc_id, window, place, template, plain of the documents' windows that the bitmap lets through."""
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap)  # 2**BITMAP_BITS bits at most
+    names = ["uid", "doc_id", "window", "place", "template", "plain"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, uid = sent.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for begin, _, data, off in chunks(batch.column(1)):
+                t = Templates(data, off)
+                for k, form in itertools.product(widths, (0, 1)):
+                    h = windows(t.codes[form], k)
+                    at = h >> np.uint64(64 - bits)
+                    hit = (found[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    if form:
+                        hit &= t.names[k : k + len(h)] > t.names[: len(h)]
+                    place = np.flatnonzero(hit)
+                    row = np.searchsorted(t.at, place, "right") - 1
+                    inside = place + k <= t.at[row + 1]
+                    for r, i in zip(row[inside].tolist(), place[inside].tolist(), strict=True):
+                        out.append((uid + begin + r, ids[begin + r], int(h[i].view(np.int64)), i - int(t.at[r]), *t.words(i, i + k, form)))
+            uid += len(ids)
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), batch.schema.types[0], pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
+    kind = dict(documents.dtypes)["doc_id"]
+    return documents.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, window long, place long, template string, plain string")
 
-def _slots(template: list[str], plain: list[str], own: list[str]) -> dict | None:
+
+def _slots(template: str, plain: str, own: str) -> dict | None:
     """The fillings of a matched window: (kind, benchmark value) to document value; None if they contradict each other.
 
     A window of slots alone says nothing but by its values, so these have to be equal.
     """
     out: dict = {}
-    for kind, a, b in zip(template, plain, own, strict=True):
+    kinds = template.split(" ")
+    for kind, a, b in zip(kinds, plain.split(" "), own.split(" "), strict=True):
         if kind[0] == "<" and out.setdefault((kind, a), b) != b:
             return None
-    if all(kind[0] == "<" for kind in template) and any(a != b for (_, a), b in out.items()):
+    if all(kind[0] == "<" for kind in kinds) and any(a != b for (_, a), b in out.items()):
         return None
     return out
 
@@ -209,31 +277,21 @@ def _consistent(filling: dict, by_window: dict) -> tuple[int, int]:
     return len(good), len(other)
 
 
-def _matches(t: Templates, hits_at: list[tuple[int, int]], index: dict, width: int) -> Iterator[tuple]:
-    """(item, windows found, windows of the item, windows with other slot values) of one document."""
-    hits: dict = defaultdict(list)
-    for h, i in hits_at:
-        own, words = t.words(i, i + width)
-        for item, k, n, tpl, plain in index[h]:
-            if own == tpl:  # the words themselves, not their hash alone
-                slots = _slots(tpl, plain, words)
-                if slots is not None:
-                    hits[(item, n)].append((i, k, slots))
-    for (item, n), rows in hits.items():
-        by_window: dict = defaultdict(lambda: defaultdict(int))
-        for _, k, slots in sorted(rows, key=lambda r: r[1]):
-            names = tuple(sorted(slots))
-            by_window[k, names][tuple(slots[s] for s in names)] += 1
-        every = len({k for k, _ in by_window})
-        good = other = 0
-        for filling in _fillings(rows):
-            found, changed = _consistent(filling, by_window)
-            if (found, -changed) > (good, -other):
-                good, other = found, changed
-            if good == every and not other:
-                break
-        if good:
-            yield item, good, n, other
+def _best(rows: list[tuple[int, int, dict]]) -> tuple[int, int]:
+    """Windows of an item found in a document by the best filling, and how many of them with other values."""
+    by_window: dict = defaultdict(lambda: defaultdict(int))
+    for _, k, slots in sorted(rows, key=lambda r: r[1]):
+        names = tuple(sorted(slots))
+        by_window[k, names][tuple(slots[s] for s in names)] += 1
+    every = len({k for k, _ in by_window})
+    good = other = 0
+    for filling in _fillings(rows):
+        found, changed = _consistent(filling, by_window)
+        if (found, -changed) > (good, -other):
+            good, other = found, changed
+        if good == every and not other:
+            break
+    return good, other
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -241,46 +299,41 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     doc_id, item_id, n_found, n_windows, n_reparameterised.
     """
-    spark = documents.sparkSession
-    parts = benchmark_windows(benchmark, width)
-    n = parts.count()
-    turns = max(1, -(-n // WINDOWS_AT_ONCE))
+    table = stored(benchmark_windows(benchmark, width), "benchmark-windows")
+    sizes = {r["width"]: r["count"] for r in table.groupBy("width").count().collect()}  # at most `width` rows
+    bits, bitmap = _bitmap(table, sum(sizes.values()))
+    found = stored(candidates(documents, bits, bitmap, sorted(sizes)), "window-candidates")
+    items = table.select("item_id", "version", "window", "at", "n_windows", "template", F.col("plain").alias("values"))
+    met = checked_join(found, items, ["window", "template"]).select("uid", "item_id", "version", "at", "place", "doc_id", "n_windows", "template", "values", "plain")
+    met = met.repartition("uid", "item_id", "version").sortWithinPartitions("uid", "item_id", "version", "at", "place")
+    item_arrow, doc_arrow = to_arrow_type(met.schema["item_id"].dataType), to_arrow_type(met.schema["doc_id"].dataType)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            kinds = [doc_arrow, item_arrow, pa.int32(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_found", "n_windows", "n_reparameterised"])
+
+        for (_, item, _), group in itertools.groupby(rows, key=lambda r: r[:3]):
+            hits = []
+            for r in group:
+                slots = _slots(r[7], r[8], r[9])
+                if slots is not None:
+                    hits.append((r[4], r[3], slots))
+            doc, n = r[5], r[6]
+            good, other = _best(hits)
+            if good and good >= share * n:
+                out.append((doc, item, good, n, other))
+            if len(out) >= 10_000:
+                yield batch()
+        yield batch()
+
     kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
-    out = None
-    for turn in range(turns):
-        # items are dealt to turns by a hash, so that each turn sends a bounded table
-        own = parts.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn) if turns > 1 else parts
-        index: dict = defaultdict(list)
-        for r in own.toLocalIterator():
-            index[r["window"]].append((r["item_id"], r["at"], r["n_windows"], r["template"], r["plain"]))
-        keys = np.sort(np.array(list(index), np.int64).view(np.uint64))
-        widths = sorted({len(v[0][3]) for v in index.values()})
-        sent = spark.sparkContext.broadcast((keys, widths, dict(index)))  # at most WINDOWS_AT_ONCE windows and an item's
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            keys, widths, index = sent.value
-            for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                for begin, _, data, off in chunks(batch.column(1)):
-                    t = Templates(data, off)
-                    for k in widths:
-                        h = windows(t.code, k)
-                        place = np.flatnonzero(_among(h, keys))
-                        row = np.searchsorted(t.at, place, "right") - 1
-                        inside = place + k <= t.at[row + 1]
-                        by_doc: dict = defaultdict(list)
-                        for r, i, x in zip(row[inside].tolist(), place[inside].tolist(), h[place[inside]].view(np.int64).tolist(), strict=True):
-                            by_doc[r].append((x, i))
-                        for r, hits in by_doc.items():
-                            rows += [(ids[begin + r], *m) for m in _matches(t, hits, index, k) if m[1] >= share * m[2]]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [batch.schema.types[0], item_arrow, pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_found", "n_windows", "n_reparameterised"])
-
-        part = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_found int, n_windows int, n_reparameterised int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return met.mapInArrow(decide, f"doc_id {kind}, item_id {item_kind}, n_found int, n_windows int, n_reparameterised int")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

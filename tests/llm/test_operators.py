@@ -468,3 +468,74 @@ def test_contamination_by_several_occurrences(spark):
     assert all(got[100 + i, 1][:2] == (whole, whole) for i in range(20))
     assert got[200, 2] == (5, 5, 0) and (201, 2) not in got
     assert got[202, 1] == (whole - 7, whole, 0)
+
+
+STORIES = """{A} sold clips to {n} of her friends in {m}. Then {A} sold half as many clips to {B} in {m} and kept {k} of them. How many clips did {A} sell altogether?
+Every day, {A} feeds each of {n} chickens {k} cups of feed. {B} gives the chickens {j} cups in the morning. How many cups does {A} need for the last meal of the day?
+{A} drove {n} miles on Monday and {k} miles on Tuesday. On Wednesday {B} drove twice as far as {A} did on both days. How far did {B} drive in all, if the car used {j} gallons?
+A shop of {A} sells {n} red apples for {k} dollars each. {B} buys {j} of these apples and pays with one note. What change does {B} get from {A} at the till?
+{A} and {B} share a garden of {n} square metres. {A} plants roses on {k} metres of it, and {B} plants tulips on {j} metres. Which part of the garden is left for {A} to plant?""".split("\n")
+NAMES = "Natalia Roberta Wendi Mark Olga Pedro Ingrid Tobias Farah Kenji Lucia Marek Nadia Oscar Petra Quentin Rosa Stefan Tamara Ulrich".split()
+
+
+def told(rng, story):
+    a, b = rng.sample(NAMES, 2)
+    n, k, j = rng.sample(range(2, 99), 3)
+    return story.format(A=a, B=b, n=n, k=k, j=j, m=rng.choice(["April", "May", "June"]))
+
+
+def test_reparameterised_questions_are_found_and_clean_texts_are_not(spark):
+    rng = random.Random(15)
+    items = [(i, told(rng, STORIES[i % 5])) for i in range(5)]
+    filler = lambda: " ".join(rng.choice("Many people in the village said that Anna walked to the market with her dog and 12 eggs".split()) for _ in range(60))
+    rows = [(i, f"{filler()}. {told(rng, STORIES[i % 5])} {filler()}.") for i in range(50)]
+    rows += [(100 + i, items[i][1].lower()) for i in range(5)] + [(200 + i, items[i][1].upper()) for i in range(5)]
+    clean = [(1000 + i, f"{filler()}. {filler()}.") for i in range(50)]
+    clean += [(2000 + i, " ".join(rng.sample(told(rng, STORIES[i % 5]).split(), 25))) for i in range(20)]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.contamination(table(spark, rows + clean), bench).collect()]
+    assert len(got) == len(set(got))
+    assert sum((d, d % 5) in got for d, _ in rows[:50]) >= 45
+    assert all((d, d % 100) in got for d, _ in rows[50:])
+    assert all(d < 1000 and (d < 100 or d % 100 == i) for d, i in got)
+
+
+def windows_by_hand(text, width):
+    """Template windows of a text, in both forms, spelled out word by word."""
+    import re
+
+    words = re.findall(r"[0-9A-Za-z\u00c0-\u00ff]+", text)
+    forms = []
+    for names in (False, True):
+        out = []
+        for i, w in enumerate(words):
+            number = any(c.isdigit() for c in w) or w.lower() in decontamination.NUMBERS
+            before = i and (any(c.isdigit() for c in words[i - 1]) or words[i - 1].lower() in decontamination.NUMBERS)
+            unit = not number and before and w.lower() in decontamination.UNITS
+            name = len(w) > 1 and w[0].isupper() and not w.isupper()
+            out.append("<n>" if number else "<u>" if unit else "<name>" if names and name else w.lower())
+        forms.append(out)
+    k = min(width, len(words))
+    rows = []
+    for i in range(len(words) - k + 1):
+        for f in forms[: 1 + (forms[0][i : i + k] != forms[1][i : i + k])]:
+            rows.append((i, " ".join(f[i : i + k]), " ".join(words[i : i + k]).lower()))
+    return rows
+
+
+def test_benchmark_windows_by_hand(spark):
+    rng = random.Random(16)
+    texts = [told(rng, s) for s in STORIES] + ["Été à Paris: 5 km in two hours, IBM paid 3 euros", "one", "Anna", "", None]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").withColumn("window", F.lit("clash"))
+    got = sorted((r["item_id"], r["at"], r["template"], r["plain"]) for r in decontamination.benchmark_windows(bench).collect())
+    assert got == sorted((i, *r) for i, t in enumerate(texts) if t for r in windows_by_hand(t, decontamination.WIDTH))
+
+
+def test_contamination_of_long_and_repeated_rows(spark):
+    rng = random.Random(17)
+    item = told(rng, STORIES[0])
+    long = ("word " * 60_000) + item + (" other" * 60_000)
+    rows = [(1, long), (1, long), (None, item), (2, (item + " ") * 300)]
+    bench = spark.createDataFrame([(1, item), (1, told(rng, STORIES[1])), (None, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["item_id"] or 0) for r in decontamination.contamination(table(spark, rows), bench).collect()))
+    assert got == [(0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1), (2, 0), (2, 1)]
