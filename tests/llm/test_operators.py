@@ -539,3 +539,56 @@ def test_contamination_of_long_and_repeated_rows(spark):
     bench = spark.createDataFrame([(1, item), (1, told(rng, STORIES[1])), (None, item)], "item_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["item_id"] or 0) for r in decontamination.contamination(table(spark, rows), bench).collect()))
     assert got == [(0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1), (2, 0), (2, 1)]
+
+
+def made_pages(rng, host, n, layout, say):
+    """Pages of one layout around articles of known text: (url, html, truth)."""
+    out = []
+    for i in range(n):
+        blocks = [say(rng.randint(4, 40)) for _ in range(rng.randint(1, 6))]
+        title = say(5)
+        paragraphs = "".join(f"<p>{b}</p>" if k % 3 else f"<p>{b.replace(' ', ' <b>', 1)}</b>" for k, b in enumerate(blocks))
+        out.append((f"https://{host}/{layout}/{i}", LAYOUTS[layout].format(title=title, text=paragraphs, n=i, other=say(8), name=say(1)), " ".join([title, *blocks])))
+    return out
+
+
+LAYOUTS = {
+    "sidebar": '<body class="home has-sidebar"><div id="page"><div class="layout with-sidebar"><article class="post comments-open"><h1>{title}</h1>{text}<section class="comments"><h2>2 comments</h2>'
+    "<p>{other} thanks</p></section></article><div class='sidebar'><p>{other}</p></div></div></div><footer>(c) {n}</footer>",
+    "main": '<body><header><h2>Site</h2></header><main class="main no-sidebar"><header><h1>{title}</h1><p>by {name}</p></header>{text}<form><label>Your mail</label><input></form></main><nav><a href=x>{other}</a></nav>',
+    "plain": "<body><div class=top><a href=/>Home</a> <a href=/a>About</a></div><div class=c1><h1>{title}</h1>{text}<p>Read more of our stories every week in the paper.</p></div>"
+    "<div class='cookie-notice'>We use cookies {n}</div>",
+    "form": "<body><form id=aspnetForm><div class=holder><h1>{title}</h1>{text}<ul><li><a href=1>{other}</a><li><a href=2>{name} more</a><li><a href=3>{other} again</a></ul></div><div id=search><select><option>x</select></div></form>",
+    "table": "<body><table><tr><td class=menu><a href=1>{other}</a></td><td><h1>{title}</h1>{text}</td></tr></table>",
+}
+
+
+def test_html_against_pages_made_around_known_articles(spark):
+    rng = random.Random(18)
+    vocab = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ana", "olo", "ibe", "upu", "eri", "é")]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    made = [p for layout in LAYOUTS for p in made_pages(rng, f"{layout}.example", 25, layout, say)]
+    made += made_pages(rng, "both.example", 20, "sidebar", say) + made_pages(rng, "both.example", 20, "plain", say)  # two layouts of a host
+    made += made_pages(rng, "copies.example", 1, "plain", say) * 10  # copies of a page are no template
+    made += made_pages(rng, "one.example", 1, "sidebar", say)
+    long = " ".join(["long"] * 100_000)
+    made.append(("https://sidebar.example/long", LAYOUTS["sidebar"].format(title="T", text=f"<p>{long}", n=1, other="o", name="n"), f"T {long}"))
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(made)], "page_id long, url string, html string").withColumns({"layout": F.lit(1), "key": F.lit("clash"), "rules": F.lit("x")})
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df.repartition(3)).collect()}
+    assert len(got) == len(made)
+    wrong = [(made[i][0], got[i], t) for i, (_, _, t) in enumerate(made) if got[i] != t and "copies" not in made[i][0]]
+    assert not wrong, wrong[:3]
+    assert all(got[i].startswith(t) for i, (u, _, t) in enumerate(made) if "copies" in u)
+
+
+def test_class_words_of_layout_are_no_noise():
+    for word in "has-sidebar no-sidebar comments-open with-header category-social related-work entry-header with_widgets navOpen".split():
+        assert not html_text.noise_word(word), word
+    for word in "ad ads sidebar cookie-notice adBanner widget2 site-header comment-list social_share main-nav".split():
+        assert html_text.noise_word(word), word
+
+
+def test_template_texts_count_articles_not_copies():
+    own = [[f"text {i} of this article runs on", "Shared line."] for i in range(6)]
+    assert html_text.template_texts(own) == ["Shared line."]
+    assert html_text.template_texts([own[0]] * 9 + own[:2]) == []
