@@ -2,42 +2,51 @@
 
 A document's set is its distinct 5-word shingles.  Two documents link if
 ``|A & B| / |A | B| >= 0.75``; the join returns each document's component of
-links without ever writing out all pairs of a group.
+links and its number of links without ever writing out all pairs of a group.
 
-1.  Equal sets are one class, found by their digest; only the class's first
-    document goes on.
+1.  Every text is read once: its set is written as 64-bit hashes, 8 bytes a
+    shingle, and everything after works on those.  Equal sets are one class,
+    found by their digest; only the class's first row goes on, by a row number
+    (a doc_id may stand for several texts).
 2.  All shingles of all documents are counted in buckets; shingles get a global
     order, rare before frequent.  A set's index entries are its first
     ``n - ceil(0.75 n) + 1`` shingles in that order.
-3.  Index skipping: an entry (shingle, document, size, position) can only link
-    with entries for which the sizes and what is left after both positions
-    still allow the overlap.  Lists are cut into blocks (shingle, leader) with
-    bounds of size and rest, and blocks whose bounds cannot meet are skipped
-    without looking at their entries.
-4.  Answer skipping: first every list's entries are verified against the list's
-    first document alone.  Documents so linked have it as their leader, whose
-    answers theirs are derived from: leaders are compared with leaders, and a
-    document is compared with another leader's only if the leaders' overlap
-    plus what both differ from their leaders can reach the threshold, and only
-    while the two are not connected anyway.
-
-Every link between unconnected documents is decided on the whole sets, so the
-components are exact up to collisions of 64-bit shingle hashes.
+3.  First every list's entries are compared with the list's first document
+    alone.  A document so linked has it as its leader and is from then on the
+    leader's set with a few shingles taken out and a few put in.
+4.  Index skipping: a list is cut into blocks of one leader and one size band,
+    with bounds of size and of what is left after the position.  Only blocks of
+    the same or the next band meet, at least one of which is within the first
+    seventh of its sets; other blocks are passed over unread.
+5.  Answer skipping: the links of a leader's followers are derived from their
+    differences to it (``|S| - |R + R'| + |A & A'|`` for sets taken out and put in),
+    and those with another leader's followers only if the leaders' overlap plus
+    what both put in can reach the threshold.  Followers are packed in chunks of
+    bounded size; two chunks whose bounds already decide are not compared, others
+    are compared by one matrix product.
+
+Every link is decided on the whole sets, so links and components are exact up
+to collisions of 64-bit shingle hashes.  Lists, leaders and clusters may hold any share
+of the rows: frequent shingles and leaders are salted by their number of rows.
 
 Nulls: a null text, or one without a word, has an empty set and links with
-nothing.  Fewer than five words: the whole sequence is the one shingle.
-Repeated rows get the same component; a row without doc_id takes the component
-of its class.  An empty table gives an empty result; other columns are ignored.
+nothing.  Fewer than five words: the whole sequence is the one shingle.  Very
+long texts have as many shingles as words; one task holds a few sets at a time.
+Repeated rows get the same component; a row without doc_id is linked like any
+other, and a component of such rows alone has no id.  Rows that share a doc_id
+are linked each by its own text.  An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +61,10 @@ NUM, DEN = 3, 4
 LEAST_LEVEL, FREQUENT = 3, 1_000_000
 #: Values that a task holds before it passes them on.
 HELD = 1 << 18
+#: Rows of one shingle or leader that go to one task before they are salted; followers of a chunk, and shingles of them all.
+ROWS_A_SALT, CHUNK, CELLS = 1 << 13, 1 << 11, 1 << 21
+#: Shingles by which two chunks are compared at once.
+SLICE = 1 << 11
 _BUCKET_BITS = 28
 #: Documents for each file of a table with about a row a document, and for each task that reads sets.
 ROWS_A_FILE, ROWS_A_TASK = 50_000, 4_000
@@ -70,13 +83,49 @@ def _buckets(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - 12 - _BUCKET_BITS)
 
 
-def set_table(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, d1, d2) of every row, and the packed counts of all shingles' buckets by range."""
-    bits = _range_bits(documents.sparkSession)
-    names = ["doc_id", "n", "d1", "d2", "range", "packed"]
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+
+
+def set_table(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(uid, doc_id, n, d1, d2, set) of every row: a row number, the set's size and digest, and its sorted hashes."""
+    names = ["uid", "doc_id", "n", "d1", "d2", "set"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            n, d1, d2, held, first, size = [], [], [], [], 0, 0
+
+            def rows(end: int) -> pa.RecordBatch:
+                ids = np.arange(uid + first, uid + end)
+                return pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(held, pa.binary())], names)
+
+            for k, s in enumerate(shingle_sets(batch.column(1), width)):
+                data = s.tobytes()
+                digest = np.frombuffer(xxhash.xxh3_128_digest(data), np.int64)
+                n.append(len(s))
+                d1.append(int(digest[0]))
+                d2.append(int(digest[1]))
+                held.append(data)
+                size += len(s)
+                if size >= HELD:
+                    yield rows(k + 1)
+                    n, d1, d2, held, first, size = [], [], [], [], k + 1, 0
+            if held:
+                yield rows(len(batch))
+            uid += len(batch)
+
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(documents.mapInArrow(run, "uid long, doc_id long, n long, d1 long, d2 long, set binary"), "sets")
+
+
+def bucket_counts(sets: DataFrame) -> DataFrame:
+    """The packed counts of all shingles' buckets by range."""
+    bits = _range_bits(sets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def counts() -> pa.RecordBatch:
             v, c = np.unique(_buckets(np.concatenate(held)), return_counts=True)
@@ -87,33 +136,19 @@ def set_table(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(v)], strict=True):
                 gaps = np.diff(v[a:b], prepend=v[a]).astype("<u4")
                 out.append((int(where[a]), int(v[a]).to_bytes(8, "little") + _packed(gaps, np.minimum(c[a:b], 1 << 30).astype("<u4"))))
-            none = pa.nulls(len(out), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["range", "packed"])
 
-        size = 0
         for batch in batches:
-            n, d1, d2 = [], [], []
-            for s in shingle_sets(batch.column(1), width):
-                n.append(len(s))
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                d1.append(int(digest[0]))
-                d2.append(int(digest[1]))
-                if len(s):
-                    held.append(s)
-                    size += len(s)
+            for s in _sets(batch.column(0)):
+                held.append(s)
+                size += len(s)
                 if size >= HELD:
                     yield counts()
                     size = 0
-            k = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
-            )
-        if held:
+        if size:
             yield counts()
 
-    shape = "doc_id long, n long, d1 long, d2 long, range int, packed binary"
-    both = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape), "sets")
-    return both.where("range IS NULL").select("doc_id", "n", "d1", "d2"), both.where("range IS NOT NULL").select("range", "packed")
+    return sets.select("set").mapInArrow(run, "range int, packed binary")
 
 
 def frequent_shingles(counts: DataFrame, files: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,26 +194,68 @@ def frequent_shingles(counts: DataFrame, files: int) -> tuple[np.ndarray, np.nda
     return v[order], level[order]
 
 
-def entries(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], files: int, width: int = WIDTH) -> DataFrame:
-    """Index entries (token, doc, n, pos) of shingles that at least two documents have among theirs.
+def entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], files: int) -> DataFrame:
+    """Index entries (token, doc, n, pos, salts) of shingles that at least two sets have among theirs.
 
     Entries of rare shingles travel packed and are met by range (their lists are
     short); those of frequent shingles go out as rows, so that no task gathers a
-    long list.
+    long list.  ``salts``: over how many keys a list is to be dealt in a join.
     """
-    spark = documents.sparkSession
+    spark = sets.sparkSession
     bits = _range_bits(spark)
     sent = spark.sparkContext.broadcast(frequent)  # FREQUENT buckets at most
-    names = ["token", "doc", "n", "pos", "range", "packed"]
+    shape = "token long, doc long, n int, pos int, salts int"
+    names = [x.split()[0] for x in shape.split(", ")]
+    most = ROWS_A_SALT.bit_length() - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc, n, rare shingles, frequent ones in their order, their levels) of each set, cut to its prefix."""
         table, levels = sent.value
+        for batch in batches:
+            for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1)), strict=True):
+                n = len(s)
+                p = n - (NUM * n + DEN - 1) // DEN + 1
+                level = np.zeros(n, np.int8)
+                if len(table):
+                    b = _buckets(s)
+                    at = np.searchsorted(table, b)
+                    at[at == len(table)] = 0
+                    level = np.where(table[at] == b, levels[at], level)
+                rare, common, own = s[level == 0][:p], s[level > 0], level[level > 0]
+                order = np.argsort(own, kind="stable")[: p - len(rare)]
+                yield doc, n, rare, common[order], own[order]
+
+    def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            docs, sizes, firsts, tokens, own = zip(*held, strict=True)
+            held.clear()
+            length = [len(t) for t in tokens]
+            pos = np.concatenate([f + np.arange(k) for f, k in zip(firsts, length, strict=True)])
+            salts = 1 << np.maximum(np.concatenate(own).astype(np.int32) - most, 0)
+            cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(docs, np.int64), length), np.repeat(np.array(sizes, np.int32), length), pos.astype(np.int32), salts.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+        size = 0
+        for doc, n, rare, common, own in split(batches):
+            if len(common):
+                held.append((doc, n, len(rare), common, own))
+                size += len(common)
+            if size >= HELD:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    def rare_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int, int]] = []
 
         def packed() -> pa.RecordBatch:
             token = np.concatenate([h[0] for h in held])
             length = [len(h[0]) for h in held]
-            doc = np.repeat(np.array([h[1] for h in held], np.int64), length)
+            base = held[0][1]
+            doc = np.repeat(np.array([h[1] - base for h in held], np.int64), length)  # rows of one file of sets: near each other
             n = np.repeat(np.array([h[2] for h in held], np.int32), length)
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
             held.clear()
@@ -187,74 +264,41 @@ def entries(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], files
             where = (token >> np.uint64(64 - bits)).astype(np.int64)
             low = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
             cut = np.flatnonzero(np.diff(where)) + 1
-            out = [(int(where[a]), _packed(low[a:b], n[a:b], pos[a:b], doc[a:b])) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True)]
-            none, few = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int32())
-            return pa.RecordBatch.from_arrays([none, none, few, few, pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names)
+            out = [(int(where[a]), base, _packed(low[a:b], n[a:b], pos[a:b], doc[a:b].astype("<i8"))) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["range", "base", "packed"])
 
         size = 0
-        for batch in batches:
-            rows: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
-                n = len(s)
-                if not n or doc is None:
-                    continue
-                p = n - (NUM * n + DEN - 1) // DEN + 1
-                if len(table):
-                    b = _buckets(s)
-                    at = np.searchsorted(table, b)
-                    at[at == len(table)] = 0
-                    level = np.where(table[at] == b, levels[at], 0)
-                else:
-                    level = np.zeros(n, np.int8)
-                rare = s[level == 0]
-                if len(rare):
-                    held.append((rare[:p], doc, n))
-                    size += min(p, len(rare))
-                if len(rare) < p:
-                    common, own = s[level > 0], level[level > 0]
-                    order = np.argsort(own, kind="stable")[: p - len(rare)]
-                    rows.append((common[order], len(rare) + np.arange(len(order)), doc, n))
-                if size >= HELD:
-                    yield packed()
-                    size = 0
-            if rows:
-                token = np.concatenate([r[0] for r in rows]).view(np.int64)
-                length = [len(r[0]) for r in rows]
-                none = pa.nulls(len(token), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(token),
-                        pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), length)),
-                        pa.array(np.repeat(np.array([r[3] for r in rows], np.int32), length)),
-                        pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)),
-                        none,
-                        pa.nulls(len(token), pa.binary()),
-                    ],
-                    names,
-                )
+        for doc, n, rare, _, _ in split(batches):
+            if len(rare):
+                held.append((rare, doc, n))
+                size += len(rare)
+            if size >= HELD:
+                yield packed()
+                size = 0
         if held:
             yield packed()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for x in table["packed"].to_pylist():
+        for base, x in zip(table["base"].to_pylist(), table["packed"].to_pylist(), strict=True):
             raw = zlib.decompress(x)
             k = len(raw) // 20
             for i, (a, kind) in enumerate(((0, "<u4"), (4, "<i4"), (8, "<i4"), (12, "<i8"))):
-                cols[i].append(np.frombuffer(raw, kind, k, a * k))
+                got = np.frombuffer(raw, kind, k, a * k)
+                cols[i].append(got + base if i == 3 else got)
         token, n, pos, doc = (np.concatenate(c) for c in cols)
         order = np.argsort(token, kind="stable")
         token, n, pos, doc = token[order], n[order], pos[order], doc[order]
         same = token[1:] == token[:-1]
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         full = (np.int64(key[0].as_py()) << np.int64(32)) | token[shared].astype(np.int64)
-        return pa.table([pa.array(full), pa.array(doc[shared]), pa.array(n[shared]), pa.array(pos[shared])], names[:4])
+        one = np.ones(int(shared.sum()), np.int32)
+        return pa.table([pa.array(full), pa.array(doc[shared]), pa.array(n[shared]), pa.array(pos[shared]), pa.array(one)], names)
 
-    shape = "token long, doc long, n int, pos int"
-    both = stored(documents.select("doc_id", "text").mapInArrow(run, f"{shape}, range int, packed binary"), "entries")
-    rare = both.where("range IS NOT NULL").select("range", "packed").groupBy("range").applyInArrow(meet, shape)
+    sets = sets.select("uid", "set")
+    rare = sets.mapInArrow(rare_packed, "range int, base long, packed binary").groupBy("range").applyInArrow(meet, shape)
     rare = stored(rare, "rare-entries", files)
-    return both.where("range IS NULL").select("token", "doc", "n", "pos").unionByName(rare)
+    return stored(sets.mapInArrow(frequent_rows, shape), "frequent-entries", files).unionByName(rare)
 
 
 def _fits(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
@@ -262,114 +306,309 @@ def _fits(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
     return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * F.least(ra, rb) >= NUM * (na + nb))
 
 
-def verified(pairs: DataFrame, documents: DataFrame, files: int, width: int = WIDTH) -> DataFrame:
-    """(a, b, na, nb, inter) of each pair, counted on the whole sets."""
-    left = checked_join(documents.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), pairs, "a")
-    ends = pairs.select("b").distinct()
-    right = checked_join(documents.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ends, "b", "left_semi")
+def _salted(small: DataFrame, salts: str) -> DataFrame:
+    """Each row once for each of its ``salts`` (a column), numbered in ``salt``."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
+
+
+def _salt(of: str, salts: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.col(salts).cast("long")).cast("int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, files: int, differences: bool = False) -> DataFrame:
+    """(a, b, na, nb, inter, diff) of each pair, counted on the whole sets; ``diff``: a linked pair's a as b changed."""
+    times = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_SALT).cast("int").alias("salts"))
+    times = stored(times, "ends", files)
+    pairs = checked_join(pairs, times, "b")
+    left = checked_join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), pairs, "a").withColumn("salt", _salt("a", "salts"))
+    right = _salted(checked_join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), times, "b"), "salts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = batch.column(0).to_pylist()
-            change = [i for i in range(len(b)) if i == 0 or b[i] != b[i - 1]]
-            own = dict(zip(change, shingle_sets(batch.column(3).take(pa.array(change, pa.int64())), width), strict=True))
-            na, nb, inter, kept = [], [], [], np.zeros(0, np.uint64)
-            for i, s in enumerate(shingle_sets(batch.column(2), width)):
-                kept = own.get(i, kept)
+            na, nb, inter, diff = [], [], [], []
+            other = batch.column(3)
+            kept = np.zeros(0, np.uint64)
+            for i, s in enumerate(_sets(batch.column(2))):
+                if i == 0 or b[i] != b[i - 1]:
+                    kept = np.frombuffer(other[i].as_py(), "<u8")
                 at = np.searchsorted(kept, s)
                 at[at == len(kept)] = 0
+                same = kept[at] == s
+                k = int(same.sum())
                 na.append(len(s))
                 nb.append(len(kept))
-                inter.append(int((kept[at] == s).sum()) if len(kept) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *(pa.array(x, pa.int64()) for x in (na, nb, inter))], ["a", "b", "na", "nb", "inter"])
+                inter.append(k)
+                if differences and (NUM + DEN) * k >= NUM * (len(s) + len(kept)):
+                    out = np.ones(len(kept), bool)
+                    out[at[same]] = False
+                    out = np.flatnonzero(out).astype("<u4")
+                    diff.append(len(out).to_bytes(4, "little") + out.tobytes() + s[~same].tobytes())
+                else:
+                    diff.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *(pa.array(x, pa.int64()) for x in (na, nb, inter)), pa.array(diff, pa.binary())], ["a", "b", "na", "nb", "inter", "diff"])
 
-    joined = left.join(right, "b").select("b", "a", "text_a", "text_b").coalesce(files)
-    return stored(joined.mapInArrow(run, "a long, b long, na long, nb long, inter long"), "verified")
+    joined = left.join(right.drop("salts"), ["b", "salt"]).select("b", "a", "set_a", "set_b").coalesce(files)
+    return stored(joined.mapInArrow(run, "a long, b long, na long, nb long, inter long, diff binary"), "verified")
 
 
 _LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 
 
+class Chunk:
+    """Some followers of a leader: documents, sizes, and what each takes out of the leader's set and puts in."""
+
+    def __init__(self, docs: list[int], sizes: list[int], diffs: list[bytes | None]):
+        self.docs, self.sizes = np.array(docs, np.int64), np.array(sizes, np.int64)
+        gone, come = [], []
+        for d in diffs:
+            k = int.from_bytes(d[:4], "little") if d else 0
+            gone.append(np.frombuffer(d, "<u4", k, 4) if d else np.zeros(0, "<u4"))
+            come.append(np.frombuffer(d, "<u8", offset=4 + 4 * k) if d else np.zeros(0, "<u8"))
+        self.out_n, self.in_n = np.array([len(x) for x in gone], np.int64), np.array([len(x) for x in come], np.int64)
+        self.out, self.come = np.concatenate(gone).astype(np.uint64), np.concatenate(come).astype(np.uint64)
+
+    def taken_out(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(self.docs)), self.out_n), self.out
+
+    def put_in(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(self.docs)), self.in_n), self.come
+
+    def whole(self, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and shingles of the whole sets."""
+        m, n = len(self.docs), len(leader)
+        kept = np.ones((m, n), bool)
+        row, at = self.taken_out()
+        kept[row, at.astype(np.int64)] = False
+        rows, cols = np.nonzero(kept)
+        row, come = self.put_in()
+        return np.concatenate([rows, row]), np.concatenate([leader[cols], come])
+
+
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], m: int, k: int) -> np.ndarray:
+    """How many keys each row of x shares with each row of y: matrix products over slices of the keys that both have."""
+    keys = np.intersect1d(x[1], y[1])
+    total = np.zeros((m, k), np.float32)
+    for a in range(0, len(keys), SLICE):
+        part = keys[a : a + SLICE]
+        dense = []
+        for (row, key), n in ((x, m), (y, k)):
+            at = np.searchsorted(part, key)
+            at[at == len(part)] = 0
+            hit = part[at] == key
+            d = np.zeros((n, len(part)), np.float32)
+            d[row[hit], at[hit]] = 1
+            dense.append(d)
+        total += dense[0] @ dense[1].T
+    return total.astype(np.int64)
+
+
+def links_between(x: Chunk, y: Chunk, own: np.ndarray | int, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of links of x's documents with y's, and the other way round.
+
+    ``other`` None: both follow one leader, whose set has ``own`` shingles; the
+    overlaps are derived from the differences.  Else the leaders' sets.
+    """
+    m, k = len(x.docs), len(y.docs)
+    need = NUM * (x.sizes[:, None] + y.sizes[None, :])
+    if other is None:
+        least = own - x.out_n.max() - y.out_n.max()
+        most = own - max(x.out_n.min(), y.out_n.min()) + min(x.in_n.max(), y.in_n.max())
+        if (NUM + DEN) * least >= NUM * (x.sizes.max() + y.sizes.max()):
+            linked = np.ones((m, k), bool)
+        elif (NUM + DEN) * most < NUM * (x.sizes.min() + y.sizes.min()):
+            linked = np.zeros((m, k), bool)
+        else:
+            inter = own - x.out_n[:, None] - y.out_n[None, :] + _common(x.taken_out(), y.taken_out(), m, k) + _common(x.put_in(), y.put_in(), m, k)
+            linked = (NUM + DEN) * inter >= need
+        if x is y:
+            np.fill_diagonal(linked, False)
+    else:
+        linked = (NUM + DEN) * _common(x.whole(own), y.whole(other), m, k) >= need
+    return linked.sum(1), linked.sum(0)
+
+
+def _counted(docs: np.ndarray, links: np.ndarray, a: int | None = None, b: int | None = None) -> list[tuple]:
+    """Rows (doc, links, a, b): a document's links, or that two leaders' followers link."""
+    rows = [(int(d), int(n), None, None) for d, n in zip(docs, links, strict=True) if n]
+    return rows + ([(None, None, a, b)] if a is not None and rows else [])
+
+
+_COUNTED = "doc long, links long, a long, b long"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "links", "a", "b"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of sorted batches by their first two columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[-1][:2] != r[:2]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _gathered(groups: Callable[[list[tuple]], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in _groups(batches):
+            out += groups(group)
+            if len(out) >= HELD:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    return run
+
+
+def cluster_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """Links of all followers, as rows of ``_COUNTED``.
+
+    ``members``: leader, doc, n, size (of the leader's set), diff, m (followers of
+    the leader).  ``pairs``: leaders a and b whose followers may link.
+    """
+    number = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("m") * F.col("size") / CELLS)).cast("int")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc"), number.cast("long")).cast("int"))
+    members = stored(members.select("leader", "chunk", "doc", "n", "size", "diff", "m"), "followers", files)
+
+    def inside(group: list[tuple]) -> list[tuple]:
+        if len(group) < 2:
+            return []
+        x = Chunk([r[2] for r in group], [r[3] for r in group], [r[5] for r in group])
+        return _counted(x.docs, links_between(x, x, group[0][4], None)[0])
+
+    whole = members.where("m > 1").drop("m").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk")
+    found = whole.mapInArrow(_gathered(inside), _COUNTED)
+
+    # chunks against other chunks: of one large cluster, or of two whose leaders are near enough
+    sizes = members.groupBy("leader").agg(F.max("chunk").alias("last"), F.max("size").alias("size"))
+    sizes = stored(sizes, "clusters", files)
+    large = sizes.where("last > 0").select(F.col("leader").alias("a"), F.col("leader").alias("b"))
+    tasks = pairs.select("a", "b").unionByName(large)
+    for end in ("a", "b"):
+        tasks = checked_join(tasks, sizes.select(F.col("leader").alias(end), F.col("last").alias(f"last_{end}"), F.col("size").alias(f"size_{end}")), end)
+        tasks = tasks.withColumn(f"i_{end}", F.explode(F.sequence(F.lit(0), F.col(f"last_{end}"))))
+    tasks = stored(tasks.where("a <> b OR i_a < i_b").select("a", "i_a", "b", "i_b", F.col("size_a").alias("size")), "chunk-pairs", files)
+    if not tasks.limit(1).count():
+        return stored(found, "links", files)
+    needed = tasks.select(F.col("a").alias("leader"), F.col("i_a").alias("chunk")).union(tasks.select("b", "i_b")).distinct()
+    packed = checked_join(members, stored(needed, "needed-chunks", files), ["leader", "chunk"], "left_semi")
+    packed = packed.groupBy("leader", "chunk").agg(F.collect_list(F.struct("doc", "n", "diff")).alias("rows"))  # about CHUNK rows
+    packed = stored(packed, "chunks", files)
+    crossed = tasks.where("a <> b")
+    ends = stored(crossed.select(F.col("a").alias("uid")).union(crossed.select("b")).distinct(), "crossed-leaders", files)
+    leaders = stored(checked_join(sets.select("uid", "set"), ends, "uid", "left_semi"), "leader-sets", files)
+    joined = tasks
+    for end in ("a", "b"):
+        joined = joined.join(packed.select(F.col("leader").alias(end), F.col("chunk").alias(f"i_{end}"), F.col("rows").alias(f"rows_{end}")), [end, f"i_{end}"])
+        joined = joined.join(leaders.select(F.col("uid").alias(end), F.col("set").alias(f"set_{end}")), end, "left")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunk(value: pa.Scalar) -> Chunk:
+            got = value.as_py()
+            return Chunk([r["doc"] for r in got], [r["n"] for r in got], [r["diff"] for r in got])
+
+        for batch in batches:
+            out: list[tuple] = []
+            a, b, size, ra, rb, sa, sb = batch.columns
+            for i in range(len(batch)):
+                x, y, one = chunk(ra[i]), chunk(rb[i]), a[i].as_py() == b[i].as_py()
+                sets = (size[i].as_py(), None) if one else (np.frombuffer(sa[i].as_py(), "<u8"), np.frombuffer(sb[i].as_py(), "<u8"))
+                cx, cy = links_between(x, y, *sets)
+                out += _counted(x.docs, cx, *(() if one else (a[i].as_py(), b[i].as_py()))) + _counted(y.docs, cy)
+            yield _batch(out)
+
+    compared = joined.select("a", "b", "size", "rows_a", "rows_b", "set_a", "set_b").mapInArrow(compare, _COUNTED)
+    return stored(found.unionByName(compared), "links", files)
+
+
 def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info, counts = set_table(documents, width)
-    n = info.count()
-    small, wide = max(1, n // ROWS_A_FILE), max(12, n // ROWS_A_TASK)
-    classes = stored(info.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes", small)
-    again = stored(checked_join(info.where("n > 0"), classes.where("copies > 1"), ["d1", "d2"]).where("doc_id <> first").select("doc_id"), "copies", small)
-    firsts = checked_join(documents, again, "doc_id", "left_anti", 4 * BROADCAST_ROWS)
-    shared = entries(firsts, frequent_shingles(counts, wide), wide, width)
+    """doc_id, n_shingles, component_id, n_links (different texts that link), n_copies (other rows of the same set) of every row."""
+    table = set_table(documents, width)
+    info = table.select("uid", "doc_id", "n", "d1", "d2")
+    count = info.count()
+    small, wide = max(1, count // ROWS_A_FILE), max(12, count // ROWS_A_TASK)
+    full = info.where("n > 0")
+    classes = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes", small)
+    again = stored(checked_join(full, classes.where("copies > 1"), ["d1", "d2"]).where("uid <> cid").select("uid"), "copies", small)
+    sets = table.where("n > 0").select("uid", "n", "set")
+    firsts = checked_join(sets, again, "uid", "left_anti", 4 * BROADCAST_ROWS)
+    shared = entries(firsts, frequent_shingles(bucket_counts(sets), wide), wide)
 
     # every list against its first document
-    head = shared.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    head = shared.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("k"), F.max("salts").alias("salts")).where("k > 1")
     rest = lambda n, pos: F.col(n) - F.col(pos)
-    near = shared.join(head, "token").where(
-        (F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos"))
-    )
-    stars = verified(stored(near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b")).distinct(), "star-pairs", small), documents, wide, width)
-    links = stars.where(_LINKED)
-    leader = links.groupBy("a").agg(F.min(F.struct("b", "inter")).alias("l")).select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.inter").alias("with_leader"))
-    leader = stored(leader, "leaders", small)
-    # documents known to be connected share a root: the leader's leader, as far as two steps go
-    roots = leader.select("doc", "leader").join(leader.select(F.col("doc").alias("leader"), F.col("leader").alias("second")), "leader", "left")
-    leader = stored(leader.join(roots.select("doc", F.coalesce("second", "leader").alias("root")), "doc"), "rooted", small)
+    near = shared.withColumn("salt", _salt("doc", "salts")).join(_salted(head, "salts").drop("salts"), ["token", "salt"])
+    near = near.where((F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos")))
+    stars = verified(stored(near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b")).distinct(), "star-pairs", small), firsts, wide, True)
+    best = stars.where(_LINKED).groupBy("a").agg(F.min(F.struct("b", "na", "nb", "inter", "diff")).alias("l"))
+    leader = stored(best.select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.na").alias("n"), F.col("l.nb").alias("size"), F.col("l.inter").alias("inter"), F.col("l.diff").alias("diff")), "leaders", small)
 
     # leaders against leaders, by blocks of their lists
-    known = shared.join(leader, "doc", "left").select(
-        "token", "doc", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("r"),
-        F.coalesce("root", "doc").alias("root"), F.coalesce("leader", "doc").alias("leader"),
-        F.coalesce(F.col("n") - F.col("with_leader"), F.lit(0)).cast("long").alias("apart"),
-    )
-    mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    known = stored(known.join(mixed, "token", "left_semi"), "open-entries", wide)
-    blocks = known.groupBy("token", "leader").agg(
-        F.min("root").alias("root"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("r").alias("r"),
-        F.max((NUM + DEN) * F.col("r") >= 2 * NUM * F.col("n")).alias("leads"),
-    )
-    x, y = blocks.where("leads").alias("x"), blocks.alias("y")
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    known = shared.join(leader.select("doc", "leader"), "doc", "left").select(
+        "token", F.coalesce("leader", "doc").alias("leader"), F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("r"), band("n").alias("band")
+    )
+    blocks = known.groupBy("token", "leader", "band").agg(
+        F.min("n").alias("small"), F.max("n").alias("large"), F.max("r").alias("r"), F.max((NUM + DEN) * F.col("r") >= 2 * NUM * F.col("n")).alias("leads")
+    )
+    mixed = blocks.groupBy("token").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo <> hi").select("token")
+    blocks = stored(blocks.join(mixed, "token", "left_semi"), "blocks", wide)
+    x = blocks.where("leads").alias("x")
+    y = blocks.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
     meets = (
         (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (~F.col("y.leads") | (F.col("x.leader") < F.col("y.leader")))
+        & (F.col("x.band") == F.col("y.near"))
+        & (F.col("x.leader") != F.col("y.leader"))
         & (DEN * F.col("x.large") >= NUM * F.col("y.small"))
         & (DEN * F.col("y.large") >= NUM * F.col("x.small"))
         & ((NUM + DEN) * F.least("x.r", "y.r") >= NUM * (F.col("x.small") + F.col("y.small")))
     )
-    pairs = x.join(y, meets).select(F.least("x.leader", "y.leader").alias("b"), F.greatest("x.leader", "y.leader").alias("a")).distinct()
-    pairs = stored(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "leader-pairs", small)
-    leaders = verified(pairs, documents, wide, width)
-    links = links.unionByName(leaders.where(_LINKED))
-
-    # what the leaders' answers leave open: only between leaders that do not link and have documents behind them
-    behind = leader.groupBy("leader").agg(F.max(F.lit(True)).alias("has"))
-    every = leaders.unionByName(stars).where(f"NOT ({_LINKED})").groupBy("a", "b").agg(F.max("inter").alias("inter"))
-    every = every.join(behind.select(F.col("leader").alias("a"), F.col("has").alias("ha")), "a", "left").join(behind.select(F.col("leader").alias("b"), F.col("has").alias("hb")), "b", "left")
-    every = stored(every.where("ha OR hb").select("a", "b", "inter"), "open-leaders", small)
-    if every.limit(1).count():
-        p, q = known.alias("p"), known.alias("q")
-        reach = F.col("l.inter") + F.col("p.apart") + F.col("q.apart")
-        open_pairs = (
-            every.alias("l")
-            .join(p, F.col("l.a") == F.col("p.leader"))
-            .join(q, (F.col("l.b") == F.col("q.leader")) & (F.col("p.token") == F.col("q.token")))
-            .where(
-                (F.col("p.root") != F.col("q.root"))
-                & ((F.col("p.doc") != F.col("l.a")) | (F.col("q.doc") != F.col("l.b")))  # that pair is decided
-                & _fits(F.col("p.n"), F.col("p.r"), F.col("q.n"), F.col("q.r"))
-                & ((NUM + DEN) * reach >= NUM * (F.col("p.n") + F.col("q.n")))
-            )
-            .select(F.greatest("p.doc", "q.doc").alias("a"), F.least("p.doc", "q.doc").alias("b"))
-            .distinct()
-        )
-        open_pairs = stored(open_pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), "open-pairs", small)
-        if open_pairs.limit(1).count():
-            links = links.unionByName(verified(open_pairs, documents, wide, width).where(_LINKED))
-    component = connected_components(links)
-
-    out = info.join(classes.select("d1", "d2", "first"), ["d1", "d2"], "left").join(component.withColumnRenamed("id", "first"), "first", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    pairs = stored(x.join(y, meets).select(F.least("x.leader", "y.leader").alias("b"), F.greatest("x.leader", "y.leader").alias("a")).distinct(), "leader-pairs", small)
+    done = stars.select("a", "b", "na", "nb", "inter")
+    fresh = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "fresh-pairs", small)
+    overlaps = verified(fresh, firsts, wide).select(*done.columns).unionByName(done.join(pairs, ["a", "b"], "left_semi").select(*done.columns))
+
+    # followers: the leader itself is one unless it follows another
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(leader.select("leader")).distinct()
+    alone = firsts.select(F.col("uid").alias("doc"), "n").join(ends, "doc", "left_semi").join(leader.select("doc"), "doc", "left_anti")
+    alone = alone.select(F.col("doc").alias("leader"), "doc", "n", F.col("n").alias("size"), F.col("n").alias("inter"), F.lit(None).cast("binary").alias("diff"))
+    members = stored(leader.select("leader", "doc", "n", "size", "inter", "diff").unionByName(alone), "members", small)
+    clusters = members.groupBy("leader").agg(
+        F.count(F.lit(1)).alias("m"), F.min("n").alias("small"), F.max(F.col("n") - F.col("inter")).alias("more"), F.max((F.col("doc") == F.col("leader")).cast("int")).alias("own")
+    )
+    clusters = stored(clusters, "cluster-bounds", small)
+    side = lambda end: clusters.select(F.col("leader").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("m", "small", "more", "own")])
+    bounded = checked_join(checked_join(overlaps, side("a"), "a"), side("b"), "b")
+    bounded = stored(bounded.withColumn("single", F.expr("m_a = 1 AND m_b = 1 AND own_a = 1 AND own_b = 1")), "open-leaders", small)
+    direct = bounded.where("single").where(_LINKED).select("a", "b")
+    reach = (NUM + DEN) * (F.col("inter") + F.col("more_a") + F.col("more_b")) >= NUM * (F.col("small_a") + F.col("small_b"))
+    tasks = bounded.where(~F.col("single") & reach)
+    followed = checked_join(members, clusters.select("leader", "m"), "leader")
+    followed = checked_join(followed, stored(tasks.select(F.col("a").alias("leader")).union(tasks.select("b")).distinct().withColumn("open", F.lit(True)), "open-clusters", small), "leader", "left").where("m > 1 OR open")
+    found = cluster_links(followed, tasks, firsts, small)
+
+    edges = leader.select(F.col("doc").alias("a"), F.col("leader").alias("b")).union(direct).union(found.where("a IS NOT NULL").select("a", "b"))
+    component = stored(connected_components(edges), "components", small)
+    counted = found.where("doc IS NOT NULL").select("doc", "links").union(direct.select("a", F.lit(1).cast("long"))).union(direct.select("b", F.lit(1).cast("long")))
+    counted = counted.groupBy("doc").agg(F.sum("links").alias("n_links"))
+    named = component.withColumnRenamed("id", "cid").join(classes.select("cid", "first"), "cid")
+    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(names, "component").select("cid", "component_id").join(counted.withColumnRenamed("doc", "cid"), "cid", "left")
+    answers = classes.join(named, "cid", "left").select("d1", "d2", F.coalesce("component_id", "first").alias("own_id"), F.coalesce("n_links", F.lit(0)).alias("links"), (F.col("copies") - 1).alias("others"))
+    out = info.join(answers, ["d1", "d2"], "left")
+    has = F.col("n") > 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(has, F.col("own_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(has, F.col("links")).otherwise(F.lit(0).cast("long")).alias("n_links"), F.when(has, F.col("others")).otherwise(F.lit(0).cast("long")).alias("n_copies"),
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

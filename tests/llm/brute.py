@@ -16,13 +16,13 @@ def shingles(text, width=5):
 
 
 def components(docs):
-    """{doc_id: (set size, component)} by looking at every pair that shares a shingle."""
-    sets = {d: shingles(t) for d, t in docs}
+    """(doc_id, set size, component, links to other texts, copies) of each row by looking at every pair of sets that shares a shingle."""
+    classes = defaultdict(list)
+    for d, t in docs:
+        classes[frozenset(shingles(t))].append(d)
+    sets = list(classes)
     lists = defaultdict(list)
-    for d, s in sets.items():
-        for x in s:
-            lists[x].append(d)
-    root = {d: d for d in sets}
+    root, links = list(range(len(sets))), Counter()
 
     def find(x):
         while root[x] != x:
@@ -30,9 +30,21 @@ def components(docs):
             x = root[x]
         return x
 
-    for d, s in sets.items():
-        for other, inter in Counter(o for x in s for o in lists[x] if o < d).items():
-            if 100 * inter >= 75 * (len(s) + len(sets[other]) - inter):
-                a, b = sorted((find(d), find(other)))
-                root[b] = a
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+    for i, s in enumerate(sets):
+        for j, inter in Counter(j for x in s for j in lists[x]).items():
+            if 100 * inter >= 75 * (len(s) + len(sets[j]) - inter):
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+        for x in s:
+            lists[x].append(i)
+    least = {}
+    for i, s in enumerate(sets):
+        ids = [d for d in classes[s] if d is not None]
+        if ids:
+            least[find(i)] = min(least.get(find(i), ids[0]), *ids)
+    out = []
+    for i, s in enumerate(sets):
+        for d in classes[s]:
+            out.append((d, len(s), least.get(find(i)), links[i], len(classes[s]) - 1) if s else (d, 0, d, 0, 0))
+    return sorted(out, key=str)
