@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.durable import BROADCAST_ROWS, stored
+from loomgraph.plans.durable import BROADCAST_ROWS, dropped, stored
 
 #: Edges of a file of an intermediate table.
 EDGES_A_FILE = 100_000
@@ -37,5 +37,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = state
         few, files = state[0] <= BROADCAST_ROWS // 2, max(1, state[0] // EDGES_A_FILE)
-        e = stored(_star(_star(e, True, few), False, few).distinct(), "edges", files)
+        last, e = e, stored(_star(_star(e, True, few), False, few).distinct(), "edges", files)
+        dropped(last)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

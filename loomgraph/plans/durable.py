@@ -1,8 +1,8 @@
 """Intermediate tables and global ranks that survive the loss of executors.
 
 Everything here goes through the folder named by ``spark.checkpoint.dir``,
-which all executors share.  The setting is read from the session; only where it
-is unset (a local test session) a folder is chosen here.
+which all executors share.  The setting is read from the session; only a session
+on ``local[...]``, which has no other machine, may leave it unset.
 """
 
 from __future__ import annotations
@@ -12,19 +12,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most rows and bytes of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 96 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a local one where that is unset and all work is on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,23 +46,36 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 
     For wide or large intermediates: columnar and compressed, unlike a
     checkpoint.  ``files``: at most so many (a number that follows the rows).
-    The folder goes when the driver's process ends.
+    The folder goes with :func:`dropped`, else when the driver's process ends.
     """
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what :func:`stored` wrote for ``df``; nothing that is still to be computed may read it."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _made[:] = [m for m in _made if m[1] != path]
 
 
 @atexit.register
 def _clear() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             return
 
@@ -68,14 +84,37 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only if it has at most ``rows`` rows.
+def _row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in memory."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+                return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + of(x, inner)), F.lit(0)) + 24
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+        if isinstance(kind, T.StructType):
+            return sum((of(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(64 if isinstance(kind, T.MapType) else 8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes; no more rows than that are looked at."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
+def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with ``small`` broadcast only if it has at most ``rows`` rows and ``size`` bytes.
 
-    ``small`` is counted first (it should be stored or cheap), so that what is
+    ``small`` is measured first (it should be stored or cheap), so that what is
     broadcast has a bound; a larger side goes through a shuffle join.
     """
-    few = small.limit(rows + 1).count() <= rows
-    return big.join(F.broadcast(small) if few else small, on, how)
+    return big.join(F.broadcast(small) if is_small(small, rows, size) else small, on, how)
 
 
 def global_rank(df: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
