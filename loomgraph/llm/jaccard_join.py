@@ -15,9 +15,9 @@ links and its number of links without ever writing out all pairs of a group.
     alone.  A document so linked has it as its leader and is from then on the
     leader's set with a few shingles taken out and a few put in.
 4.  Index skipping: a list is cut into blocks of one leader and one size band,
-    with bounds of size and of what is left after the position.  Only blocks of
-    the same or the next band meet, at least one of which is within the first
-    seventh of its sets; other blocks are passed over unread.
+    with bounds of size and of what is left after the position.  Blocks meet
+    only if one of them is within the first seventh of its sets, and in long
+    lists only those of the same or the next band; others are passed over unread.
 5.  Answer skipping: the links of a leader's followers are derived from their
     differences to it (``|S| - |R + R'| + |A & A'|`` for sets taken out and put in),
     and those with another leader's followers only if the leaders' overlap plus
@@ -52,20 +52,24 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.bytesets import shingle_sets
 from loomgraph.plans.components import connected_components
-from loomgraph.plans.durable import BROADCAST_ROWS, checked_join, parts, stored
+from loomgraph.plans.durable import BROADCAST_ROWS, arrow_rows, checked_join, parts, stored
 
 WIDTH = 5
 #: The threshold 0.75 as a fraction of integers: inter / union >= NUM / DEN.
 NUM, DEN = 3, 4
 #: Shingles are frequent from 2**LEAST_LEVEL documents on; the level rises until at most FREQUENT are.
 LEAST_LEVEL, FREQUENT = 3, 1_000_000
-#: Values that a task holds before it passes them on.
-HELD = 1 << 18
+#: Values that a task holds before it passes them on (shingles that are counted: more, as gaps between them shrink).
+HELD, COUNTED = 1 << 18, 1 << 20
+#: Rows of a batch of texts or sets.
+ROWS_A_BATCH = 1000
+#: Blocks of a list from which it is met by size bands.
+LONG_LIST = 32
 #: Rows of one shingle or leader that go to one task before they are salted; followers of a chunk, and shingles of them all.
 ROWS_A_SALT, CHUNK, CELLS = 1 << 13, 1 << 11, 1 << 21
 #: Shingles by which two chunks are compared at once.
 SLICE = 1 << 11
-_BUCKET_BITS = 28
+_BUCKET_BITS = 20
 #: Documents for each file of a table with about a row a document, and for each task that reads sets.
 ROWS_A_FILE, ROWS_A_TASK = 50_000, 4_000
 
@@ -76,7 +80,18 @@ def _range_bits(spark: SparkSession) -> int:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays by their byte planes: high bytes are mostly alike."""
+    return zlib.compress(b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
+
+
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind)[:, 0])
+        at += n * size
+    return out
 
 
 def _buckets(tokens: np.ndarray) -> np.ndarray:
@@ -87,18 +102,35 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
+def _fold(s: np.ndarray) -> bytes | None:
+    """How many shingles begin with each of the first bits, a byte each; as many bits as leave one or two shingles to each."""
+    bits = max(len(s).bit_length() - 1, 3)
+    count = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None  # None bounds nothing
+
+
+def _most_common(a: bytes | None, b: bytes | None) -> int | None:
+    """At least as many as two sets share, by their folds."""
+    if a is None or b is None:
+        return None
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    k = min(len(x), len(y))
+    return int(np.minimum(x.reshape(k, -1).sum(1, dtype=np.int64), y.reshape(k, -1).sum(1, dtype=np.int64)).sum())
+
+
 def set_table(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(uid, doc_id, n, d1, d2, set) of every row: a row number, the set's size and digest, and its sorted hashes."""
-    names = ["uid", "doc_id", "n", "d1", "d2", "set"]
+    """(uid, doc_id, n, d1, d2, set, fold) of every row: a row number, the set's size and digest, its sorted hashes and their fold."""
+    names = ["uid", "doc_id", "n", "d1", "d2", "set", "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 32
         for batch in batches:
-            n, d1, d2, held, first, size = [], [], [], [], 0, 0
+            n, d1, d2, held, folds, first, size = [], [], [], [], [], 0, 0
 
             def rows(end: int) -> pa.RecordBatch:
                 ids = np.arange(uid + first, uid + end)
-                return pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(held, pa.binary())], names)
+                cols = [pa.array(ids), batch.column(0).slice(first, end - first), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), *(pa.array(c, pa.binary()) for c in (held, folds))]
+                return pa.RecordBatch.from_arrays(cols, names)
 
             for k, s in enumerate(shingle_sets(batch.column(1), width)):
                 data = s.tobytes()
@@ -107,16 +139,17 @@ def set_table(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 d1.append(int(digest[0]))
                 d2.append(int(digest[1]))
                 held.append(data)
+                folds.append(_fold(s))
                 size += len(s)
                 if size >= HELD:
                     yield rows(k + 1)
-                    n, d1, d2, held, first, size = [], [], [], [], k + 1, 0
+                    n, d1, d2, held, folds, first, size = [], [], [], [], [], k + 1, 0
             if held:
                 yield rows(len(batch))
             uid += len(batch)
 
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(documents.mapInArrow(run, "uid long, doc_id long, n long, d1 long, d2 long, set binary"), "sets")
+    return stored(documents.mapInArrow(run, "uid long, doc_id long, n long, d1 long, d2 long, set binary, fold binary"), "sets")
 
 
 def bucket_counts(sets: DataFrame) -> DataFrame:
@@ -142,7 +175,7 @@ def bucket_counts(sets: DataFrame) -> DataFrame:
             for s in _sets(batch.column(0)):
                 held.append(s)
                 size += len(s)
-                if size >= HELD:
+                if size >= COUNTED:
                     yield counts()
                     size = 0
         if size:
@@ -161,10 +194,9 @@ def frequent_shingles(counts: DataFrame, files: int) -> tuple[np.ndarray, np.nda
     def total(table: pa.Table) -> pa.Table:
         v, c = [], []
         for x in table["packed"].to_pylist():
-            first, raw = int.from_bytes(x[:8], "little"), zlib.decompress(x[8:])
-            half = np.frombuffer(raw, "<u4").reshape(2, -1)
-            v.append(np.cumsum(half[0], dtype=np.uint64) + np.uint64(first))
-            c.append(half[1])
+            first, (gaps, times) = int.from_bytes(x[:8], "little"), _unpacked(x[8:], "<u4", "<u4")
+            v.append(np.cumsum(gaps, dtype=np.uint64) + np.uint64(first))
+            c.append(times)
         v, c = np.concatenate(v), np.concatenate(c)
         order = np.argsort(v, kind="stable")
         v, c = v[order], c[order].astype(np.int64)
@@ -186,7 +218,7 @@ def frequent_shingles(counts: DataFrame, files: int) -> tuple[np.ndarray, np.nda
         if kept > FREQUENT:
             break
         least = k
-    found = [(np.frombuffer(zlib.decompress(r["packed"]), np.uint64), r["level"]) for r in levels.where(F.col("level") >= least).toLocalIterator()]
+    found = [(_unpacked(r["packed"], "<u8")[0], r["level"]) for r in levels.where(F.col("level") >= least).toLocalIterator()]
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8)
     v, level = np.concatenate([f[0] for f in found]), np.concatenate([np.full(len(f[0]), f[1], np.int8) for f in found])
@@ -225,66 +257,57 @@ def entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], files: int
                 order = np.argsort(own, kind="stable")[: p - len(rare)]
                 yield doc, n, rare, common[order], own[order]
 
-    def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def frequent_rows(held: list[tuple]) -> pa.RecordBatch:
+        docs, sizes, firsts, tokens, own = zip(*held, strict=True)
+        held.clear()
+        length = [len(t) for t in tokens]
+        pos = np.concatenate([f + np.arange(k) for f, k in zip(firsts, length, strict=True)])
+        salts = 1 << np.maximum(np.concatenate(own).astype(np.int32) - most, 0)
+        cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(docs, np.int64), length), np.repeat(np.array(sizes, np.int32), length), pos.astype(np.int32), salts.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(pos), pa.int32()), pa.nulls(len(pos), pa.int64()), pa.nulls(len(pos), pa.binary())], [*names, "range", "base", "packed"])
+
+    def rare_packed(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        token = np.concatenate([h[0] for h in held])
+        length = [len(h[0]) for h in held]
+        base = held[0][1]
+        doc = np.repeat(np.array([h[1] - base for h in held], np.int64), length)  # rows of one file of sets: near each other
+        n = np.repeat(np.array([h[2] for h in held], np.int32), length)
+        pos = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
+        held.clear()
+        order = np.argsort(token)
+        token, doc, n, pos = token[order], doc[order], n[order], pos[order]
+        where = (token >> np.uint64(64 - bits)).astype(np.int64)
+        low = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        cut = np.flatnonzero(np.diff(where)) + 1
+        out = [(int(where[a]), _packed(low[a:b], n[a:b], pos[a:b], doc[a:b].astype("<i8"))) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True)]
+        k = len(out)
+        none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([o[0] for o in out], pa.int32()), pa.array([base] * k, pa.int64()), pa.array([o[1] for o in out], pa.binary())], [*names, "range", "base", "packed"])
 
-        def out() -> pa.RecordBatch:
-            docs, sizes, firsts, tokens, own = zip(*held, strict=True)
-            held.clear()
-            length = [len(t) for t in tokens]
-            pos = np.concatenate([f + np.arange(k) for f, k in zip(firsts, length, strict=True)])
-            salts = 1 << np.maximum(np.concatenate(own).astype(np.int32) - most, 0)
-            cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(docs, np.int64), length), np.repeat(np.array(sizes, np.int32), length), pos.astype(np.int32), salts.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rarely, size, packed = [], [], 0, 0
         for doc, n, rare, common, own in split(batches):
             if len(common):
-                held.append((doc, n, len(rare), common, own))
+                often.append((doc, n, len(rare), common, own))
                 size += len(common)
-            if size >= HELD:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    def rare_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int, int]] = []
-
-        def packed() -> pa.RecordBatch:
-            token = np.concatenate([h[0] for h in held])
-            length = [len(h[0]) for h in held]
-            base = held[0][1]
-            doc = np.repeat(np.array([h[1] - base for h in held], np.int64), length)  # rows of one file of sets: near each other
-            n = np.repeat(np.array([h[2] for h in held], np.int32), length)
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in length])
-            held.clear()
-            order = np.argsort(token)
-            token, doc, n, pos = token[order], doc[order], n[order], pos[order]
-            where = (token >> np.uint64(64 - bits)).astype(np.int64)
-            low = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            cut = np.flatnonzero(np.diff(where)) + 1
-            out = [(int(where[a]), base, _packed(low[a:b], n[a:b], pos[a:b], doc[a:b].astype("<i8"))) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(token)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["range", "base", "packed"])
-
-        size = 0
-        for doc, n, rare, _, _ in split(batches):
             if len(rare):
-                held.append((rare, doc, n))
-                size += len(rare)
+                rarely.append((rare, doc, n))
+                packed += len(rare)
             if size >= HELD:
-                yield packed()
+                yield frequent_rows(often)
                 size = 0
-        if held:
-            yield packed()
+            if packed >= HELD:
+                yield rare_packed(rarely)
+                packed = 0
+        if often:
+            yield frequent_rows(often)
+        if rarely:
+            yield rare_packed(rarely)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for base, x in zip(table["base"].to_pylist(), table["packed"].to_pylist(), strict=True):
-            raw = zlib.decompress(x)
-            k = len(raw) // 20
-            for i, (a, kind) in enumerate(((0, "<u4"), (4, "<i4"), (8, "<i4"), (12, "<i8"))):
-                got = np.frombuffer(raw, kind, k, a * k)
+            for i, got in enumerate(_unpacked(x, "<u4", "<i4", "<i4", "<i8")):
                 cols[i].append(got + base if i == 3 else got)
         token, n, pos, doc = (np.concatenate(c) for c in cols)
         order = np.argsort(token, kind="stable")
@@ -295,10 +318,9 @@ def entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], files: int
         one = np.ones(int(shared.sum()), np.int32)
         return pa.table([pa.array(full), pa.array(doc[shared]), pa.array(n[shared]), pa.array(pos[shared]), pa.array(one)], names)
 
-    sets = sets.select("uid", "set")
-    rare = sets.mapInArrow(rare_packed, "range int, base long, packed binary").groupBy("range").applyInArrow(meet, shape)
-    rare = stored(rare, "rare-entries", files)
-    return stored(sets.mapInArrow(frequent_rows, shape), "frequent-entries", files).unionByName(rare)
+    both = stored(sets.select("uid", "set").mapInArrow(run, f"{shape}, range int, base long, packed binary"), "entries")
+    rare = both.where("range IS NOT NULL").select("range", "base", "packed").groupBy("range").applyInArrow(meet, shape)
+    return both.where("range IS NULL").select(*names).unionByName(stored(rare, "rare-entries", files))
 
 
 def _fits(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
@@ -315,13 +337,33 @@ def _salt(of: str, salts: str) -> Column:
     return F.pmod(F.xxhash64(of), F.col(salts).cast("long")).cast("int")
 
 
+def _joined(pairs: DataFrame, sets: DataFrame, column: str, files: int) -> DataFrame:
+    """Each pair (a, b, more columns) with a column of both sets, as left and right, those of one b together."""
+    times = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_SALT).cast("int").alias("salts")), "ends", files)
+    left = checked_join(sets.select(F.col("uid").alias("a"), F.col(column).alias("left")), checked_join(pairs, times, "b"), "a").withColumn("salt", _salt("a", "salts"))
+    right = _salted(checked_join(sets.select(F.col("uid").alias("b"), F.col(column).alias("right")), times, "b"), "salts")
+    return left.drop("salts").join(right.drop("salts"), ["b", "salt"])
+
+
+def possible(pairs: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """The pairs (a, b) whose folds allow an overlap that, with ``extra`` more, reaches the threshold for sizes of sum ``need``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, extra, need, left, right = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for i in range(len(a)):
+                most = _most_common(left[i], right[i])
+                if most is None or (NUM + DEN) * (most + extra[i]) >= NUM * need[i]:
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in kept], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    joined = _joined(pairs, sets, "fold", files).select("a", "b", "extra", "need", "left", "right")
+    return stored(joined.mapInArrow(run, "a long, b long"), "possible-pairs", files)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, files: int, differences: bool = False) -> DataFrame:
     """(a, b, na, nb, inter, diff) of each pair, counted on the whole sets; ``diff``: a linked pair's a as b changed."""
-    times = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_SALT).cast("int").alias("salts"))
-    times = stored(times, "ends", files)
-    pairs = checked_join(pairs, times, "b")
-    left = checked_join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), pairs, "a").withColumn("salt", _salt("a", "salts"))
-    right = _salted(checked_join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), times, "b"), "salts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +390,7 @@ def verified(pairs: DataFrame, sets: DataFrame, files: int, differences: bool =
                     diff.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *(pa.array(x, pa.int64()) for x in (na, nb, inter)), pa.array(diff, pa.binary())], ["a", "b", "na", "nb", "inter", "diff"])
 
-    joined = left.join(right.drop("salts"), ["b", "salt"]).select("b", "a", "set_a", "set_b").coalesce(files)
+    joined = _joined(pairs.select("a", "b"), sets, "set", files).select("b", "a", "left", "right").coalesce(files)
     return stored(joined.mapInArrow(run, "a long, b long, na long, nb long, inter long, diff binary"), "verified")
 
 
@@ -526,11 +568,17 @@ def cluster_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, files:
             yield _batch(out)
 
     compared = joined.select("a", "b", "size", "rows_a", "rows_b", "set_a", "set_b").mapInArrow(compare, _COUNTED)
-    return stored(found.unionByName(compared), "links", files)
+    with arrow_rows(sets.sparkSession, 8):  # a row holds two chunks
+        return stored(found.unionByName(compared), "links", files)
 
 
 def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (different texts that link), n_copies (other rows of the same set) of every row."""
+    with arrow_rows(documents.sparkSession, ROWS_A_BATCH):
+        return _linked_components(documents, width)
+
+
+def _linked_components(documents: DataFrame, width: int) -> DataFrame:
     table = set_table(documents, width)
     info = table.select("uid", "doc_id", "n", "d1", "d2")
     count = info.count()
@@ -538,7 +586,7 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     full = info.where("n > 0")
     classes = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes", small)
     again = stored(checked_join(full, classes.where("copies > 1"), ["d1", "d2"]).where("uid <> cid").select("uid"), "copies", small)
-    sets = table.where("n > 0").select("uid", "n", "set")
+    sets = table.where("n > 0").select("uid", "n", "set", "fold")
     firsts = checked_join(sets, again, "uid", "left_anti", 4 * BROADCAST_ROWS)
     shared = entries(firsts, frequent_shingles(bucket_counts(sets), wide), wide)
 
@@ -547,7 +595,8 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     rest = lambda n, pos: F.col(n) - F.col(pos)
     near = shared.withColumn("salt", _salt("doc", "salts")).join(_salted(head, "salts").drop("salts"), ["token", "salt"])
     near = near.where((F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos")))
-    stars = verified(stored(near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b")).distinct(), "star-pairs", small), firsts, wide, True)
+    near = near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b"), F.lit(0).cast("long").alias("extra"), (F.col("n") + F.col("h.n")).cast("long").alias("need")).distinct()
+    stars = verified(possible(stored(near, "star-pairs", small), firsts, small), firsts, wide, True)
     best = stars.where(_LINKED).groupBy("a").agg(F.min(F.struct("b", "na", "nb", "inter", "diff")).alias("l"))
     leader = stored(best.select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.na").alias("n"), F.col("l.nb").alias("size"), F.col("l.inter").alias("inter"), F.col("l.diff").alias("diff")), "leaders", small)
 
@@ -559,10 +608,10 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     blocks = known.groupBy("token", "leader", "band").agg(
         F.min("n").alias("small"), F.max("n").alias("large"), F.max("r").alias("r"), F.max((NUM + DEN) * F.col("r") >= 2 * NUM * F.col("n")).alias("leads")
     )
-    mixed = blocks.groupBy("token").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo <> hi").select("token")
-    blocks = stored(blocks.join(mixed, "token", "left_semi"), "blocks", wide)
+    mixed = blocks.groupBy("token").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi"), (F.count(F.lit(1)) > LONG_LIST).alias("long")).where("lo <> hi").select("token", "long")
+    blocks = stored(blocks.join(mixed, "token").withColumn("band", F.when(F.col("long"), F.col("band")).otherwise(0)), "blocks", wide)
     x = blocks.where("leads").alias("x")
-    y = blocks.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
+    y = blocks.withColumn("near", F.explode(F.when(F.col("long"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0))))).alias("y")
     meets = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.band") == F.col("y.near"))
@@ -572,10 +621,6 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         & ((NUM + DEN) * F.least("x.r", "y.r") >= NUM * (F.col("x.small") + F.col("y.small")))
     )
     pairs = stored(x.join(y, meets).select(F.least("x.leader", "y.leader").alias("b"), F.greatest("x.leader", "y.leader").alias("a")).distinct(), "leader-pairs", small)
-    done = stars.select("a", "b", "na", "nb", "inter")
-    fresh = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "fresh-pairs", small)
-    overlaps = verified(fresh, firsts, wide).select(*done.columns).unionByName(done.join(pairs, ["a", "b"], "left_semi").select(*done.columns))
-
     # followers: the leader itself is one unless it follows another
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(leader.select("leader")).distinct()
     alone = firsts.select(F.col("uid").alias("doc"), "n").join(ends, "doc", "left_semi").join(leader.select("doc"), "doc", "left_anti")
@@ -586,10 +631,14 @@ def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     clusters = stored(clusters, "cluster-bounds", small)
     side = lambda end: clusters.select(F.col("leader").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("m", "small", "more", "own")])
-    bounded = checked_join(checked_join(overlaps, side("a"), "a"), side("b"), "b")
-    bounded = stored(bounded.withColumn("single", F.expr("m_a = 1 AND m_b = 1 AND own_a = 1 AND own_b = 1")), "open-leaders", small)
+    pairs = checked_join(checked_join(pairs, side("a"), "a"), side("b"), "b").withColumn("single", F.expr("m_a = 1 AND m_b = 1 AND own_a = 1 AND own_b = 1"))
+    pairs = stored(pairs.withColumns({"extra": F.col("more_a") + F.col("more_b"), "need": F.col("small_a") + F.col("small_b")}), "bounded-pairs", small)
+    done = stars.select("a", "b", "na", "nb", "inter")
+    fresh = verified(possible(pairs.join(done, ["a", "b"], "left_anti").select("a", "b", "extra", "need"), firsts, small), firsts, wide)
+    overlaps = fresh.select(*done.columns).unionByName(done.join(pairs, ["a", "b"], "left_semi").select(*done.columns))
+    bounded = stored(overlaps.join(pairs, ["a", "b"]), "open-leaders", small)
     direct = bounded.where("single").where(_LINKED).select("a", "b")
-    reach = (NUM + DEN) * (F.col("inter") + F.col("more_a") + F.col("more_b")) >= NUM * (F.col("small_a") + F.col("small_b"))
+    reach = (NUM + DEN) * (F.col("inter") + F.col("extra")) >= NUM * F.col("need")
     tasks = bounded.where(~F.col("single") & reach)
     followed = checked_join(members, clusters.select("leader", "m"), "leader")
     followed = checked_join(followed, stored(tasks.select(F.col("a").alias("leader")).union(tasks.select("b")).distinct().withColumn("open", F.lit(True)), "open-clusters", small), "leader", "left").where("m > 1 OR open")

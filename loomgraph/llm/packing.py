@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.durable import global_rank, stored
+from loomgraph.plans.durable import arrow_rows, global_rank, stored
 
 CAPACITY = 2048
 END_ID = 0
+#: Documents of a batch that is tokenised.
+ROWS_A_BATCH = 1000
 #: Nodes that the search for a plan of fewer sequences may visit (None: all), and how many a sequence's first filling counts for.
 PLAN_NODES, STEP_NODES = 2_000_000, 100
 _LONG = re.compile(r"\S{3000}|\s{3000}")
@@ -338,7 +340,8 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, nodes: int | None =
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, nodes: int | None = PLAN_NODES) -> DataFrame:
     """Pieces with sequence_id and offset; a sequence holds at most ``capacity`` ids, ``nodes`` as in :func:`plan`."""
     spark = documents.sparkSession
-    held = stored(pieces(documents, path, capacity), "pieces")
+    with arrow_rows(spark, ROWS_A_BATCH):
+        held = stored(pieces(documents, path, capacity), "pieces")
     lengths = {int(r["length"]): int(r["count"]) for r in held.groupBy("length").count().collect()}  # at most `capacity` rows
     first, at = {}, 0
     for k in sorted(lengths):
