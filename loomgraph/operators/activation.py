@@ -117,10 +117,10 @@ def immunity(g: PropertyGraph, seeds: DataFrame) -> DataFrame:
     return reach(g, seeds, 2).select("node_id")
 
 
-def spectral_pulses(g: PropertyGraph, origins: DataFrame, max_depth: int = 5, threshold: float = THRESHOLD, budget: int | None = 25_000) -> DataFrame:
+def spectral_pulses(g: PropertyGraph, origins: DataFrame, max_depth: int = 5, threshold: float = THRESHOLD, budget: int | None = None) -> DataFrame:
     """(node_id, amplitude, paths): walks that never turn straight back; inhibition halves them.
 
-    The work budget keeps the strongest walks of a hop in a total order, so that the result is fixed.
+    Walks below the threshold die.  A ``budget`` keeps only the strongest walks of a hop, in a total order.
     """
     edges = g.expanded().select("src", "dst", (F.col("weight") * DECAY * F.when(F.col("inhibitory"), 0.5).otherwise(1.0)).alias("f"))
     level = origins.select("node_id", F.lit(-1).cast("long").alias("prev"), F.col("score").alias("amp"))

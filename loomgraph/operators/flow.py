@@ -23,6 +23,14 @@ def _any(label: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
+def guards(g: PropertyGraph, words: tuple[str, ...]) -> DataFrame:
+    """(node_id, by): nodes whose label or a tag has one of the words (``self``), or that have an edge to such a node (``neighbour``)."""
+    tagged = F.exists("tags", lambda t: _any(t, words))
+    own = g.nodes.where(_any(F.col("label"), words) | F.coalesce(tagged, F.lit(False))).select("node_id")
+    near = g.expanded().join(own.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(F.col("src").alias("node_id")).distinct().join(own, "node_id", "left_anti")
+    return own.withColumn("by", F.lit("self")).unionByName(near.withColumn("by", F.lit("neighbour")))
+
+
 def entry_points(nodes: DataFrame, most: int = 100, prefixes: tuple[str, ...] = ENTRIES) -> DataFrame:
     """Function nodes (type 2) named like entry points, else file nodes (type 0); by PageRank, then id."""
     starts = reduce(lambda a, b: a | b, [F.lower("label").startswith(p) for p in prefixes])
@@ -31,12 +39,12 @@ def entry_points(nodes: DataFrame, most: int = 100, prefixes: tuple[str, ...] =
     return rows.crossJoin(F.broadcast(top)).where("function = top").orderBy(F.desc("pagerank"), "node_id").limit(most).select("node_id")  # one row
 
 
-def flow_paths(g: PropertyGraph, entries: DataFrame, max_depth: int = 15, least: float = 0.1, budget: int | None = 50_000) -> DataFrame:
+def flow_paths(g: PropertyGraph, entries: DataFrame, max_depth: int = 15, least: float = 0.1, budget: int | None = None) -> DataFrame:
     """(origin, node_id, depth, lock, path_length): particles from each entry over excitatory edges, no node twice on a path.
 
     One run for each origin is enough, as particles of one origin behave alike.
-    A node is expanded at its first visit of an origin; the budget keeps the
-    least node ids of a hop, so that the result is fixed.
+    A node is expanded at its first visit of an origin.  A ``budget`` keeps only
+    the least node ids of a hop.
     """
     valve = g.nodes.select("node_id", _any(F.col("label"), VALVES).alias("valve"))
     e = g.expanded().where(~F.col("inhibitory") & (F.col("weight") >= least)).select("src", "dst").distinct()

@@ -92,15 +92,16 @@ def change_groups(commits: DataFrame, least: int = 2) -> DataFrame:
     return commits.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files") >= least)
 
 
-def co_change(commits: DataFrame) -> DataFrame:
+def co_change(commits: DataFrame, most_files: int | None = None) -> DataFrame:
     """(a, b, times, strength): pairs of files in one commit over the larger file count.
 
-    The pair join is by commit; a commit's files are few by nature, and commits
-    of more than 50 files (bulk moves) carry no coupling.
+    The pair join is by commit, and a commit's files are few by nature.
+    ``most_files``: leave out commits of more files (bulk moves); none by default.
     """
     files = commits.select("commit", "file").distinct()
-    size = files.groupBy("commit").agg(F.count(F.lit(1)).alias("k")).where("k BETWEEN 2 AND 50")
-    files = files.join(size.select("commit"), "commit", "left_semi")
+    if most_files is not None:
+        size = files.groupBy("commit").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_files)
+        files = files.join(size.select("commit"), "commit", "left_semi")
     n = commits.select("commit", "file").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     x, y = files.alias("x"), files.alias("y")
     pairs = x.join(y, (F.col("x.commit") == F.col("y.commit")) & (F.col("x.file") < F.col("y.file"))).groupBy(F.col("x.file").alias("a"), F.col("y.file").alias("b")).agg(F.count(F.lit(1)).alias("times"))

@@ -59,20 +59,31 @@ def epidemic(
     return out.orderBy(F.desc("probability"), "node_id").limit(top) if top else out
 
 
-def trial_waves(edges: DataFrame, trials: DataFrame, max_depth: int = 5, threshold: float = 0.04) -> DataFrame:
-    """Wavefronts of many trials in one job: (trial, node_id, activation)."""
-    state = trials.groupBy("trial", "node_id").agg(F.least(F.max("score"), F.lit(1.0)).alias("activation")).withColumn("entered", F.lit(0))
+def trial_waves(edges: DataFrame, trials: DataFrame, max_depth: int = 5, threshold: float = 0.04, by: tuple[str, ...] = ("trial",), gone: DataFrame | None = None) -> DataFrame:
+    """Wavefronts of many trials in one job: (*by, node_id, activation).
+
+    ``gone``: nodes that are taken out of some trials (columns of ``by``, and node_id).
+    """
+    if gone is not None:
+        on = [c for c in gone.columns if c != "node_id"]
+        trials = trials.join(gone, [*on, "node_id"], "left_anti")
+    state = trials.groupBy(*by, "node_id").agg(F.least(F.max("score"), F.lit(1.0)).alias("activation")).withColumn("entered", F.lit(0))
     edges = edges.select("src", "dst", "weight", "inhibitory")
     for hop in range(1, max_depth + 1):
-        front = state.where((F.col("entered") == hop - 1) & (F.col("activation") >= threshold)).select("trial", "node_id", "activation")
+        front = state.where((F.col("entered") == hop - 1) & (F.col("activation") >= threshold)).select(*by, F.col("node_id").alias("src"), "activation")
         s = F.col("activation") * F.col("weight") * DECAY
-        got = front.join(edges, front.node_id == edges.src).select(F.col("trial").alias("t"), "dst", s.alias("s"), "inhibitory").groupBy("t", "dst").agg(F.max(F.when(~F.col("inhibitory") & (F.col("s") > threshold), F.col("s"))).alias("up"), F.sum(F.when(F.col("inhibitory"), F.col("s") * 0.5)).alias("down"))
-        both = state.join(got, (state.node_id == got.dst) & (state.trial == got.t), "full_outer")
+        sent = front.join(edges, "src").select(*by, F.col("dst").alias("node_id"), s.alias("s"), "inhibitory")
+        if gone is not None:
+            sent = sent.join(gone, [*on, "node_id"], "left_anti")
+        got = sent.groupBy(*by, "node_id").agg(
+            F.max(F.when(~F.col("inhibitory") & (F.col("s") > threshold), F.col("s"))).alias("up"), F.sum(F.when(F.col("inhibitory"), F.col("s") * 0.5)).alias("down")
+        )
         act = F.greatest(F.greatest(F.coalesce("activation", F.lit(0.0)), F.coalesce("up", F.lit(0.0))) - F.coalesce("down", F.lit(0.0)), F.lit(0.0))
-        state = both.select(F.coalesce("trial", "t").alias("trial"), F.coalesce("node_id", "dst").alias("node_id"), act.alias("activation"), F.when(F.col("entered").isNotNull(), F.col("entered")).when(F.col("up").isNotNull(), F.lit(hop)).alias("entered"))
+        entered = F.when(F.col("entered").isNotNull(), F.col("entered")).when(F.col("up").isNotNull(), F.lit(hop))
+        state = state.join(got, [*by, "node_id"], "full_outer").select(*by, "node_id", act.alias("activation"), entered.alias("entered"))
         if hop % 3 == 0 and hop < max_depth:
             state = cut(state)
-    return state.where("activation > 0").select("trial", "node_id", "activation")
+    return state.where("activation > 0").select(*by, "node_id", "activation")
 
 
 def _without(g: PropertyGraph, gone: DataFrame) -> DataFrame:
@@ -98,15 +109,16 @@ def strided_trials(g: PropertyGraph, n: int = 8) -> DataFrame:
 
 
 def total_loss(g: PropertyGraph, trials: DataFrame, removed: DataFrame, max_depth: int) -> DataFrame:
-    """Share of all activation lost for each candidate removal: (candidate, impact). ``removed``: candidate, node_id."""
-    base = trial_waves(g.expanded(), trials, max_depth).groupBy("trial").agg(F.sum("activation").alias("base"))
-    out = None
-    for c in [r["candidate"] for r in removed.select("candidate").distinct().orderBy("candidate").toLocalIterator()]:
-        gone = removed.where(F.col("candidate") == c).select("node_id")
-        kept = trial_waves(_without(g, gone), trials.join(gone, "node_id", "left_anti"), max_depth).groupBy("trial").agg(F.sum("activation").alias("kept"))
-        one = base.join(kept, "trial", "left").agg((1 - F.sum(F.coalesce("kept", F.lit(0.0))) / F.sum("base")).alias("impact")).select(F.lit(c).alias("candidate"), "impact")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Share of all activation lost for each candidate removal: (candidate, impact). ``removed``: candidate, node_id.
+
+    All candidates run in one job: a run is a trial under a candidate's removal.
+    """
+    candidates = removed.select("candidate").distinct()
+    runs = trials.crossJoin(F.broadcast(candidates))  # a few trials under a bounded list of candidates
+    base = trial_waves(g.expanded(), trials, max_depth).agg(F.sum("activation").alias("base"))
+    kept = trial_waves(g.expanded(), runs, max_depth, by=("candidate", "trial"), gone=removed.select("candidate", "node_id")).groupBy("candidate").agg(F.sum("activation").alias("kept"))
+    loss = 1 - F.coalesce("kept", F.lit(0.0)) / F.col("base")
+    return candidates.join(kept, "candidate", "left").crossJoin(F.broadcast(base)).select("candidate", loss.alias("impact"))  # one row
 
 
 def keystones(g: PropertyGraph, candidates: int = 40, keep: int = 20, max_depth: int = 5, trials: int = 8) -> DataFrame:

@@ -60,8 +60,8 @@ def token_score(label: Column, tags: Column, token: str) -> Column:
     )
 
 
-def find_seeds(nodes: DataFrame, query: str, most: int = 200, least: float = 0.1, bias: Column | None = None) -> DataFrame:
-    """(node_id, score): 0.5 mean + 0.35 coverage + 0.15 best over the query's tokens; all exact is 1."""
+def find_seeds(nodes: DataFrame, query: str, most: int | None = 200, least: float = 0.1, bias: Column | None = None) -> DataFrame:
+    """(node_id, score): 0.5 mean + 0.35 coverage + 0.15 best over the query's tokens; all exact is 1. ``most`` None: all, in no order."""
     tokens = query_tokens(query)
     if not tokens:
         return nodes.select("node_id", F.lit(0.0).alias("score")).limit(0)
@@ -72,7 +72,8 @@ def find_seeds(nodes: DataFrame, query: str, most: int = 200, least: float = 0.1
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / k
     mixed = F.least(F.greatest(0.5 * mean + 0.35 * (hit / k) + 0.15 * F.array_max("s") + F.col("bias"), F.lit(0.0)), F.lit(1.0))
     score = F.when(F.forall("s", lambda x: x == 1.0), 1.0).when(hit > 0, mixed).otherwise(F.greatest(F.col("bias"), F.lit(0.0)))
-    return rows.select("node_id", score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "node_id").limit(most)
+    found = rows.select("node_id", score.alias("score")).where(F.col("score") >= least)
+    return found if most is None else found.orderBy(F.desc("score"), "node_id").limit(most)
 
 
 def blend_seeds(basic: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -81,9 +82,9 @@ def blend_seeds(basic: DataFrame, semantic: DataFrame) -> DataFrame:
     return j.select("node_id", (0.6 * F.col("score") + 0.4 * F.coalesce("s2", F.lit(0.0))).alias("score"))
 
 
-def postings(docs: DataFrame, key: str, text: str, longest: int = 200) -> DataFrame:
-    """(gram, key, tf) over the first ``longest`` characters of short labels."""
-    grams = docs.select(key, F.explode(trigrams(F.substring(F.lower(F.col(text)), 1, longest))).alias("gram"))
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(gram, key, tf) over whole texts."""
+    grams = docs.select(key, F.explode(trigrams(F.lower(F.col(text)))).alias("gram"))
     return grams.groupBy("gram", key).agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
@@ -115,7 +116,7 @@ def synonym_boost(label: Column, query: str, boost: float = 0.2) -> Column:
 
 def seek(nodes: DataFrame, query: str, pagerank: DataFrame, top: int = 20, least: float = 0.1) -> DataFrame:
     """0.4 keyword + 0.3 semantic + 0.2 PageRank + 0.1 trigram, ties by PageRank then id: (external_id, score)."""
-    keyword = find_seeds(nodes, query, 1 << 30, 0.0).withColumnRenamed("score", "keyword")
+    keyword = find_seeds(nodes, query, None, 0.0).withColumnRenamed("score", "keyword")
     semantic = tfidf_query(nodes, "node_id", "label", query).withColumnRenamed("cosine", "semantic")
     j = nodes.select("node_id", "external_id", "label").join(keyword, "node_id", "left").join(semantic, "node_id", "left").join(pagerank, "node_id", "left").na.fill(0.0, ["keyword", "semantic", "pagerank"])
     score = 0.4 * F.col("keyword") + 0.3 * F.col("semantic") + 0.2 * F.col("pagerank") + 0.1 * trigram_similarity(F.lit(query.lower()), F.lower("label")) + synonym_boost(F.col("label"), query)

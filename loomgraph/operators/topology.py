@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.metrics import coupling
 from loomgraph.plans.components import connected_components
-from loomgraph.plans.durable import cut
+from loomgraph.plans.durable import cut, stored
+
+#: Vectors of a chunk that is compared with another one.
+CHUNK = 1024
 
 
 def communities(g: PropertyGraph, rounds: int = 10) -> DataFrame:
@@ -75,22 +81,21 @@ def spectral_gap(g: PropertyGraph, iterations: int = 40) -> DataFrame:
     """One row: the second eigenvalue of the Laplacian by power iteration on (2.1 max degree) I - L, and its class.
 
     Each iteration is one join of the vector with the edges; the constant
-    vector is projected out through two scalar sums.
+    vector is projected out through sums that stay in the plan, so the driver
+    sees one number an iteration.
     """
     e = cut(g.undirected().groupBy("src", "dst").agg(F.max("weight").alias("w")).where("src <> dst"))
     deg = e.groupBy("src").agg(F.sum("w").alias("d"))
     ids = cut(g.nodes.select("node_id").join(deg, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("d", F.lit(0.0)).alias("d")))
     top = (ids.agg(F.max("d")).first()[0] or 0.0) * 2.1
-    v = ids.select("node_id", "d", (F.pmod(F.xxhash64("node_id"), F.lit(1000)) / 1000.0 - 0.5).alias("x"))
+    v = ids.select("node_id", "d", (F.pmod(F.col("node_id"), F.lit(1009)) / 1009.0 - 0.5).alias("x"))
     value = 0.0
     for k in range(iterations):
-        mean, n = v.agg(F.avg("x"), F.count(F.lit(1))).first()
-        v = v.withColumn("x", F.col("x") - F.lit(mean or 0.0))
-        norm = v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        v = v.withColumn("x", F.col("x") / F.lit(norm))
+        sums = v.agg(F.avg("x").alias("mean"), F.sqrt(F.greatest(F.sum(F.col("x") * F.col("x")) - F.count(F.lit(1)) * F.pow(F.avg("x"), F.lit(2.0)), F.lit(0.0))).alias("norm"))
+        unit = (F.col("x") - F.col("mean")) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+        v = v.crossJoin(F.broadcast(sums)).select("node_id", "d", unit.alias("x"))  # one row
         got = e.join(v.select(F.col("node_id").alias("dst"), F.col("x").alias("y")), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("y")).alias("ay"))
-        v = v.join(got, v.node_id == got.src, "left").select("node_id", "d", "x", (F.lit(top) * F.col("x") - F.col("d") * F.col("x") + F.coalesce("ay", F.lit(0.0))).alias("z"))
-        v = cut(v)
+        v = cut(v.join(got, v.node_id == got.src, "left").select("node_id", "d", "x", (F.lit(top) * F.col("x") - F.col("d") * F.col("x") + F.coalesce("ay", F.lit(0.0))).alias("z")))
         value, old = v.agg(F.sum(F.col("x") * F.col("z"))).first()[0] or 0.0, value
         v = v.select("node_id", "d", F.col("z").alias("x"))
         if k and abs(value - old) < 1e-8:
@@ -106,15 +111,60 @@ def cosine(a: str, b: str):
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
-def equivalents(vectors: DataFrame, key: str, vector: str, least: float = 0.85, bands: int = 8, bits: int = 6) -> DataFrame:
-    """Pairs of keys with cosine >= ``least`` whose sign patterns agree in a band of components: (a, b, similarity)."""
-    sign = lambda i: (F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)) > 0).cast("int")
-    band = lambda k: reduce(lambda s, i: s * 2 + sign(k * bits + i), range(bits), F.lit(k + 1))
-    rows = vectors.select(key, vector, F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(k).alias("bucket")) for k in range(bands)])).alias("s")).select(key, vector, "s.*")
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
-    scored = pairs.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), cosine(f"x.{vector}", f"y.{vector}").alias("similarity"))
-    return scored.where(F.col("similarity") >= least).distinct()
+def _chunks(rows: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame, int]:
+    """Rows packed into chunks of about ``CHUNK`` by a hash of their key: (chunk, rows)."""
+    rows = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    n = max(1, -(-rows.count() // CHUNK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct("key", "vector")).alias(f"rows_{name}"))
+    return packed, n
+
+
+def similar_pairs(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float | None = None, top: int | None = None) -> DataFrame:
+    """(a, b, similarity): for each query row the other rows of cosine >= ``least``, or the ``top`` nearest; exact.
+
+    Both sides are packed into chunks, and every pair of chunks is one matrix
+    product, so rows are never joined with rows.  A zero vector is like nothing.
+    """
+    spark = rows.sparkSession
+    (x, nx), (y, ny) = _chunks(queries, key, vector, "x"), _chunks(rows, key, vector, "y")
+    pairs = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
+    kind = dict(rows.dtypes)[key]
+
+    def compare(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for qs, rs in zip(batch.column(0), batch.column(1), strict=True):
+                sides = []
+                for side in (qs.as_py(), rs.as_py()):
+                    m = np.array([r["vector"] for r in side], np.float64)
+                    norm = np.sqrt((m * m).sum(1))
+                    sides.append(([r["key"] for r in side], m, norm))
+                (a, ma, na), (b, mb, nb) = sides
+                cos = ma @ mb.T
+                scale = na[:, None] * nb[None, :]
+                cos = np.divide(cos, scale, out=np.zeros_like(cos), where=scale > 0)
+                for i, row in enumerate(cos):
+                    near = np.argsort(-row, kind="stable")
+                    if least is not None:
+                        near = near[row[near] >= least]
+                    if top is not None and len(near) > top + 1:  # one may be the query itself; ties stay
+                        near = near[row[near] >= row[near[top]] - 1e-9]
+                    out += [(a[i], b[j], float(row[j])) for j in near.tolist() if b[j] != a[i]]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            types = [to_arrow_type(rows.schema[key].dataType)] * 2 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "b", "similarity"])
+
+    found = pairs.join(x, "x").join(y, "y").select("rows_x", "rows_y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    if top is None:
+        return found
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 6)), "b")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
+
+
+def equivalents(vectors: DataFrame, key: str, vector: str, least: float = 0.85, queries: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) of cosine >= ``least``: the query rows (all, once a pair, if None) against all rows."""
+    found = similar_pairs(vectors if queries is None else queries, vectors, key, vector, least)
+    return found.where("a < b") if queries is None else found
 
 
 def twin_signature(g: PropertyGraph) -> DataFrame:
@@ -138,57 +188,123 @@ def twins(g: PropertyGraph, scope: DataFrame | None = None, top: int = 50) -> Da
     return s.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("first_node")).where("size > 1").select("size", "first_node").orderBy(F.desc("size"), "first_node").limit(top)
 
 
-def twin_pairs(g: PropertyGraph, scope: DataFrame, least: float = 0.8, top: int = 50) -> DataFrame:
-    """Similar pairs among one representative of each signature in a bounded scope."""
-    reps = twin_signature(g).join(scope.select("node_id"), "node_id", "left_semi").groupBy("signature").agg(F.min("node_id").alias("node_id"))
-    x, y = reps.alias("x"), reps.withColumn("k", F.floor(F.element_at("signature", 1) * 4)).alias("y")
-    x = reps.withColumn("k", F.explode(F.array(*[F.floor(F.element_at("signature", 1) * 4) + d for d in (-1, 0, 1)]))).alias("x")
-    p = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node_id") < F.col("y.node_id"))).select(F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b"), cosine("x.signature", "y.signature").alias("similarity"))
-    return p.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "a", "b").limit(top)
+def twin_pairs(g: PropertyGraph, scope: DataFrame, least: float = 0.8, top: int = 50, queries: DataFrame | None = None) -> DataFrame:
+    """Similar pairs among one representative (the least node) of each signature in a scope, most similar first.
+
+    ``queries``: nodes whose signatures are compared with all (every signature
+    with every other if None).
+    """
+    s = twin_signature(g).join(scope.select("node_id"), "node_id", "left_semi")
+    reps = cut(s.groupBy("signature").agg(F.min("node_id").alias("node_id")))
+    asked = reps if queries is None else reps.join(queries.select("node_id"), "node_id", "left_semi")
+    found = equivalents(reps, "node_id", "signature", least, None if queries is None else asked)
+    return found.orderBy(F.desc(F.round("similarity", 6)), "a", "b").limit(top)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written and read back: unlike a checkpoint it forgets the plan's size estimate, which self-joins in a loop square each time."""
+    return stored(df, "kept")
+
+
+def _settled(start: DataFrame) -> DataFrame:
+    """(node_id, up, dist) with all pointers doubled until they stand on a root (a node that points to itself).
+
+    ``start``: node_id, up, dist.  Pointers into a cycle never settle; they are
+    left as they are once a round settles nothing more.
+    """
+    p, before = _kept(start), None
+    while True:
+        q = p.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        p = _kept(p.join(q, "up").select("node_id", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist")))
+        roots = p.where("up = node_id").select(F.col("node_id").alias("up"))
+        left = p.join(roots, "up", "left_anti").count()
+        if left in (0, before):
+            return p
+        before = left
+
+
+def _sole_pointers(ids: DataFrame, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node_id, up, dist, degree): nodes with one edge in point to its source, others to themselves."""
+    into = edges.groupBy(b).agg(F.count(F.lit(1)).alias("k"), F.min(a).alias("one"))
+    j = ids.join(into, F.col("node_id") == F.col(b), "left")
+    sole = F.coalesce(F.col("k"), F.lit(0)) == 1
+    return j.select("node_id", F.when(sole, F.col("one")).otherwise(F.col("node_id")).alias("up"), sole.cast("long").alias("dist"), F.coalesce("k", F.lit(0)).alias("degree"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node_id, scc): trim sources and sinks, then colour by the least ancestor and cut along colours, until nothing is left."""
-    ids, e = cut(nodes.select("node_id")), cut(edges.select("src", "dst").where("src <> dst").distinct())
-    out = None
+def _behind_ends(ids: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Nodes without an edge in, and chains of nodes whose sole edge comes from such a chain: none is on a cycle."""
+    start = _kept(_sole_pointers(ids, edges, a, b))
+    ends = start.where("degree = 0").select(F.col("node_id").alias("up"))
+    return _settled(start.drop("degree")).join(ends, "up", "left_semi").select("node_id")
 
-    def add(df):
-        nonlocal out
-        out = df if out is None else out.unionByName(df)
 
-    for _ in range(most_rounds):
-        live = e.select(F.col("src").alias("node_id")).intersect(e.select(F.col("dst").alias("node_id")))
-        lone = ids.join(live, "node_id", "left_anti")
+def _least_reaching(ids: DataFrame, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node_id, c): the least node from which a node is reached (itself included); labels jump over labels."""
+    colour = ids.select("node_id", F.col("node_id").alias("c"))
+    while True:
+        near = edges.join(colour, edges[a] == colour.node_id).groupBy(b).agg(F.min("c").alias("m"))
+        step = colour.join(near, colour.node_id == near[b], "left").select("node_id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        step = _kept(step)
+        over = step.select(F.col("node_id").alias("c"), F.col("c").alias("c2"))
+        step = _kept(step.join(over, "c").select("node_id", "old", F.least("c", "c2").alias("c")))
+        colour = step.select("node_id", "c")
+        if not step.where("c <> old").limit(1).count():
+            return colour
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, scc) of every node: chains of sources and sinks are trimmed, then nodes are coloured by their least
+    ancestor and those that reach it within their colour are taken out, until nothing is left."""
+    ids, e = _kept(nodes.select("node_id").distinct()), _kept(edges.select("src", "dst").where("src <> dst").distinct())
+    found = []
+
+    def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = _kept(ids.join(gone.select("node_id"), "node_id", "left_anti"))
+        kept = e.join(left.withColumnRenamed("node_id", "src"), "src", "left_semi").join(left.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+        return left, _kept(kept.select("src", "dst"))
+
+    while ids.limit(1).count():
+        lone = _kept(_behind_ends(ids, e, "src", "dst").union(_behind_ends(ids, e, "dst", "src")).distinct())
         if lone.limit(1).count():
-            add(lone.select("node_id", F.col("node_id").alias("scc")))
-            ids = cut(ids.join(live, "node_id", "left_semi"))
-            e = cut(e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst"))
+            found.append(lone.select("node_id", F.col("node_id").alias("scc")))
+            ids, e = without(lone)
             continue
-        if not ids.limit(1).count():
+        colour = _least_reaching(ids, e)
+        s, t = colour.select(F.col("node_id").alias("src"), F.col("c").alias("cs")), colour.select(F.col("node_id").alias("dst"), F.col("c").alias("ct"))
+        inside = _kept(e.join(s, "src").join(t, "dst").where("cs = ct").select("src", "dst"))
+        back = _least_reaching(ids, inside, "dst", "src").withColumnRenamed("c", "reached")  # a colour's name is its least node
+        one = _kept(colour.join(back, "node_id").where("c = reached").select("node_id", F.col("c").alias("scc")))
+        found.append(one)
+        ids, e = without(one)
+    return reduce(DataFrame.unionByName, found) if found else nodes.select("node_id", F.col("node_id").alias("scc")).limit(0)
+
+
+def longest_depths(nodes: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:
+    """(node_id, depth): edges of the longest path into each node of an acyclic graph.
+
+    A node with one edge in is one deeper than its source, so chains of these
+    are followed by doubling; only nodes with several edges in are relaxed,
+    ``steps`` times between checks.
+    """
+    ids, e = _kept(nodes.select("node_id").distinct()), _kept(edges.select("src", "dst").distinct())
+    start = _kept(_sole_pointers(ids, e))
+    chain = _settled(start.drop("degree"))
+    hard = start.where("degree > 1").select(F.col("node_id").alias("dst"))
+    up = chain.select(F.col("node_id").alias("src"), F.col("up").alias("root"), "dist")
+    w = _kept(e.join(hard, "dst", "left_semi").join(up, "src").groupBy("root", "dst").agg((F.max("dist") + 1).alias("w")))
+    depth = start.where("degree <> 1").select("node_id", F.lit(0).cast("long").alias("depth"))
+    while True:
+        new = depth
+        for _ in range(steps):
+            got = w.join(new, w.root == new.node_id).groupBy("dst").agg(F.max(F.col("depth") + F.col("w")).alias("d"))
+            new = new.join(got, new.node_id == got.dst, "left").select("node_id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"))
+        new = _kept(new)
+        moved = new.join(depth.withColumnRenamed("depth", "old"), "node_id").where("depth <> old").limit(1).count()
+        depth = new
+        if not moved:
             break
-        colour = ids.select("node_id", F.col("node_id").alias("c"))
-        before = None
-        while True:
-            up = e.join(colour, e.src == colour.node_id).groupBy("dst").agg(F.min("c").alias("m"))
-            colour = cut(colour.join(up, colour.node_id == up.dst, "left").select("node_id", F.least("c", F.coalesce("m", "c")).alias("c")))
-            state = colour.agg(F.sum("c")).first()[0]
-            if state == before:
-                break
-            before = state
-        inside = cut(e.join(colour.select(F.col("node_id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node_id").alias("dst"), F.col("c").alias("ct")), "dst").where("cs = ct").select("src", "dst", "cs"))
-        found = colour.where("node_id = c").select("node_id", F.col("c").alias("scc"))
-        size = None
-        while True:
-            more = inside.join(found.select(F.col("node_id").alias("dst"), "scc"), "dst").where("cs = scc").select(F.col("src").alias("node_id"), "scc")
-            found = cut(found.unionByName(more).distinct())
-            n = found.count()
-            if n == size:
-                break
-            size = n
-        add(found)
-        ids = cut(ids.join(found, "node_id", "left_anti"))
-        e = cut(e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst"))
-    return out
+    root = depth.select(F.col("node_id").alias("up"), F.col("depth").alias("base"))
+    return chain.join(root, "up").select("node_id", (F.col("base") + F.col("dist")).alias("depth"))
 
 
 def layers(g: PropertyGraph, most: int = 8, acyclic: bool = False) -> DataFrame:
@@ -199,15 +315,7 @@ def layers(g: PropertyGraph, most: int = 8, acyclic: bool = False) -> DataFrame:
         scc = cut(strong_components(g.nodes, g.edges))
     s, t = scc.select(F.col("node_id").alias("src"), F.col("scc").alias("a")), scc.select(F.col("node_id").alias("dst"), F.col("scc").alias("b"))
     e = cut(g.edges.select("src", "dst").join(s, "src").join(t, "dst").where("a <> b").select("a", "b").distinct())
-    depth = scc.select("scc").distinct().withColumn("depth", F.lit(0))
-    before = None
-    while True:
-        up = e.join(depth, e.a == depth.scc).groupBy("b").agg((F.max("depth") + 1).alias("d"))
-        depth = cut(depth.join(up, depth.scc == up.b, "left").select("scc", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")))
-        state = depth.agg(F.sum("depth")).first()[0]
-        if state == before:
-            break
-        before = state
+    depth = longest_depths(scc.select(F.col("scc").alias("node_id")), e.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node_id", "scc")
     top = depth.agg(F.max("depth").alias("top"))
     level = F.when(F.col("top") < most, F.col("depth")).otherwise(F.floor(F.col("depth") * most / (F.col("top") + 1))).cast("int")
     return scc.join(depth, "scc").crossJoin(F.broadcast(top)).select("node_id", level.alias("layer"))  # one row
@@ -251,6 +359,33 @@ def refactor_plan(g: PropertyGraph, group: DataFrame, least: int = 3, most: int
     return out.crossJoin(F.broadcast(total)).select("community", "n_nodes", "cohesion", "interface", risk.alias("risk"), (loss - 0.5 * F.col("cohesion")).alias("_order")).orderBy("_order", "community").limit(most).drop("_order")
 
 
+def topology_report(g: PropertyGraph, group: DataFrame | None = None, iterations: int = 40) -> DataFrame:
+    """One row: communities, their modularity, bridges between them, spectral gap and robustness.
+
+    ``group``: node_id, community; found by :func:`communities` if None.
+    """
+    group = cut(communities(g)) if group is None else group
+    counts = group.agg(F.count_distinct("community").alias("n_communities"), F.count(F.lit(1)).alias("n_nodes"))
+    crossing = bridges(g, group).agg(F.count(F.lit(1)).alias("n_bridges"))
+    return counts.crossJoin(modularity(g, group)).crossJoin(crossing).crossJoin(spectral_gap(g, iterations))  # one row each
+
+
+def scale_views(g: PropertyGraph, scales: int = 1) -> DataFrame:
+    """(scale, community, size, internal, crossing): communities, then communities of the graph of communities, and so on."""
+    out, here = [], g
+    label = g.nodes.select("node_id", F.col("node_id").alias("at"))
+    for scale in range(scales):
+        group = cut(communities(here))
+        label = cut(label.join(group.select(F.col("node_id").alias("at"), "community"), "at").select("node_id", F.col("community").alias("at")))
+        view = coupling(g.edges, label.withColumnRenamed("at", "community"))
+        out.append(view.select(F.lit(scale).alias("scale"), "community", F.col("n_nodes").alias("size"), "internal", "crossing"))
+        s, t = group.select(F.col("node_id").alias("src"), F.col("community").alias("a")), group.select(F.col("node_id").alias("dst"), F.col("community").alias("b"))
+        e = here.undirected().join(s, "src").join(t, "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        nodes = group.select(F.col("community").alias("node_id")).distinct()
+        here = PropertyGraph(nodes, cut(e.where("src < dst").withColumn("relation", F.lit("coarse"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def cross_pairs_top(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     w = Window.partitionBy(by).orderBy(order)

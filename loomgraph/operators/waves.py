@@ -18,13 +18,13 @@ def local_maxima(df: DataFrame, order: str, value: str, by: list[str]) -> DataFr
     return df.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)}).where((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n"))).drop("_p", "_n")
 
 
-def standing_wave(g: PropertyGraph, seeds: DataFrame, tones: DataFrame, hops: int = 4, least: float = 0.01, budget: int | None = 50_000) -> DataFrame:
+def standing_wave(g: PropertyGraph, seeds: DataFrame, tones: DataFrame, hops: int = 4, least: float = 0.01, budget: int | None = None) -> DataFrame:
     """(tone, node_id, amplitude) of pulses with phase, all tones in one job.
 
     ``tones``: tone, frequency, wavelength.  A dead end reflects at 0.9 and half
     a turn; a hub (over four times the mean degree) reflects 0.3 likewise and
-    lets 0.7 through; a pulse splits over the out-edges.  The budget keeps the
-    strongest pulses of a hop in a total order.
+    lets 0.7 through; a pulse splits over the out-edges.  Pulses below ``least``
+    die.  A ``budget`` keeps only the strongest pulses of a hop, in a total order.
     """
     e = g.undirected().select("src", "dst", "weight")
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
@@ -50,10 +50,10 @@ def standing_wave(g: PropertyGraph, seeds: DataFrame, tones: DataFrame, hops: in
     return z.select("tone", "node_id", F.hypot("x", "y").alias("amplitude"))
 
 
-def harmonics(g: PropertyGraph, seeds: DataFrame, frequency: float = 1.0, wavelength: float = 4.0, n: int = 5, least: float = 0.05, hops: int = 4) -> DataFrame:
-    """(node_id, signature): the harmonics in which a node swings."""
+def harmonics(g: PropertyGraph, seeds: DataFrame, frequency: float = 1.0, wavelength: float = 4.0, n: int = 5, least: float = 0.05, hops: int = 4, faintest: float = 0.01) -> DataFrame:
+    """(node_id, signature): the harmonics in which a node swings by ``least``; pulses die below ``faintest``."""
     tones = g.nodes.sparkSession.createDataFrame([(h, frequency * h, wavelength / h) for h in range(1, n + 1)], "tone int, frequency double, wavelength double")
-    w = standing_wave(g, seeds, tones, hops).where(F.col("amplitude") >= least)
+    w = standing_wave(g, seeds, tones, hops, faintest).where(F.col("amplitude") >= least)
     return w.groupBy("node_id").agg(F.concat_ws(",", F.array_sort(F.collect_set(F.col("tone").cast("string")))).alias("signature"))
 
 
@@ -65,7 +65,19 @@ def sweep(g: PropertyGraph, seeds: DataFrame, low: float = 0.1, high: float = 10
     return local_maxima(energy.withColumn("_one", F.lit(1)), "tone", "energy", ["_one"]).select("frequency", "energy")
 
 
-def sympathetic(g: PropertyGraph, seeds: DataFrame, frequency: float = 1.0, wavelength: float = 4.0, least: float = 0.05, hops: int = 4) -> DataFrame:
-    """Nodes that swing outside the seeds' two-hop surroundings."""
+def sympathetic(g: PropertyGraph, seeds: DataFrame, frequency: float = 1.0, wavelength: float = 4.0, least: float = 0.05, hops: int = 4, faintest: float = 0.01) -> DataFrame:
+    """Nodes that swing by ``least`` outside the seeds' two-hop surroundings; pulses die below ``faintest``."""
     tones = g.nodes.sparkSession.createDataFrame([(1, frequency, wavelength)], "tone int, frequency double, wavelength double")
-    return standing_wave(g, seeds, tones, hops).where(F.col("amplitude") >= least).join(reach(g, seeds, 2, "both").select("node_id"), "node_id", "left_anti").select("node_id", "amplitude")
+    loud = standing_wave(g, seeds, tones, hops, faintest).where(F.col("amplitude") >= least)
+    return loud.join(reach(g, seeds, 2, "both").select("node_id"), "node_id", "left_anti").select("node_id", "amplitude")
+
+
+def wave_export(g: PropertyGraph, wave: DataFrame, least: float = 0.0) -> DataFrame:
+    """A wave pattern for other programs: (tone, external_id, label, amplitude, kind), loudest first.
+
+    ``wave``: tone, node_id, amplitude; antinodes swing by half of the tone's loudest or more, nodes by a tenth or less.
+    """
+    top = wave.groupBy("tone").agg(F.max("amplitude").alias("top"))
+    kind = F.when(F.col("amplitude") >= 0.5 * F.col("top"), "antinode").when(F.col("amplitude") <= 0.1 * F.col("top"), "node").otherwise("between")
+    rows = g.named(wave.where(F.col("amplitude") >= least), "external_id", "label").join(top, "tone")
+    return rows.select("tone", "external_id", "label", "amplitude", kind.alias("kind")).orderBy("tone", F.desc("amplitude"), "external_id")

@@ -63,12 +63,13 @@ def coalesced_changes(changes: DataFrame, debounce: str = "200 milliseconds", la
     return changes.withWatermark("ts", late).groupBy(F.session_window("ts", debounce), "path").agg(F.max_by("kind", "ts").alias("kind"), F.max("ts").alias("at"))
 
 
-def tick(tracked: DataFrame, live: DataFrame, most: int = 32) -> DataFrame:
-    """One maintenance step: (path, change) of files that appeared, changed or went, newest first. Columns: path, size, mtime, hash."""
+def tick(tracked: DataFrame, live: DataFrame, most: int | None = 32) -> DataFrame:
+    """One maintenance step: (path, change) of files that appeared, changed or went, newest first (``most`` None: all, in no order). Columns: path, size, mtime, hash."""
     t = tracked.select("path", F.struct("size", "mtime", "hash").alias("t"))
     n = live.select("path", "mtime", F.struct("size", "mtime", "hash").alias("n"))
     change = F.when(F.col("t").isNull(), "added").when(F.col("n").isNull(), "deleted").when(F.col("t") != F.col("n"), "modified")
-    return t.join(n, "path", "full_outer").select("path", change.alias("change"), F.coalesce("mtime", F.lit(0.0)).alias("mtime")).where("change IS NOT NULL").orderBy(F.desc("mtime"), "path").limit(most)
+    found = t.join(n, "path", "full_outer").select("path", change.alias("change"), F.coalesce("mtime", F.lit(0.0)).alias("mtime")).where("change IS NOT NULL")
+    return found if most is None else found.orderBy(F.desc("mtime"), "path").limit(most)
 
 
 def ingest_stream(source: DataFrame, state_path: str, checkpoint: str):

@@ -120,3 +120,110 @@ def test_trials_are_strided_over_all_nodes_of_a_large_graph(spark):
     got = values(spread.strided_trials(PropertyGraph(nodes, edges), 8), "trial", "node_id")
     order = [*range(n - hubs + 1, n + 1), *range(1, n - hubs + 1)]
     assert got == {t: order[t * (n // 8)] for t in range(8)}
+
+
+def plain_graph(spark, n, edges):
+    nodes = spark.createDataFrame([(i, f"n{i}", f"n{i}", 2, [], 0.0) for i in range(n)], "node_id long, external_id string, label string, node_type int, tags array<string>, last_modified double")
+    rows = [(a, b, "calls", 1.0, 0.5, False, 0) for a, b in edges]
+    return PropertyGraph(nodes, spark.createDataFrame(rows, "src long, dst long, relation string, weight double, causal_strength double, inhibitory boolean, direction int"))
+
+
+def brute_scc(n, edges):
+    """The least node of each node's strong component, by plain reachability."""
+    out = {i: {b for a, b in edges if a == i} for i in range(n)}
+
+    def reached(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in out[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        return seen
+
+    r = {i: reached(i) for i in range(n)}
+    return {i: min(j for j in r[i] if i in r[j]) for i in range(n)}
+
+
+def test_strong_components_keep_every_node_of_chains_and_rings(spark):
+    chain = [(i, i + 1) for i in range(499)]
+    got = values(topology.strong_components(*(lambda g: (g.nodes, g.edges))(plain_graph(spark, 500, chain))), "node_id", "scc")
+    assert got == {i: i for i in range(500)}
+    depth = values(topology.longest_depths(*(lambda g: (g.nodes, g.edges))(plain_graph(spark, 500, chain))), "node_id", "depth")
+    assert depth == {i: i for i in range(500)}
+    ring = [(i, (i + 1) % 60) for i in range(60)]  # a ring with a chain into and out of every tenth node
+    edges = ring + [(60 + 10 * k + j, 60 + 10 * k + j + 1) for k in range(6) for j in range(9)] + [(69 + 10 * k, 10 * k) for k in range(6)] + [(10 * k + 5, 120 + k) for k in range(6)] + [(3, 3)]
+    got = values(topology.strong_components(*(lambda g: (g.nodes, g.edges))(plain_graph(spark, 130, edges))), "node_id", "scc")
+    assert got == brute_scc(130, edges)
+
+
+def test_strong_components_equal_reachability(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = list({(rng.randrange(60), rng.randrange(60)) for _ in range(75)})
+    got = values(topology.strong_components(*(lambda g: (g.nodes, g.edges))(plain_graph(spark, 60, edges))), "node_id", "scc")
+    assert got == brute_scc(60, edges)
+
+
+def test_longest_depths_equal_recursion(spark):
+    import functools
+    import random
+
+    rng = random.Random(4)
+    edges = list({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
+
+    @functools.cache
+    def depth(i):
+        return max((depth(a) + 1 for a, b in edges if b == i), default=0)
+
+    g = plain_graph(spark, 40, edges)
+    assert values(topology.longest_depths(g.nodes, g.edges), "node_id", "depth") == {i: depth(i) for i in range(40)}
+    lay = values(topology.layers(g, most=100), "node_id", "layer")
+    assert lay == {i: depth(i) for i in range(40)}
+
+
+def test_similar_pairs_equal_all_cosines(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topology, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(70, 5)).round(3))] + [(900, [0.0] * 5), (901, None)]
+    df = spark.createDataFrame(vectors, "k long, v array<double>")
+    m = np.array([v for _, v in vectors[:70]])
+    m /= np.sqrt((m * m).sum(1))[:, None]
+    cos = m @ m.T
+    want = {(i, j): cos[i, j] for i in range(70) for j in range(i + 1, 70) if cos[i, j] >= 0.7}
+    got = {(r["a"], r["b"]): r["similarity"] for r in topology.equivalents(df, "k", "v", 0.7).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    near = topology.similar_pairs(df.where("k % 10 = 0"), df, "k", "v", top=3)
+    for a in range(0, 70, 10):
+        best = sorted((j for j in range(70) if j != a), key=lambda j: (-round(cos[a, j], 6), j))[:3]
+        assert sorted(r["b"] for r in near.where(F.col("a") == a).collect()) == sorted(best)
+
+
+def test_guards_by_label_tag_and_neighbour(spark):
+    g, at = graph(spark, ["get_lock", "b", "c", "d"], [("b", "get_lock", "calls", 1), ("c", "b", "calls", 1)])
+    tagged = g.nodes.withColumn("tags", F.when(F.col("label") == "d", F.array(F.lit("Mutex"))).otherwise(F.col("tags")))
+    got = values(flow.guards(PropertyGraph(tagged, g.edges), flow.VALVES), "node_id", "by")
+    assert got == {at["get_lock"]: "self", at["b"]: "neighbour", at["d"]: "self"}
+
+
+def test_total_loss_of_all_candidates_equals_one_by_one(spark):
+    g = plain_graph(spark, 12, [(i, j) for i in range(12) for j in range(12) if (i * 5 + j) % 4 == 1 and i != j])
+    trials = spark.createDataFrame([(0, 0, 1.0), (1, 3, 1.0)], "trial int, node_id long, score double")
+    removed = spark.createDataFrame([(1, 1), (3, 3), (-1, 1), (-1, 3)], "candidate long, node_id long")
+    got = values(spread.total_loss(g, trials, removed, 3), "candidate", "impact")
+    for c, gone in ((1, ["n1"]), (3, ["n3"]), (-1, ["n1", "n3"])):
+        ids = g.seeds(gone).select("node_id")
+        base = spread.trial_waves(g.expanded(), trials, 3).agg(F.sum("activation")).first()[0]
+        kept = spread.trial_waves(spread._without(g, ids), trials.join(ids, "node_id", "left_anti"), 3).agg(F.sum("activation")).first()[0] or 0.0
+        assert got[c] == pytest.approx(1 - kept / base)
+
+
+def test_topology_report_and_scales(spark):
+    two = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)]
+    g = plain_graph(spark, 6, two)
+    r = topology.topology_report(g, iterations=20).first()
+    assert r["n_communities"] == 2 and r["n_nodes"] == 6 and r["n_bridges"] == 1 and r["modularity"] > 0.2 and r["robustness"] in ("Moderate", "Robust")
+    views = topology.scale_views(g, 2).collect()
+    assert {(v["scale"], v["size"]) for v in views if v["scale"] == 0} == {(0, 3)} and sum(v["size"] for v in views if v["scale"] == 1) == 6
