@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 #: Most rows and bytes of a side that may be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 96 << 20
 
+#: Bytes of a row group of an intermediate table: what a task holds of it to write or read it.
+ROW_GROUP_BYTES = 8 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -53,7 +56,7 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -84,14 +87,16 @@ def _clear() -> None:
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of at most so many rows between the JVM and Python, for wide rows in what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Batches of at most so many rows from files and between the JVM and Python, for wide rows in what runs inside."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, now in before.items():
+        spark.conf.set(key, str(min(rows, int(now)) if int(now) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, now in before.items():
+            spark.conf.set(key, now)
 
 
 def parts(spark: SparkSession) -> int:
