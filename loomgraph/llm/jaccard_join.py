@@ -62,7 +62,7 @@ LEAST_LEVEL, FREQUENT = 3, 1_000_000
 #: Values that a task holds before it passes them on (shingles that are counted: more, as gaps between them shrink).
 HELD, COUNTED = 1 << 18, 1 << 20
 #: Rows of a batch of texts or sets.
-ROWS_A_BATCH = 1000
+ROWS_A_BATCH = 500
 #: Blocks of a list from which it is met by size bands.
 LONG_LIST = 32
 #: Rows of one shingle or leader that go to one task before they are salted; followers of a chunk, and shingles of them all.
