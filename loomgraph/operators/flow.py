@@ -36,7 +36,7 @@ def entry_points(nodes: DataFrame, most: int = 100, prefixes: tuple[str, ...] =
     starts = reduce(lambda a, b: a | b, [F.lower("label").startswith(p) for p in prefixes])
     rows = nodes.where(((F.col("node_type") == 2) & starts) | (F.col("node_type") == 0)).withColumn("function", (F.col("node_type") == 2).cast("int"))
     top = rows.agg(F.max("function").alias("top"))
-    return rows.crossJoin(F.broadcast(top)).where("function = top").orderBy(F.desc("pagerank"), "node_id").limit(most).select("node_id")  # one row
+    return rows.crossJoin(F.broadcast(top)).where("function = top").orderBy(F.desc(F.round("pagerank", 9)), "node_id").limit(most).select("node_id")  # one row
 
 
 def flow_paths(g: PropertyGraph, entries: DataFrame, max_depth: int = 15, least: float = 0.1, budget: int | None = None) -> DataFrame:

@@ -125,7 +125,7 @@ def keystones(g: PropertyGraph, candidates: int = 40, keep: int = 20, max_depth:
     """(node_id, impact): the candidates of largest out-degree whose removal costs most; a bounded list."""
     top = cut(g.degrees().orderBy(F.desc("out_degree"), "node_id").limit(candidates).select(F.col("node_id").alias("candidate"), "node_id"))
     impact = total_loss(g, cut(strided_trials(g, trials)), top, max_depth)
-    return impact.select(F.col("candidate").alias("node_id"), "impact").orderBy(F.desc("impact"), "node_id").limit(keep)
+    return impact.select(F.col("candidate").alias("node_id"), "impact").orderBy(F.desc(F.round("impact", 9)), "node_id").limit(keep)
 
 
 def synergy(g: PropertyGraph, nodes: list[str], max_depth: int = 5, trials: int = 8) -> DataFrame:

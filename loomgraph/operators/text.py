@@ -120,7 +120,32 @@ def seek(nodes: DataFrame, query: str, pagerank: DataFrame, top: int = 20, least
     semantic = tfidf_query(nodes, "node_id", "label", query).withColumnRenamed("cosine", "semantic")
     j = nodes.select("node_id", "external_id", "label").join(keyword, "node_id", "left").join(semantic, "node_id", "left").join(pagerank, "node_id", "left").na.fill(0.0, ["keyword", "semantic", "pagerank"])
     score = 0.4 * F.col("keyword") + 0.3 * F.col("semantic") + 0.2 * F.col("pagerank") + 0.1 * trigram_similarity(F.lit(query.lower()), F.lower("label")) + synonym_boost(F.col("label"), query)
-    return j.select("external_id", score.alias("score"), "pagerank").where(F.col("score") >= least).orderBy(F.desc("score"), F.desc("pagerank"), "external_id").limit(top)
+    return j.select("external_id", score.alias("score"), "pagerank").where(F.col("score") >= least).orderBy(F.desc(F.round("score", 9)), F.desc(F.round("pagerank", 9)), "external_id").limit(top)
+
+
+def search_semantic(nodes: DataFrame, query: str, top: int = 20) -> DataFrame:
+    """(external_id, node_id, score): nodes by the trigram cosine of their labels with a query."""
+    found = tfidf_query(nodes, "node_id", "label", query).withColumnRenamed("cosine", "score")
+    return nodes.select("node_id", "external_id").join(found, "node_id").orderBy(F.desc(F.round("score", 9)), "node_id").limit(top)
+
+
+def semantic_query(nodes: DataFrame, query: str, strengths: DataFrame, top: int = 20, fast: bool = False) -> DataFrame:
+    """(node_id, score): trigram cosine, co-occurrence with the best hits, and synonyms, 0.4 / 0.4 / 0.2.
+
+    ``strengths``: (a, b, strength) of co-occurring nodes.  ``fast``: the first
+    ``3 top`` nodes by cosine are candidates, re-ranked by cosine and the mean
+    co-occurrence with the three best of them, half each.
+    """
+    base = tfidf_query(nodes, "node_id", "label", query).withColumnRenamed("cosine", "ngram")
+    order = [F.desc(F.round("ngram", 9)), F.col("node_id")]
+    if fast:
+        base = base.orderBy(*order).limit(3 * top)
+    best = base.orderBy(*order).limit(3).select(F.col("node_id").alias("hit"))
+    both = strengths.select("a", "b", "strength").unionByName(strengths.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength")).groupBy("a", "b").agg(F.max("strength").alias("strength"))
+    near = both.join(F.broadcast(best), F.col("a") == F.col("hit")).groupBy(F.col("b").alias("node_id")).agg((F.sum("strength") / 3).alias("together"))  # three rows
+    rows = base.join(near, "node_id", "left" if fast else "full_outer").na.fill(0.0, ["ngram", "together"]).join(nodes.select("node_id", "label"), "node_id")
+    score = 0.5 * F.col("ngram") + 0.5 * F.col("together") if fast else 0.4 * F.col("ngram") + 0.4 * F.col("together") + 0.2 * F.when(synonym_boost(F.col("label"), query) > 0, 1.0).otherwise(0.0)
+    return rows.select("node_id", score.alias("score")).where("score > 0").orderBy(F.desc(F.round("score", 9)), "node_id").limit(top)
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

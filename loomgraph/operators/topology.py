@@ -128,7 +128,7 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, key: str, vector: str, le
     spark = rows.sparkSession
     (x, nx), (y, ny) = _chunks(queries, key, vector, "x"), _chunks(rows, key, vector, "y")
     pairs = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
-    kind = dict(rows.dtypes)[key]
+    kind, arrow = dict(rows.dtypes)[key], to_arrow_type(rows.schema[key].dataType)
 
     def compare(batches):
         for batch in batches:
@@ -151,7 +151,7 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, key: str, vector: str, le
                         near = near[row[near] >= row[near[top]] - 1e-9]
                     out += [(a[i], b[j], float(row[j])) for j in near.tolist() if b[j] != a[i]]
             cols = list(zip(*out, strict=True)) or [()] * 3
-            types = [to_arrow_type(rows.schema[key].dataType)] * 2 + [pa.float64()]
+            types = [arrow, arrow, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "b", "similarity"])
 
     found = pairs.join(x, "x").join(y, "y").select("rows_x", "rows_y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")

@@ -61,7 +61,7 @@ def sweep(g: PropertyGraph, seeds: DataFrame, low: float = 0.1, high: float = 10
     """Resonant frequencies: local maxima of total energy over a sweep."""
     fs = [low + (high - low) * k / (steps - 1) for k in range(steps)]
     tones = g.nodes.sparkSession.createDataFrame([(k, f, max(10.0 / f, 0.1)) for k, f in enumerate(fs)], "tone int, frequency double, wavelength double")
-    energy = standing_wave(g, seeds, tones, hops).groupBy("tone").agg(F.sum("amplitude").alias("energy")).join(F.broadcast(tones), "tone")
+    energy = standing_wave(g, seeds, tones, hops).groupBy("tone").agg(F.round(F.sum("amplitude"), 9).alias("energy")).join(F.broadcast(tones), "tone")
     return local_maxima(energy.withColumn("_one", F.lit(1)), "tone", "energy", ["_one"]).select("frequency", "energy")
 
 
@@ -78,6 +78,7 @@ def wave_export(g: PropertyGraph, wave: DataFrame, least: float = 0.0) -> DataFr
     ``wave``: tone, node_id, amplitude; antinodes swing by half of the tone's loudest or more, nodes by a tenth or less.
     """
     top = wave.groupBy("tone").agg(F.max("amplitude").alias("top"))
-    kind = F.when(F.col("amplitude") >= 0.5 * F.col("top"), "antinode").when(F.col("amplitude") <= 0.1 * F.col("top"), "node").otherwise("between")
+    swing = F.round("amplitude", 9)
+    kind = F.when(swing >= F.round(0.5 * F.col("top"), 9), "antinode").when(swing <= F.round(0.1 * F.col("top"), 9), "node").otherwise("between")
     rows = g.named(wave.where(F.col("amplitude") >= least), "external_id", "label").join(top, "tone")
     return rows.select("tone", "external_id", "label", "amplitude", kind.alias("kind")).orderBy("tone", F.desc("amplitude"), "external_id")

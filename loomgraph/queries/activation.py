@@ -138,14 +138,23 @@ def g12_spectral_pulses(spark, sf_dir):
     return activation.spectral_pulses(g, g.seeds(SEEDS), 3, budget=None).withColumn("amplitude", F.round("amplitude", 4))
 
 
+_ANTI = (
+    "deg AS (SELECT node_id, count(*) FILTER (o = 1) AS out_degree, count(*) AS deg FROM (SELECT src AS node_id, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node_id), "
+    f"sd AS (SELECT * FROM {_SEED_SQL}), m AS (SELECT avg(deg) AS mean FROM deg JOIN sd USING (node_id)), hood AS (SELECT dst AS node_id FROM edges JOIN sd ON src = node_id UNION SELECT node_id FROM sd), ins AS (SELECT src AS node_id, count(*) AS inside FROM edges WHERE dst IN (SELECT node_id FROM hood) GROUP BY src), "
+    "c AS (SELECT node_id, coalesce(inside, 0) / out_degree::DOUBLE AS share, CASE WHEN node_id IN (SELECT node_id FROM hood) THEN 0 ELSE 1 END AS outside FROM deg LEFT JOIN ins USING (node_id), m WHERE deg / mean >= 0.3::DOUBLE AND out_degree > 0 AND node_id NOT IN (SELECT node_id FROM sd)), "
+    "antis AS MATERIALIZED (SELECT node_id FROM c WHERE share <= 0.2::DOUBLE ORDER BY outside + 1 - share DESC, node_id LIMIT 3)"
+)
+
+
+@query(
+    f"WITH {_ANTI}, {_pulse_sql(2, 'hot', _SEED_SQL)}, {_pulse_sql(2, 'cold', 'antis')}, i1 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN sd ON src = node_id), i2 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN i1 ON src = node_id), im AS (SELECT node_id FROM sd UNION SELECT * FROM i1 UNION SELECT * FROM i2), ad AS (SELECT node_id, coalesce(deg, 0)::DOUBLE AS deg FROM nodes LEFT JOIN deg USING (node_id)), "
+    "z AS (SELECT node_id, (hot.amplitude - coalesce(k.amplitude, 0)) * least(greatest(deg / (SELECT avg(deg) FROM ad), 0.3), 2) AS net FROM hot LEFT JOIN (SELECT * FROM cold WHERE node_id NOT IN (SELECT node_id FROM im)) k USING (node_id) JOIN ad USING (node_id)), s AS (SELECT node_id, 1 / (1 + exp(-least(greatest(6 * net, -20), 20))) AS score FROM z) SELECT external_id, round(score, 6) AS score FROM s JOIN nodes USING (node_id) WHERE score > 0.01"
+)
 def g13_xlr(spark, sf_dir):
     g = full_graph(spark, sf_dir).finalised()
     return g.named(activation.xlr(g, g.seeds(SEEDS), 2), "external_id").select("external_id", r6("score").alias("score"))
 
 
-query()(g13_xlr)
-
-
 # --- epidemic -------------------------------------------------------------------------------------
 
 
@@ -196,13 +205,29 @@ def g35_redundancy(spark, sf_dir):
     return d.select("external_id", F.least("out_degree", "in_degree").alias("alternatives"))
 
 
-@query()
+# The spine is a forest: a node is reached from a trial's seed along one path, of 1, 0.55 and 0.3025.
+_STRIDED = (
+    "od AS (SELECT node_id, count(src) AS o FROM spine_nodes LEFT JOIN spine_edges ON src = node_id GROUP BY node_id), rk AS (SELECT node_id, o, row_number() OVER (ORDER BY o DESC, node_id) - 1 AS r FROM od), sr AS (SELECT greatest(1, count(*) // 8) AS stride FROM od), "
+    "tr AS MATERIALIZED (SELECT r // stride AS trial, node_id AS seed FROM rk, sr WHERE r % stride = 0 AND r // stride < 8), h1 AS MATERIALIZED (SELECT seed, dst AS mid FROM tr JOIN spine_edges ON src = seed), h2 AS MATERIALIZED (SELECT seed, mid, dst AS leaf FROM h1 JOIN spine_edges ON src = mid), "
+    "base AS (SELECT (SELECT count(*) FROM tr) + 0.55::DOUBLE * (SELECT count(*) FROM h1) + 0.3025::DOUBLE * (SELECT count(*) FROM h2) AS base)"
+)
+_KEPT = (
+    "kept AS (SELECT c.candidate, (SELECT count(*) FROM tr WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) + 0.55::DOUBLE * (SELECT count(*) FROM h1 WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND mid NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) "
+    "+ 0.3025::DOUBLE * (SELECT count(*) FROM h2 WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND mid NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND leaf NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) AS kept FROM (SELECT DISTINCT candidate FROM gone) c), "
+    "loss AS (SELECT candidate, 1 - kept / base AS impact FROM kept, base)"
+)
+
+
+@query(f"WITH {_STRIDED}, gone AS MATERIALIZED (SELECT node_id AS candidate, node_id FROM rk WHERE r < 10), {_KEPT} SELECT external_id, round(impact, 6) AS impact FROM loss JOIN spine_nodes ON node_id = candidate ORDER BY round(loss.impact, 9) DESC, candidate LIMIT 5")
 def g32_keystones(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
     return g.named(spread.keystones(g, candidates=10, keep=5, max_depth=2), "external_id").select("external_id", r6("impact").alias("impact"))
 
 
-@query()
+@query(
+    f"WITH {_STRIDED}, gone AS MATERIALIZED (SELECT * FROM (VALUES ({id_of('nation::1')}::BIGINT, {id_of('nation::1')}::BIGINT), ({id_of('region::0')}, {id_of('region::0')}), (-1, {id_of('nation::1')}), (-1, {id_of('region::0')})) t(candidate, node_id)), {_KEPT}, "
+    "s AS (SELECT sum(impact) FILTER (candidate < 0) AS combined, sum(impact) FILTER (candidate >= 0) AS single FROM loss) SELECT round(combined, 6) AS combined, round(single, 6) AS single, round(CASE WHEN single > 0 THEN least(combined / single, 10) ELSE 1 END, 6) AS synergy FROM s"
+)
 def g34_synergy(spark, sf_dir):
     return spread.synergy(spine_graph(spark, sf_dir), ["nation::1", "region::0"], max_depth=2)
 

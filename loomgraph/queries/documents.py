@@ -10,7 +10,7 @@ from loomgraph.operators import documents, sessions, topology
 from loomgraph.operators.graph import PropertyGraph, r6
 from loomgraph.plans.durable import shared_dir
 from loomgraph.queries.registry import query, table
-from loomgraph.sources.tables_graph import full_graph, id_of
+from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
 
 _LINES = "al AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), ln AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM al), li AS (SELECT doc_id, i AS line_no, a[i] AS line FROM ln)"
@@ -87,10 +87,10 @@ def u6_trail_merge(spark, sf_dir):
     return sessions.merge_trails(v).withColumn("relevance", r6("relevance"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT known) AS BIGINT) AS missing, true AS stale, count(*) FILTER (NOT known) <= 0.5 * count(*) AS resumable FROM (SELECT o_orderkey % 2 = 0 AS known FROM orders WHERE o_orderkey % 10 < 3)", graph=False)
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT known) AS BIGINT) AS missing, true AS stale, count(*) FILTER (NOT known) <= 0.5 * count(*) AS resumable FROM (SELECT o_orderkey % 2 = 0 AS known FROM orders)", graph=False)
 def g64_trail_resume(spark, sf_dir):
     g = full_graph(spark, sf_dir)
-    t = table(spark, sf_dir, "orders").where("o_orderkey % 10 < 3").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("order::"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("gone::"), F.col("o_orderkey").cast("string"))).alias("external_id"))
+    t = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("order::"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("gone::"), F.col("o_orderkey").cast("string"))).alias("external_id"))
     return sessions.resume(t, g, 1, 2)
 
 
@@ -118,14 +118,14 @@ def _drained(spark, df, mode):
     return spark.table(name)
 
 
-@query("WITH t AS (SELECT o_orderkey AS path, o_totalprice AS s FROM orders WHERE o_orderkey % 40 = 0), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 120 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 80 <> 0 UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_orderkey % 2000 = 0) SELECT change, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN t.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN t.s <> n.s THEN 'modified' END AS change FROM t FULL JOIN n ON t.path = n.path) WHERE change IS NOT NULL GROUP BY change", graph=False)
+@query("WITH t AS (SELECT o_orderkey AS path, o_totalprice AS s FROM orders), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_orderstatus = 'P') SELECT change, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN t.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN t.s <> n.s THEN 'modified' END AS change FROM t FULL JOIN n ON t.path = n.path) WHERE change IS NOT NULL GROUP BY change", graph=False)
 def r2_daemon_tick(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cols = lambda df: df.select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("size"), F.lit(1.0).alias("mtime"), F.lit("").alias("hash"))
-    tracked = cols(o.where("o_orderkey % 40 = 0"))
-    live = cols(o.where("o_orderkey % 40 = 0 AND o_orderkey % 80 <> 0").withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 120 = 0 THEN o_totalprice + 1 ELSE o_totalprice END")))
-    live = live.unionByName(cols(o.where("o_orderkey % 2000 = 0").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_totalprice": F.lit(1.0)})))
-    return streams.tick(tracked, live, 1 << 30).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    tracked = cols(o)
+    live = cols(o.where("o_orderstatus <> 'P'").withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END")))
+    live = live.unionByName(cols(o.where("o_orderstatus = 'P'").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_totalprice": F.lit(1.0)})))
+    return streams.tick(tracked, live, None).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH f AS (SELECT event_id AS alert_id, ts FROM events WHERE event_type = 'error') SELECT alert_id FROM f WHERE alert_id % 3 <> 0 ORDER BY ts DESC, alert_id LIMIT 500", graph=False)
@@ -134,7 +134,10 @@ def r4_alerts(spark, sf_dir):
     return streams.alerts(e, e.where("alert_id % 3 = 0").select("alert_id")).select("alert_id")
 
 
-@query()
+_K6 = f"SELECT '  ' || src || ' -->|' || relation || '| ' || dst AS l FROM edges WHERE src = {id_of('region::1')}"
+
+
+@query(f"SELECT 'graph LR' || chr(10) || string_agg(l, chr(10) ORDER BY l) AS diagram FROM ({_K6})")
 def k6_diagram(spark, sf_dir):
     from loomgraph.sources.formats import diagram
 
@@ -143,7 +146,29 @@ def k6_diagram(spark, sf_dir):
     return diagram(e)
 
 
-@query()
-def g41_twin_pairs(spark, sf_dir):
+_RELATIONS = ("contains", "calls", "references", "imports")
+
+
+def _signature_sql(nodes: str, edges: str) -> str:
+    """Degrees, mean weights and relation counts of nodes, as rounded logarithms."""
+    side = lambda end, p: f"{p}s AS (SELECT {end} AS node_id, count(*) AS {p}_n, avg(weight) AS {p}_w, " + ", ".join(f"count(*) FILTER (relation = '{r}') AS {p}_{r}" for r in _RELATIONS) + f" FROM {edges} GROUP BY {end})"
+    cols = ["node_type", *(f"{p}_{c}" for p in ("go", "come") for c in ("n", "w", *_RELATIONS))]
+    rounded = ", ".join(f"round(ln(1 + abs(coalesce({c}, 0)::DOUBLE)), 6)" for c in cols)
+    return f"{side('src', 'go')}, {side('dst', 'come')}, sig AS (SELECT node_id, [{rounded}] AS signature FROM {nodes} LEFT JOIN gos USING (node_id) LEFT JOIN comes USING (node_id))"
+
+
+
+
+@query(f"WITH {_signature_sql('nodes', 'edges')} SELECT CAST(count(*) AS BIGINT) AS size, min(node_id) AS first_node FROM sig JOIN nodes USING (node_id) WHERE node_type IN (13, 14, 15, 100) GROUP BY signature HAVING count(*) > 1 ORDER BY 1 DESC, 2 LIMIT 50")
+def g41_twins(spark, sf_dir):
     g = full_graph(spark, sf_dir)
-    return topology.twin_pairs(g, g.nodes.where("node_type IN (13, 14)")).withColumn("similarity", r6("similarity"))
+    return topology.twins(g, g.nodes.where("node_type IN (13, 14, 15, 100)"))
+
+
+_COS = "list_dot_product(x.signature, y.signature) / (sqrt(list_dot_product(x.signature, x.signature)) * sqrt(list_dot_product(y.signature, y.signature)))"
+
+
+@query(f"WITH {_signature_sql('spine_nodes', 'spine_edges')}, reps AS (SELECT signature, min(node_id) AS node_id FROM sig GROUP BY signature) SELECT x.node_id AS a, y.node_id AS b, round({_COS}, 6) AS similarity FROM reps x JOIN reps y ON x.node_id < y.node_id WHERE {_COS} >= 0.8::DOUBLE ORDER BY 3 DESC, 1, 2 LIMIT 50")
+def g41_twin_pairs(spark, sf_dir):
+    g = spine_graph(spark, sf_dir)
+    return topology.twin_pairs(g, g.nodes).withColumn("similarity", r6("similarity"))

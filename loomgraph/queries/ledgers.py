@@ -98,7 +98,7 @@ def g46_decay(spark, sf_dir):
     return o.select("o_orderkey", r6(ledgers.decay_score(age, half, (F.col("o_orderkey") % 5) * 700.0)).alias("score"))
 
 
-_CC = "f AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS f FROM lineitem), k AS (SELECT c FROM f GROUP BY c HAVING count(*) BETWEEN 2 AND 50), n AS (SELECT f, count(*) AS n FROM f GROUP BY f), p AS (SELECT x.f AS a, y.f AS b, count(*) AS times FROM f x JOIN f y ON x.c = y.c AND x.f < y.f WHERE x.c IN (SELECT c FROM k) GROUP BY ALL)"
+_CC = "f AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS f FROM lineitem), k AS (SELECT c FROM f GROUP BY c HAVING count(*) >= 2), n AS (SELECT f, count(*) AS n FROM f GROUP BY f), p AS (SELECT x.f AS a, y.f AS b, count(*) AS times FROM f x JOIN f y ON x.c = y.c AND x.f < y.f WHERE x.c IN (SELECT c FROM k) GROUP BY ALL)"
 
 
 def _commits(spark, sf_dir):
@@ -118,7 +118,7 @@ def j10_git_ghost_edges(spark, sf_dir):
 
 
 def _coupling_sql(where: str, name: str) -> str:
-    return f"{name}f AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS f FROM lineitem WHERE {where}), {name}k AS (SELECT c FROM {name}f GROUP BY c HAVING count(*) BETWEEN 2 AND 50), {name}n AS (SELECT f, count(*) AS n FROM {name}f GROUP BY f), {name} AS (SELECT a, b, times / greatest(x.n, y.n)::DOUBLE AS s FROM (SELECT x.f AS a, y.f AS b, count(*) AS times FROM {name}f x JOIN {name}f y ON x.c = y.c AND x.f < y.f WHERE x.c IN (SELECT c FROM {name}k) GROUP BY ALL) JOIN {name}n x ON x.f = a JOIN {name}n y ON y.f = b)"
+    return f"{name}f AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS f FROM lineitem WHERE {where}), {name}k AS (SELECT c FROM {name}f GROUP BY c HAVING count(*) >= 2), {name}n AS (SELECT f, count(*) AS n FROM {name}f GROUP BY f), {name} AS (SELECT a, b, times / greatest(x.n, y.n)::DOUBLE AS s FROM (SELECT x.f AS a, y.f AS b, count(*) AS times FROM {name}f x JOIN {name}f y ON x.c = y.c AND x.f < y.f WHERE x.c IN (SELECT c FROM {name}k) GROUP BY ALL) JOIN {name}n x ON x.f = a JOIN {name}n y ON y.f = b)"
 
 
 @query(f"WITH {_coupling_sql('l_orderkey % 2 = 0', 'pre')}, {_coupling_sql('l_orderkey % 2 = 1', 'post')}, d AS (SELECT coalesce(pre.a, post.a) AS a, coalesce(pre.b, post.b) AS b, coalesce(post.s, 0) - coalesce(pre.s, 0) AS delta, pre.s IS NULL AS fresh FROM pre FULL JOIN post ON pre.a = post.a AND pre.b = post.b) SELECT a, b, round(delta, 6) AS delta, CASE WHEN fresh THEN 'new_coupling' WHEN delta > 0 THEN 'strengthened' ELSE 'weakened' END AS kind FROM d WHERE abs(delta) > 0.02::DOUBLE ORDER BY abs(delta) DESC, a, b LIMIT 20", graph=False)

@@ -100,9 +100,9 @@ def g65_federation(spark, sf_dir):
     return both.nodes.select("external_id")
 
 
-@query("WITH f AS (SELECT l_orderkey AS frame_no, 'supplier::' || l_suppkey AS external_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 400), p AS (SELECT external_id, (node_id % 10)::DOUBLE AS pr FROM spine_nodes), l AS (SELECT greatest(max(frame_no), 1) AS last FROM f), t AS (SELECT max(pr) AS top FROM p) SELECT f.external_id, round(max(0.4::DOUBLE * frame_no / last + 0.25::DOUBLE * coalesce(pr / top, 0)), 6) AS score FROM f LEFT JOIN p USING (external_id), l, t GROUP BY 1")
+@query("WITH f AS (SELECT l_orderkey AS frame_no, 'supplier::' || l_suppkey AS external_id FROM lineitem), p AS (SELECT external_id, (node_id % 10)::DOUBLE AS pr FROM spine_nodes), l AS (SELECT greatest(max(frame_no), 1) AS last FROM f), t AS (SELECT max(pr) AS top FROM p) SELECT f.external_id, round(max(0.4::DOUBLE * frame_no / last + 0.25::DOUBLE * coalesce(pr / top, 0)), 6) AS score FROM f LEFT JOIN p USING (external_id), l, t GROUP BY 1")
 def g55_trace(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey <= 400").select(F.col("l_orderkey").alias("frame_no"), F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string")).alias("external_id"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame_no"), F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string")).alias("external_id"))
     pr = spine_graph(spark, sf_dir).nodes.select("external_id", (F.col("node_id") % 10).cast("double").alias("pagerank"))
     return flow.trace_scores(f, pr).withColumn("score", r6("score"))
 

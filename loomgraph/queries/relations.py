@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import flow, matching, metrics, topology, waves
+from loomgraph.operators import flow, matching, metrics, topology, traversal, waves
 from loomgraph.operators.graph import r6
 from loomgraph.queries.registry import query, table
+from loomgraph.queries.texts import pagerank_sql
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 
 # Communities by key: a fixed grouping that SQL can restate; label propagation itself is tested on fixtures.
@@ -74,35 +75,70 @@ def a8_layer_health(spark, sf_dir):
     return topology.layer_health(g, _layer(g)).select(F.col("layer").cast("long").alias("layer"), "n_nodes", "n_edges", r6("cohesion").alias("cohesion"), r6("violation_density").alias("violation_density"))
 
 
-@query()
+def _communities_sql(rounds: int) -> str:
+    parts = ["ce AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges) WHERE src <> dst GROUP BY ALL)", "co AS (SELECT src AS node_id, avg(w) * 0.5::DOUBLE AS w FROM ce GROUP BY src)", "c0 AS (SELECT node_id, node_id AS c FROM spine_nodes)"]
+    for k in range(1, rounds + 1):
+        votes = f"SELECT src AS node_id, c, w FROM ce JOIN c{k - 1} l ON l.node_id = dst UNION ALL SELECT l.node_id, c, w FROM c{k - 1} l JOIN co USING (node_id)"
+        best = f"SELECT node_id, c FROM (SELECT node_id, c, sum(w) AS w FROM ({votes}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY w DESC, c) = 1"
+        parts.append(f"c{k} AS MATERIALIZED (SELECT l.node_id, coalesce(b.c, l.c) AS c FROM c{k - 1} l LEFT JOIN ({best}) b USING (node_id))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {_communities_sql(5)} SELECT c AS community, CAST(count(*) AS BIGINT) AS size FROM c5 GROUP BY c")
 def g20_communities(spark, sf_dir):
     return topology.communities(spine_graph(spark, sf_dir), 5).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query()
+def _spectral_sql(iterations: int) -> str:
+    parts = [
+        "se AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges) WHERE src <> dst GROUP BY ALL)",
+        "sd AS (SELECT node_id, coalesce(d, 0.0::DOUBLE) AS d FROM spine_nodes LEFT JOIN (SELECT src, sum(w) AS d FROM se GROUP BY src) ON src = node_id)", "st AS (SELECT max(d) * 2.1::DOUBLE AS top FROM sd)",
+        "v0 AS (SELECT node_id, d, (node_id % 1009) / 1009.0::DOUBLE - 0.5::DOUBLE AS z FROM sd)",
+    ]
+    for k in range(1, iterations + 1):
+        parts.append(f"s{k} AS (SELECT avg(z) AS mean, sqrt(greatest(sum(z * z) - count(*) * avg(z) * avg(z), 0)) AS norm FROM v{k - 1})")
+        parts.append(f"u{k} AS MATERIALIZED (SELECT node_id, d, (z - mean) / norm AS x FROM v{k - 1}, s{k})")
+        parts.append(f"v{k} AS MATERIALIZED (SELECT node_id, d, x, top * x - d * x + coalesce(ay, 0) AS z FROM u{k} LEFT JOIN (SELECT src, sum(w * x) AS ay FROM se JOIN u{k} ON node_id = dst GROUP BY src) ON src = node_id, st)")
+    return ", ".join(parts) + f", gap AS (SELECT greatest(any_value(top) - sum(x * z), 0) AS gap FROM v{iterations}, st)"
+
+
+_ROBUST = "CASE WHEN gap < 0.01 THEN 'Fragile' WHEN gap < 0.5 THEN 'Moderate' ELSE 'Robust' END"
+
+
+@query(f"WITH {_spectral_sql(8)} SELECT round(gap, 6) AS spectral_gap, {_ROBUST} AS robustness FROM gap")
 def g22_spectral_gap(spark, sf_dir):
-    return topology.spectral_gap(spine_graph(spark, sf_dir), 8)
+    return topology.spectral_gap(spine_graph(spark, sf_dir), 8).withColumn("spectral_gap", r6("spectral_gap"))
+
+
+@query(
+    f"WITH {_spectral_sql(8)}, grp AS (SELECT node_id, node_id % 7 AS c FROM spine_nodes), me AS (SELECT sum(w) AS m2 FROM se), mk AS (SELECT sum(kc * kc) AS sq FROM (SELECT c, sum(w) AS kc FROM se JOIN grp ON node_id = src GROUP BY c)), mi AS (SELECT sum(w) AS inn FROM se JOIN grp a ON a.node_id = src JOIN grp b ON b.node_id = dst WHERE a.c = b.c), "
+    f"br AS (SELECT count(*) AS n FROM spine_edges JOIN grp a ON a.node_id = src JOIN grp b ON b.node_id = dst WHERE a.c <> b.c) SELECT CAST((SELECT count(DISTINCT c) FROM grp) AS BIGINT) AS n_communities, CAST((SELECT count(*) FROM grp) AS BIGINT) AS n_nodes, round(inn / m2 - sq / (m2 * m2), 6) AS modularity, CAST(n AS BIGINT) AS n_bridges, round(gap, 6) AS spectral_gap, {_ROBUST} AS robustness FROM gap, me, mk, mi, br"
+)
+def g26_topology(spark, sf_dir):
+    g = spine_graph(spark, sf_dir)
+    return topology.topology_report(g, _group(g), 8).withColumns({"modularity": r6("modularity"), "spectral_gap": r6("spectral_gap")})
+
+
+@query()
+def g25_scales(spark, sf_dir):
+    return topology.scale_views(spine_graph(spark, sf_dir), 2)
 
 
 @query("WITH e AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity FROM e a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) <= 5", graph=False)
 def g24_nearest_fingerprints(spark, sf_dir):
-    """The five nearest fingerprints of every 100th vector, against all of them (queries are few, blocks are broadcast)."""
+    """The five nearest fingerprints of every 100th vector, against all of them."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("qa"))
-    few = q.limit(10_001).count() <= 10_000
-    j = e.join(F.broadcast(q) if few else q, F.col("a") != F.col("vec_id")).select("a", F.col("vec_id").alias("b"), r6(topology.cosine("qa", "embedding")).alias("similarity"))
-    return topology.cross_pairs_top(j.withColumn("_o", F.struct((-F.col("similarity")).alias("s"), "b")), "a", "_o", 5).drop("_o")
+    return topology.similar_pairs(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", top=5).withColumn("similarity", r6("similarity"))
 
 
-@query()
-def g24_equivalents(spark, sf_dir):
-    return topology.equivalents(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.6).withColumn("similarity", r6("similarity"))
+_UNIT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@query()
-def g41_twins(spark, sf_dir):
-    g = full_graph(spark, sf_dir)
-    return topology.twins(g, g.nodes.where("node_type IN (13, 14, 15, 100)"))
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_UNIT}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {_UNIT} >= 0.3::DOUBLE", graph=False)
+def g24_equivalents(spark, sf_dir):
+    """All fingerprints as like as 0.3 to every 100th one."""
+    e = table(spark, sf_dir, "embeddings")
+    return topology.equivalents(e, "vec_id", "embedding", 0.3, e.where("vec_id % 100 = 0")).withColumn("similarity", r6("similarity"))
 
 
 @query(f"WITH {_GROUP}, e AS (SELECT s.community AS cs, t.community AS ct FROM edges JOIN grp s ON s.node_id = src JOIN grp t ON t.node_id = dst), o AS (SELECT cs AS community, count(*) FILTER (cs = ct) AS i, count(*) FILTER (cs <> ct) AS x FROM e GROUP BY cs), n AS (SELECT ct AS community, count(*) AS inc FROM e WHERE cs <> ct GROUP BY ct), z AS (SELECT community, count(*) AS n FROM grp GROUP BY community), m AS (SELECT count(*) AS m FROM edges) SELECT community, CAST(n AS BIGINT) AS n_nodes, round(i / (i + x)::DOUBLE, 6) AS cohesion, CAST(x + coalesce(inc, 0) AS BIGINT) AS interface, CASE WHEN (x + coalesce(inc, 0)) / m::DOUBLE < 0.05 THEN 'low' WHEN (x + coalesce(inc, 0)) / m::DOUBLE < 0.15 THEN 'medium' WHEN (x + coalesce(inc, 0)) / m::DOUBLE < 0.3 THEN 'high' ELSE 'critical' END AS risk FROM z JOIN o USING (community) LEFT JOIN n USING (community), m")
@@ -114,11 +150,11 @@ def g42_refactor_plan(spark, sf_dir):
 # --- joins ------------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT o_orderkey AS src, 'ref::' || o_orderpriority AS ref, lower(trim(split_part(o_orderpriority, '-', 2))) AS name FROM orders WHERE o_orderkey % 500 = 0), t AS (SELECT 'm::' || n_nationkey AS external_id, lower(trim(split_part(p, '-', 2))) AS name FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders)) SELECT 'o::' || src AS src, name AS ref, min(external_id) AS target FROM r JOIN t USING (name) GROUP BY ALL", graph=False)
+@query("WITH r AS (SELECT o_orderkey AS src, 'ref::' || o_orderpriority AS ref, lower(trim(split_part(o_orderpriority, '-', 2))) AS name FROM orders), t AS (SELECT 'm::' || n_nationkey AS external_id, lower(trim(split_part(p, '-', 2))) AS name FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders)) SELECT 'o::' || src AS src, name AS ref, min(external_id) AS target FROM r JOIN t USING (name) GROUP BY ALL", graph=False)
 def j3_reference_resolution(spark, sf_dir):
     name = lambda c: F.lower(F.trim(F.element_at(F.split(c, "-"), 2)))
     o = table(spark, sf_dir, "orders")
-    refs = o.where("o_orderkey % 500 = 0").select(F.concat(F.lit("o::"), F.col("o_orderkey").cast("string")).alias("src"), name("o_orderpriority").alias("ref"), F.lit(None).cast("string").alias("hint"))
+    refs = o.select(F.concat(F.lit("o::"), F.col("o_orderkey").cast("string")).alias("src"), name("o_orderpriority").alias("ref"), F.lit(None).cast("string").alias("hint"))
     kinds = o.select("o_orderpriority").distinct()
     nodes = table(spark, sf_dir, "nation").crossJoin(F.broadcast(kinds)).select(F.concat(F.lit("m::"), F.col("n_nationkey").cast("string")).alias("external_id"), name("o_orderpriority").alias("label"))  # five kinds
     return matching.resolve_references(refs, nodes).select("src", "ref", "target")
@@ -160,10 +196,10 @@ def j8_cross_repo(spark, sf_dir):
     return matching.cross_repo_edges(a.unionByName(b))
 
 
-@query("WITH f AS (SELECT l_orderkey AS frame_no, 'f' || (l_partkey % 20) AS path, l_linenumber * 7 AS line FROM lineitem WHERE l_linenumber = 2), n AS (SELECT p_partkey AS id, 'f' || (p_partkey % 20) AS path, p_size AS a, p_size + p_partkey % 13 AS b FROM part) SELECT frame_no, arg_min(id, (b - a) * 10000000 + id) AS external_id FROM f JOIN n USING (path) WHERE line BETWEEN a AND b GROUP BY frame_no", graph=False)
+@query("WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS frame_no, l_partkey // 3 AS path, l_linenumber * 7 AS line FROM lineitem), n AS (SELECT p_partkey AS id, p_partkey // 3 AS path, p_size AS a, p_size + p_partkey % 13 AS b FROM part) SELECT frame_no, arg_min(id, (b - a) * 10000000000 + id) AS external_id FROM f JOIN n USING (path) WHERE line BETWEEN a AND b GROUP BY frame_no", graph=False)
 def j13_stack_frames(spark, sf_dir):
-    path = lambda c: F.concat(F.lit("f"), (F.col(c) % 20).cast("string"))
-    f = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("frame_no"), path("l_partkey").alias("path"), (F.col("l_linenumber") * 7).alias("line"))
+    path = lambda c: F.floor(F.col(c) / 3)
+    f = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_no"), path("l_partkey").alias("path"), (F.col("l_linenumber") * 7).alias("line"))
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("external_id"), path("p_partkey").alias("path"), F.col("p_size").alias("line_start"), (F.col("p_size") + F.col("p_partkey") % 13).alias("line_end"))
     return matching.frames_to_nodes(f, n)
 
@@ -178,14 +214,20 @@ def j14_span_labels(spark, sf_dir):
 _PATTERN = matching.Pattern("returned", [{"node_type": 100, "label_contains": "7"}, {"node_type": 11}, {"node_type": 12}], [(0, 1, "calls"), (1, 2, "references")], [(2, 0, None)])
 
 
-@query("SELECT c.node_id AS n0, o.node_id AS n1, p.node_id AS n2 FROM nodes c JOIN edges e ON e.src = c.node_id AND e.relation = 'calls' JOIN nodes o ON o.node_id = e.dst AND o.node_type = 11 JOIN edges f ON f.src = o.node_id AND f.relation = 'references' JOIN nodes p ON p.node_id = f.dst AND p.node_type = 12 WHERE c.node_type = 100 AND contains(lower(c.label), '7')")
+_MATCH = (
+    "pc AS MATERIALIZED (SELECT node_id FROM nodes WHERE node_type = 100 AND contains(lower(label), '7')), po AS MATERIALIZED (SELECT src AS n0, dst AS n1 FROM edges WHERE relation = 'calls' AND src IN (SELECT node_id FROM pc)), "
+    "pm AS MATERIALIZED (SELECT n0, n1, dst AS n2 FROM po JOIN (SELECT src, dst FROM edges WHERE relation = 'references') ON src = n1)"
+)
+
+
+@query(f"WITH {_MATCH} SELECT n0, n1, n2 FROM pm")
 def j15_pattern_match(spark, sf_dir):
     return matching.match_pattern(full_graph(spark, sf_dir), _PATTERN)
 
 
-@query()
+@query(f"WITH {_MATCH}, vm AS (SELECT src AS n0 FROM edges JOIN nodes ON node_id = dst WHERE relation = 'imports' AND contains(lower(label), 'red')), s AS (SELECT 'returned' AS pattern, 0.5::DOUBLE AS severity, n0 FROM pm UNION ALL SELECT 'vendor', 0.8, n0 FROM vm) SELECT pattern, severity, min(n0) AS first_node, CAST(least(count(*), 50) AS BIGINT) AS matches, count(*) >= 50 AS disabled FROM s GROUP BY ALL")
 def g57_antibody_scan(spark, sf_dir):
-    two = matching.Pattern("vendor", [{"node_type": 13}, {"node_type": 12, "label_contains": "steel"}], [(0, 1, "imports")], [], 0.8)
+    two = matching.Pattern("vendor", [{"node_type": 13}, {"node_type": 12, "label_contains": "red"}], [(0, 1, "imports")], [], 0.8)
     return matching.scan_patterns(full_graph(spark, sf_dir), [_PATTERN, two])
 
 
@@ -198,29 +240,59 @@ def j16_document_bindings(spark, sf_dir):
 # --- waves, flow, taint, plans -----------------------------------------------------------------------
 
 
-@query()
+def _wave_sql(tones: list[tuple[int, float, float]], seeds: list[str], hops: int, faintest: float) -> str:
+    """amp: tone, node_id, amplitude of the pulses of every tone over the spine, hop by hop."""
+    step = f"2 * pi() * {{f}}::DOUBLE / {{w}}::DOUBLE"
+    t = ", ".join(f"({n}, {step.format(f=f, w=w)})" for n, f, w in tones)
+    parts = [
+        "we AS MATERIALIZED (SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges)", "wd AS (SELECT src, count(*) AS deg FROM we GROUP BY src)", "wk AS MATERIALIZED (SELECT src, deg, deg / (SELECT avg(deg) FROM wd) > 4 AS hub FROM wd)",
+        f"wt AS (SELECT * FROM (VALUES {t}) t(tone, step))", f"w0 AS (SELECT tone, step, node_id, -1::BIGINT AS prev, 1.0::DOUBLE AS amp, 0.0::DOUBLE AS phase FROM (SELECT unnest([{', '.join(str(id_of(x)) for x in seeds)}])::BIGINT AS node_id), wt)",
+    ]
+    for k in range(hops):
+        ahead = f"SELECT tone, step, dst AS node_id, e.src AS prev, amp * weight * CASE WHEN hub THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END / deg AS amp, phase + step AS phase FROM w{k} l JOIN we e ON e.src = l.node_id JOIN wk ON wk.src = l.node_id WHERE NOT (deg = 1 AND {k} > 0) AND dst <> prev"
+        back = f"SELECT tone, step, prev, node_id, amp * CASE WHEN deg = 1 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END, phase + pi() + step FROM w{k} l JOIN wk ON wk.src = l.node_id WHERE prev >= 0 AND (deg = 1 OR hub)"
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT * FROM ({ahead} UNION ALL {back}) WHERE amp >= {faintest}::DOUBLE)")
+    union = " UNION ALL ".join(f"SELECT tone, node_id, amp, phase FROM w{k}" for k in range(hops + 1))
+    return f"{', '.join(parts)}, wz AS (SELECT tone, node_id, sum(amp * cos(phase)) AS x, sum(amp * sin(phase)) AS y FROM ({union}) GROUP BY ALL), amp AS (SELECT tone, node_id, sqrt(x * x + y * y) AS amplitude FROM wz)"
+
+
+@query(f"WITH {_wave_sql([(1, 1.0, 4.0)], ['region::0'], 3, 0.0001)} SELECT external_id, round(amplitude, 6) AS amplitude FROM amp JOIN spine_nodes USING (node_id)")
 def g27_standing_wave(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
     tones = spark.createDataFrame([(1, 1.0, 4.0)], "tone int, frequency double, wavelength double")
     return g.named(waves.standing_wave(g, g.seeds(["region::0"]), tones, 3, 0.0001), "external_id").select("external_id", r6("amplitude").alias("amplitude"))
 
 
-@query()
+_HARMONICS = [(h, float(h), 4.0 / h) for h in range(1, 6)]
+
+
+@query(f"WITH {_wave_sql(_HARMONICS, ['nation::1'], 3, 0.0001)}, s AS (SELECT node_id, string_agg(tone::VARCHAR, ',' ORDER BY tone::VARCHAR) AS signature FROM amp WHERE amplitude >= 0.001::DOUBLE GROUP BY node_id) SELECT signature, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY signature")
 def g28_harmonics(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
-    return waves.harmonics(g, g.seeds(["nation::1"]), hops=2, least=0.001).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return waves.harmonics(g, g.seeds(["nation::1"]), hops=3, least=0.001, faintest=0.0001).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SWEEP = [(k, 0.1 + 9.9 * k / 19, max(10.0 / (0.1 + 9.9 * k / 19), 0.1)) for k in range(20)]
+
+
+@query(f"WITH {_wave_sql(_SWEEP, ['nation::1', 'region::2'], 2, 0.01)}, e AS (SELECT tone, round(sum(amplitude), 9) AS energy FROM amp GROUP BY tone), f AS (SELECT *, lag(energy) OVER (ORDER BY tone) AS p, lead(energy) OVER (ORDER BY tone) AS n FROM e) SELECT round(0.1::DOUBLE + 9.9::DOUBLE * tone / 19, 6) AS frequency, round(energy, 6) AS energy FROM f WHERE energy > p AND energy > n")
 def g29_sweep(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
-    return waves.sweep(g, g.seeds(["nation::1", "region::2"]), hops=2).withColumn("energy", r6("energy"))
+    return waves.sweep(g, g.seeds(["nation::1", "region::2"]), hops=2).select(r6("frequency").alias("frequency"), r6("energy").alias("energy"))
 
 
-@query()
+@query(f"WITH {_wave_sql([(1, 1.0, 4.0)], ['customer::1'], 3, 0.00001)}, h1 AS (SELECT DISTINCT dst AS node_id FROM we WHERE src = {id_of('customer::1')}), h2 AS (SELECT DISTINCT dst AS node_id FROM we JOIN h1 ON src = node_id) SELECT node_id, round(amplitude, 6) AS amplitude FROM amp WHERE amplitude >= 0.0001::DOUBLE AND node_id <> {id_of('customer::1')} AND node_id NOT IN (SELECT node_id FROM h1) AND node_id NOT IN (SELECT node_id FROM h2)")
 def g30_sympathetic(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
-    return waves.sympathetic(g, g.seeds(["customer::1"]), least=0.0001, hops=3)
+    return waves.sympathetic(g, g.seeds(["customer::1"]), least=0.0001, hops=3, faintest=0.00001).withColumn("amplitude", r6("amplitude"))
+
+
+@query(f"WITH {_wave_sql([(1, 1.0, 4.0)], ['region::0'], 2, 0.0001)}, t AS (SELECT max(amplitude) AS top FROM amp) SELECT external_id, label, round(amplitude, 6) AS amplitude, CASE WHEN round(amplitude, 9) >= round(0.5 * top, 9) THEN 'antinode' WHEN round(amplitude, 9) <= round(0.1 * top, 9) THEN 'node' ELSE 'between' END AS kind FROM amp JOIN spine_nodes USING (node_id), t")
+def k7_wave_export(spark, sf_dir):
+    g = spine_graph(spark, sf_dir)
+    tones = spark.createDataFrame([(1, 1.0, 4.0)], "tone int, frequency double, wavelength double")
+    wave = waves.standing_wave(g, g.seeds(["region::0"]), tones, 2, 0.0001)
+    return waves.wave_export(g, wave).select("external_id", "label", r6("amplitude").alias("amplitude"), "kind")
 
 
 @query(f"WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE NOT inhibitory AND weight >= 0.1::DOUBLE), o AS (SELECT unnest([{id_of('customer::1')}, {id_of('customer::2')}, {id_of('customer::4')}])::BIGINT AS origin), l1 AS (SELECT DISTINCT origin, dst AS node_id FROM o JOIN e ON src = origin), l2 AS (SELECT DISTINCT origin, dst AS node_id FROM l1 JOIN e ON src = node_id) SELECT origin, depth::BIGINT AS depth, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY ALL")
@@ -230,7 +302,25 @@ def g37_flow(spark, sf_dir):
     return f.where("depth > 0").groupBy("origin", "depth").agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query()
+def _flow_sql(origins: list[str], depth: int) -> str:
+    """fl: origin, node_id, lock, depth of particles that visit no node of an origin twice."""
+    words = lambda ws: " OR ".join(f"contains(lower(label), '{w}')" for w in ws)
+    parts = [
+        f"fn AS MATERIALIZED (SELECT node_id, ({words(flow.VALVES)}) AS valve, ({words(flow.READ_ONLY)}) AS reads FROM nodes)", "fe AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE NOT inhibitory AND weight >= 0.1::DOUBLE)",
+        f"f0 AS (SELECT node_id AS origin, node_id, valve AS lock FROM fn WHERE node_id IN ({', '.join(str(id_of(o)) for o in origins)}))",
+    ]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT origin, node_id FROM f{i}" for i in range(k))
+        parts.append(f"f{k} AS MATERIALIZED (SELECT origin, dst AS node_id, bool_or(l.lock OR n.valve) AS lock FROM f{k - 1} l JOIN fe ON src = l.node_id JOIN fn n ON n.node_id = dst WHERE (origin, dst) NOT IN ({seen}) GROUP BY ALL)")
+    return ", ".join(parts) + ", fl AS (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, depth + 1)) + ")"
+
+
+@query(
+    f"WITH {_flow_sql(['nation::1', 'nation::2', 'nation::3'], 3)}, r AS (SELECT node_id, count(DISTINCT origin) AS origins, count(DISTINCT CASE WHEN NOT lock THEN origin END) AS free, bool_or(lock) AS locked FROM fl GROUP BY node_id HAVING count(DISTINCT origin) > 1), i AS (SELECT dst AS node_id, count(*) AS indeg FROM edges GROUP BY dst), "
+    "z AS (SELECT node_id, origins, locked, CASE WHEN free > 1 THEN free ELSE origins END AS hit, valve, reads, coalesce(indeg, 0) / (SELECT max(indeg) FROM i)::DOUBLE AS c FROM r JOIN fn USING (node_id) LEFT JOIN i USING (node_id)), "
+    "q AS (SELECT *, least(hit / 2.0::DOUBLE, 1) * CASE WHEN valve THEN 0.0::DOUBLE WHEN locked THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN reads THEN 0.2::DOUBLE ELSE 1 END * (0.5::DOUBLE + 0.5::DOUBLE * c) * CASE WHEN reads AND c > 0.9 THEN 0.1::DOUBLE ELSE 1 END AS score FROM z) "
+    "SELECT external_id, CAST(origins AS BIGINT) AS origins, round(score, 6) AS score, CASE WHEN score >= 0.8 AND hit >= 3 AND NOT locked THEN 'Critical' WHEN score >= 0.6 THEN 'High' WHEN score >= 0.3 THEN 'Medium' ELSE 'Low' END AS severity FROM q JOIN nodes USING (node_id) WHERE score >= 0.3::DOUBLE"
+)
 def g37_turbulence(spark, sf_dir):
     g = full_graph(spark, sf_dir).finalised()
     f = flow.flow_paths(g, g.seeds(["nation::1", "nation::2", "nation::3"]), 3, budget=None)
@@ -243,7 +333,13 @@ def g38_taint(spark, sf_dir):
     return g.named(flow.taint(g, ["customer::1"], ("high",), 2), "external_id").select("external_id", F.col("depth").cast("long").alias("depth"), "leaked")
 
 
-@query()
+_TAINT = (
+    f"n0 AS (SELECT {id_of('nation::2')}::BIGINT AS node_id), op AS MATERIALIZED (SELECT node_id FROM nodes WHERE NOT (contains(lower(label), 'high') OR contains(lower(label), 'urgent'))), a1 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN n0 ON src = node_id), a2 AS MATERIALIZED (SELECT DISTINCT dst AS node_id FROM edges JOIN a1 ON src = node_id), a3 AS (SELECT DISTINCT dst AS node_id FROM edges JOIN a2 ON src = node_id), "
+    "ar AS (SELECT node_id FROM a1 UNION SELECT node_id FROM a2 UNION SELECT node_id FROM a3), oe AS MATERIALIZED (SELECT src, dst FROM edges WHERE src IN (SELECT node_id FROM op)), b1 AS (SELECT DISTINCT dst AS node_id FROM oe JOIN n0 ON src = node_id), b2 AS MATERIALIZED (SELECT DISTINCT dst AS node_id FROM oe JOIN b1 ON src = node_id), b3 AS (SELECT DISTINCT dst AS node_id FROM oe JOIN b2 ON src = node_id), bl AS (SELECT node_id FROM b1 UNION SELECT node_id FROM b2 UNION SELECT node_id FROM b3)"
+)
+
+
+@query(f"WITH {_TAINT}, z AS (SELECT count(*) AS n, count(*) FILTER (node_id NOT IN (SELECT node_id FROM op)) AS hits, count(*) FILTER (node_id IN (SELECT node_id FROM bl)) AS leaks FROM ar) SELECT CAST(n AS BIGINT) AS n, CAST(hits AS BIGINT) AS hits, CAST(leaks AS BIGINT) AS leaks, round(0.4::DOUBLE * (1 - hits / n::DOUBLE) + 0.35::DOUBLE * least(ln(1 + leaks) / 5, 1) + 0.25::DOUBLE * least(n / 100.0::DOUBLE, 1), 6) AS risk FROM z")
 def g38_taint_risk(spark, sf_dir):
     return flow.taint_risk(flow.taint(full_graph(spark, sf_dir).finalised(), ["nation::2"], ("high", "urgent"), 3)).withColumn("risk", r6("risk"))
 
@@ -263,7 +359,16 @@ def g56_hypothesize(spark, sf_dir):
     return out.select("kind", F.col("hops").cast("long").alias("hops"), (F.col("into") + 1).cast("long").alias("into"), r6("confidence").alias("confidence"), "verdict")
 
 
-@query()
+@query(f"WITH {pagerank_sql(3)} SELECT node_id FROM nodes JOIN pr USING (node_id) WHERE node_type = 11 AND (starts_with(lower(label), '1-') OR starts_with(lower(label), '2-')) ORDER BY round(pagerank, 9) DESC, node_id LIMIT 100")
 def f17_entry_points(spark, sf_dir):
-    n = full_graph(spark, sf_dir).nodes.where("node_type IN (11, 12)").withColumn("node_type", F.when(F.col("node_type") == 11, 2).otherwise(0)).withColumn("pagerank", F.lit(0.5))
-    return flow.entry_points(n, 100, ("1-", "2-"))
+    g = full_graph(spark, sf_dir)
+    n = g.nodes.where("node_type IN (11, 12)").withColumn("node_type", F.when(F.col("node_type") == 11, 2).otherwise(0))
+    return flow.entry_points(n.join(traversal.pagerank(g, max_iterations=3, fixed=True), "node_id"), 100, ("1-", "2-"))
+
+
+_URGENT = "contains(lower(label), 'urgent') OR len(list_filter(tags, lambda t: contains(lower(t), 'urgent') OR contains(lower(t), 'brand#11'))) > 0 OR contains(lower(label), 'brand#11')"
+
+
+@query(f"WITH s AS MATERIALIZED (SELECT node_id FROM nodes WHERE {_URGENT}), n AS (SELECT DISTINCT src AS node_id FROM edges WHERE dst IN (SELECT node_id FROM s) AND src NOT IN (SELECT node_id FROM s)) SELECT node_id, 'self' AS by FROM s UNION ALL SELECT node_id, 'neighbour' FROM n")
+def f16_guards(spark, sf_dir):
+    return flow.guards(full_graph(spark, sf_dir), ("urgent", "brand#11"))

@@ -231,9 +231,9 @@ def u1_graph_merge(spark, sf_dir):
     return merge.merge_graphs(a, b).edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("WITH c AS (SELECT l_partkey AS id, 's' || l_suppkey % 3 AS source FROM lineitem) SELECT id::BIGINT AS id FROM c GROUP BY id HAVING count(DISTINCT source) = 1 AND max(source) = 's1'", graph=False)
+@query("WITH c AS (SELECT l_partkey AS id, CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_partkey % 4 ELSE 's1' END AS source FROM lineitem) SELECT id::BIGINT AS id FROM c GROUP BY id HAVING count(DISTINCT source) = 1 AND max(source) = 's1'", graph=False)
 def a11_prune_claims(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("source"))
+    c = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("id"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("s"), (F.col("l_partkey") % 4).cast("string"))).otherwise("s1").alias("source"))
     return merge.prune_claims(c, "s1")
 
 

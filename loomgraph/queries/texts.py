@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import text
 from loomgraph.operators.graph import r6
+from loomgraph.operators.traversal import pagerank
 from loomgraph.queries.registry import query, table
 from loomgraph.sources.tables_graph import full_graph
 
@@ -99,7 +100,7 @@ def x9_trigram_similarity(spark, sf_dir):
     return b.select("item_id", r6(text.trigram_similarity(F.lit("the anher erething"), F.lower("text"))).alias("similarity"))
 
 
-@query(f"WITH p AS (SELECT item_id, gram, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest({_TRI.format('lower(substr(text, 1, 200))')}) AS gram FROM benchmark) GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM benchmark), d AS (SELECT gram, ln(any_value(n) / count(*)) + 1 AS idf FROM p, n GROUP BY gram), w AS (SELECT item_id, gram, tf * idf AS w FROM p JOIN d USING (gram)), nm AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY item_id), q AS (SELECT gram, count(*)::DOUBLE AS c FROM (SELECT unnest({_TRI.format(chr(39) + 'erthe and that onthe' + chr(39))}) AS gram) GROUP BY gram), qw AS (SELECT gram, c * idf AS qw FROM q JOIN d USING (gram)), qn AS (SELECT sqrt(sum(qw * qw)) AS qn FROM qw) SELECT item_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS cosine FROM w JOIN qw USING (gram) JOIN nm USING (item_id), qn GROUP BY item_id HAVING sum(w * qw) / (any_value(norm) * any_value(qn)) > 0.01", graph=False)
+@query(f"WITH p AS (SELECT item_id, gram, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest({_TRI.format('lower(text)')}) AS gram FROM benchmark) GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM benchmark), d AS (SELECT gram, ln(any_value(n) / count(*)) + 1 AS idf FROM p, n GROUP BY gram), w AS (SELECT item_id, gram, tf * idf AS w FROM p JOIN d USING (gram)), nm AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY item_id), q AS (SELECT gram, count(*)::DOUBLE AS c FROM (SELECT unnest({_TRI.format(chr(39) + 'erthe and that onthe' + chr(39))}) AS gram) GROUP BY gram), qw AS (SELECT gram, c * idf AS qw FROM q JOIN d USING (gram)), qn AS (SELECT sqrt(sum(qw * qw)) AS qn FROM qw) SELECT item_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS cosine FROM w JOIN qw USING (gram) JOIN nm USING (item_id), qn GROUP BY item_id HAVING sum(w * qw) / (any_value(norm) * any_value(qn)) > 0.01", graph=False)
 def x5_trigram_tfidf(spark, sf_dir):
     return text.tfidf_query(table(spark, sf_dir, "benchmark"), "item_id", "text", "erthe and that onthe").withColumn("cosine", r6("cosine"))
 
@@ -129,10 +130,45 @@ def x7_synonyms(spark, sf_dir):
     return n.select("external_id", text.synonym_boost(F.col("label"), "customer of supplier").alias("boost"))
 
 
-@query()
+def _tfidf_sql(nodes: str, query: str) -> str:
+    """sem: cosine of label trigrams with a query, over 0.01."""
+    q = _TRI.format(f"'{query}'")
+    return (
+        f"tp AS (SELECT node_id, gram, count(*)::DOUBLE AS tf FROM (SELECT node_id, unnest({_TRI.format('lower(label)')}) AS gram FROM {nodes}) GROUP BY ALL), tn AS (SELECT count(*)::DOUBLE AS n FROM {nodes}), td AS (SELECT gram, ln(any_value(n) / count(*)) + 1 AS idf FROM tp, tn GROUP BY gram), "
+        f"tw AS (SELECT node_id, gram, tf * idf AS w FROM tp JOIN td USING (gram)), tnm AS (SELECT node_id, sqrt(sum(w * w)) AS norm FROM tw GROUP BY node_id), tq AS (SELECT gram, count(*) * any_value(idf) AS qw FROM (SELECT unnest({q}) AS gram) JOIN td USING (gram) GROUP BY gram), tqn AS (SELECT sqrt(sum(qw * qw)) AS qn FROM tq), "
+        "sem AS (SELECT node_id, sum(w * qw) / (any_value(norm) * any_value(qn)) AS semantic FROM tw JOIN tq USING (gram) JOIN tnm USING (node_id), tqn GROUP BY node_id HAVING sum(w * qw) / (any_value(norm) * any_value(qn)) > 0.01::DOUBLE)"
+    )
+
+
+def pagerank_sql(iterations: int, nodes: str = "nodes", edges: str = "edges") -> str:
+    """pr: every node's PageRank after some iterations, the largest 1."""
+    parts = [f"pn AS (SELECT count(*)::DOUBLE AS n FROM {nodes})", f"pd AS (SELECT src, count(*)::DOUBLE AS deg FROM {edges} GROUP BY src)", f"p0 AS MATERIALIZED (SELECT node_id, 1 / n AS pr FROM {nodes}, pn)"]
+    for k in range(1, iterations + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT s.node_id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(m, 0) AS pr FROM {nodes} s CROSS JOIN pn LEFT JOIN (SELECT dst, sum(pr / deg) AS m FROM p{k - 1} JOIN {edges} e ON e.src = node_id JOIN pd ON pd.src = node_id GROUP BY dst) t ON t.dst = s.node_id)")
+    return ", ".join(parts) + f", pr AS (SELECT node_id, pr / (SELECT max(pr) FROM p{iterations}) AS pagerank FROM p{iterations})"
+
+
+_STEEL = "steel supplier"
+
+
+@query(
+    f"WITH {pagerank_sql(3)}, own AS (SELECT * FROM nodes WHERE node_type IN (12, 13)), {_tfidf_sql('own', _STEEL)}, tk AS (SELECT node_id, {_token_sql('steel')} AS a, {_token_sql('supplier')} AS b, {_TRI.format('lower(label)')} AS lab FROM own), "
+    "kw AS (SELECT node_id, CASE WHEN a = 1 AND b = 1 THEN 1.0::DOUBLE WHEN a + b > 0 THEN least(greatest(0.5::DOUBLE * (a + b) / 2 + 0.35::DOUBLE * (CAST(a > 0 AS INT) + CAST(b > 0 AS INT)) / 2 + 0.15::DOUBLE * greatest(a, b), 0), 1) ELSE 0.0::DOUBLE END AS keyword, "
+    f"len(list_filter({_TRI.format(chr(39) + _STEEL + chr(39))}, lambda x: list_contains(lab, x))) / sqrt({len(_STEEL) - 2} * len(lab)::DOUBLE) AS tri FROM tk), "
+    "z AS (SELECT external_id, pagerank, 0.4::DOUBLE * keyword + 0.3::DOUBLE * coalesce(semantic, 0) + 0.2::DOUBLE * pagerank + 0.1::DOUBLE * tri + CASE WHEN contains(lower(label), 'vendor') OR contains(lower(label), 'provider') THEN 0.2::DOUBLE ELSE 0 END AS score FROM own JOIN kw USING (node_id) LEFT JOIN sem USING (node_id) JOIN pr USING (node_id)) "
+    "SELECT external_id, round(score, 6) AS score FROM z WHERE score >= 0.1::DOUBLE ORDER BY round(z.score, 9) DESC, round(pagerank, 9) DESC, external_id LIMIT 20"
+)
 def x4_seek(spark, sf_dir):
+    g = full_graph(spark, sf_dir)
+    n = g.nodes.where("node_type IN (12, 13)")
+    return text.seek(n, _STEEL, pagerank(g, max_iterations=3, fixed=True)).select("external_id", r6("score").alias("score"))
+
+
+@query(f"WITH {pagerank_sql(3)}, own AS (SELECT * FROM nodes WHERE node_type IN (12, 13)), {_tfidf_sql('own', _STEEL)} SELECT external_id, round(semantic, 6) AS score FROM sem JOIN own USING (node_id) ORDER BY round(semantic, 9) DESC, node_id LIMIT 30")
+def f7_search_semantic(spark, sf_dir):
+    """Search by meaning: the trigram cosine alone, best first."""
     n = full_graph(spark, sf_dir).nodes.where("node_type IN (12, 13)")
-    return text.seek(n, "steel supplier", n.select("node_id", F.lit(0.5).alias("pagerank"))).select("external_id", r6("score").alias("score"))
+    return text.search_semantic(n, _STEEL, 30).select("external_id", r6("score").alias("score"))
 
 
 @query("WITH s AS (SELECT l_orderkey AS k, avg(l_discount) * 5 AS x, CASE WHEN max(l_quantity) > 25 THEN max(l_quantity) / 50.0::DOUBLE END AS y, CASE WHEN l_orderkey % 3 = 0 THEN 0.9::DOUBLE END AS z FROM lineitem GROUP BY l_orderkey), f AS (SELECT k, list_filter([x, y, z], lambda v: v IS NOT NULL AND v > 0) AS a FROM s), m AS (SELECT k, len(a) AS n, exp(list_sum(list_transform(a, lambda v: ln(v))) / len(a)) AS g FROM f WHERE len(a) > 0), c AS (SELECT k, CASE WHEN n = 1 THEN least(g, 0.4::DOUBLE) ELSE least(g, 0.85::DOUBLE) END AS c FROM m) SELECT k, round(c, 6) AS confidence FROM c WHERE c >= 0.15::DOUBLE", graph=False)
