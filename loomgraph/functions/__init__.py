@@ -1 +1 @@
-"""See the modules of this package."""
+"""Scalar functions on columns that several operators share."""

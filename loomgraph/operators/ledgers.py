@@ -139,9 +139,14 @@ def churn(changes: DataFrame) -> DataFrame:
     return c.select("key", "n", "added", "deleted", speed.alias("velocity"), pattern.alias("pattern"), (1 / (1 + F.col("n") / 10.0)).alias("stability"))
 
 
+def query_memory(log: DataFrame, size: int = 1000) -> DataFrame:
+    """The newest queries that are remembered. ``log``: seq, ..."""
+    return log.orderBy(F.desc("seq")).limit(size)
+
+
 def priming(log: DataFrame, seeds: list[int], boost: float = 0.15, memory: int = 1000, top: int = 50) -> DataFrame:
     """Nodes activated together with the seeds in the last queries: (node_id, boost). ``log``: seq, seeds, activated."""
-    last = log.orderBy(F.desc("seq")).limit(memory)
+    last = query_memory(log, memory)
     hit = last.where(F.arrays_overlap("seeds", F.array(*[F.lit(s).cast("long") for s in seeds])))
     n = hit.select(F.explode("activated").alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
     most = n.agg(F.max("n").alias("most"))

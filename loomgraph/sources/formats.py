@@ -26,6 +26,19 @@ def _mapped(c: Column, table: dict, other) -> Column:
     return out.otherwise(F.lit(other))
 
 
+#: Where function definitions stand, by file extensions; other files are read by a C-like pattern.
+FUNCTIONS = (
+    (r"^\s*(?:async\s+)?def\s+(\w+)", "py pyi"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "rs zig"), (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "go"),
+    (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", "js jsx ts tsx mjs"), (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", "rb ex exs scala"),
+    (r"^\s*(?:(?:public|private|internal|override|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)", "kt kts"), (r"^\s*(?:(?:public|private|static|override)\s+)*func\s+(\w+)", "swift"),
+    (r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)", "php"), (r"^\s*(?:local\s+)?function\s+([\w.:]+)", "lua jl"), (r"^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*\{", "sh bash zsh"),
+    (r"^\s*sub\s+(\w+)", "pl pm"), (r"^(\w+)\s*::", "hs elm"), (r"^\s*let\s+(?:rec\s+)?(\w+)\s+\w", "ml fs"), (r"^\s*\(defn-?\s+([\w!?*-]+)", "clj cljs"), (r"^\s*(\w+)\s*<-\s*function", "r"),
+    (r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)", "sql"),
+)
+#: Words before a parenthesis that are no calls.
+NOT_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "def", "fn", "func", "function", "class", "super")
+
+
 def code_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified, text) of the text files below a root; hidden, vendored and binary files are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -42,7 +55,16 @@ def code_tree(spark: SparkSession, root: str) -> DataFrame:
 def json_descriptor(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``{nodes: [{id, label, type, tags}], edges: [{source, target, relation, weight}]}`` documents."""
     shape = "nodes array<struct<id: string, label: string, type: string, tags: array<string>>>, edges array<struct<source: string, target: string, relation: string, weight: double>>"
-    d = spark.read.schema(shape).option("multiLine", True).json(path)
+    return _descriptor(spark.read.schema(shape).option("multiLine", True).json(path))
+
+
+def descriptor_rows(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The same for documents that are already rows."""
+    shape = "nodes array<struct<id: string, label: string, type: string, tags: array<string>>>, edges array<struct<source: string, target: string, relation: string, weight: double>>"
+    return _descriptor(docs.select(F.from_json(text, shape).alias("d")).select("d.*"))
+
+
+def _descriptor(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = d.select(F.explode("nodes").alias("n")).select("n.*")
     nodes = n.select(F.col("id").alias("external_id"), F.coalesce("label", "id").alias("label"), _mapped(F.lower("type"), TYPES, 100).alias("node_type"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     e = d.select(F.explode("edges").alias("e")).select("e.*").withColumn("relation", F.coalesce("relation", F.lit("relates_to")))
@@ -58,15 +80,18 @@ def extract_code(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Definitions and imports of code files by language patterns: nodes and edges with ``ref::`` targets."""
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     lines = numbered_lines(files).withColumn("ext", ext)
-    fn = (
-        F.when(F.col("ext") == "py", F.regexp_extract("line", r"^\s*(?:async\s+)?def\s+(\w+)", 1)).when(F.col("ext") == "rs", F.regexp_extract("line", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", 1))
-        .when(F.col("ext") == "go", F.regexp_extract("line", r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1)).when(F.col("ext").isin("js", "ts", "tsx", "jsx"), F.regexp_extract("line", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", 1))
-        .otherwise(F.regexp_extract("line", r"^\s*(?:public|private|protected|static|\s)*[\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*\{", 1))
-    )
+    fn = F.when(F.lit(False), "")
+    for pattern, exts in FUNCTIONS:
+        fn = fn.when(F.col("ext").isin(*exts.split()), F.regexp_extract("line", pattern, 1))
+    fn = fn.otherwise(F.regexp_extract("line", r"^\s*(?:public|private|protected|static|final|override|virtual|\s)*[\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*\{", 1))
     cls = F.regexp_extract("line", r"^\s*(?:export\s+)?(?:pub(?:\([^)]*\))?\s+)?(?:abstract\s+|public\s+|final\s+)*(?:class|struct|interface|trait|enum)\s+(\w+)", 1)
     imp = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import", r"^\s*import\s+([\w.]+)", r"^\s*use\s+([\w:]+)", r"from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)")])
     base = F.regexp_extract("line", r"^\s*class\s+\w+\s*\(\s*([\w.]+)", 1)
-    found = lines.select("path", "line_no", fn.alias("fn"), cls.alias("cls"), imp.alias("imp"), base.alias("base"))
+    called = F.filter(F.regexp_extract_all("line", F.lit(r"(?<![\w.])([A-Za-z_]\w*)\("), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS))
+    route = F.regexp_extract("line", r"(?:@\w+|\b(?:app|router))\.(?:get|post|put|delete|patch|route)\(\s*['\"]([^'\"]+)['\"]", 1)
+    found = lines.select("path", "line_no", fn.alias("fn"), cls.alias("cls"), imp.alias("imp"), base.alias("base"), called.alias("called"), route.alias("route"))
+    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = found.withColumn("within", F.last(F.nullif("fn", F.lit("")), True).over(above))
     file_id = F.concat(F.lit("file::"), "path")
     files_n = files.select(file_id.alias("external_id"), F.element_at(F.split("path", "/"), -1).alias("label"), F.lit(0).alias("node_type"), F.lit(None).cast("int").alias("line_start"))
     fns = found.where("fn <> ''").select(F.concat(file_id, F.lit("::fn::"), "fn").alias("external_id"), F.col("fn").alias("label"), F.lit(2).alias("node_type"), F.col("line_no").alias("line_start"), file_id.alias("file"))
@@ -78,6 +103,9 @@ def extract_code(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         edge(fns, F.col("file"), F.col("external_id"), "contains", 1.0).unionByName(edge(classes, F.col("file"), F.col("external_id"), "contains", 1.0))
         .unionByName(edge(found.where("imp IS NOT NULL"), file_id, ref("imp"), "imports", 0.5)).unionByName(edge(found.where("base <> ''"), F.concat(file_id, F.lit("::type::"), "cls"), ref("base"), "implements", 0.7))
     )
+    calls = within.where("fn = '' AND cls = '' AND within IS NOT NULL").select("path", "within", F.explode("called").alias("name"))
+    edges = edges.unionByName(edge(calls, F.concat(file_id, F.lit("::fn::"), "within"), ref("name"), "calls", 0.5))
+    edges = edges.unionByName(edge(found.where("route <> ''"), F.concat(F.lit("route::"), "route"), file_id, "routes_to", 0.5))
     return nodes, edges.distinct()
 
 
@@ -119,7 +147,7 @@ def bibtex(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Entries, authors and venues: ``authored_by`` and ``published_in``."""
     e = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?s)@\w+\s*\{.*?\n\}"), F.lit(0))).alias("e"))
     value = lambda k: F.trim(F.regexp_replace(F.coalesce(*[F.nullif(F.regexp_extract("e", rf"(?is)\b{k}\s*=\s*{q}", 1), F.lit("")) for q in (r"\{((?:[^{}]|\{[^{}]*\})*)\}", r'"([^"]*)"', r"(\d+)")], F.lit("")), r"[{}\s]+", " "))
-    rows = e.select(F.concat(F.lit("bib::"), F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("id"), value("title").alias("title"), value("author").alias("author"), F.lower(value("doi")).alias("doi"), F.coalesce(F.nullif(value("journal"), F.lit("")), value("booktitle")).alias("venue")).cache()
+    rows = e.select(F.concat(F.lit("bib::"), F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("id"), value("title").alias("title"), value("author").alias("author"), F.lower(value("doi")).alias("doi"), F.coalesce(F.nullif(value("journal"), F.lit("")), value("booktitle")).alias("venue"))
     people = rows.select("id", F.explode(F.split("author", r"\s+and\s+")).alias("name")).where("name <> ''")
     nodes = rows.select(F.col("id").alias("external_id"), F.col("title").alias("label"), F.lit(0).alias("node_type"), "doi").unionByName(
         people.select(F.concat(F.lit("author::"), F.lower("name")), "name", F.lit(9), F.lit("")).toDF("external_id", "label", "node_type", "doi")
@@ -131,7 +159,16 @@ def bibtex(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 def crossref(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Works of a registry's JSON: authors, container and cited DOIs."""
     shape = "message struct<DOI: string, title: array<string>, author: array<struct<given: string, family: string, ORCID: string>>, `container-title`: array<string>, reference: array<struct<DOI: string, unstructured: string>>>"
-    m = spark.read.schema(shape).option("multiLine", True).json(path).select("message.*")
+    return _works(spark.read.schema(shape).option("multiLine", True).json(path).select("message.*"))
+
+
+def crossref_rows(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The same for documents that are already rows."""
+    shape = "message struct<DOI: string, title: array<string>, author: array<struct<given: string, family: string, ORCID: string>>, `container-title`: array<string>, reference: array<struct<DOI: string, unstructured: string>>>"
+    return _works(docs.select(F.from_json(text, shape).alias("d")).select("d.message.*"))
+
+
+def _works(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     me = F.concat(F.lit("doi::"), F.lower("DOI"))
     a = m.select(me.alias("src"), F.explode("author").alias("a")).select("src", F.concat(F.lit("author::"), F.lower(F.concat_ws(" ", "a.given", "a.family"))).alias("dst"), F.lit("authored_by").alias("relation"))
     c = m.select(me.alias("src"), F.explode("container-title").alias("c")).select("src", F.concat(F.lit("venue::"), F.lower("c")).alias("dst"), F.lit("published_in").alias("relation"))
@@ -206,6 +243,13 @@ def cargo_workspace(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def span_batch(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(name, duration_us, count, is_error, parent, attributes) of batches ``[{name, duration_us, ...}]``; a span counts once unless it says more."""
+    shape = "array<struct<name: string, duration_us: bigint, count: bigint, is_error: boolean, parent: string, attributes: map<string, string>>>"
+    s = docs.select(F.explode(F.from_json(text, shape)).alias("s")).select("s.*")
+    return s.select("name", F.coalesce("duration_us", F.lit(0)).alias("duration_us"), F.coalesce("count", F.lit(1)).alias("count"), F.coalesce("is_error", F.lit(False)).alias("is_error"), "parent", "attributes").where("name IS NOT NULL")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "parquet") -> None:
     """Write a snapshot: nodes, then edges (a two-way edge once, src < dst), each committed atomically."""
     once = edges.where("NOT (direction = 1 AND src > dst)") if "direction" in edges.columns else edges
