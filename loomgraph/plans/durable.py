@@ -63,7 +63,8 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store it is."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -72,7 +73,7 @@ def dropped(df: DataFrame) -> None:
     """Delete what :func:`stored` wrote for ``df``; nothing that is still to be computed may read it."""
     path = getattr(df, "_stored_at", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _made[:] = [m for m in _made if m[1] != path]
 
 
@@ -80,7 +81,7 @@ def dropped(df: DataFrame) -> None:
 def _clear() -> None:
     for spark, path in _made:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may be gone already
             return
 

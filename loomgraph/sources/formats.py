@@ -8,6 +8,8 @@ store that Spark reads will do.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ NOT_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "def",
 def code_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified, text) of the text files below a root; hidden, vendored and binary files are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    root = re.sub(r"^[a-z]+:/*", "/", root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.lit("^/*" + root.strip("/") + "/?"), F.lit(""))
     f = f.withColumn("rel", F.regexp_replace(rel, "^/+", ""))
     for d in SKIPPED_DIRS:

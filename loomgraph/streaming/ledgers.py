@@ -9,10 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgraph.plans.durable import delete
+
+#: Buckets of the state that a stream of files keeps.
+BUCKETS = 16
+
 
 def trust_counters(events: DataFrame) -> DataFrame:
     """Update-mode counters by key: total, defects, last defect. ``events``: key, kind, ts."""
@@ -72,25 +78,59 @@ def tick(tracked: DataFrame, live: DataFrame, most: int | None = 32) -> DataFram
     return found if most is None else found.orderBy(F.desc("mtime"), "path").limit(most)
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+
+
+def _manifest(spark: SparkSession, state_path: str, upto: int | None = None) -> tuple[int, dict[int, int]]:
+    """Number of the newest manifest (below ``upto``), and the version of each bucket in it."""
+    try:
+        rows = spark.read.schema("bucket int, version int, v int").parquet(f"{state_path}/manifest")
+    except AnalysisException:  # nothing is there yet
+        return -1, {}
+    rows = rows if upto is None else rows.where(F.col("v") < upto)
+    last = rows.agg(F.max("v")).first()[0]
+    if last is None:
+        return -1, {}
+    return last, {r["bucket"]: r["version"] for r in rows.where(F.col("v") == last).collect()}  # one row a bucket
+
+
 def ingest_stream(source: DataFrame, state_path: str, checkpoint: str):
-    """Upsert a stream of file rows (path, size, mtime, hash) into versions below ``state_path``.
+    """Upsert a stream of file rows (path, size, mtime, hash) into a state of ``BUCKETS`` buckets below ``state_path``.
 
-    Each batch writes a new version, so a retried batch writes the same one
-    again (exactly once); readers take the highest version.
+    A batch rewrites the buckets that it touches as ``data/v=<batch>/bucket=<k>``
+    and then writes the manifest of that number, so a retried batch writes the
+    same again (exactly once).  Data that neither of the last two manifests
+    names is deleted.  Read the state with :func:`ingested`.
     """
     spark = source.sparkSession
 
     def upsert(batch: DataFrame, number: int) -> None:
-        rows = batch.select("path", "size", "mtime", "hash")
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{state_path}/v={number - 1}"))
-        # the latest state of a path counts, whatever order batches bring them in
-        new = rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "hash"), "mtime").alias("s")).select("path", "s.*")
-        new.write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        rows = _bucketed(batch.select("path", "size", "mtime", "hash")).persist()
+        try:
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+            _, now = _manifest(spark, state_path, number)
+            old = [f"{state_path}/data/v={now[k]}/bucket={k}" for k in touched if k in now]
+            whole = rows.unionByName(_bucketed(spark.read.schema(rows.drop("bucket").schema).parquet(*old))) if old else rows
+            # the latest state of a path counts, whatever order batches bring them in
+            new = whole.groupBy("bucket", "path").agg(F.max_by(F.struct("size", "mtime", "hash"), "mtime").alias("s")).select("bucket", "path", "s.*")
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/data/v={number}")
+        finally:
+            rows.unpersist()
+        after = now | dict.fromkeys(touched, number)
+        spark.createDataFrame(list(after.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/manifest/v={number}")
+        for k in set(_manifest(spark, state_path, number - 1)[1].items()) - set(now.items()) - set(after.items()):
+            delete(spark, f"{state_path}/data/v={k[1]}/bucket={k[0]}")
 
     return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def ingested(spark: SparkSession, state_path: str) -> DataFrame:
+    """(path, size, mtime, hash): the state of the newest manifest."""
+    _, now = _manifest(spark, state_path)
+    return spark.read.parquet(*[f"{state_path}/data/v={v}/bucket={k}" for k, v in sorted(now.items())])
+
+
 def alerts(found: DataFrame, acked: DataFrame, most: int = 500, include_acked: bool = False) -> DataFrame:
     """The newest alerts that nobody has acknowledged. ``found``: alert_id, ts, ...; ``acked``: alert_id."""
     rows = found if include_acked else found.join(acked, "alert_id", "left_anti")
