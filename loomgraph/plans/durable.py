@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most rows and bytes of a side that may be broadcast; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 96 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 #: Bytes of a row group of an intermediate table: what a task holds of it to write or read it.
 ROW_GROUP_BYTES = 8 << 20
@@ -77,6 +77,17 @@ def dropped(df: DataFrame) -> None:
         _made[:] = [m for m in _made if m[1] != path]
 
 
+@contextmanager
+def only_kept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Drop what is stored inside, but for the tables that are put into the list; what leaves must rest on those alone."""
+    before, kept = {path for _, path in _made}, []
+    yield kept
+    stay = {getattr(df, "_stored_at", None) for df in kept}
+    for _, path in [m for m in _made if m[1] not in before and m[1] not in stay]:
+        delete(spark, path)
+        _made[:] = [m for m in _made if m[1] != path]
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _made:
