@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.bytesets import shingle_sets
 from loomgraph.plans.components import connected_components
-from loomgraph.plans.durable import BROADCAST_ROWS, arrow_rows, checked_join, parts, stored
+from loomgraph.plans.durable import BROADCAST_ROWS, arrow_rows, checked_join, only_kept, parts, stored
 
 WIDTH = 5
 #: The threshold 0.75 as a fraction of integers: inter / union >= NUM / DEN.
@@ -574,8 +574,10 @@ def cluster_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, files:
 
 def linked_components(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (different texts that link), n_copies (other rows of the same set) of every row."""
-    with arrow_rows(documents.sparkSession, ROWS_A_BATCH):
-        return _linked_components(documents, width)
+    spark = documents.sparkSession
+    with only_kept(spark) as kept, arrow_rows(spark, ROWS_A_BATCH):
+        kept.append(stored(_linked_components(documents, width), "linked-components"))
+    return kept[0]
 
 
 def _linked_components(documents: DataFrame, width: int) -> DataFrame:
@@ -593,34 +595,45 @@ def _linked_components(documents: DataFrame, width: int) -> DataFrame:
     # every list against its first document
     head = shared.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("h"), F.count(F.lit(1)).alias("k"), F.max("salts").alias("salts")).where("k > 1")
     rest = lambda n, pos: F.col(n) - F.col(pos)
-    near = shared.withColumn("salt", _salt("doc", "salts")).join(_salted(head, "salts").drop("salts"), ["token", "salt"])
-    near = near.where((F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos")))
+    listed = shared.withColumn("salt", _salt("doc", "salts")).drop("salts").join(_salted(head, "salts").drop("salts"), ["token", "salt"]).drop("salt")
+    listed = stored(listed, "lists", wide)
+    near = listed.where((F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos")))
     near = near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b"), F.lit(0).cast("long").alias("extra"), (F.col("n") + F.col("h.n")).cast("long").alias("need")).distinct()
     stars = verified(possible(stored(near, "star-pairs", small), firsts, small), firsts, wide, True)
     best = stars.where(_LINKED).groupBy("a").agg(F.min(F.struct("b", "na", "nb", "inter", "diff")).alias("l"))
     leader = stored(best.select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.na").alias("n"), F.col("l.nb").alias("size"), F.col("l.inter").alias("inter"), F.col("l.diff").alias("diff")), "leaders", small)
 
-    # leaders against leaders, by blocks of their lists
+    # clusters of one root (their leaders follow it) meet each other, those of different roots by blocks of their lists
+    second = leader.select(F.col("doc").alias("leader"), F.col("leader").alias("second"))
+    rooted = stored(leader.select("doc", "leader").join(second, "leader", "left").select("doc", "leader", F.coalesce("second", "leader").alias("root")), "rooted", small)
+    heads = rooted.select("leader", "root").distinct()
+    same = heads.alias("x").join(heads.alias("y"), (F.col("x.root") == F.col("y.root")) & (F.col("x.leader") > F.col("y.leader"))).select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"))
+    # so do those of two linked documents; a list of two documents has been decided by that
+    ends = stars.where(_LINKED).select("a", "b")
+    for end in ("a", "b"):
+        ends = checked_join(ends, rooted.select(F.col("doc").alias(end), F.col("leader").alias(f"leader_{end}"), F.col("root").alias(f"root_{end}")), end, "left")
+        ends = ends.withColumns({f"leader_{end}": F.coalesce(f"leader_{end}", end), f"root_{end}": F.coalesce(f"root_{end}", end)})
+    same = same.union(ends.where("leader_a <> leader_b AND root_a <> root_b").select(F.greatest("leader_a", "leader_b"), F.least("leader_a", "leader_b")))
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
-    known = shared.join(leader.select("doc", "leader"), "doc", "left").select(
-        "token", F.coalesce("leader", "doc").alias("leader"), F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("r"), band("n").alias("band")
+    known = checked_join(listed.where("k > 2").select("token", "doc", "n", "pos"), rooted, "doc", "left").select(
+        "token", F.coalesce("leader", "doc").alias("leader"), F.coalesce("root", "doc").alias("root"), F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("r"), band("n").alias("band")
     )
     blocks = known.groupBy("token", "leader", "band").agg(
-        F.min("n").alias("small"), F.max("n").alias("large"), F.max("r").alias("r"), F.max((NUM + DEN) * F.col("r") >= 2 * NUM * F.col("n")).alias("leads")
+        F.min("root").alias("root"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("r").alias("r"), F.max((NUM + DEN) * F.col("r") >= 2 * NUM * F.col("n")).alias("leads")
     )
-    mixed = blocks.groupBy("token").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi"), (F.count(F.lit(1)) > LONG_LIST).alias("long")).where("lo <> hi").select("token", "long")
+    mixed = blocks.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), (F.count(F.lit(1)) > LONG_LIST).alias("long")).where("lo <> hi").select("token", "long")
     blocks = stored(blocks.join(mixed, "token").withColumn("band", F.when(F.col("long"), F.col("band")).otherwise(0)), "blocks", wide)
     x = blocks.where("leads").alias("x")
     y = blocks.withColumn("near", F.explode(F.when(F.col("long"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0))))).alias("y")
     meets = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.band") == F.col("y.near"))
-        & (F.col("x.leader") != F.col("y.leader"))
+        & (F.col("x.root") != F.col("y.root"))
         & (DEN * F.col("x.large") >= NUM * F.col("y.small"))
         & (DEN * F.col("y.large") >= NUM * F.col("x.small"))
         & ((NUM + DEN) * F.least("x.r", "y.r") >= NUM * (F.col("x.small") + F.col("y.small")))
     )
-    pairs = stored(x.join(y, meets).select(F.least("x.leader", "y.leader").alias("b"), F.greatest("x.leader", "y.leader").alias("a")).distinct(), "leader-pairs", small)
+    pairs = stored(x.join(y, meets).select(F.least("x.leader", "y.leader").alias("b"), F.greatest("x.leader", "y.leader").alias("a")).unionByName(same).distinct(), "leader-pairs", small)
     # followers: the leader itself is one unless it follows another
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(leader.select("leader")).distinct()
     alone = firsts.select(F.col("uid").alias("doc"), "n").join(ends, "doc", "left_semi").join(leader.select("doc"), "doc", "left_anti")

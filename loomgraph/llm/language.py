@@ -10,9 +10,10 @@ the largest sum, and the score is its mean probability.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, and so is
 every row if nothing can be learnt.  Rows without a language are not learnt
-from.  Equal sums go to the language that is first in order.  Repeated rows are
-labelled each.  An empty table gives an empty result; other columns are never
-looked at.
+from.  Equal sums go to the language that is first in order.  A null doc_id is
+kept and never held out.  Very long texts are labelled whole: their words are
+one step each, whatever else is in the batch.  Repeated rows are labelled each.
+An empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ folds; every row's whole text is scored as a sparse dot product.
 
 Nulls: a null or empty text has the score of the bias alone.  Rows without a
 label value are not learnt from, repeated labels of one id count once, and with
-no label at all every score is 0.5.  Repeated rows are scored each.  An empty
-table gives an empty result; other columns are never looked at.
+no label at all every score is 0.5.  A null doc_id is kept and never held out.
+Very long texts are read whole, a stretch at a time.  A score of exactly the
+threshold is predicted 1.  Repeated rows are scored each.  An empty table gives
+an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations

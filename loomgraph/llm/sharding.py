@@ -11,8 +11,10 @@ cells of the hash space, computes a lower and an upper bound of the capacity
 splits only the cells in which a cut can still fall, and repeats until both
 bounds meet.  A level looks at a few thousand cells however many rows there are.
 
-Nulls: a null text has no bytes (size 16) and is one group with the empty text.
-Equal rows stay in one group.  An empty table gives an empty result.  Columns
+Nulls: a null text has no bytes (size 16) and is one group with the empty text;
+a null doc_id is kept and comes first in its group.  Very long texts are one
+group like any other: a shard may be as large as the largest group.  Ties inside
+a group go by doc_id and size.  Equal rows stay in one group.  An empty table gives an empty result.  Columns
 other than ``doc_id`` and ``text`` are ignored.
 """
 

@@ -10,8 +10,10 @@ texts against unlabelled ones, so that one word counts in a text of any length.
 
 Nulls: a null or empty text has the score of the bias alone.  With no confirmed
 text every score is 0.  Rows without a label value are not learnt from;
-repeated labels of one id count once; repeated rows are scored each.  An empty
-table gives an empty result; other columns are never looked at.
+repeated labels of one id count once; repeated rows are scored each.  A null
+doc_id is kept and never held out.  Very long texts are read whole, a stretch at
+a time.  A score of exactly the threshold is predicted 1.  An empty table gives
+an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations

@@ -643,3 +643,105 @@ def test_template_texts_count_articles_not_copies():
     own = [[f"text {i} of this article runs on", "Shared line."] for i in range(6)]
     assert html_text.template_texts(own) == ["Shared line."]
     assert html_text.template_texts([own[0]] * 9 + own[:2]) == []
+
+
+def test_ftrl_equals_a_plain_loop():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(22)
+    rows = [sorted(rng.choice(40, rng.integers(0, 9), replace=False).tolist()) for _ in range(60)]
+    f = np.array([x for r in rows for x in r], np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    v, y = rng.random(len(f)) + 0.2, rng.integers(0, 2, 60)
+    got = quality.ftrl(f, v, bounds, y, passes=2, seed=3)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        return 0.0 if abs(a) <= l1 else (math.copysign(l1, a) - a) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for i in order.permutation(60):
+            xs = list(zip(f[bounds[i] : bounds[i + 1]].tolist(), v[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+            bias = -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = 1 / (1 + math.exp(-(sum(weight(k) * x for k, x in xs) + bias))) - y[i]
+            for k, x in xs:
+                w, gx, old = weight(k), g * x, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + gx - (math.sqrt(old + gx * gx) - math.sqrt(old)) / alpha * w
+                n[k] = old + gx * gx
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * bias
+            nb += g * g
+    assert all(abs(got.weights[k] - weight(k)) < 1e-5 for k in range(40)) and abs(got.bias + zb / ((beta + math.sqrt(nb)) / alpha)) < 1e-9
+
+
+def test_quality_score_is_a_sparse_dot_product(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(23)
+    model = quality.Model(rng.normal(size=quality.SIZE).astype(np.float32), 0.3)
+    texts = ["a b a", "", None, "One TWO %% three", "x " * 50_000, "same", "same"]
+    df = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else 5, r["score"]) for r in quality.score(df, model).collect()))
+    assert len(got) == len(texts) and got[5][1] == got[6][1]
+    for i, s in got:
+        f, c, _ = quality.features(pa.array([texts[i]], pa.string()))
+        x = [math.log1p(k) for k in c.tolist()]
+        norm = max(math.sqrt(sum(a * a for a in x)), quality.LEAST_NORM)
+        dot = sum(float(model.weights[k]) * quality.SCALE * a / norm for k, a in zip(f.tolist(), x, strict=True))
+        assert abs(s - 1 / (1 + math.exp(-(dot + model.bias)))) < 1e-6
+    assert quality.classify(empty(spark), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
+
+
+def test_nnpu_follows_the_gradient_of_the_estimator():
+    """The fit against Adam on finite differences of the non-negative risk, spelled out."""
+    import numpy as np
+
+    rng = np.random.default_rng(24)
+    n_p, n_u, prior = 40, 120, 0.25
+    p = [[k for k in range(3) if rng.random() < 0.7] for _ in range(n_p)]
+    u = [[k for k in range(3) if rng.random() < 0.08] + [9] * (rng.random() < 0.5) for _ in range(n_u)]
+    flat = lambda rows: (np.array([x for r in rows for x in r], np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for rounds in (1, 8, 40):
+        got = toxicity.nnpu(*flat(p), *flat(u), prior, rounds=rounds)
+        dense = lambda rows: np.array([[float(k in r) for k in range(3)] for r in rows])
+        xp, xu, w = dense(p), dense(u), np.zeros(4)
+        m, s = np.zeros(4), np.zeros(4)
+
+        def parts(w):
+            zp, zu = xp @ w[:3] + w[3], xu @ w[:3] + w[3]
+            corrected = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            return prior * np.logaddexp(0, -zp).mean(), corrected, 3e-4 / 2 * (w[:3] ** 2).sum()
+
+        def risk(w, up):
+            positive, corrected, small = parts(w)
+            return (-corrected if up else positive + corrected) + small
+
+        for t in range(1, rounds + 1):
+            up = parts(w)[1] < 0
+            g = np.array([(risk(w + d, up) - risk(w - d, up)) / 2e-6 for d in np.eye(4) * 1e-6])
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        assert np.allclose([*got.weights[:3], got.bias], w, atol=2e-3)
+        assert got.weights[9] == 0  # not a sign of the confirmed texts
+
+
+def test_labelled_operators_on_odd_rows(spark):
+    """Null ids, repeated rows, very long texts, ties and clashing names."""
+    rows = [(None, "abc def"), (None, "abc def"), (1, "word " * 60_000), (1, "word " * 60_000), (2, None), (3, ""), (4, "x"), (5, "x")]
+    labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (4, 1, 1), (1, None, None)], "doc_id long, toxic int, quality int")
+    df = table(spark, rows).withColumns({"f": F.lit(1), "held_out": F.lit("clash"), "label": F.lit(2), "text2": F.lit("z")})
+    for out in (toxicity.classify(df, labels), quality.classify(df, labels)):
+        got = [tuple(r) for r in out.select("doc_id", "held_out", "score", "predicted").collect()]
+        assert len(got) == len(rows) and len({r[2] for r in got if r[0] == 1}) == 1 and len({r[2] for r in got if r[0] in (4, 5)}) == 1
+        assert len({r[2] for r in got if r[0] in (2, 3)}) == 1 and all(not r[1] for r in got if r[0] is None)
+    said = [tuple(r) for r in language.identify(df).select("doc_id", "held_out", "lang_pred", "score").collect()]
+    assert len(said) == len(rows) and {r[2] for r in said if r[0] in (2, 3)} == {"und"} and len({r[2:] for r in said if r[0] == 1}) == 1
+    shards = [r.asDict() for r in sharding.shard(df, 3).collect()]
+    assert len(shards) == len(rows) and len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1

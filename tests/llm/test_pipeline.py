@@ -41,3 +41,19 @@ def test_stages_keep_columns_and_drop_planted_cases(spark, tmp_path):
     assert kept["ngram_jaccard_join"] - kept["benchmark_decontamination"] == {602}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == kept["benchmark_decontamination"] and {603, 604} <= kept["benchmark_decontamination"]
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    d = str(tmp_path)
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score string, uid long, window string, label int"
+    spark.createDataFrame([], shape).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+    rows = [(1, "a b c d e f", "en", "s", 11, "x", 5, "w", 3), (2, "a b c d e f", "en", "s", 11, "x", 5, "w", 3), (3, None, None, None, None, None, None, None, None), (None, "lone", "en", "s", 4, "x", 5, "w", 3)]
+    docs = spark.createDataFrame(rows, shape)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), shape)
+    assert sorted((r["doc_id"] or 0 for r in docs.collect())) == [0, 1, 3]
