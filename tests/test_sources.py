@@ -80,3 +80,44 @@ def test_query_tokens_split_before_folding():
     import re
 
     assert re.match(text.glob_regex("src/**/*.py"), "src/a/b/c.py") and not re.match(text.glob_regex("src/*.py"), "src/a/c.py")
+
+
+def test_further_languages_calls_and_routes(spark):
+    d = docs(spark, ("a.py", "@app.get('/x')\ndef go(n):\n    if (n):\n        return work(n) + obj.other(1)\n"), ("b.rb", "def make!\nend\n"), ("c.sh", "run-it() {\n  echo\n}\n"))
+    nodes, edges = formats.extract_code(d)
+    assert {"file::a.py::fn::go", "file::b.rb::fn::make!", "file::c.sh::fn::run-it"} <= {r[0] for r in nodes.select("external_id").collect()}
+    got = pairs(edges, "src", "dst", "relation")
+    assert ("file::a.py::fn::go", "ref::work", "calls") in got and ("route::/x", "file::a.py", "routes_to") in got
+    assert not {g for g in got if g[1] in ("ref::if", "ref::return", "ref::other", "ref::go")}
+
+
+def test_text_functions(spark):
+    from loomgraph.functions import texts as tf
+
+    rows = [("Traceback (most recent call last)", "a\\b", "x"), ("at a.rs:3", "C:\\w\\\\x.rs", None), ("?", "././/q//r", None)]
+    df = spark.createDataFrame(rows, "e string, p string, h string")
+    got = df.select(tf.error_language(F.col("e"), F.col("h")), tf.normalised_path(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [("python", "a/b"), ("rust", "w/x.rs"), ("unknown", "q/r")]
+    assert spark.range(1).select(tf.segments(F.lit("my_Long-name my.to")).alias("s")).first()["s"] == ["long", "name"]
+
+
+def test_state_of_the_newest_complete_version(spark, tmp_path):
+    import pytest
+
+    from loomgraph.operators.graph import PropertyGraph
+    from loomgraph.sources import state
+
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "node_id long, external_id string")
+    edges = spark.createDataFrame([(1, 2, "x"), (1, 9, "loose")], "src long, dst long, relation string")
+    side = spark.createDataFrame([("a", 0.5)], "key string, trust double")
+    assert state.persist(PropertyGraph(nodes, edges), str(tmp_path), 1, trust=side) == ["graph", "trust", "mark"]
+    formats.save_graph(nodes.limit(0), edges.limit(0), f"{tmp_path}/v=2")  # no marker
+    g, sides = state.restore(spark, str(tmp_path))
+    assert g.nodes.count() == 2 and pairs(g.edges, "relation") == {("x",)} and set(sides) == {"trust"}
+    with pytest.raises(ValueError):
+        state.persist(g, str(tmp_path), 3, odd=side)
+
+
+def test_span_batches_have_defaults(spark):
+    d = docs(spark, ("b", '[{"name": "f", "duration_us": 5}, {"name": "g", "count": 3, "is_error": true}, {"count": 1}]'), ("c", "broken"))
+    assert pairs(formats.span_batch(d), "name", "duration_us", "count", "is_error") == {("f", 5, 1, False), ("g", 0, 3, True)}
