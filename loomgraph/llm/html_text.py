@@ -252,7 +252,7 @@ class Wrapper:
         self.links += sum(c[1] for c in node.children if isinstance(c, tuple))
         own, k = [c for c in node.children if isinstance(c, Node)], 0
         met: set[int] = set()
-        for child in own:
+        for turn, child in enumerate(own):
             at = next((i for i in range(k, len(self.children)) if self.children[i].sig == child.sig), None)
             if at is None and k and self.children[k - 1].sig == child.sig:
                 at = k - 1
@@ -268,17 +268,11 @@ class Wrapper:
                 self.children.insert(at, w)
                 met = {i + (i >= at) for i in met}
             met.add(at)
-            k = at if at + 1 < len(self.children) and self.children[at].sig == child.sig and self._more(own, child) else at + 1
+            k = at if at + 1 < len(self.children) and self.children[at].sig == child.sig and turn + 1 < len(own) and own[turn + 1].sig == child.sig else at + 1
         for i, w in enumerate(self.children):
             if i not in met:
                 w.optional = True
 
-    @staticmethod
-    def _more(own: list[Node], child: Node) -> bool:
-        """Whether the next sibling repeats this one."""
-        i = next(i for i, c in enumerate(own) if c is child)
-        return i + 1 < len(own) and own[i + 1].sig == child.sig
-
     def chars(self) -> tuple[int, int]:
         """Characters below in slots, and those of them in links; noise left out."""
         got = [(self.slot, self.links)] + [c.chars() for c in self.children if not c.noise]

@@ -745,3 +745,12 @@ def test_labelled_operators_on_odd_rows(spark):
     assert len(said) == len(rows) and {r[2] for r in said if r[0] in (2, 3)} == {"und"} and len({r[2:] for r in said if r[0] == 1}) == 1
     shards = [r.asDict() for r in sharding.shard(df, 3).collect()]
     assert len(shards) == len(rows) and len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1
+
+
+def test_html_of_very_many_blocks():
+    import time
+
+    page = "<body><div class=a><h1>T</h1>" + "".join(f"<p>block {i} runs on</p>" for i in range(30_000)) + "</div>"
+    began = time.time()
+    text = html_text.extract(page, {})
+    assert text.startswith("T block 0 runs on block 1") and text.endswith("block 29999 runs on") and time.time() - began < 20
