@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, jaccard_join, packing, quality, toxicity
 from loomgraph.llm.textfeatures import remainder
-from loomgraph.plans.durable import checked_join, stored
+from loomgraph.plans.durable import arrow_rows, checked_join, stored
 
 #: A document below this quality score goes; the stage is to keep clean documents.
 LEAST_QUALITY = 0.5
+#: Documents of a batch between files, the JVM and Python.
+ROWS_A_BATCH = 1000
 
 
 def _without(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
-    return checked_join(docs, stored(bad.select("doc_id").distinct(), name), "doc_id", "left_anti").select(docs.columns)
+    with arrow_rows(docs.sparkSession, ROWS_A_BATCH):
+        gone = stored(bad.select("doc_id").distinct(), name)
+    return checked_join(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

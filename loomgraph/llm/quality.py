@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bytesets import chunks
-from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, ngrams, remainder
+from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, ngrams, remainder, slices
 
 SIZE = 1 << 18
 #: Most labelled rows that a fit looks at.
@@ -86,7 +86,7 @@ def ftrl(f, v, bounds, y, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, passes=2, seed=0
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         f, c, b = features(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists(f, b), lists(np.minimum(c, 30000), b, pa.int16()), batch.column(2)], ["doc_id", "f", "c", "label"])
 
@@ -111,7 +111,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             f, c, b = features(batch.column(1))
             sums = np.concatenate([[0.0], np.cumsum(weights[f].astype(np.float64) * values(c, b))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(sums[b[1:]] - sums[b[:-1]] + bias))], ["doc_id", "score"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,6 +71,13 @@ def by_row(h: np.ndarray, rows: np.ndarray, n: int, size: int) -> tuple[np.ndarr
     return key % size, count, np.searchsorted(key, np.arange(n + 1) * size)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: features of a batch are held at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``: the folds of the labelled rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by

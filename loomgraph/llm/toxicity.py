@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.bytesets import chunks
 from loomgraph.llm.quality import sigmoid
-from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, remainder, word_stems
+from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, remainder, slices, word_stems
 
 SIZE = 1 << 20
 #: Most confirmed and most unlabelled rows that a fit looks at.
@@ -92,7 +92,7 @@ def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, dec
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         f, b = features(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists(f, b)], ["doc_id", "f"])
 
@@ -129,7 +129,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             f, b = features(batch.column(1))
             sums = np.concatenate([[0.0], np.cumsum(weights[f].astype(np.float64))])
             z = sums[b[1:]] - sums[b[:-1]] + bias
