@@ -629,6 +629,7 @@ def _linked_components(documents: DataFrame, width: int) -> DataFrame:
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.band") == F.col("y.near"))
         & (F.col("x.root") != F.col("y.root"))
+        & (~F.col("y.leads") | (F.col("x.leader") < F.col("y.leader")))  # once, if both lead
         & (DEN * F.col("x.large") >= NUM * F.col("y.small"))
         & (DEN * F.col("y.large") >= NUM * F.col("x.small"))
         & ((NUM + DEN) * F.least("x.r", "y.r") >= NUM * (F.col("x.small") + F.col("y.small")))
