@@ -5,6 +5,7 @@ Every text is built from whole tables, and the SQL says what its reader must giv
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from loomgraph.queries.activation import SEEDS, wave_sql
 from loomgraph.queries.documents import _drained
 from loomgraph.queries.registry import query, table
 from loomgraph.queries.texts import _QUERY, _TRI, _tfidf_sql, _token_sql
-from loomgraph.sources import formats, state
+from loomgraph.sources import formats, scopes, state
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
 
@@ -43,13 +44,15 @@ def _folder(spark) -> str:
 # --- sources ----------------------------------------------------------------------------------------
 
 
-@query("SELECT n_regionkey::VARCHAR AS folder, 1::BIGINT AS n_files, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY n_regionkey", graph=False)
+@query("SELECT n_regionkey::VARCHAR AS folder, 2::BIGINT AS n_files, CAST(sum(2 * length(n_name) + 4) AS BIGINT) AS bytes FROM nation GROUP BY n_regionkey", graph=False)
 def s1_code_tree(spark, sf_dir):
     at = _folder(spark)
     n = table(spark, sf_dir, "nation")
     n.select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("r")).repartition("r").write.partitionBy("r").text(f"{at}/src")
     n.select("n_name").coalesce(1).write.text(f"{at}/node_modules/x")  # never walked into
     n.select("n_name").coalesce(1).write.text(f"{at}/.hidden")
+    n.select(F.concat("n_name", F.lit("\x10\x01\x00")).alias("value"), F.col("n_regionkey").alias("r")).repartition("r").write.partitionBy("r").text(f"{at}/src/bin")  # a zero byte after two that look like one
+    n.select(F.concat("n_name", F.lit("\x10\x01")).alias("value"), F.col("n_regionkey").alias("r")).repartition("r").write.partitionBy("r").text(f"{at}/src/text")  # no zero byte
     t = formats.code_tree(spark, at).where(F.col("path").startswith("src/"))
     return t.groupBy(F.regexp_extract("path", r"r=(\d+)", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
 
@@ -63,47 +66,99 @@ def s3_commit_log(spark, sf_dir):
     return formats.commit_log(heads.unionByName(files))
 
 
+#: Files of four languages: names of the part's number, comments and strings that look like code, and a nested function.
 _CODE = {
-    0: ("py", "import os\nfrom pkg.m{} import x\n\nclass C{}(Base):\n    @app.get('/r{}')\n    def f{}(self):\n        return helper{}(1)\n"),
-    1: ("rs", "use pkg::m{};\npub struct C{};\n// r{}\npub fn f{}() {\n    helper{}(1);\n}\n"),
-    2: ("ts", "import {{x}} from 'm{}';\nexport class C{} {{}}\n// r{}\nexport function f{}() {{\n  helper{}(1);\n}}\n"),
-    3: ("kt", "import pkg.m{}\nclass C{}\n// r{}\nfun f{}() {{\n  helper{}(1)\n}}\n"),
+    "py": "import os\nfrom pkg.m{k7} import x\n# helper{k}(9)\nclass C{k}(Base):\n    @app.get('/r{k}')\n    def f{k}(self, a: T{k5}):\n        s = \"other{k}(2) # no\"\n        return helper{k5}(1)\n",
+    "rs": "use pkg::m{k7};\n#[derive(Debug)]\npub struct C{k};\n/* helper{k}(9) /* deep */ */\nimpl Base for C{k} {\n    fn f{k}(&self, a: T{k5}) {\n        let s = \"other{k}(2) // no\"; helper{k5}(1);\n    }\n}\n",
+    "ts": "import {x} from 'pkg.m{k7}';\n// helper{k}(9)\nexport class C{k} extends Base {\n  f{k}(a: T{k5}) { const s = `other{k}(2)`; return helper{k5}(1); }\n}\n",
+    "kt": "import pkg.m{k7}\n/* helper{k}(9) */\nclass C{k} : Base {\n  fun f{k}(a: T{k5}) { val s = \"other{k}(2)\"; helper{k5}(1) }\n}\n",
 }
 
 
 def _code_files(spark, sf_dir):
-    p = _part(spark, sf_dir)
-    out = None
-    for m, (ext, body) in _CODE.items():
-        one = _text(p.where(F.col("k") % 4 == m), "src/p", "{}" + body.replace("{{", "\x01").replace("}}", "\x02"), "k", "k7", "k", "k", "k", "k5")
-        one = one.select(F.concat("path", F.lit(f".{ext}")).alias("path"), F.translate(F.regexp_replace("text", r"^\d+", ""), "\x01\x02", "{}").alias("text"))
+    """One file for each part, in turn of each language."""
+    p, out = _part(spark, sf_dir), None
+    for i, (ext, body) in enumerate(_CODE.items()):
+        pieces = [F.col(x).cast("string") if j % 2 else F.lit(x) for j, x in enumerate(re.split(r"\{(k|k5|k7)\}", body))]
+        one = p.where(F.col("k") % len(_CODE) == i).select(F.concat(F.lit("src/p"), F.col("k").cast("string"), F.lit(f".{ext}")).alias("path"), F.concat(*pieces).alias("text"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_FILES = "cf AS (SELECT p_partkey AS k, p_partkey % 5 AS k5, p_partkey % 7 AS k7, ['py', 'rs', 'ts', 'kt'][1 + p_partkey % 4] AS ext, 'file::src/p' || p_partkey || '.' || ['py', 'rs', 'ts', 'kt'][1 + p_partkey % 4] AS file FROM part)"
+_FILES = """cf AS (SELECT p_partkey AS k, p_partkey % 5 AS k5, p_partkey % 7 AS k7, ['py', 'rs', 'ts', 'kt'][1 + p_partkey % 4] AS ext,
+  'file::src/p' || p_partkey || '.' || ['py', 'rs', 'ts', 'kt'][1 + p_partkey % 4] AS file FROM part),
+ci AS (SELECT *, file || CASE ext WHEN 'rs' THEN '::struct::C' ELSE '::class::C' END || k AS class, file || '::fn::C' || k || '::f' || k AS fn FROM cf)"""
 
 
-@query(f"WITH {_FILES} SELECT file AS external_id, 'p' || k || '.' || ext AS label, 0 AS node_type FROM cf UNION ALL SELECT file || '::fn::f' || k, 'f' || k, 2 FROM cf UNION ALL SELECT file || '::type::C' || k, 'C' || k, 3 FROM cf", graph=False)
+@query(f"""WITH {_FILES} SELECT file AS external_id, 'p' || k || '.' || ext AS label, 0 AS node_type, 1 AS line_start FROM ci
+UNION ALL SELECT fn, 'f' || k, 2, CASE ext WHEN 'ts' THEN 4 WHEN 'kt' THEN 4 ELSE 6 END FROM ci UNION ALL SELECT class, 'C' || k, CASE ext WHEN 'rs' THEN 4 ELSE 3 END, CASE ext WHEN 'py' THEN 4 ELSE 3 END FROM ci""", graph=False)
 def s4_extracted_nodes(spark, sf_dir):
-    return formats.extract_code(_code_files(spark, sf_dir))[0].select("external_id", "label", "node_type")
+    return formats.extract_code(_code_files(spark, sf_dir))[0].select("external_id", "label", "node_type", "line_start")
 
 
-@query(
-    f"WITH {_FILES} SELECT file AS src, file || '::fn::f' || k AS dst, 'contains' AS relation FROM cf UNION ALL SELECT file, file || '::type::C' || k, 'contains' FROM cf UNION ALL SELECT file || '::fn::f' || k, 'ref::helper' || k5, 'calls' FROM cf UNION ALL SELECT file, 'ref::os', 'imports' FROM cf WHERE ext = 'py' "
-    "UNION ALL SELECT file, 'ref::' || CASE ext WHEN 'py' THEN 'pkg.m' WHEN 'rs' THEN 'pkg::m' WHEN 'ts' THEN 'm' ELSE 'pkg.m' END || k7, 'imports' FROM cf UNION ALL SELECT file || '::type::C' || k, 'ref::Base', 'implements' FROM cf WHERE ext = 'py' UNION ALL SELECT 'route::/r' || k, file, 'routes_to' FROM cf WHERE ext = 'py'", graph=False
-)
+@query(f"""WITH {_FILES} SELECT src, dst, relation, weight::DOUBLE AS weight FROM ci, LATERAL (VALUES (file, class, 'contains', 1.0), (class, fn, 'contains', 1.0), (fn, 'ref::helper' || k5, 'calls', 0.4), (fn, 'ref::T' || k5, 'references', 0.3),
+  (class, 'ref::Base', 'implements', 0.7), (file, 'ref::pkg' || CASE ext WHEN 'rs' THEN '::m' ELSE '.m' END || k7, 'imports', 0.5)) t(src, dst, relation, weight)
+UNION ALL SELECT src, dst, relation, weight FROM ci, LATERAL (VALUES (file, 'ref::os', 'imports', 0.5), (file, 'ref::x', 'imports', 0.5), ('route::/r' || k, file, 'routes_to', 0.5), (fn, 'ref::app', 'references', 0.4)) t(src, dst, relation, weight) WHERE ext = 'py'""", graph=False)
 def s5_extracted_edges(spark, sf_dir):
-    return formats.extract_code(_code_files(spark, sf_dir))[1].select("src", "dst", "relation")
+    return formats.extract_code(_code_files(spark, sf_dir))[1].select("src", "dst", "relation", "weight")
+
+
+#: A type with one method each, in many languages; K stands for the part's number. Every file has a call in a comment and one in a string.
+_METHODS = {
+    "py": ("class", "class C{k}:\n    def f{k}(self):\n        g{k}('h{k}()')  # i{k}()\n"),
+    "rs": ("struct", "struct C{k} {}\nimpl C{k} {\n    pub fn f{k}(&self) { g{k}(\"h{k}()\"); } // i{k}()\n}\n"),
+    "go": ("struct", "type C{k} struct {}\n\nfunc (c *C{k}) f{k}() {\n\tg{k}(`h{k}()`) // i{k}()\n}\n"),
+    "java": ("class", "public class C{k} {\n  public static void f{k}(int a) {\n    g{k}(\"h{k}()\"); /* i{k}() */\n  }\n}\n"),
+    "ts": ("class", "class C{k} {\n  async f{k}(): void {\n    g{k}('h{k}()'); // i{k}()\n  }\n}\n"),
+    "cpp": ("class", "#include <v>\nclass C{k} {\n  int f{k}(int a) {\n    return g{k}(\"h{k}()\"); // i{k}()\n  }\n};\n"),
+    "cs": ("class", "public class C{k}\n{\n  public void f{k}(int a)\n  {\n    g{k}(@\"h{k}()\\\"); // i{k}()\n  }\n}\n"),
+    "kt": ("class", "class C{k} {\n  fun f{k}() = g{k}(\"h{k}()\") // i{k}()\n}\n"),
+    "swift": ("class", "class C{k} {\n  func f{k}() {\n    g{k}(\"h{k}()\") /* i{k}() /* j */ */\n  }\n}\n"),
+    "php": ("class", "<?php\nclass C{k} {\n  public function f{k}($a) {\n    return g{k}('h{k}()'); # i{k}()\n  }\n}\n"),
+    "rb": ("class", "class C{k}\n  def f{k}(a)\n    if a\n      g{k}(\"h{k}() # no\") # i{k}()\n    end\n  end\nend\n"),
+    "scala": ("class", "class C{k} {\n  def f{k}(a: Int) = {\n    g{k}(\"h{k}()\") // i{k}()\n  }\n}\n"),
+    "ex": ("module", "defmodule C{k} do\n  def f{k}(a) do\n    g{k}(\"h{k}()\") # i{k}()\n  end\nend\n"),
+}
+
+
+def _method_files(spark, sf_dir):
+    """A file of every language for each supplier."""
+    s, out = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k")), None
+    for ext, (_, body) in _METHODS.items():
+        pieces = [F.col("k") if j % 2 else F.lit(x) for j, x in enumerate(re.split(r"\{(k)\}", body))]
+        one = s.select(F.concat(F.lit("m"), "k", F.lit(f".{ext}")).alias("path"), F.concat(*pieces).alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KINDS = "(VALUES " + ", ".join(f"('{e}', '{k}')" for e, (k, _) in _METHODS.items()) + ") t(ext, kind)"
+
+
+@query(f"""WITH m AS (SELECT 'file::m' || s_suppkey || '.' || ext AS file, s_suppkey AS k, kind FROM supplier, {_KINDS}), n AS (SELECT *, file || '::' || kind || '::C' || k AS class, file || '::fn::C' || k || '::f' || k AS fn FROM m)
+SELECT file AS src, class AS dst, 'contains' AS relation FROM n UNION ALL SELECT class, fn, 'contains' FROM n UNION ALL SELECT fn, 'ref::g' || k, 'calls' FROM n""", graph=False)
+def s6_methods(spark, sf_dir):
+    """Nested scopes: each method is in its class, and its one call is its own."""
+    return formats.extract_code(_method_files(spark, sf_dir))[1].where("relation <> 'imports'").select("src", "dst", "relation")
+
+
+@query(f"SELECT ext, kind, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(length(s_suppkey::VARCHAR)) AS BIGINT) AS digits FROM supplier, {_KINDS} GROUP BY ext, kind", graph=False)
+def s6_code_scopes_sql(spark, sf_dir):
+    """The table function in SQL, with a lateral join: files that have a method contained in a type."""
+    scopes.register(spark)
+    return spark.sql(
+        r"""SELECT regexp_extract(path, '[.](\\w+)$', 1) AS ext, regexp_extract(src, '::(\\w+)::', 1) AS kind, count(*) AS n_files, sum(length(regexp_extract(path, 'm(\\d+)', 1))) AS digits
+        FROM {files} f, LATERAL code_scopes(f.path, f.text) WHERE relation = 'contains' AND dst LIKE '%::fn::C%::f%' GROUP BY 1, 2""",
+        files=_method_files(spark, sf_dir),
+    )
 
 
 #: A line that defines ``f<number>`` in each of further languages.
 _DEFINITIONS = {"rb": "  def f{}", "swift": "public func f{}() {", "php": "function f{}() {", "lua": "local function f{}()", "sh": "f{}() {", "pl": "sub f{} {", "hs": "f{} :: Int", "ml": "let rec f{} x = x", "clj": "(defn f{} [x])", "r": "f{} <- function(x) x", "sql": "CREATE FUNCTION f{} AS 1", "java": "  public static int f{}(int x) {", "zig": "pub fn f{}() void {", "scala": "  def f{} = 1", "js": "async function f{}() {"}
 
 
-@query("SELECT ext, CAST(count(*) AS BIGINT) AS n FROM nation, (SELECT unnest([" + ", ".join(f"'{e}'" for e in _DEFINITIONS) + "]) AS ext) GROUP BY ext", graph=False)
+@query("SELECT ext, CAST(count(*) AS BIGINT) AS n FROM supplier, (SELECT unnest([" + ", ".join(f"'{e}'" for e in _DEFINITIONS) + "]) AS ext) GROUP BY ext", graph=False)
 def s6_languages(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     files = None
     for ext, line in _DEFINITIONS.items():
         a, b = line.split("{}", 1)
@@ -114,10 +169,25 @@ def s6_languages(spark, sf_dir):
     return found.where(right).groupBy(F.regexp_extract("external_id", r"file::a\d+\.(\w+)::", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey AS k, 'x = 1 ' || chr(10) || chr(10) || 'y = \"' || p_partkey || '\" ' || chr(10) || chr(10) AS code FROM part", graph=False)
+#: Code and the same without comments, by file extension; {k} stands for a number.
+_COMMENTED = {
+    "py": ('x{k} = "a # {k}"  # note\ny = \'\'\'b\n# "c{k}\'\'\'\n', 'x{k} = "a # {k}"  \ny = \'\'\'b\n# "c{k}\'\'\'\n'),
+    "rs": ('#[derive(Debug)]\nlet u = "http://x{k}"; /* a /* {k} */ b\n */ let c = \'"\'; // d\n', '#[derive(Debug)]\nlet u = "http://x{k}"; \n let c = \'"\'; \n'),
+    "c": ("#include <x{k}.h>\n#define A '\"' // {k}\n/* \"*/int a{k}; /* // */\n", "#include <x{k}.h>\n#define A '\"' \nint a{k}; \n"),
+    "sh": ('echo $# ${v#{k}} "# {k}" # gone\n# gone\n', 'echo $# ${v#{k}} "# {k}" \n\n'),
+    "sql": ("select 'it''s -- {k}' -- gone\n/* ' */ from t{k}\n", "select 'it''s -- {k}' \n from t{k}\n"),
+    "lua": ("a{k} = [==[ -- ]] {k}]==] --[[ gone\n]] b = 1 -- gone\n", "a{k} = [==[ -- ]] {k}]==] \n b = 1 \n"),
+}
+_PLAIN = " ".join(f"WHEN '{ext}' THEN {' || chr(10) || '.join(repr_sql for repr_sql in [chr(39) + line.replace(chr(39), chr(39) * 2) + chr(39) for line in out.split(chr(10))])}" for ext, (_, out) in _COMMENTED.items())
+
+
+@query(f"SELECT 's' || p_partkey || '.' || ext AS path, replace(CASE ext {_PLAIN} END, '{{k}}', p_partkey::VARCHAR) AS code FROM part, (SELECT unnest([{', '.join(repr(e) for e in _COMMENTED)}]) AS ext)", graph=False)
 def s7_strip_comments(spark, sf_dir):
-    t = _text(_part(spark, sf_dir), "", 'x = 1 # note {}\n/* a\n {} */\ny = "{}" // tail\n"""doc\n"""\n', "k", "k", "k")
-    return t.select(F.col("path").cast("long").alias("k"), formats.strip_comments(F.col("text")).alias("code"))
+    p, out = _part(spark, sf_dir).select(F.col("k").cast("string").alias("k")), None
+    for ext, (text_of, _) in _COMMENTED.items():
+        one = p.select(F.concat(F.lit("s"), "k", F.lit(f".{ext}")).alias("path"), F.replace(F.lit(text_of), F.lit("{k}"), "k").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("path", formats.strip_comments(F.col("text"), F.col("path")).alias("code"))
 
 
 @query("SELECT 'n' || n_nationkey AS external_id, n_name AS label, CASE WHEN n_nationkey % 2 = 1 THEN 11 ELSE 100 END AS node_type FROM nation", graph=False)

@@ -13,6 +13,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.durable import stored
+from loomgraph.sources import scopes
+from loomgraph.sources.lexical import strip_comments as strip_comments
+
 #: Node types of descriptors, and causal strengths by relation.
 TYPES = {"file": 0, "directory": 1, "function": 2, "class": 3, "struct": 4, "enum": 5, "type": 6, "module": 7, "reference": 8, "concept": 9, "material": 10, "process": 11, "product": 12, "supplier": 13, "regulatory": 14, "system": 15, "cost": 16}
 CAUSAL = {"contains": 0.8, "implements": 0.7, "imports": 0.6, "depends_on": 0.6, "calls": 0.5, "routes_to": 0.5, "references": 0.3}
@@ -28,19 +32,6 @@ def _mapped(c: Column, table: dict, other) -> Column:
     return out.otherwise(F.lit(other))
 
 
-#: Where function definitions stand, by file extensions; other files are read by a C-like pattern.
-FUNCTIONS = (
-    (r"^\s*(?:async\s+)?def\s+(\w+)", "py pyi"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "rs zig"), (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "go"),
-    (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", "js jsx ts tsx mjs"), (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", "rb ex exs scala"),
-    (r"^\s*(?:(?:public|private|internal|override|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)", "kt kts"), (r"^\s*(?:(?:public|private|static|override)\s+)*func\s+(\w+)", "swift"),
-    (r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)", "php"), (r"^\s*(?:local\s+)?function\s+([\w.:]+)", "lua jl"), (r"^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*\{", "sh bash zsh"),
-    (r"^\s*sub\s+(\w+)", "pl pm"), (r"^(\w+)\s*::", "hs elm"), (r"^\s*let\s+(?:rec\s+)?(\w+)\s+\w", "ml fs"), (r"^\s*\(defn-?\s+([\w!?*-]+)", "clj cljs"), (r"^\s*(\w+)\s*<-\s*function", "r"),
-    (r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)", "sql"),
-)
-#: Words before a parenthesis that are no calls.
-NOT_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "def", "fn", "func", "function", "class", "super")
-
-
 def code_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modified, text) of the text files below a root; hidden, vendored and binary files are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -50,7 +41,7 @@ def code_tree(spark: SparkSession, root: str) -> DataFrame:
     for d in SKIPPED_DIRS:
         f = f.where(~F.concat(F.lit("/"), "rel").contains(f"/{d}/"))
     name = F.element_at(F.split("rel", "/"), -1)
-    binary = F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 == 1  # a zero byte at an even place of the hex text
+    binary = F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00")  # a zero byte, not two halves of its neighbours
     f = f.where(~name.startswith(".") & ~name.isin(*LOCKFILES) & ~binary)
     return f.select(F.col("rel").alias("path"), "length", F.unix_timestamp("modificationTime").cast("double").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
@@ -80,43 +71,15 @@ def numbered_lines(docs: DataFrame, key: str = "path", text: str = "text") -> Da
 
 
 def extract_code(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Definitions and imports of code files by language patterns: nodes and edges with ``ref::`` targets."""
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    lines = numbered_lines(files).withColumn("ext", ext)
-    fn = F.when(F.lit(False), "")
-    for pattern, exts in FUNCTIONS:
-        fn = fn.when(F.col("ext").isin(*exts.split()), F.regexp_extract("line", pattern, 1))
-    fn = fn.otherwise(F.regexp_extract("line", r"^\s*(?:public|private|protected|static|final|override|virtual|\s)*[\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*\{", 1))
-    cls = F.regexp_extract("line", r"^\s*(?:export\s+)?(?:pub(?:\([^)]*\))?\s+)?(?:abstract\s+|public\s+|final\s+)*(?:class|struct|interface|trait|enum)\s+(\w+)", 1)
-    imp = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import", r"^\s*import\s+([\w.]+)", r"^\s*use\s+([\w:]+)", r"from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)")])
-    base = F.regexp_extract("line", r"^\s*class\s+\w+\s*\(\s*([\w.]+)", 1)
-    called = F.filter(F.regexp_extract_all("line", F.lit(r"(?<![\w.])([A-Za-z_]\w*)\("), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS))
-    route = F.regexp_extract("line", r"(?:@\w+|\b(?:app|router))\.(?:get|post|put|delete|patch|route)\(\s*['\"]([^'\"]+)['\"]", 1)
-    found = lines.select("path", "line_no", fn.alias("fn"), cls.alias("cls"), imp.alias("imp"), base.alias("base"), called.alias("called"), route.alias("route"))
-    above = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = found.withColumn("within", F.last(F.nullif("fn", F.lit("")), True).over(above))
-    file_id = F.concat(F.lit("file::"), "path")
-    files_n = files.select(file_id.alias("external_id"), F.element_at(F.split("path", "/"), -1).alias("label"), F.lit(0).alias("node_type"), F.lit(None).cast("int").alias("line_start"))
-    fns = found.where("fn <> ''").select(F.concat(file_id, F.lit("::fn::"), "fn").alias("external_id"), F.col("fn").alias("label"), F.lit(2).alias("node_type"), F.col("line_no").alias("line_start"), file_id.alias("file"))
-    classes = found.where("cls <> ''").select(F.concat(file_id, F.lit("::type::"), "cls").alias("external_id"), F.col("cls").alias("label"), F.lit(3).alias("node_type"), F.col("line_no").alias("line_start"), file_id.alias("file"))
-    nodes = files_n.unionByName(fns.drop("file")).unionByName(classes.drop("file")).dropDuplicates(["external_id"])
-    edge = lambda df, s, d, r, w: df.select(s.alias("src"), d.alias("dst"), F.lit(r).alias("relation"), F.lit(w).alias("weight"))
-    ref = lambda c: F.concat(F.lit("ref::"), F.col(c))
-    edges = (
-        edge(fns, F.col("file"), F.col("external_id"), "contains", 1.0).unionByName(edge(classes, F.col("file"), F.col("external_id"), "contains", 1.0))
-        .unionByName(edge(found.where("imp IS NOT NULL"), file_id, ref("imp"), "imports", 0.5)).unionByName(edge(found.where("base <> ''"), F.concat(file_id, F.lit("::type::"), "cls"), ref("base"), "implements", 0.7))
-    )
-    calls = within.where("fn = '' AND cls = '' AND within IS NOT NULL").select("path", "within", F.explode("called").alias("name"))
-    edges = edges.unionByName(edge(calls, F.concat(file_id, F.lit("::fn::"), "within"), ref("name"), "calls", 0.5))
-    edges = edges.unionByName(edge(found.where("route <> ''"), F.concat(F.lit("route::"), "route"), file_id, "routes_to", 0.5))
-    return nodes, edges.distinct()
-
-
-def strip_comments(text: Column) -> Column:
-    """Code without block comments, docstrings and line comments (strings are kept)."""
-    out = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    out = F.regexp_replace(out, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "")
-    return F.regexp_replace(out, r"(?m)(^|\s)(//|#)[^\n]*$", "$1")
+    """Definitions, containment, imports, bases, calls, references and routes of code files (path, text; a path once).
+
+    nodes: external_id, label, node_type, line_start, line_end; edges: src, dst,
+    relation, weight, line, with ``ref::`` targets.  Every file is scanned once,
+    inside its own row (:mod:`scopes`), and what was found is written.
+    """
+    found = stored(scopes.scanned(files.where("path IS NOT NULL")), "code-scopes")
+    nodes = found.where("relation IS NULL").select(F.col("src").alias("external_id"), "label", "node_type", "line_start", "line_end")
+    return nodes, found.where("relation IS NOT NULL").select("src", "dst", "relation", "weight", F.col("line_start").alias("line"))
 
 
 def notes(docs: DataFrame, key: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
