@@ -33,8 +33,8 @@ from loomgraph.plans.durable import arrow_rows
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of the documents that stay plain, and of the others that begin with the suffix.
 PLAIN, SUFFIX_FIRST = 10, 20
-#: Code points that are matched at once.
-BLOCK = 16_384
+#: Code points that are matched at once: what the library holds for them stays in the caches.
+BLOCK = 256
 #: Documents of an Arrow batch, and of what Python holds at once.
 ROWS = 500
 
