@@ -6,8 +6,9 @@ The array's length is n, and two drawn ranks in it are where prefix and middle
 end.  The draws come from a SHA-256 of the document's id, so a lost task that
 runs again gives the same rows.
 
-Texts are matched in blocks of ``BLOCK`` code points, because the library keeps
-an object for each match; a match is one code point, so no match crosses blocks.
+Texts are matched in blocks of ``BLOCK`` code points, because the library makes
+objects for each match; a match is one code point, so no match crosses blocks.  A
+block's array is counted and let go, and made again for the two ranks.
 
 Nulls: a null text is the empty text and stays plain; a null doc_id is hashed as
 no digits at all.  Very long texts are cut whole, block after block.  Equal rows
@@ -19,6 +20,7 @@ the only ``<`` in it, so none arises where two parts meet).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -34,34 +36,34 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of the documents that stay plain, and of the others that begin with the suffix.
 PLAIN, SUFFIX_FIRST = 10, 20
 #: Code points that are matched at once: what the library holds for them stays in the caches.
-BLOCK = 256
+BLOCK = 128
 #: Documents of an Arrow batch, and of what Python holds at once.
 ROWS = 500
 
 
 def _splitter():
-    """A tokenizer of one unknown piece behind the Split pre-tokenizer; its encodings hold the offsets."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    """The Split pre-tokenizer with one code point as its isolated match."""
+    from tokenizers import Regex, pre_tokenizers
 
-    out = Tokenizer(models.WordLevel({"?": 0}, unk_token="?"))
-    out.pre_tokenizer = pre_tokenizers.Split(Regex(r"[\s\S]"), behavior="isolated")
-    return out
+    return pre_tokenizers.Split(Regex("(?m:.)"), behavior="isolated")  # in this syntax m lets the dot match line breaks
 
 
 class Offsets:
     """The code-point offsets of one text, in blocks."""
 
     def __init__(self, splitter, text: str):
-        self.text = text
-        self.blocks = [splitter.encode(text[i : i + BLOCK], add_special_tokens=False) for i in range(0, len(text), BLOCK)]
-        self.n = sum(map(len, self.blocks))
+        self.splitter, self.text = splitter, text
+        self.n = sum(len(self.block(i)) for i in range(0, len(text), BLOCK))
+
+    def block(self, start: int) -> list[tuple[str, tuple[int, int]]]:
+        return self.splitter.pre_tokenize_str(self.text[start : start + BLOCK])
 
     def end(self, rank: int) -> int:
         """Where the first ``rank`` matches end."""
         if not rank:
             return 0
-        block, at = divmod(rank - 1, BLOCK)
-        return block * BLOCK + self.blocks[block].token_to_chars(at)[1]
+        start = (rank - 1) // BLOCK * BLOCK
+        return start + self.block(start)[rank - 1 - start][1][1]
 
     def cut(self, lo: int, hi: int) -> tuple[str, str, str]:
         a, b = self.end(lo), self.end(hi)
@@ -93,6 +95,7 @@ def fill_in_middle(documents: DataFrame, plain: int = PLAIN, suffix_first: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter()
+        gc.disable()  # offsets are tuples without cycles, made and let go by the million
         for batch in slices(batches, ROWS):
             ids, texts = (c.to_pylist() for c in batch.columns)
             rows = [rearranged(splitter, d, t or "", plain, suffix_first, seed) for d, t in zip(ids, texts, strict=True)]

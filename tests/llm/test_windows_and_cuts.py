@@ -128,7 +128,7 @@ def test_fill_in_middle_rates_and_no_rows(spark):
 def test_offsets_end_where_code_points_end():
     text = "a日🙂" * 12_000
     offsets = fill_in_middle.Offsets(fill_in_middle._splitter(), text)
-    assert offsets.n == len(text) and [offsets.end(k) for k in (0, 1, 256, 257, 30_000, len(text))] == [0, 1, 256, 257, 30_000, len(text)]
+    assert offsets.n == len(text) and [offsets.end(k) for k in (0, 1, 128, 129, 30_000, len(text))] == [0, 1, 128, 129, 30_000, len(text)]
 
 
 def deduplicated(rows, width=50):
