@@ -6,9 +6,11 @@ The array's length is n, and two drawn ranks in it are where prefix and middle
 end.  The draws come from a SHA-256 of the document's id, so a lost task that
 runs again gives the same rows.
 
-Texts are matched in blocks of ``BLOCK`` code points, because the library makes
-objects for each match; a match is one code point, so no match crosses blocks.  A
-block's array is counted and let go, and made again for the two ranks.
+Texts are matched in blocks, words with the white space after them and at most
+``BLOCK`` code points of either; a match is one code point, so no match crosses
+blocks, and a text's array is those of its blocks in turn, each moved to where the
+block begins.  The library makes objects for each match, so the arrays of blocks
+are remembered: each different word is matched once, as long as there is room.
 
 Nulls: a null text is the empty text and stays plain; a null doc_id is hashed as
 no digits at all.  Very long texts are cut whole, block after block.  Equal rows
@@ -20,9 +22,11 @@ the only ``<`` in it, so none arises where two parts meet).
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,35 +39,50 @@ from loomgraph.plans.durable import arrow_rows
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of the documents that stay plain, and of the others that begin with the suffix.
 PLAIN, SUFFIX_FIRST = 10, 20
-#: Code points that are matched at once: what the library holds for them stays in the caches.
-BLOCK = 128
+#: Most code points of a word, and of white space, in a block; blocks whose arrays a task remembers before it starts anew.
+BLOCK, REMEMBERED = 64, 100_000
 #: Documents of an Arrow batch, and of what Python holds at once.
 ROWS = 500
 
 
-def _splitter():
-    """The Split pre-tokenizer with one code point as its isolated match."""
-    from tokenizers import Regex, pre_tokenizers
+_BLOCKS = re.compile(rf"\S{{1,{BLOCK}}}\s{{0,{BLOCK}}}|\s{{1,{BLOCK}}}")
 
-    return pre_tokenizers.Split(Regex("(?m:.)"), behavior="isolated")  # in this syntax m lets the dot match line breaks
 
+class Splitter:
+    """The Split pre-tokenizer with one code point as its isolated match, and the arrays of blocks that it has matched."""
 
-class Offsets:
-    """The code-point offsets of one text, in blocks."""
+    def __init__(self):
+        from tokenizers import Regex, pre_tokenizers
+
+        self.split = pre_tokenizers.Split(Regex("(?m:.)"), behavior="isolated")  # in this syntax m lets the dot match line breaks
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def ends(self, block: str) -> tuple[int, ...]:
+        """Where the matches of a block end, in code points."""
+        found = self.known.get(block)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[block] = tuple(end for _, (_, end) in self.split.pre_tokenize_str(block))
+        return found
 
-    def __init__(self, splitter, text: str):
-        self.splitter, self.text = splitter, text
-        self.n = sum(len(self.block(i)) for i in range(0, len(text), BLOCK))
 
-    def block(self, start: int) -> list[tuple[str, tuple[int, int]]]:
-        return self.splitter.pre_tokenize_str(self.text[start : start + BLOCK])
+class Offsets:
+    """The code-point offsets of one text, as those of its blocks."""
+
+    def __init__(self, splitter: Splitter, text: str):
+        self.text = text
+        self.blocks = _BLOCKS.findall(text)
+        self.arrays = [splitter.ends(b) for b in self.blocks]
+        self.n = sum(map(len, self.arrays))
 
     def end(self, rank: int) -> int:
         """Where the first ``rank`` matches end."""
         if not rank:
             return 0
-        start = (rank - 1) // BLOCK * BLOCK
-        return start + self.block(start)[rank - 1 - start][1][1]
+        upto = list(accumulate(map(len, self.arrays)))
+        k = bisect_left(upto, rank)
+        return sum(map(len, self.blocks[:k])) + self.arrays[k][rank - 1 - (upto[k - 1] if k else 0)]
 
     def cut(self, lo: int, hi: int) -> tuple[str, str, str]:
         a, b = self.end(lo), self.end(hi)
@@ -76,7 +95,7 @@ def draws(doc_id: object, seed: int = 1) -> tuple[int, int, int, int]:
     return tuple(int.from_bytes(digest[i : i + 4], "big") for i in (0, 4, 8, 12))  # type: ignore[return-value]
 
 
-def rearranged(splitter, doc_id: object, text: str, plain: int, suffix_first: int, seed: int) -> tuple[int, str, int | None, int | None, str]:
+def rearranged(splitter: Splitter, doc_id: object, text: str, plain: int, suffix_first: int, seed: int) -> tuple[int, str, int | None, int | None, str]:
     """(n, form, prefix_chars, middle_chars, output) of one document."""
     offsets = Offsets(splitter, text)
     h1, h2, h3, h4 = draws(doc_id, seed)
@@ -94,8 +113,7 @@ def fill_in_middle(documents: DataFrame, plain: int = PLAIN, suffix_first: int =
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = _splitter()
-        gc.disable()  # offsets are tuples without cycles, made and let go by the million
+        splitter = Splitter()
         for batch in slices(batches, ROWS):
             ids, texts = (c.to_pylist() for c in batch.columns)
             rows = [rearranged(splitter, d, t or "", plain, suffix_first, seed) for d, t in zip(ids, texts, strict=True)]

@@ -125,10 +125,14 @@ def test_fill_in_middle_rates_and_no_rows(spark):
     assert not fill_in_middle.fill_in_middle(empty(spark)).count()
 
 
-def test_offsets_end_where_code_points_end():
-    text = "a日🙂" * 12_000
-    offsets = fill_in_middle.Offsets(fill_in_middle._splitter(), text)
-    assert offsets.n == len(text) and [offsets.end(k) for k in (0, 1, 128, 129, 30_000, len(text))] == [0, 1, 128, 129, 30_000, len(text)]
+def test_offsets_end_where_code_points_end(monkeypatch):
+    monkeypatch.setattr(fill_in_middle, "REMEMBERED", 7)
+    splitter = fill_in_middle.Splitter()
+    rng = random.Random(9)
+    for text in ["", " ", "a日🙂" * 900, " \n\u2003" * 200, "é e\u0301 \r\n\x0b\x1c\x85 x", *("".join(rng.choices("ab日🙂 \n\u0301\u3000", k=300)) for _ in range(20))]:
+        offsets = fill_in_middle.Offsets(splitter, text)
+        assert offsets.n == len(text) and [offsets.end(k) for k in range(len(text) + 1)] == list(range(len(text) + 1))
+        assert len(splitter.known) <= 7
 
 
 def deduplicated(rows, width=50):
