@@ -10,7 +10,8 @@ Texts are matched in blocks, words with the white space after them and at most
 ``BLOCK`` code points of either; a match is one code point, so no match crosses
 blocks, and a text's array is those of its blocks in turn, each moved to where the
 block begins.  The library makes objects for each match, so the arrays of blocks
-are remembered: each different word is matched once, as long as there is room.
+are remembered: each different word is matched once, as long as there is room, and
+words that are new are matched many at a time.
 
 Nulls: a null text is the empty text and stays plain; a null doc_id is hashed as
 no digits at all.  Very long texts are cut whole, block after block.  Equal rows
@@ -24,9 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,9 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percent of the documents that stay plain, and of the others that begin with the suffix.
 PLAIN, SUFFIX_FIRST = 10, 20
 #: Most code points of a word, and of white space, in a block; blocks whose arrays a task remembers before it starts anew.
-BLOCK, REMEMBERED = 64, 100_000
+BLOCK, REMEMBERED = 64, 400_000
+#: Code points that are matched by one call.
+CALL = 128
 #: Documents of an Arrow batch, and of what Python holds at once.
 ROWS = 500
 
@@ -56,24 +59,50 @@ class Splitter:
 
         self.split = pre_tokenizers.Split(Regex("(?m:.)"), behavior="isolated")  # in this syntax m lets the dot match line breaks
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def ends(self, block: str) -> tuple[int, ...]:
-        """Where the matches of a block end, in code points."""
-        found = self.known.get(block)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[block] = tuple(end for _, (_, end) in self.split.pre_tokenize_str(block))
+        self.shapes: dict[tuple[int, ...], tuple[int, ...]] = {}
+
+    def learn(self, blocks: Iterable[str]) -> None:
+        """Match the blocks that are not known."""
+        wanted = set(blocks)
+        new = [b for b in wanted if b not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.shapes.clear()
+            new = list(wanted)
+        group, size = [], 0
+        for block in new:
+            group.append(block)
+            size += len(block)
+            if size >= CALL:
+                self._match(group)
+                group, size = [], 0
+        self._match(group)
+
+    def _match(self, group: list[str]) -> None:
+        ends = [end for _, (_, end) in self.split.pre_tokenize_str("".join(group))] if group else []
+        start = at = 0
+        for block in group:
+            upto = bisect_right(ends, start + len(block), at)
+            own = tuple(end - start for end in ends[at:upto])
+            self.known[block] = self.shapes.setdefault(own, own)  # equal arrays are kept once
+            start, at = start + len(block), upto
+
+    def arrays(self, blocks: list[str]) -> list[tuple[int, ...]]:
+        """Where the matches of each block end, in code points."""
+        found = list(map(self.known.get, blocks))
+        if None in found:
+            self.learn(blocks)
+            found = [self.known[b] for b in blocks]
         return found
 
 
 class Offsets:
     """The code-point offsets of one text, as those of its blocks."""
 
-    def __init__(self, splitter: Splitter, text: str):
+    def __init__(self, splitter: Splitter, text: str, blocks: list[str] | None = None):
         self.text = text
-        self.blocks = _BLOCKS.findall(text)
-        self.arrays = [splitter.ends(b) for b in self.blocks]
+        self.blocks = _BLOCKS.findall(text) if blocks is None else blocks
+        self.arrays = splitter.arrays(self.blocks)
         self.n = sum(map(len, self.arrays))
 
     def end(self, rank: int) -> int:
@@ -95,9 +124,9 @@ def draws(doc_id: object, seed: int = 1) -> tuple[int, int, int, int]:
     return tuple(int.from_bytes(digest[i : i + 4], "big") for i in (0, 4, 8, 12))  # type: ignore[return-value]
 
 
-def rearranged(splitter: Splitter, doc_id: object, text: str, plain: int, suffix_first: int, seed: int) -> tuple[int, str, int | None, int | None, str]:
+def rearranged(offsets: Offsets, doc_id: object, plain: int, suffix_first: int, seed: int) -> tuple[int, str, int | None, int | None, str]:
     """(n, form, prefix_chars, middle_chars, output) of one document."""
-    offsets = Offsets(splitter, text)
+    text = offsets.text
     h1, h2, h3, h4 = draws(doc_id, seed)
     if not offsets.n or h3 % 100 >= 100 - plain or any(mark in text for mark in (PREFIX, SUFFIX, MIDDLE)):
         return offsets.n, "plain", None, None, text
@@ -115,8 +144,10 @@ def fill_in_middle(documents: DataFrame, plain: int = PLAIN, suffix_first: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
         for batch in slices(batches, ROWS):
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            rows = [rearranged(splitter, d, t or "", plain, suffix_first, seed) for d, t in zip(ids, texts, strict=True)]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            blocks = [_BLOCKS.findall(t) for t in texts]
+            splitter.learn(chain.from_iterable(blocks))
+            rows = [rearranged(Offsets(splitter, t, b), d, plain, suffix_first, seed) for d, t, b in zip(batch.column(0).to_pylist(), texts, blocks, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)

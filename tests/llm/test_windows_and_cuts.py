@@ -132,7 +132,7 @@ def test_offsets_end_where_code_points_end(monkeypatch):
     for text in ["", " ", "a日🙂" * 900, " \n\u2003" * 200, "é e\u0301 \r\n\x0b\x1c\x85 x", *("".join(rng.choices("ab日🙂 \n\u0301\u3000", k=300)) for _ in range(20))]:
         offsets = fill_in_middle.Offsets(splitter, text)
         assert offsets.n == len(text) and [offsets.end(k) for k in range(len(text) + 1)] == list(range(len(text) + 1))
-        assert len(splitter.known) <= 7
+        assert len(splitter.known) <= max(7, len(set(offsets.blocks)))
 
 
 def deduplicated(rows, width=50):
