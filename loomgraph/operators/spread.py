@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
-from loomgraph.operators.traversal import DECAY, reach
-from loomgraph.plans.durable import cut, global_rank
+from loomgraph.operators.traversal import DECAY, pagerank, reach
+from loomgraph.plans.durable import cut, global_rank, stored
 
 #: Transmission by relation; anything else is 0.1.
 COUPLING = {"imports": 0.8, "calls": 0.7, "inherits": 0.6, "references": 0.4, "contains": 0.3, "related_to": 0.2}
@@ -100,12 +100,25 @@ def removal_effect(g: PropertyGraph, trials: DataFrame, remove: list[str], max_d
     return lost.withColumn("state", F.when(F.col("lost") > 0.99, "orphaned").when(F.col("lost") > 0.5, "weakened").otherwise("kept"))
 
 
-def strided_trials(g: PropertyGraph, n: int = 8) -> DataFrame:
-    """``n`` single-seed trials strided over the nodes by falling out-degree."""
-    total = g.nodes.count()
-    stride = max(1, total // n)
-    ranked = global_rank(g.degrees().select((-F.col("out_degree")).alias("falling"), "node_id"), ["falling", "node_id"], "r")
-    return ranked.where(F.col("r") % stride == 0).select((F.col("r") / stride).cast("int").alias("trial"), "node_id", F.lit(1.0).alias("score")).where(F.col("trial") < n)
+def ranked_trials(g: PropertyGraph, n: int = 8, ranks: DataFrame | None = None) -> DataFrame:
+    """``n`` single-seed trials (trial, node_id, score) strided over the nodes with out-edges by falling PageRank.
+
+    A leaf as a seed would reach nothing and lose nothing.  Fewer such nodes than
+    trials: they take turns.  ``ranks``: (node_id, pagerank), else computed; ties
+    in nine digits go by id.
+    """
+    pr = pagerank(g) if ranks is None else ranks
+    able = pr.join(g.expanded().select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
+    ranked = stored(global_rank(able.select((-F.round("pagerank", 9)).alias("falling"), "node_id"), ["falling", "node_id"], "r").select("node_id", "r"), "trial-ranks")
+    total = ranked.count()
+    if not total:
+        return ranked.select(F.lit(0).alias("trial"), "node_id", F.lit(1.0).alias("score"))
+    turns = g.nodes.sparkSession.createDataFrame([(t, t * max(1, total // n) % total) for t in range(n)], "trial int, r long")
+    return ranked.join(F.broadcast(turns), "r").select("trial", "node_id", F.lit(1.0).alias("score"))
+
+
+#: A share of activation below this is what the order of a sum leaves, not a loss.
+NO_LOSS = 1e-9
 
 
 def total_loss(g: PropertyGraph, trials: DataFrame, removed: DataFrame, max_depth: int) -> DataFrame:
@@ -118,22 +131,23 @@ def total_loss(g: PropertyGraph, trials: DataFrame, removed: DataFrame, max_dept
     base = trial_waves(g.expanded(), trials, max_depth).agg(F.sum("activation").alias("base"))
     kept = trial_waves(g.expanded(), runs, max_depth, by=("candidate", "trial"), gone=removed.select("candidate", "node_id")).groupBy("candidate").agg(F.sum("activation").alias("kept"))
     loss = 1 - F.coalesce("kept", F.lit(0.0)) / F.col("base")
+    loss = F.when((F.col("base") > 0) & (loss > NO_LOSS), loss).otherwise(0.0)
     return candidates.join(kept, "candidate", "left").crossJoin(F.broadcast(base)).select("candidate", loss.alias("impact"))  # one row
 
 
 def keystones(g: PropertyGraph, candidates: int = 40, keep: int = 20, max_depth: int = 5, trials: int = 8) -> DataFrame:
     """(node_id, impact): the candidates of largest out-degree whose removal costs most; a bounded list."""
     top = cut(g.degrees().orderBy(F.desc("out_degree"), "node_id").limit(candidates).select(F.col("node_id").alias("candidate"), "node_id"))
-    impact = total_loss(g, cut(strided_trials(g, trials)), top, max_depth)
+    impact = total_loss(g, cut(ranked_trials(g, trials)), top, max_depth)
     return impact.select(F.col("candidate").alias("node_id"), "impact").orderBy(F.desc(F.round("impact", 9)), "node_id").limit(keep)
 
 
-def synergy(g: PropertyGraph, nodes: list[str], max_depth: int = 5, trials: int = 8) -> DataFrame:
-    """One row: combined loss over the sum of single losses, at most 10."""
+def synergy(g: PropertyGraph, nodes: list[str], max_depth: int = 5, trials: int = 8, ranked: DataFrame | None = None) -> DataFrame:
+    """One row: combined loss over the sum of single losses, at most 10; 1 where nothing is lost. ``ranked``: the trials, else made."""
     ids = cut(g.seeds(nodes).select("node_id"))
     single = ids.select(F.col("node_id").alias("candidate"), "node_id")
     together = ids.select(F.lit(-1).cast("long").alias("candidate"), "node_id")
-    t = cut(strided_trials(g, trials))
+    t = cut(ranked_trials(g, trials)) if ranked is None else ranked
     loss = total_loss(g, t, single.unionByName(together), max_depth)
     s = loss.agg(F.sum(F.when(F.col("candidate") < 0, F.col("impact"))).alias("combined"), F.sum(F.when(F.col("candidate") >= 0, F.col("impact"))).alias("single"))
     return s.select(F.round("combined", 6).alias("combined"), F.round("single", 6).alias("single"), F.round(F.when(F.col("single") > 0, F.least(F.col("combined") / F.col("single"), F.lit(10.0))).otherwise(1.0), 6).alias("synergy"))

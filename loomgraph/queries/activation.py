@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import activation, spread
 from loomgraph.operators.graph import r6
+from loomgraph.plans.durable import cut
 from loomgraph.queries.registry import query
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 
@@ -182,19 +183,43 @@ def g36_epidemic(spark, sf_dir):
 
 # --- counterfactuals ------------------------------------------------------------------------------
 
-_TRIALS = ", ".join(f"({k}, {id_of(f'nation::{k * 3}')}::BIGINT)" for k in range(8))
-_REMOVED = f"{id_of('nation::3')}, {id_of('supplier::5')}"
+def _rank_sql(nodes: str, edges: str, hops: int, trials: int = 8) -> str:
+    """PageRank (exact after ``hops`` steps: the graph has no cycle), and the trials strided over the nodes with out-edges."""
+    parts = [f"pn AS (SELECT count(*)::DOUBLE AS n FROM {nodes})", f"pd AS MATERIALIZED (SELECT src, count(*)::DOUBLE AS deg FROM {edges} GROUP BY src)", f"pr0 AS MATERIALIZED (SELECT node_id, 1 / n AS pr FROM {nodes}, pn)"]
+    for k in range(1, hops + 1):
+        parts.append(f"pr{k} AS MATERIALIZED (SELECT s.node_id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(m, 0) AS pr FROM {nodes} s CROSS JOIN pn LEFT JOIN (SELECT dst, sum(pr / deg) AS m FROM pr{k - 1} JOIN {edges} e ON e.src = node_id JOIN pd ON pd.src = node_id GROUP BY dst) t ON t.dst = s.node_id)")
+    parts.append(f"rk AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY round(pr / (SELECT max(pr) FROM pr{hops}), 9) DESC, node_id) - 1 AS r FROM pr{hops} WHERE node_id IN (SELECT src FROM pd))")
+    parts.append(f"tr AS MATERIALIZED (SELECT t AS trial, node_id FROM range({trials}) x(t), (SELECT count(*) AS n FROM rk) c, rk WHERE r = (t * greatest(1, n // {trials})) % n)")
+    return ", ".join(parts)
+
+
+#: The first trial's seed, and the least node that it leads to.
+_TOLD = "told AS MATERIALIZED (SELECT node_id AS seed, (SELECT min(dst) FROM edges WHERE src = node_id) AS target FROM tr WHERE trial = 0)"
+
+
+def _told(g, trials) -> list[str]:
+    """The same by external id."""
+    seed = trials.where("trial = 0").select("node_id")
+    first = g.expanded().join(seed.withColumnRenamed("node_id", "src"), "src").groupBy("src").agg(F.min("dst").alias("dst")).first()
+    names = {r["node_id"]: r["external_id"] for r in g.nodes.where(F.col("node_id").isin(first["src"], first["dst"])).select("node_id", "external_id").collect()}
+    return [names[first["src"]], names[first["dst"]]]
+
+
+def _masked(name: str, columns: str, of: str, seeds: str) -> str:
+    gone = f"(SELECT unnest([{columns}]) FROM told)"
+    return f"{name}e AS MATERIALIZED (SELECT * FROM {of} WHERE src NOT IN {gone} AND dst NOT IN {gone}), {name}t AS MATERIALIZED (SELECT * FROM {seeds} WHERE node_id NOT IN {gone})"
 
 
 @query(
-    f"WITH tv AS (SELECT * FROM (VALUES {_TRIALS}) s(trial, node_id)), masked AS (SELECT * FROM edges WHERE src NOT IN ({_REMOVED}) AND dst NOT IN ({_REMOVED})), mv AS (SELECT * FROM tv WHERE node_id NOT IN ({_REMOVED})), {wave_sql(2, 'edges', 'tv', 'x', 'trial')}, {wave_sql(2, 'masked', 'mv', 'y', 'trial')}, "
-    "b AS (SELECT node_id, sum(act) AS base FROM x2 WHERE act > 0 GROUP BY node_id), m AS (SELECT node_id, sum(act) AS kept FROM y2 WHERE act > 0 GROUP BY node_id), l AS (SELECT b.node_id, 1 - coalesce(kept, 0) / base AS lost FROM b LEFT JOIN m USING (node_id)) "
-    f"SELECT external_id, round(lost, 6) AS lost, CASE WHEN lost > 0.99::DOUBLE THEN 'orphaned' WHEN lost > 0.5::DOUBLE THEN 'weakened' ELSE 'kept' END AS state FROM l JOIN nodes USING (node_id) WHERE node_id NOT IN ({_REMOVED}) AND lost > 0.000001::DOUBLE"
+    f"WITH {_rank_sql('nodes', 'edges', 5)}, {_TOLD}, {_masked('m', 'seed, target', 'edges', 'tr')}, {wave_sql(3, 'edges', 'tr', 'x', 'trial')}, {wave_sql(3, 'me', 'mt', 'y', 'trial')}, "
+    "b AS (SELECT node_id, sum(act) AS base FROM x3 WHERE act > 0 GROUP BY node_id), m AS (SELECT node_id, sum(act) AS kept FROM y3 WHERE act > 0 GROUP BY node_id), l AS (SELECT b.node_id, 1 - coalesce(kept, 0) / base AS lost FROM b LEFT JOIN m USING (node_id)) "
+    "SELECT external_id, round(lost, 6) AS lost, CASE WHEN lost > 0.99::DOUBLE THEN 'orphaned' WHEN lost > 0.5::DOUBLE THEN 'weakened' ELSE 'kept' END AS state FROM l JOIN nodes USING (node_id) WHERE node_id NOT IN (SELECT unnest([seed, target]) FROM told)"
 )
 def g31_counterfactual(spark, sf_dir):
+    """What the nodes that eight trials reach lose if the first trial's seed and its least target go."""
     g = full_graph(spark, sf_dir).finalised()
-    trials = spark.createDataFrame([(k, id_of(f"nation::{k * 3}"), 1.0) for k in range(8)], "trial int, node_id long, score double")
-    out = spread.removal_effect(g, trials, ["nation::3", "supplier::5"], max_depth=2).where("lost > 0.000001")
+    trials = cut(spread.ranked_trials(g))
+    out = spread.removal_effect(g, trials, _told(g, trials), max_depth=3)
     return g.named(out, "external_id").select("external_id", r6("lost").alias("lost"), "state")
 
 
@@ -206,30 +231,31 @@ def g35_redundancy(spark, sf_dir):
 
 
 # The spine is a forest: a node is reached from a trial's seed along one path, of 1, 0.55 and 0.3025.
-_STRIDED = (
-    "od AS (SELECT node_id, count(src) AS o FROM spine_nodes LEFT JOIN spine_edges ON src = node_id GROUP BY node_id), rk AS (SELECT node_id, o, row_number() OVER (ORDER BY o DESC, node_id) - 1 AS r FROM od), sr AS (SELECT greatest(1, count(*) // 8) AS stride FROM od), "
-    "tr AS MATERIALIZED (SELECT r // stride AS trial, node_id AS seed FROM rk, sr WHERE r % stride = 0 AND r // stride < 8), h1 AS MATERIALIZED (SELECT seed, dst AS mid FROM tr JOIN spine_edges ON src = seed), h2 AS MATERIALIZED (SELECT seed, mid, dst AS leaf FROM h1 JOIN spine_edges ON src = mid), "
-    "base AS (SELECT (SELECT count(*) FROM tr) + 0.55::DOUBLE * (SELECT count(*) FROM h1) + 0.3025::DOUBLE * (SELECT count(*) FROM h2) AS base)"
-)
-_KEPT = (
-    "kept AS (SELECT c.candidate, (SELECT count(*) FROM tr WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) + 0.55::DOUBLE * (SELECT count(*) FROM h1 WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND mid NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) "
-    "+ 0.3025::DOUBLE * (SELECT count(*) FROM h2 WHERE seed NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND mid NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate) AND leaf NOT IN (SELECT node_id FROM gone g WHERE g.candidate = c.candidate)) AS kept FROM (SELECT DISTINCT candidate FROM gone) c), "
-    "loss AS (SELECT candidate, 1 - kept / base AS impact FROM kept, base)"
+_FOREST = (
+    "st AS MATERIALIZED (SELECT node_id AS seed FROM tr), h1 AS MATERIALIZED (SELECT seed, dst AS mid FROM st JOIN spine_edges ON src = seed), h2 AS MATERIALIZED (SELECT seed, mid, dst AS leaf FROM h1 JOIN spine_edges ON src = mid), "
+    "base AS (SELECT (SELECT count(*) FROM st) + 0.55::DOUBLE * (SELECT count(*) FROM h1) + 0.3025::DOUBLE * (SELECT count(*) FROM h2) AS base), "
+    "gone AS MATERIALIZED (SELECT node_id AS candidate FROM (SELECT node_id, count(src) AS o FROM spine_nodes LEFT JOIN spine_edges ON src = node_id GROUP BY node_id) ORDER BY o DESC, node_id LIMIT 10), "
+    "lost AS (SELECT candidate, (SELECT count(*) FROM st WHERE seed = candidate) + 0.55::DOUBLE * (SELECT count(*) FROM h1 WHERE candidate IN (seed, mid)) + 0.3025::DOUBLE * (SELECT count(*) FROM h2 WHERE candidate IN (seed, mid, leaf)) AS lost FROM gone)"
 )
 
 
-@query(f"WITH {_STRIDED}, gone AS MATERIALIZED (SELECT node_id AS candidate, node_id FROM rk WHERE r < 10), {_KEPT} SELECT external_id, round(impact, 6) AS impact FROM loss JOIN spine_nodes ON node_id = candidate ORDER BY round(loss.impact, 9) DESC, candidate LIMIT 5")
+@query(f"WITH {_rank_sql('spine_nodes', 'spine_edges', 3)}, {_FOREST} SELECT external_id, round(lost / base, 6) AS impact FROM lost JOIN spine_nodes ON node_id = candidate, base ORDER BY round(lost / base, 9) DESC, candidate LIMIT 5")
 def g32_keystones(spark, sf_dir):
     g = spine_graph(spark, sf_dir)
     return g.named(spread.keystones(g, candidates=10, keep=5, max_depth=2), "external_id").select("external_id", r6("impact").alias("impact"))
 
 
 @query(
-    f"WITH {_STRIDED}, gone AS MATERIALIZED (SELECT * FROM (VALUES ({id_of('nation::1')}::BIGINT, {id_of('nation::1')}::BIGINT), ({id_of('region::0')}, {id_of('region::0')}), (-1, {id_of('nation::1')}), (-1, {id_of('region::0')})) t(candidate, node_id)), {_KEPT}, "
-    "s AS (SELECT sum(impact) FILTER (candidate < 0) AS combined, sum(impact) FILTER (candidate >= 0) AS single FROM loss) SELECT round(combined, 6) AS combined, round(single, 6) AS single, round(CASE WHEN single > 0 THEN least(combined / single, 10) ELSE 1 END, 6) AS synergy FROM s"
+    f"WITH {_rank_sql('nodes', 'edges', 5)}, {_TOLD}, {_masked('ma', 'seed', 'edges', 'tr')}, {_masked('mb', 'target', 'edges', 'tr')}, {_masked('mc', 'seed, target', 'edges', 'tr')}, "
+    f"{wave_sql(3, 'edges', 'tr', 'x', 'trial')}, {wave_sql(3, 'mae', 'mat', 'y', 'trial')}, {wave_sql(3, 'mbe', 'mbt', 'z', 'trial')}, {wave_sql(3, 'mce', 'mct', 'w', 'trial')}, base AS (SELECT sum(act) AS base FROM x3), "
+    "l AS (SELECT 1 - (SELECT sum(act) FROM y3) / base AS a, 1 - (SELECT sum(act) FROM z3) / base AS b, 1 - (SELECT sum(act) FROM w3) / base AS c FROM base), s AS (SELECT c AS combined, a + b AS single FROM l) "
+    "SELECT round(combined, 6) AS combined, round(single, 6) AS single, round(CASE WHEN single > 0 THEN least(combined / single, 10) ELSE 1 END, 6) AS synergy FROM s"
 )
 def g34_synergy(spark, sf_dir):
-    return spread.synergy(spine_graph(spark, sf_dir), ["nation::1", "region::0"], max_depth=2)
+    """The first trial's seed and a node that it leads to: what both cost together is less than the sum."""
+    g = full_graph(spark, sf_dir)
+    trials = cut(spread.ranked_trials(g))
+    return spread.synergy(g, _told(g, trials), max_depth=3, ranked=trials)
 
 
 # --- plasticity -----------------------------------------------------------------------------------

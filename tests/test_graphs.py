@@ -113,13 +113,31 @@ def test_constraints_are_reported(spark):
     assert {r["problem"] for r in bad.problems().collect()} == {"duplicate_node", "dangling_dst"}
 
 
-def test_trials_are_strided_over_all_nodes_of_a_large_graph(spark):
-    n, hubs = 100_010, 20  # the last nodes have an edge each
-    nodes = spark.range(1, n + 1).select(F.col("id").alias("node_id"))
-    edges = spark.range(n - hubs + 1, n + 1).select(F.col("id").alias("src"), F.lit(1).cast("long").alias("dst"), F.lit(0).alias("direction"))
-    got = values(spread.strided_trials(PropertyGraph(nodes, edges), 8), "trial", "node_id")
-    order = [*range(n - hubs + 1, n + 1), *range(1, n - hubs + 1)]
-    assert got == {t: order[t * (n // 8)] for t in range(8)}
+def test_trials_are_strided_over_the_nodes_that_lead_somewhere(spark):
+    n, leaves = 100_010, 50_000  # the first half of the nodes leads to a leaf each, by any rank
+    nodes = spark.range(n).select(F.col("id").alias("node_id"))
+    edges = spark.range(n - leaves).select(F.col("id").alias("src"), (F.col("id") % leaves + n - leaves).alias("dst"), F.lit(0).alias("direction"))
+    ranks = nodes.select("node_id", (1.0 / (F.col("node_id") + 1)).alias("pagerank"))
+    g = PropertyGraph(nodes, edges)
+    total = n - leaves
+    tied = lambda k: round(1 / (k + 1), 9)
+    order = sorted(range(total), key=lambda k: (-tied(k), k))
+    assert values(spread.ranked_trials(g, 8, ranks), "trial", "node_id") == {t: order[t * (total // 8)] for t in range(8)}
+
+
+def test_few_seeds_take_turns_and_no_edges_make_no_trials(spark):
+    g, at = graph(spark, "abc", [("a", "b", "calls", 1), ("b", "c", "calls", 1)])
+    assert values(spread.ranked_trials(g, 4), "trial", "node_id") == {0: at["b"], 1: at["a"], 2: at["b"], 3: at["a"]}
+    empty = PropertyGraph(g.nodes, g.edges.limit(0))
+    assert spread.ranked_trials(empty, 4).count() == 0
+
+
+def test_a_loss_of_nothing_is_no_synergy(spark):
+    """What only the order of a sum leaves is no loss: nothing lost twice is a factor of 1."""
+    g, _ = graph(spark, ["a", "x", *(f"b{i}" for i in range(9))], [("a", f"b{i}", "calls", 0.1 + 0.07 * i) for i in range(9)] + [("x", "b0", "calls", 0.01)])
+    trials = g.nodes.where("external_id = 'a'").select(F.lit(0).alias("trial"), "node_id", F.lit(1.0).alias("score"))
+    row = spread.synergy(g, ["x"], 3, ranked=trials).first()
+    assert (row["combined"], row["single"], row["synergy"]) == (0.0, 0.0, 1.0)
 
 
 def plain_graph(spark, n, edges):
