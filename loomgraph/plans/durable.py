@@ -55,14 +55,20 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder; it goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path in whatever store it is."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,19 +6,18 @@ Every text is built from whole tables, and the SQL says what its reader must giv
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import functions as F
 
 from loomgraph.functions import texts as tf
 from loomgraph.operators import activation, documents, ledgers, lookups, matching, merge, metrics, reports, spread, text, topology, traversal
 from loomgraph.operators.graph import PropertyGraph, r6
-from loomgraph.plans.durable import shared_dir
+from loomgraph.plans.durable import scratch
 from loomgraph.queries.activation import SEEDS, wave_sql
 from loomgraph.queries.documents import _drained
-from loomgraph.queries.registry import query, table
+from loomgraph.queries.registry import ORACLE_SQL, query, table
 from loomgraph.queries.texts import _QUERY, _TRI, _tfidf_sql, _token_sql
-from loomgraph.sources import formats, scopes, state
+from loomgraph.sources import datasources, formats, scopes, state
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
 
@@ -38,7 +37,7 @@ def _part(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+    return scratch(spark, "query")
 
 
 # --- sources ----------------------------------------------------------------------------------------
@@ -224,43 +223,123 @@ def s10_light(spark, sf_dir):
 
 @query("SELECT DISTINCT 'bib::p' || p_partkey AS src, d AS dst, r AS relation FROM part, LATERAL (VALUES ('author::ann ' || p_size, 'authored_by'), ('author::bob b', 'authored_by'), ('venue::j' || p_partkey % 5, 'published_in')) t(d, r)", graph=False)
 def s11_bibtex(spark, sf_dir):
+    return formats.bibtex(_bib_texts(spark, sf_dir))[1]
+
+
+def _bib_texts(spark, sf_dir):
     parts = ["@article{p", "k", ",\n title = {On {Things} ", "k", "},\n author = {Ann ", "size", " and Bob B},\n journal = {J", "k5", "},\n doi = {10.1/P", "k", "}\n}\n"]
-    t = _part(spark, sf_dir).select(F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)]).alias("text"))
-    return formats.bibtex(t)[1]
+    return _part(spark, sf_dir).select(F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)]).alias("text"))
 
 
 @query("SELECT DISTINCT 'doi::10.1/x' || p_partkey AS src, d AS dst, r AS relation FROM part, LATERAL (VALUES ('author::ann b' || p_size, 'authored_by'), ('venue::j' || p_partkey % 5, 'published_in'), ('doi::10.1/x' || (p_partkey + 1), 'cites')) t(d, r)", graph=False)
 def s12_crossref(spark, sf_dir):
+    return formats.crossref_rows(_crossref_texts(spark, sf_dir))[1]
+
+
+def _crossref_texts(spark, sf_dir):
     p = _part(spark, sf_dir)
     say = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
     author = F.array(F.struct(F.lit("Ann").alias("given"), say("B", "size").alias("family")))
     refs = F.array(F.struct(say("10.1/X", "next").alias("DOI")), F.struct(F.lit(None).cast("string").alias("DOI")))
     work = F.struct(say("10.1/X", "k").alias("DOI"), F.array(say("T", "k")).alias("title"), author.alias("author"), F.array(say("J", "k5")).alias("container-title"), refs.alias("reference"))
-    return formats.crossref_rows(p.select(F.to_json(F.struct(work.alias("message"))).alias("text")))[1]
+    return p.select(F.to_json(F.struct(work.alias("message"))).alias("text"))
 
 
 @query("SELECT DISTINCT 'doi::10.2/x' || p_partkey AS src, d AS dst, r AS relation FROM part, LATERAL (VALUES ('S' || p_size, 'authored_by'), ('J' || p_partkey % 5, 'published_in'), ('10.2/Y' || p_partkey % 7, 'cites')) t(d, r)", graph=False)
 def s13_jats(spark, sf_dir):
-    t = _text(
+    return formats.xml_records(_jats_texts(spark, sf_dir), "jats")[1]
+
+
+def _jats_texts(spark, sf_dir):
+    return _text(
         _part(spark, sf_dir), "j",
         '<!-- {} --><article><front><journal-meta><journal-title>J{}</journal-title></journal-meta><article-meta><article-id pub-id-type="doi">10.2/X{}</article-id><title-group><article-title>T <b>one</b></article-title></title-group>'
         '<contrib><name><surname>S{}</surname></name></contrib></article-meta></front><back><ref><pub-id pub-id-type="doi">10.2/Y{}</pub-id></ref></back></article>',
         "k", "k5", "k", "size", "k7",
     )
-    return formats.xml_records(t, "jats")[1]
 
 
 @query("SELECT DISTINCT 'patent::' || p_partkey AS src, d AS dst, r AS relation FROM part, LATERAL (VALUES ((p_partkey + 1)::VARCHAR, 'cites'), ('Org ' || p_partkey % 5, 'assigned_to'), ('C' || p_partkey % 7, 'classified_as')) t(d, r)", graph=False)
 def s14_patents(spark, sf_dir):
+    return formats.xml_records(_patent_texts(spark, sf_dir), "patent")[1]
+
+
+def _patent_texts(spark, sf_dir):
     one = "<us-patent-grant><publication><doc-number>{}</doc-number></publication><main-classification>C{}</main-classification><invention-title>I</invention-title><assignee><orgname>Org {}</orgname></assignee><citation><doc-number>{}</doc-number></citation></us-patent-grant>"
-    t = _text(_part(spark, sf_dir), "p", '{}<?xml version="1.0"?>\n' + one, "k", "k", "k7", "k5", "next")
-    return formats.xml_records(t, "patent")[1]
+    return _text(_part(spark, sf_dir), "p", '{}<?xml version="1.0"?>\n' + one, "k", "k", "k7", "k5", "next")
 
 
 @query("SELECT DISTINCT 'rfc::' || p_partkey AS src, d AS dst, r AS relation FROM part, LATERAL (VALUES ('A ' || p_size, 'authored_by'), ('RFC' || p_partkey % 7, 'references'), ('1', 'obsoletes'), ((p_partkey + 1)::VARCHAR, 'obsoletes'), (('5' || p_partkey % 5), 'updates')) t(d, r)", graph=False)
 def s15_rfc(spark, sf_dir):
-    t = _text(_part(spark, sf_dir), "r", '<?xml?>{}<rfc number="{}" obsoletes="1, {}" updates="5{}"><front><title>T</title><author fullname="A {}"/></front><back><reference anchor="RFC{}"/></back></rfc>', "k", "k", "next", "k5", "size", "k7")
-    return formats.xml_records(t, "rfc")[1]
+    return formats.xml_records(_rfc_texts(spark, sf_dir), "rfc")[1]
+
+
+def _rfc_texts(spark, sf_dir):
+    return _text(_part(spark, sf_dir), "r", '<?xml?>{}<rfc number="{}" obsoletes="1, {}" updates="5{}"><front><title>T</title><author fullname="A {}"/></front><back><reference anchor="RFC{}"/></back></rfc>', "k", "k", "next", "k5", "size", "k7")
+
+
+# --- the same formats as data sources -------------------------------------------------------------------
+
+
+def _source(spark, texts, kind: str, edges: bool = True):
+    """Texts written as files, read through the data source of a format: distinct edges."""
+    at = _folder(spark)
+    texts.select("text").write.option("lineSep", "\n").text(at)
+    datasources.register(spark)
+    records = spark.read.format(kind).option("pattern", r"\.txt$").option("partitionBytes", 1 << 20).load(at)
+    return datasources.graph_of(records)[1].select("src", "dst", "relation")
+
+
+@query(ORACLE_SQL["s11_bibtex"], graph=False)
+def s11_bibtex_source(spark, sf_dir):
+    """``spark.read.format("bibtex")``; several entries in a file."""
+    return _source(spark, _bib_texts(spark, sf_dir), "bibtex")
+
+
+@query(ORACLE_SQL["s12_crossref"], graph=False)
+def s12_crossref_source(spark, sf_dir):
+    """``spark.read.format("crossref")``: one work in a file, so files by the hundred are dealt into few tasks."""
+    at = _folder(spark)
+    _crossref_texts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(at)
+    datasources.register(spark)
+    return datasources.graph_of(spark.read.format("crossref").option("pattern", r"\.txt$").load(at))[1].select("src", "dst", "relation")
+
+
+@query(ORACLE_SQL["s13_jats"], graph=False)
+def s13_jats_source(spark, sf_dir):
+    return _source(spark, _jats_texts(spark, sf_dir), "jats")
+
+
+@query(ORACLE_SQL["s14_patents"], graph=False)
+def s14_patents_source(spark, sf_dir):
+    return _source(spark, _patent_texts(spark, sf_dir), "patent")
+
+
+@query(ORACLE_SQL["s15_rfc"], graph=False)
+def s15_rfc_source(spark, sf_dir):
+    return _source(spark, _rfc_texts(spark, sf_dir), "rfc")
+
+
+@query("SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, r AS relation FROM nation, (VALUES ('relates_to'), ('contains')) t(r)", graph=False)
+def s8_descriptor_source(spark, sf_dir):
+    at = _folder(spark)
+    _descriptors(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(at)
+    datasources.register(spark)
+    return datasources.graph_of(spark.read.format("descriptor").option("pattern", r"\.txt$").load(at))[1].select("src", "dst", "relation")
+
+
+@query("SELECT n_regionkey::VARCHAR AS folder, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS n_lines FROM nation GROUP BY n_regionkey", graph=False)
+def s1_tree_stream(spark, sf_dir):
+    """The tree as a stream: two regions' folders are there at first, the others when it starts again; each file comes once."""
+    at, out = _folder(spark), _folder(spark)
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.col("n_regionkey").alias("r"))
+    datasources.register(spark)
+    for first in (True, False):
+        n.where((F.col("r") < 2) if first else (F.col("r") >= 2)).repartition("r").write.mode("append").partitionBy("r").text(at)
+        changes = spark.readStream.format("code_tree").option("pattern", r"\.txt$").load(at)
+        changes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy(F.regexp_extract("path", r"r=(\d+)/", 1).alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(F.size(F.split("text", "\n")) - 1).alias("n_lines"))
 
 
 _ROUTED = [("a.bib", "@x", "bibtex"), ("a.xml", "<rfc number='1'>", "rfc"), ("a.xml", "<us-patent-grant>", "patent"), ("a.XML", "<article>", "jats"), ("a.xml", "<z>", "xml"), ("a.json", '{"DOI": 1}', "crossref"), ("a.json", "{}", "json"), ("a.md", "[entity: x]", "light"), ("a.md", "# h", "notes"), ("a.htm", "<p>", "html"), ("a.rs", "fn", "code")]
