@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomgraph.operators import documents, sessions, topology
 from loomgraph.operators.graph import PropertyGraph, r6
-from loomgraph.plans.durable import shared_dir
+from loomgraph.plans.durable import scratch
 from loomgraph.queries.registry import query, table
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
+from loomgraph.streaming import stateful
 
 _LINES = "al AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), ln AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM al), li AS (SELECT doc_id, i AS line_no, a[i] AS line FROM ln)"
 
@@ -96,26 +95,27 @@ def g64_trail_resume(spark, sf_dir):
 
 @query("SELECT user_id AS key, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS defects FROM events GROUP BY user_id", graph=False)
 def r6_trust_stream(spark, sf_dir):
-    """The trust ledger as a stream that is drained into memory."""
+    """The trust ledger as a stream that is drained into a table."""
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = e.select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "error", "defect").otherwise("partial").alias("kind"), F.col("ts"))
-    return _drained(spark, streams.trust_counters(rows).select("key", "total", "defects"), "complete")
+    return _drained(spark, streams.trust_counters(rows).select("key", "total", "defects"), "update", ["key"])
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 hour, ts)) // 1000000 AS hour, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL", graph=False)
 def r_windowed_events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(spark, streams.windowed_events(e), "complete")
-    return out.select("event_type", F.unix_timestamp("window.start").alias("hour"), "n")
+    out = streams.windowed_events(e).select("event_type", F.unix_timestamp("window.start").alias("hour"), "n")
+    return _drained(spark, out, "update", ["event_type", "hour"])
 
 
-def _drained(spark, df, mode):
-    name = f"drained_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _drained(spark, df, mode, keys=None):
+    """All that a stream gives, through tables in the shared folder: all rows, or of each key (``keys``) the last."""
+    at, schema = scratch(spark, "drained"), df.schema
+    with stateful.rocksdb(spark):
+        stateful.into_table(df, f"{at}/rows", f"{at}/checkpoint", mode).trigger(availableNow=True).start().awaitTermination()
+    return stateful.latest(spark, f"{at}/rows", schema, keys)
 
 
 @query("WITH t AS (SELECT o_orderkey AS path, o_totalprice AS s FROM orders), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS s FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -o_orderkey, 1 FROM orders WHERE o_orderstatus = 'P') SELECT change, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN t.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' WHEN t.s <> n.s THEN 'modified' END AS change FROM t FULL JOIN n ON t.path = n.path) WHERE change IS NOT NULL GROUP BY change", graph=False)

@@ -20,6 +20,7 @@ from loomgraph.queries.texts import _QUERY, _TRI, _tfidf_sql, _token_sql
 from loomgraph.sources import datasources, formats, scopes, state
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
+from loomgraph.streaming import stateful
 
 
 def _text(df, key: str, template: str, *values):
@@ -592,13 +593,13 @@ def _events(spark, sf_dir):
 @query("WITH r AS (SELECT user_id AS key, value, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS n FROM events) SELECT key, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_delta FROM r WHERE n <= 16 GROUP BY key", graph=False)
 def r5_observation_ring(spark, sf_dir):
     o = _events(spark, sf_dir).select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").alias("delta"))
-    return _drained(spark, streams.observation_ring(o, 16), "update").select("key", "n", r6("mean_delta").alias("mean_delta"))
+    return _drained(spark, stateful.observation_ring(o, 16), "update", ["key"]).select("key", "n", r6("mean_delta").alias("mean_delta"))
 
 
 @query("SELECT event_type AS node, round(least(sum(ln(1 + 1 + event_id % 3) * (1 + user_id / 1e6::DOUBLE)), 1e9), 3) AS heat, CAST(sum(1 + event_id % 3) AS BIGINT) AS invocations FROM events GROUP BY event_type", graph=False)
 def r7_span_heat(spark, sf_dir):
     s = _events(spark, sf_dir).select(F.col("event_type").alias("node"), (F.col("event_id") % 3 + 1).alias("count"), F.col("user_id").alias("duration_us"))
-    return _drained(spark, streams.span_heat(s, most=1e9), "update").select("node", F.round("heat", 3).alias("heat"), "invocations")
+    return _drained(spark, stateful.span_heat(s, most=1e9), "update", ["node"]).select("node", F.round("heat", 3).alias("heat"), "invocations")
 
 
 @query("SELECT o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 1000", graph=False)
@@ -613,6 +614,23 @@ def r3_coalesced_changes(spark, sf_dir):
     return streams.coalesced_changes(e, "1 hour").groupBy("path").agg(F.count(F.lit(1)).alias("bursts"))
 
 
+@query(
+    "WITH e AS (SELECT user_id::VARCHAR AS path, event_type AS kind, epoch_us(ts) // 1000 AS ms FROM events), l AS (SELECT *, lag(ms) OVER (PARTITION BY path ORDER BY ms, kind) AS p FROM e), b AS (SELECT *, sum(CASE WHEN p IS NULL OR ms - p >= 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ms, kind ROWS UNBOUNDED PRECEDING) AS burst FROM l) "
+    "SELECT path, arg_max(kind, (ms, kind)) AS kind, min(ms) AS first_ms, max(ms) AS last_ms, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY path, burst", graph=False
+)
+def r3_burst_timers(spark, sf_dir):
+    """Bursts of changes in keyed state: each is closed by its path's next one, or by a timer when nothing more comes.
+
+    The clock's own change, days after all others in a file of its own, moves the watermark past the last timers.
+    """
+    at = _folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{at}/0")
+    e.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select(F.lit("clock").alias("path"), F.lit("tick").alias("kind"), "ts").write.parquet(f"{at}/1")
+    changes = spark.readStream.schema(e.schema).parquet(f"{at}/0").unionByName(spark.readStream.schema(e.schema).parquet(f"{at}/1"))
+    return _drained(spark, stateful.bursts(changes, 3_600_000, "1 hour"), "append").where("path <> 'clock'")
+
+
 @query("SELECT o_orderkey::VARCHAR AS path, o_totalprice AS size FROM orders", graph=False)
 def r1_auto_ingest(spark, sf_dir):
     """Files found by a stream, upserted once each; the state as its readers see it."""

@@ -1,4 +1,4 @@
-"""Structured Streaming: trust counters, observation rings, span heat, incremental ingest, alerts.
+"""Structured Streaming: trust counters, windows, incremental ingest, alerts; keyed state of other kinds is in :mod:`stateful`.
 
 Windows over event time, watermarks and late-data handling are additions of
 this library; the ledgers themselves only need processing order.
@@ -6,13 +6,9 @@ this library; the ledgers themselves only need processing order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.plans.durable import delete
 
@@ -26,39 +22,6 @@ def trust_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.sum(bad.cast("long")).alias("defects"), F.max(F.when(bad, F.col("ts"))).alias("last_defect"))
 
 
-def observation_ring(observations: DataFrame, size: int = 256) -> DataFrame:
-    """The newest ``size`` observations of each key in keyed state: (key, n, newest, mean_delta) after each batch."""
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, delta = state.get if state.exists else ([], [])
-        rows = list(zip(ts, delta, strict=True))
-        for b in batches:
-            rows += list(zip(b["ts"].astype(float), b["delta"].astype(float), strict=True))
-        rows = sorted(rows)[-size:]
-        state.update(([r[0] for r in rows], [r[1] for r in rows]))
-        yield pd.DataFrame({"key": [key[0]], "n": [len(rows)], "newest": [rows[-1][0]], "mean_delta": [sum(r[1] for r in rows) / len(rows)]})
-
-    return observations.groupBy("key").applyInPandasWithState(keep, "key long, n long, newest double, mean_delta double", "ts array<double>, delta array<double>", "update", GroupStateTimeout.NoTimeout)
-
-
-def span_heat(spans: DataFrame, decay: float = 0.9, most: float = 10.0) -> DataFrame:
-    """Heat by node with a decay for each batch that a node is seen in: (node, heat, invocations)."""
-
-    def warm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        heat, n = state.get if state.exists else (0.0, 0)
-        heat *= decay
-        for b in batches:
-            heat += float((np.log1p(b["count"].astype(float)) * (1 + b["duration_us"].astype(float) / 1e6)).sum())
-            n += int(b["count"].sum())
-        heat = min(heat, most)
-        state.update((heat, n))
-        yield pd.DataFrame({"node": [key[0]], "heat": [heat], "invocations": [n]})
-
-    return spans.groupBy("node").applyInPandasWithState(warm, "node string, heat double, invocations long", "heat double, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def windowed_events(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Events by window and type behind a watermark (``ts`` a timestamp)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide or size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -8,12 +8,6 @@ from loomgraph.operators import sessions
 from loomgraph.streaming import ledgers as S
 
 
-def drained(spark, tmp_path, df, name, mode="update"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def source(spark, tmp_path, rows, schema):
     d = tmp_path / "in"
     d.mkdir()
@@ -22,20 +16,6 @@ def source(spark, tmp_path, rows, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
 
 
-def test_observation_ring_keeps_the_newest(spark, tmp_path):
-    rows = [[{"key": 1, "ts": float(t), "delta": float(t)} for t in range(i, i + 3)] for i in (0, 3, 6)]
-    out = drained(spark, tmp_path, S.observation_ring(source(spark, tmp_path, rows, "key long, ts double, delta double"), 4), "ring")
-    last = out.orderBy(F.desc("newest")).first()
-    assert (last["n"], last["newest"], last["mean_delta"]) == (4, 8.0, 6.5)
-
-
-def test_span_heat_decays_by_batch(spark, tmp_path):
-    rows = [[{"node": "a", "count": 1, "duration_us": 0}]] * 2
-    out = drained(spark, tmp_path, S.span_heat(source(spark, tmp_path, rows, "node string, count long, duration_us long")), "heat")
-    got = sorted((r["invocations"], round(r["heat"], 6)) for r in out.collect())
-    assert got == [(1, 0.693147), (2, round(0.693147181 * 1.9, 6))]
-
-
 def test_ingest_stream_upserts_versions(spark, tmp_path):
     rows = [[{"path": "a", "size": 1, "mtime": 1.0, "hash": "x"}, {"path": "b", "size": 1, "mtime": 1.0, "hash": "y"}], [{"path": "a", "size": 2, "mtime": 2.0, "hash": "z"}]]
     s = source(spark, tmp_path, rows, "path string, size long, mtime double, hash string")
