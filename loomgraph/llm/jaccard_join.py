@@ -12,8 +12,10 @@ links and its number of links without ever writing out all pairs of a group.
     order, rare before frequent.  A set's index entries are its first
     ``n - ceil(0.75 n) + 1`` shingles in that order.
 3.  First every list's entries are compared with the list's first document
-    alone.  A document so linked has it as its leader and is from then on the
-    leader's set with a few shingles taken out and a few put in.
+    alone.  A document so linked, or in a long list half alike (a Jaccard of 0.5), has
+    it as its leader and is from then on the leader's set with some shingles taken
+    out and some put in.  So near copies that do not link with each other either are
+    one cluster, and their pairs are decided inside tasks and never written.
 4.  Index skipping: a list is cut into blocks of one leader and one size band,
     with bounds of size and of what is left after the position.  Blocks meet
     only if one of them is within the first seventh of its sets, and in long
@@ -63,8 +65,10 @@ LEAST_LEVEL, FREQUENT = 3, 1_000_000
 HELD, COUNTED = 1 << 18, 1 << 20
 #: Rows of a batch of texts or sets.
 ROWS_A_BATCH = 500
-#: Blocks of a list from which it is met by size bands.
+#: Blocks of a list from which it is met by size bands; documents of a list from which its first one leads those half alike.
 LONG_LIST = 32
+#: Half alike: inter / union >= 1 / 2, that is LEAD * inter >= na + nb.
+LEAD = 3
 #: Rows of one shingle or leader that go to one task before they are salted; followers of a chunk, and shingles of them all.
 ROWS_A_SALT, CHUNK, CELLS = 1 << 13, 1 << 11, 1 << 21
 #: Shingles by which two chunks are compared at once.
@@ -363,7 +367,7 @@ def possible(pairs: DataFrame, sets: DataFrame, files: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, files: int, differences: bool = False) -> DataFrame:
-    """(a, b, na, nb, inter, diff) of each pair, counted on the whole sets; ``diff``: a linked pair's a as b changed."""
+    """(a, b, na, nb, inter, diff) of each pair, counted on the whole sets; ``diff``: a as b changed, if they are half alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,7 +385,7 @@ def verified(pairs: DataFrame, sets: DataFrame, files: int, differences: bool =
                 na.append(len(s))
                 nb.append(len(kept))
                 inter.append(k)
-                if differences and (NUM + DEN) * k >= NUM * (len(s) + len(kept)):
+                if differences and LEAD * k >= len(s) + len(kept):
                     out = np.ones(len(kept), bool)
                     out[at[same]] = False
                     out = np.flatnonzero(out).astype("<u4")
@@ -410,6 +414,10 @@ class Chunk:
         self.out_n, self.in_n = np.array([len(x) for x in gone], np.int64), np.array([len(x) for x in come], np.int64)
         self.out, self.come = np.concatenate(gone).astype(np.uint64), np.concatenate(come).astype(np.uint64)
 
+    def near(self, own: int) -> bool:
+        """Whether all of them link with their leader, whose set has ``own`` shingles."""
+        return bool(((NUM + DEN) * (own - self.out_n) >= NUM * (self.sizes + own)).all())
+
     def taken_out(self) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(self.docs)), self.out_n), self.out
 
@@ -445,35 +453,65 @@ def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
     return total.astype(np.int64)
 
 
-def links_between(x: Chunk, y: Chunk, own: np.ndarray | int, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of links of x's documents with y's, and the other way round.
+def links_between(x: Chunk, y: Chunk, own: np.ndarray | int, other: np.ndarray | None) -> np.ndarray:
+    """Whether each of x's documents links with each of y's.
 
     ``other`` None: both follow one leader, whose set has ``own`` shingles; the
     overlaps are derived from the differences.  Else the leaders' sets.
     """
     m, k = len(x.docs), len(y.docs)
     need = NUM * (x.sizes[:, None] + y.sizes[None, :])
-    if other is None:
-        least = own - x.out_n.max() - y.out_n.max()
-        most = own - max(x.out_n.min(), y.out_n.min()) + min(x.in_n.max(), y.in_n.max())
-        if (NUM + DEN) * least >= NUM * (x.sizes.max() + y.sizes.max()):
-            linked = np.ones((m, k), bool)
-        elif (NUM + DEN) * most < NUM * (x.sizes.min() + y.sizes.min()):
-            linked = np.zeros((m, k), bool)
-        else:
-            inter = own - x.out_n[:, None] - y.out_n[None, :] + _common(x.taken_out(), y.taken_out(), m, k) + _common(x.put_in(), y.put_in(), m, k)
-            linked = (NUM + DEN) * inter >= need
-        if x is y:
-            np.fill_diagonal(linked, False)
+    if other is not None:
+        return (NUM + DEN) * _common(x.whole(own), y.whole(other), m, k) >= need
+    least = own - x.out_n.max() - y.out_n.max()
+    most = own - max(x.out_n.min(), y.out_n.min()) + min(x.in_n.max(), y.in_n.max())
+    if (NUM + DEN) * least >= NUM * (x.sizes.max() + y.sizes.max()):
+        linked = np.ones((m, k), bool)
+    elif (NUM + DEN) * most < NUM * (x.sizes.min() + y.sizes.min()):
+        linked = np.zeros((m, k), bool)
     else:
-        linked = (NUM + DEN) * _common(x.whole(own), y.whole(other), m, k) >= need
-    return linked.sum(1), linked.sum(0)
+        inter = own - x.out_n[:, None] - y.out_n[None, :] + _common(x.taken_out(), y.taken_out(), m, k) + _common(x.put_in(), y.put_in(), m, k)
+        linked = (NUM + DEN) * inter >= need
+    if x is y:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def forest(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) that join what is linked: rows are 0, 1, ..., columns come after them (``same``: they are the rows)."""
+    m, k = linked.shape
+    rows, none = np.arange(m), m + k
+    cols = rows if same else np.arange(m, m + k)
+    while True:
+        new_rows = np.minimum(rows, np.where(linked, cols[None, :], none).min(1)) if k else rows
+        new_cols = new_rows if same else np.minimum(cols, np.where(linked, new_rows[:, None], none).min(0))
+        if (new_rows == rows).all() and (new_cols == cols).all():
+            break
+        rows, cols = new_rows, new_cols
+    label = rows if same else np.concatenate([rows, cols])
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
-def _counted(docs: np.ndarray, links: np.ndarray, a: int | None = None, b: int | None = None) -> list[tuple]:
-    """Rows (doc, links, a, b): a document's links, or that two leaders' followers link."""
-    rows = [(int(d), int(n), None, None) for d, n in zip(docs, links, strict=True) if n]
-    return rows + ([(None, None, a, b)] if a is not None and rows else [])
+def _decided(x: Chunk, y: Chunk, own: np.ndarray | int, other: np.ndarray | None) -> list[tuple]:
+    """Rows (doc, links, a, b): a document's number of links, or two linked documents, enough to join all that link.
+
+    Followers that link with their leader are joined already.
+    """
+    linked = links_between(x, y, own, other)
+    if not linked.any():
+        return []
+    out = [(int(d), int(n), None, None) for d, n in zip(x.docs, linked.sum(1), strict=True) if n]
+    if x is not y:
+        out += [(int(d), int(n), None, None) for d, n in zip(y.docs, linked.sum(0), strict=True) if n]
+    near = x.near(own if other is None else len(own)) and y.near(own if other is None else len(other))
+    if near and other is None:
+        return out
+    if near:
+        i, j = np.unravel_index(int(linked.argmax()), linked.shape)
+        return [*out, (None, None, int(x.docs[i]), int(y.docs[j]))]
+    docs = x.docs if x is y else np.concatenate([x.docs, y.docs])
+    return out + [(None, None, int(docs[i]), int(docs[j])) for i, j in zip(*forest(linked, x is y), strict=True)]
 
 
 _COUNTED = "doc long, links long, a long, b long"
@@ -524,7 +562,7 @@ def cluster_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, files:
         if len(group) < 2:
             return []
         x = Chunk([r[2] for r in group], [r[3] for r in group], [r[5] for r in group])
-        return _counted(x.docs, links_between(x, x, group[0][4], None)[0])
+        return _decided(x, x, group[0][4], None)
 
     whole = members.where("m > 1").drop("m").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk")
     found = whole.mapInArrow(_gathered(inside), _COUNTED)
@@ -563,8 +601,7 @@ def cluster_links(members: DataFrame, pairs: DataFrame, sets: DataFrame, files:
             for i in range(len(batch)):
                 x, y, one = chunk(ra[i]), chunk(rb[i]), a[i].as_py() == b[i].as_py()
                 sets = (size[i].as_py(), None) if one else (np.frombuffer(sa[i].as_py(), "<u8"), np.frombuffer(sb[i].as_py(), "<u8"))
-                cx, cy = links_between(x, y, *sets)
-                out += _counted(x.docs, cx, *(() if one else (a[i].as_py(), b[i].as_py()))) + _counted(y.docs, cy)
+                out += _decided(x, y, *sets)
             yield _batch(out)
 
     compared = joined.select("a", "b", "size", "rows_a", "rows_b", "set_a", "set_b").mapInArrow(compare, _COUNTED)
@@ -597,10 +634,15 @@ def _linked_components(documents: DataFrame, width: int) -> DataFrame:
     rest = lambda n, pos: F.col(n) - F.col(pos)
     listed = shared.withColumn("salt", _salt("doc", "salts")).drop("salts").join(_salted(head, "salts").drop("salts"), ["token", "salt"]).drop("salt")
     listed = stored(listed, "lists", wide)
-    near = listed.where((F.col("doc") != F.col("h.doc")) & _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos")))
-    near = near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b"), F.lit(0).cast("long").alias("extra"), (F.col("n") + F.col("h.n")).cast("long").alias("need")).distinct()
+    both = (F.col("n") + F.col("h.n")).cast("long")
+    strict = _fits(F.col("n"), rest("n", "pos"), F.col("h.n"), rest("h.n", "h.pos"))
+    half = (F.col("k") > LONG_LIST) & (LEAD * F.least("n", "h.n", rest("n", "pos"), rest("h.n", "h.pos")) >= both)
+    # where half alike is enough, the sum of the sizes is put so that the threshold of a link asks for that
+    need = F.when(half, F.floor((NUM + DEN) * both / (NUM * LEAD))).otherwise(both).cast("long")
+    near = listed.where((F.col("doc") != F.col("h.doc")) & (strict | half))
+    near = near.groupBy(F.col("doc").alias("a"), F.col("h.doc").alias("b")).agg(F.min(need).alias("need")).select("a", "b", F.lit(0).cast("long").alias("extra"), "need")
     stars = verified(possible(stored(near, "star-pairs", small), firsts, small), firsts, wide, True)
-    best = stars.where(_LINKED).groupBy("a").agg(F.min(F.struct("b", "na", "nb", "inter", "diff")).alias("l"))
+    best = stars.where(f"{LEAD} * inter >= na + nb").groupBy("a").agg(F.min(F.struct("b", "na", "nb", "inter", "diff")).alias("l"))
     leader = stored(best.select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.na").alias("n"), F.col("l.nb").alias("size"), F.col("l.inter").alias("inter"), F.col("l.diff").alias("diff")), "leaders", small)
 
     # clusters of one root (their leaders follow it) meet each other, those of different roots by blocks of their lists
@@ -658,7 +700,8 @@ def _linked_components(documents: DataFrame, width: int) -> DataFrame:
     followed = checked_join(followed, stored(tasks.select(F.col("a").alias("leader")).union(tasks.select("b")).distinct().withColumn("open", F.lit(True)), "open-clusters", small), "leader", "left").where("m > 1 OR open")
     found = cluster_links(followed, tasks, firsts, small)
 
-    edges = leader.select(F.col("doc").alias("a"), F.col("leader").alias("b")).union(direct).union(found.where("a IS NOT NULL").select("a", "b"))
+    follows = leader.where((NUM + DEN) * F.col("inter") >= NUM * (F.col("n") + F.col("size")))
+    edges = follows.select(F.col("doc").alias("a"), F.col("leader").alias("b")).union(direct).union(found.where("a IS NOT NULL").select("a", "b"))
     component = stored(connected_components(edges), "components", small)
     counted = found.where("doc IS NOT NULL").select("doc", "links").union(direct.select("a", F.lit(1).cast("long"))).union(direct.select("b", F.lit(1).cast("long")))
     counted = counted.groupBy("doc").agg(F.sum("links").alias("n_links"))

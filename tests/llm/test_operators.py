@@ -106,10 +106,82 @@ def test_links_between_chunks_equal_plain_sets():
         made.append((jaccard_join.Chunk(docs, [len(x) for x in sets], diffs), sets))
     like = lambda a, b: 4 * len(a & b) >= 3 * len(a | b)
     (x, sx), (y, sy) = made
-    got = jaccard_join.links_between(x, x, 60, None)[0].tolist()
+    got = jaccard_join.links_between(x, x, 60, None).sum(1).tolist()
     assert got == [sum(like(a, b) for k, b in enumerate(sx) if k != i) for i, a in enumerate(sx)]
-    gx, gy = jaccard_join.links_between(x, y, np.array(leaders[0], np.uint64), np.array(leaders[1], np.uint64))
-    assert gx.tolist() == [sum(like(a, b) for b in sy) for a in sx] and gy.tolist() == [sum(like(a, b) for a in sx) for b in sy]
+    got = jaccard_join.links_between(x, y, np.array(leaders[0], np.uint64), np.array(leaders[1], np.uint64))
+    assert got.tolist() == [[like(a, b) for b in sy] for a in sx]
+
+
+def test_a_forest_joins_what_is_linked():
+    import numpy as np
+
+    rng = random.Random(22)
+    for same in (True, False):
+        for _ in range(200):
+            m, k = rng.randint(1, 12), rng.randint(1, 12)
+            k = m if same else k
+            linked = np.array([[rng.random() < 0.12 for _ in range(k)] for _ in range(m)])
+            if same:
+                linked |= linked.T
+                np.fill_diagonal(linked, False)
+            n = m if same else m + k
+            wanted = [(i, j if same else m + j) for i, j in zip(*np.nonzero(linked), strict=True)]
+            edges = list(zip(*jaccard_join.forest(linked, same), strict=True))
+
+            def parts(pairs, n=n):
+                root = list(range(n))
+                for _ in range(n):
+                    for i, j in pairs:
+                        root[i] = root[j] = min(root[i], root[j])
+                return root
+
+            assert parts(edges) == parts(wanted) and len(edges) < n
+
+
+def half_alike(rng, n, edits, vocab, start=0, words=120):
+    """Edited copies of one text that are too far from each other to link, but for some."""
+    base = [rng.choice(vocab) for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), edits):
+            w[k] = rng.choice(vocab)
+        out.append((start + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 11, 8])
+def test_jaccard_join_of_near_copies_that_hardly_link(spark, monkeypatch, chunk):
+    """Followers that do not link with their leader: links and components among them all the same."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rng = random.Random(31)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = half_alike(rng, 60, 3, vocab) + half_alike(rng, 60, 5, vocab, 1000) + family(rng, 60, 90, 4, 2000, vocab)
+    outlier = half_alike(rng, 40, 1, vocab, 3001)
+    w = outlier[0][1].split()
+    rows += [*outlier, (3000, " ".join([*w[:85], *(f"q{i}" for i in range(len(w) - 85))]))]  # the least id is half alike to all of its group
+    got = sorted((tuple(r) for r in jaccard_join.linked_components(table(spark, rows)).collect()), key=str)
+    assert got == components(rows)
+    assert {r[2] for r in got if r[0] > 3000} == {3001} and (3000, 116, 3000, 0, 0) in got
+
+
+def test_near_copies_that_do_not_link_are_not_written_as_pairs(spark, monkeypatch):
+    written = {}
+    plain = jaccard_join.stored
+
+    def counting(df, name, files=None):
+        out = plain(df, name, files)
+        if "pairs" in name:
+            written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    rng = random.Random(3)
+    rows = half_alike(rng, 300, 4, [f"w{i}" for i in range(3000)], words=160)
+    got = sorted((tuple(r) for r in jaccard_join.linked_components(table(spark, rows)).collect()), key=str)
+    assert got == components(rows)
+    assert sum(written.values()) < 0.1 * 300 * 299 / 2
 
 
 def test_token_counts_equal_the_tokenizer(spark):
