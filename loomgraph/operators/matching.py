@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
+from loomgraph.plans.durable import salted_join, stored
 
 
 def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -94,18 +95,40 @@ def parse_frames(error_text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+#: Shortest string that is looked for inside another, and how many times as long that may be.
+LEAST_PART, MOST_TIMES = 4, 2
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long): strings (column ``text``) inside others at most twice as long, by an index of trigrams.
+
+    Every trigram of a string is in what contains it, so it is looked up by its
+    rarest one alone, among strings of its own length's power of two and the next;
+    a trigram that nothing has means no lookup.  Frequent trigrams are dealt over
+    several tasks.  Strings under four characters are left out; equal ones count.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+    band = lambda c: F.floor(F.log2(F.length(c))).cast("int")
+    distinct = lambda df, name: df.select(F.col("text").alias(name)).where(F.length("text") >= LEAST_PART).distinct()
+    index = distinct(long, "long").select("long", band("long").alias("band"), F.explode(grams("long")).alias("gram"))
+    counts = index.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("n"))
+    wanted = distinct(short, "short").select("short", F.explode(F.array(band("short"), band("short") + 1)).alias("band"), grams("short").alias("g"))
+    wanted = wanted.select("short", "band", F.explode("g").alias("gram")).join(counts, ["gram", "band"], "left")
+    rarest = wanted.groupBy("short", "band").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    met = salted_join(rarest.select("short", "band", F.col("r.gram").alias("gram")), index, ["gram", "band"])
+    return met.where(F.col("long").contains(F.col("short")) & (F.length("long") <= MOST_TIMES * F.length("short"))).select("short", "long")
+
+
 def spans_to_labels(spans: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(name, external_id): exact label first, else one inside the other (4 characters at least, at least half as long)."""
-    names = spans.select("name").distinct()
-    n = nodes.select("external_id", F.lower("label").alias("low"))
-    exact = names.join(n, F.lower("name") == n.low).groupBy("name").agg(F.min("external_id").alias("external_id"))
-    rest = names.join(exact, "name", "left_anti").where(F.length("name") >= 4)
-    a, b = F.lower("name"), F.col("low")
-    fit = (F.length("low") >= 4) & (2 * F.least(F.length("low"), F.length("name")) >= F.greatest(F.length("low"), F.length("name"))) & (a.contains(b) | b.contains(a))
-    # names of spans are few: the rest is broadcast only if it is
-    few = rest.limit(10_001).count() <= 10_000
-    fuzzy = n.join(F.broadcast(rest) if few else rest, fit).groupBy("name").agg(F.min("external_id").alias("external_id"))
-    return exact.unionByName(fuzzy)
+    """(name, external_id): exact label first, else one inside the other (4 characters at least, at least half as long); of several, the least id."""
+    names = spans.select("name").distinct().withColumn("low", F.lower("name"))
+    labels = nodes.select(F.lower("label").alias("low"), "external_id").groupBy("low").agg(F.min("external_id").alias("external_id"))
+    exact = names.join(labels, "low").groupBy("name").agg(F.min("external_id").alias("external_id"))
+    rest = stored(names.join(exact, "name", "left_anti"), "other-names")
+    a, b = rest.select(F.col("low").alias("text")), labels.select(F.col("low").alias("text"))
+    pairs = contained(a, b).select(F.col("short").alias("low"), F.col("long").alias("label")).unionByName(contained(b, a).select(F.col("long").alias("low"), F.col("short").alias("label")))
+    fuzzy = pairs.join(labels.withColumnRenamed("low", "label"), "label").groupBy("low").agg(F.min("external_id").alias("external_id"))
+    return exact.unionByName(rest.join(fuzzy, "low").select("name", "external_id"))
 
 
 @dataclass
@@ -119,51 +142,98 @@ class Pattern:
     severity: float = 0.5
 
 
-def match_pattern(g: PropertyGraph, p: Pattern, most: int | None = None) -> DataFrame:
-    """Injective bindings n0, n1, ... of a pattern: joins from the most constrained node outwards."""
-    e = g.expanded().select("src", "dst", "relation").distinct()
+def pattern_parts(p: Pattern) -> list[list[int]]:
+    """The nodes of each connected part of a pattern, by the edges that must be there."""
+    root = list(range(len(p.nodes)))
+    for _ in p.nodes:
+        for a, b, _ in p.edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return [[i for i in range(len(root)) if root[i] == r] for r in sorted(set(root))]
+
+
+def _candidates(g: PropertyGraph, c: dict) -> DataFrame:
+    n = g.nodes
+    if c.get("node_type") is not None:
+        n = n.where(F.col("node_type") == c["node_type"])
+    if c.get("label_contains"):
+        n = n.where(F.lower("label").contains(c["label_contains"].lower()))
+    for t in c.get("required_tags") or []:
+        n = n.where(F.array_contains("tags", t))
+    return n.select("node_id")
+
 
-    def candidates(i: int) -> DataFrame:
-        c, n = p.nodes[i], g.nodes
-        if c.get("node_type") is not None:
-            n = n.where(F.col("node_type") == c["node_type"])
-        if c.get("label_contains"):
-            n = n.where(F.lower("label").contains(c["label_contains"].lower()))
-        for t in c.get("required_tags") or []:
-            n = n.where(F.array_contains("tags", t))
-        return n.select(F.col("node_id").alias(f"n{i}"))
+def _steps(e: DataFrame, a: int, b: int, relation: str | None) -> DataFrame:
+    """The graph's edges that an edge of the pattern may stand for."""
+    e = e.where(F.col("relation") == relation) if relation else e
+    return e.select(F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}")).distinct()
 
+
+def _part_bindings(g: PropertyGraph, p: Pattern, part: list[int]) -> DataFrame:
+    """Injective bindings of one connected part.
+
+    Candidates are first reduced along a tree of the part, from its leaves to its
+    root and back: a node stays only if each neighbour in the tree has a candidate
+    next to it.  Then the edges are joined from the root outwards, so no join makes
+    rows that a later edge of the tree throws away whole.
+    """
+    e = g.expanded().select("src", "dst", "relation").distinct()
     weight = lambda i: (p.nodes[i].get("node_type") is not None) + 2 * bool(p.nodes[i].get("label_contains")) + len(p.nodes[i].get("required_tags") or [])
-    order = sorted(range(len(p.nodes)), key=lambda i: (-weight(i), i))
-    bound, done = candidates(order[0]), {order[0]}
-    todo = list(p.edges)
-    while todo:
-        at = next((k for k, (a, b, _) in enumerate(todo) if a in done or b in done), None)
-        if at is None:  # another part of the pattern
-            i = next(i for i in order if i not in done)
-            bound, done = bound.crossJoin(candidates(i)), done | {i}
-            continue
-        a, b, r = todo.pop(at)
-        step = e.where(F.col("relation") == r) if r else e
-        step = step.select(F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}")).distinct()
-        new = [i for i in (a, b) if i not in done]
-        bound = bound.join(step, [f"n{i}" for i in (a, b) if i in done])
-        for i in new:
-            bound = bound.join(candidates(i), f"n{i}", "left_semi")
-            for j in done:
-                bound = bound.where(F.col(f"n{i}") != F.col(f"n{j}"))
-            done.add(i)
-    for i in order:
-        if i not in done:
-            bound, done = bound.crossJoin(candidates(i)), done | {i}
-            for j in done - {i}:
-                bound = bound.where(F.col(f"n{i}") != F.col(f"n{j}"))
+    root = min(part, key=lambda i: (-weight(i), i))
+    tree, done, todo = [], {root}, [x for x in p.edges if x[0] in part]
+    while at := next((x for x in todo if (x[0] in done) != (x[1] in done)), None):
+        todo.remove(at)
+        tree.append((at, at[0] if at[0] in done else at[1]))
+        done |= {at[0], at[1]}
+    held = {i: _candidates(g, p.nodes[i]).select(F.col("node_id").alias(f"n{i}")) for i in part}
+    to_root = [(x, (x[0], x[1]) if up == x[0] else (x[1], x[0])) for x, up in reversed(tree)]
+    to_leaves = [(x, (outer, inner)) for x, (inner, outer) in reversed(to_root)]
+    for (a, b, r), (kept, other) in [*to_root, *to_leaves]:
+        met = _steps(e, a, b, r).join(held[other], f"n{other}", "left_semi").join(held[kept], f"n{kept}", "left_semi")
+        held[kept] = stored(met.select(f"n{kept}").distinct(), "candidates")
+    bound, done = held[root], {root}
+    for (a, b, r), up in tree:
+        new = b if up == a else a
+        step = _steps(e, a, b, r).join(held[new], f"n{new}", "left_semi")
+        bound = salted_join(bound, step, [f"n{up}"])
+        for j in done:
+            bound = bound.where(F.col(f"n{new}") != F.col(f"n{j}"))
+        done.add(new)
+    for a, b, r in todo:  # edges that close a circle
+        bound = bound.join(_steps(e, a, b, r), [f"n{i}" for i in dict.fromkeys((a, b))], "left_semi") if a != b else bound.join(e.where(F.col("src") == F.col("dst")).where(F.col("relation") == r if r else F.lit(True)).select(F.col("src").alias(f"n{a}")), f"n{a}", "left_semi")
     for a, b, r in p.absent:
-        step = (e.where(F.col("relation") == r) if r else e).select(F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}")).distinct()
-        bound = bound.join(step, [f"n{a}", f"n{b}"], "left_anti")
-    cols = [f"n{i}" for i in range(len(p.nodes))]
-    out = bound.select(*cols)
-    return out.orderBy(*cols).limit(most) if most else out
+        if a in part and b in part:
+            bound = bound.join(_steps(e, a, b, r), [f"n{a}", f"n{b}"], "left_anti")
+    return bound.select(*[f"n{i}" for i in sorted(part)])
+
+
+def match_pattern(g: PropertyGraph, p: Pattern, most: int | None = None) -> DataFrame:
+    """Injective bindings n0, n1, ... of a connected pattern; parts that do not connect are counted (:func:`match_count`), not crossed."""
+    parts = pattern_parts(p)
+    if len(parts) != 1:
+        raise ValueError("the pattern has separate parts: its matches can be counted, not listed")
+    out = _part_bindings(g, p, parts[0])
+    return out.orderBy(*out.columns).limit(most) if most else out
+
+
+def match_count(g: PropertyGraph, p: Pattern) -> DataFrame:
+    """One row: number of injective bindings (matches), and the least node bound to n0 (first_node).
+
+    Of two separate parts the bindings are not crossed: of all pairs those are
+    taken off whose parts share a node, which a join on the nodes finds.
+    """
+    parts = pattern_parts(p)
+    if len(parts) == 1:
+        return _part_bindings(g, p, parts[0]).agg(F.count(F.lit(1)).alias("matches"), F.min("n0").alias("first_node"))
+    if len(parts) > 2:
+        raise ValueError("patterns of more than two separate parts are not matched")
+    if any((a in parts[0]) != (b in parts[0]) for a, b, _ in p.absent):
+        raise ValueError("an absent edge between separate parts is not matched")
+    x, y = (stored(_part_bindings(g, p, part).withColumn("_id", F.array(*[f"n{i}" for i in part])), "part-bindings") for part in parts)
+    others = y.count()
+    ends = lambda df, part, name: df.select(F.col("_id").alias(name), F.explode(F.array(*[f"n{i}" for i in part])).alias("node"))
+    shared = salted_join(ends(x, parts[0], "x"), ends(y, parts[1], "y"), ["node"]).select("x", "y").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("off"))
+    free = x.join(shared.withColumnRenamed("x", "_id"), "_id", "left").select("n0", (F.lit(others) - F.coalesce("off", F.lit(0))).alias("k"))
+    return free.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("matches"), F.min(F.when(F.col("k") > 0, F.col("n0"))).alias("first_node"))
 
 
 def scan_patterns(g: PropertyGraph, patterns: list[Pattern], least_severity: float = 0.0, most_each: int = 50) -> DataFrame:
@@ -171,7 +241,7 @@ def scan_patterns(g: PropertyGraph, patterns: list[Pattern], least_severity: flo
     out = []
     for p in patterns:
         if p.severity >= least_severity:
-            m = match_pattern(g, p, most_each).agg(F.count(F.lit(1)).alias("matches"), F.min("n0").alias("first_node"))
+            m = match_count(g, p).select("first_node", F.least("matches", F.lit(most_each)).cast("long").alias("matches"))
             out.append(m.select(F.lit(p.name).alias("pattern"), F.lit(float(p.severity)).alias("severity"), "first_node", "matches", (F.col("matches") >= most_each).alias("disabled")))
     return reduce(DataFrame.unionByName, out)
 

@@ -154,6 +154,27 @@ def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     return big.join(F.broadcast(small) if is_small(small, rows, size) else small, on, how)
 
 
+#: Rows of one key of a join's right side that go to one task before they are dealt to several.
+ROWS_A_KEY = 1 << 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows: int = ROWS_A_KEY) -> DataFrame:
+    """An inner join in which keys with more than ``rows`` rows on the right are dealt over several tasks.
+
+    Such keys are few (all rows over ``rows``) and known by their counts; the left
+    rows of one are repeated for each of its parts.
+    """
+    counts = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    hot = stored(counts.select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts")), "hot-keys")
+    if not hot.limit(1).count():
+        return left.join(right, on)
+    known = F.coalesce("_salts", F.lit(1))
+    a = checked_join(left, hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), known - 1))).drop("_salts")
+    turn = F.pmod(F.xxhash64(*[c for c in right.columns if c not in on] or on), known.cast("long")).cast("int")
+    b = checked_join(right, hot, on, "left").withColumn("_salt", turn).drop("_salts")
+    return a.join(b, [*on, "_salt"]).drop("_salt")
+
+
 def global_rank(df: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
     """Number all rows from 0 in the order of ``by``, without a one-task window.
 

@@ -211,6 +211,18 @@ def j14_span_labels(spark, sf_dir):
     return matching.spans_to_labels(table(spark, sf_dir, "events").select(F.col("event_type").alias("name")), nodes)
 
 
+@query(
+    "WITH n AS (SELECT lower(p_name) AS low, min(p_partkey) AS external_id FROM part GROUP BY 1), s AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 3, length(p_name) - 3 - p_partkey % 4) AS name FROM part UNION SELECT DISTINCT 'the ' || p_name FROM part), x AS (SELECT name, external_id FROM s JOIN n ON lower(name) = low), "
+    "f AS (SELECT name, min(external_id) AS external_id FROM s JOIN n ON length(name) >= 4 AND length(low) >= 4 AND 2 * least(length(low), length(name)) >= greatest(length(low), length(name)) AND (contains(lower(name), low) OR contains(low, lower(name))) WHERE name NOT IN (SELECT name FROM x) GROUP BY name) SELECT * FROM x UNION ALL SELECT * FROM f", graph=False
+)
+def j14_contained_names(spark, sf_dir):
+    """Spans named by a piece of a part's name, or by more than it, against all parts: an index of trigrams."""
+    p = table(spark, sf_dir, "part")
+    piece = F.substr("p_name", (1 + F.col("p_partkey") % 3).cast("int"), (F.length("p_name") - 3 - F.col("p_partkey") % 4).cast("int"))
+    names = p.select(piece.alias("name")).unionByName(p.select(F.concat(F.lit("the "), "p_name").alias("name")))
+    return matching.spans_to_labels(names, p.select(F.col("p_partkey").alias("external_id"), F.col("p_name").alias("label")))
+
+
 _PATTERN = matching.Pattern("returned", [{"node_type": 100, "label_contains": "7"}, {"node_type": 11}, {"node_type": 12}], [(0, 1, "calls"), (1, 2, "references")], [(2, 0, None)])
 
 
@@ -231,6 +243,16 @@ def g57_antibody_scan(spark, sf_dir):
     return matching.scan_patterns(full_graph(spark, sf_dir), [_PATTERN, two])
 
 
+@query(
+    "WITH a AS (SELECT dst AS p, count(*) AS k, min(src) AS f FROM (SELECT DISTINCT src, dst FROM edges WHERE relation = 'references') GROUP BY dst), b AS (SELECT dst AS p, count(*) AS k FROM (SELECT DISTINCT src, dst FROM edges WHERE relation = 'imports') GROUP BY dst) "
+    "SELECT CAST((SELECT sum(k) FROM a) * (SELECT sum(k) FROM b) - (SELECT sum(a.k * b.k) FROM a JOIN b USING (p)) AS BIGINT) AS matches, (SELECT min(f) FROM a) AS first_node"
+)
+def g57_separate_parts(spark, sf_dir):
+    """Orders with a part next to suppliers with another part: counted, never crossed."""
+    two = matching.Pattern("apart", [{"node_type": 11}, {"node_type": 12}, {"node_type": 13}, {"node_type": 12}], [(0, 1, "references"), (2, 3, "imports")])
+    return matching.match_count(full_graph(spark, sf_dir), two)
+
+
 @query("WITH c AS (SELECT DISTINCT lower(x) AS low FROM (SELECT unnest(['nation::3', 'ASIA', '17', 'customer#000000011', 'steel']) AS x)), n AS (SELECT external_id, lower(label) AS l, lower(external_id) AS i FROM nodes), m AS (SELECT low, external_id, 1.0::DOUBLE AS s FROM c JOIN n ON low = i UNION ALL SELECT low, external_id, 0.92 FROM c JOIN n ON low = l UNION ALL SELECT low, external_id, 0.88 FROM c JOIN n ON low = split_part(i, '::', 2) UNION ALL SELECT low, external_id, 0.8 FROM c JOIN (SELECT external_id, unnest(regexp_split_to_array(l, '[\\s#_./:-]+')) AS p FROM n) ON low = p), b AS (SELECT low, external_id, max(s) AS s FROM m GROUP BY ALL) SELECT low AS candidate, external_id, s AS score FROM b QUALIFY row_number() OVER (PARTITION BY low ORDER BY s DESC, external_id) <= 10")
 def j16_document_bindings(spark, sf_dir):
     c = spark.createDataFrame([(x,) for x in ("nation::3", "asia", "17", "customer#000000011", "steel")], "candidate string")
