@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
@@ -255,6 +255,31 @@ def pattern_similarity(a: Pattern, b: Pattern) -> float:
     return 0.4 * jac(types(a), types(b)) + 0.3 * jac(rels(a, a.edges), rels(b, b.edges)) + 0.2 * size + 0.1 * jac(rels(a, a.absent), rels(b, b.absent))
 
 
+def pattern_similarities(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``pairs`` with the similarity of two patterns, structs of types, relations, size and absent (relations of absent edges).
+
+    The column form of :func:`pattern_similarity`: both give 0.4, 0.3, 0.2 and 0.1
+    to the Jaccard of types, of relations, the ratio of sizes and the Jaccard of absent edges.
+    """
+
+    def jaccard(field: str) -> Column:
+        x, y = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
+        union = F.size(F.array_union(x, y))
+        return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(1.0)
+
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    size = F.least(x, y) / F.greatest(x, y, F.lit(1))
+    return pairs.withColumn("similarity", 0.4 * jaccard("types") + 0.3 * jaccard("relations") + 0.2 * size + 0.1 * jaccard("absent"))
+
+
+def trace_depth(frames: DataFrame, trace: str, frame_no: str) -> DataFrame:
+    """``frames`` with depth: where a frame stands in its trace, 0 for the first and 1 for the last; a trace's only frame is 0."""
+    w = Window.partitionBy(trace)
+    first, last = F.min(frame_no).over(w), F.count(F.lit(1)).over(w)
+    rank = F.rank().over(Window.partitionBy(trace).orderBy(frame_no))
+    return frames.withColumn("depth", F.when((last > 1) & first.isNotNull(), (rank - 1) / (last - 1)).otherwise(0.0))
+
+
 def bindings(candidates: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
     """(candidate, external_id, score): what a document names, against nodes. Exact 1.0, label 0.92, path 0.88, symbol 0.8."""
     c = candidates.select("candidate", F.lower("candidate").alias("low")).distinct()

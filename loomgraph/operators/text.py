@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry no meaning in a query.
 STOPWORDS = frozenset("the and for with from that this into what where when how why are was were has have not but can all any its our you".split())
@@ -14,7 +16,7 @@ STOPWORDS = frozenset("the and for with from that this into what where when how
 SYNONYMS = (
     ("auth", "login", "session", "token"), ("db", "database", "storage", "store"), ("config", "settings", "options"), ("error", "exception", "failure"),
     ("test", "spec", "check"), ("cache", "memo", "buffer"), ("queue", "stream", "channel"), ("user", "account", "customer"), ("order", "purchase", "sale"),
-    ("part", "item", "product"), ("supplier", "vendor", "provider"), ("region", "area", "zone"), ("nation", "country", "state"), ("parse", "decode", "read"), ("write", "save", "store"),
+    ("part", "item", "product"), ("supplier", "vendor", "provider"), ("region", "area", "zone"), ("nation", "country", "state"), ("parse", "decode", "read"), ("write", "save", "persist"),
 )
 
 
@@ -35,6 +37,12 @@ def query_tokens(text: str) -> list[str]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tokens_of(text: pd.Series) -> pd.Series:
+    """:func:`query_tokens` of a column of queries; a null query has none."""
+    return text.map(lambda t: query_tokens(t or ""))
+
+
 def trigrams(text: Column) -> Column:
     """All character trigrams of a text, in order."""
     n = F.length(text) - 2

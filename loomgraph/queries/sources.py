@@ -468,10 +468,8 @@ def w3_top_by_type(spark, sf_dir):
 
 @query("SELECT l_orderkey AS k, l_linenumber AS frame_no, round(percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 6) AS depth FROM lineitem", graph=False)
 def w8_trace_depth(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("frame_no"), r6(F.percent_rank().over(w)).alias("depth"))
+    frames = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("frame_no"))
+    return matching.trace_depth(frames, "k", "frame_no").withColumn("depth", r6("depth"))
 
 
 @query("SELECT external_id, round(a, 6) AS activation FROM (SELECT external_id, a, row_number() OVER (PARTITION BY lower(trim(label)) ORDER BY a >= top - 0.05::DOUBLE DESC, length(label) DESC, a DESC, external_id) AS n FROM (SELECT external_id, label, (node_id % 97) / 97.0::DOUBLE AS a, max((node_id % 97) / 97.0::DOUBLE) OVER (PARTITION BY lower(trim(label))) AS top FROM nodes WHERE node_type IN (12, 13))) WHERE n = 1 ORDER BY a DESC, external_id LIMIT 20")
@@ -513,9 +511,17 @@ def x3_seed_blend(spark, sf_dir):
     return text.blend_seeds(text.find_seeds(n, _QUERY), semantic).withColumn("score", r6("score"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'parsehttprequest'), (1, 'parse'), (2, 'http'), (3, 'request'), (4, 'snake_case-name'), (5, 'snake'), (6, 'case'), (7, 'name'), (8, 'orders')) t(i, token)", graph=False)
+@query(
+    "WITH q AS (SELECT p_partkey AS k, lower(split_part(p_name, ' ', 1)) AS w FROM part), t AS (SELECT k, unnest(['parsehttp' || k || 'request', 'parse', 'http' || k, 'request', 'snake_case-' || w, 'snake', 'case', w, 'orders' || k]) AS token, unnest(range(9)) AS i FROM q), "
+    "d AS (SELECT k, token, min(i) AS i FROM t WHERE length(token) > 2 GROUP BY ALL) SELECT k, token, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i FROM d", graph=False
+)
 def x1_tokens(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(text.query_tokens("How is the parseHTTPRequest and (snake_case-name) of 'orders'?"))), "i long, token string")
+    """A question about each part: its identifiers are split before the case is folded, stop words go, tokens count once."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    text_of = F.concat(F.lit("How is the parseHTTP"), k, F.lit("Request and (snake_case-"), F.split("p_name", " ")[0], F.lit(") of 'orders"), k, F.lit("'?"))
+    t = p.select(F.col("p_partkey").alias("k"), F.posexplode(text.tokens_of(text_of)).alias("i", "token"))
+    return t.select("k", "token", F.col("i").cast("long").alias("i"))
 
 
 @query("WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Traceback (most recent call last): x' WHEN 1 THEN 'thread panicked at src/a.rs:3' WHEN 2 THEN 'goroutine 1 [running]' WHEN 3 THEN 'Exception in thread main' ELSE 'odd ' || event_type END AS t FROM events) SELECT event_id, ['python', 'rust', 'go', 'java', 'unknown'][1 + event_id % 5] AS language FROM e", graph=False)
@@ -537,15 +543,37 @@ def x10_intents(spark, sf_dir):
     return n.select("external_id", tf.intent_summary(F.col("label"), F.lit("concept"), F.col("tags")).alias("summary"))
 
 
-def _similarity() -> tuple[float, matching.Pattern, matching.Pattern]:
-    a = matching.Pattern("a", [{"node_type": 1}, {"node_type": 2}], [(0, 1, "calls")], [(1, 0, "imports")])
-    b = matching.Pattern("b", [{"node_type": 1}, {"node_type": 3}, {"node_type": 2}], [(0, 1, "calls"), (1, 2, "reads")])
-    return matching.pattern_similarity(a, b), a, b
+@query(
+    "WITH o AS (SELECT o_custkey AS c, list_distinct(list(o_orderpriority)) AS types, list_distinct(list(o_orderstatus)) AS relations, count(*) AS size, list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'P')) AS absent FROM orders GROUP BY 1), "
+    "j AS (SELECT x.c AS a, y.c AS b, x.size AS sa, y.size AS sb, len(list_intersect(x.types, y.types))::DOUBLE AS ti, len(list_distinct(x.types || y.types)) AS tu, len(list_intersect(x.relations, y.relations))::DOUBLE AS ri, len(list_distinct(x.relations || y.relations)) AS ru, "
+    "len(list_intersect(coalesce(x.absent, []), coalesce(y.absent, [])))::DOUBLE AS ai, len(list_distinct(coalesce(x.absent, []) || coalesce(y.absent, []))) AS au FROM o x JOIN o y ON y.c = x.c + 1 OR y.c = x.c + 3) "
+    "SELECT a, b, round(0.4::DOUBLE * ti / tu + 0.3::DOUBLE * ri / ru + 0.2::DOUBLE * least(sa, sb) / greatest(sa, sb) + 0.1::DOUBLE * CASE WHEN au = 0 THEN 1 ELSE ai / au END, 6) AS similarity FROM j", graph=False
+)
+def u8_pattern_similarity(spark, sf_dir):
+    """Each customer's orders as a pattern, against the next customer's and the third one's."""
+    o = table(spark, sf_dir, "orders")
+    p = o.groupBy(F.col("o_custkey").alias("c")).agg(
+        F.collect_set("o_orderpriority").alias("types"), F.collect_set("o_orderstatus").alias("relations"), F.count(F.lit(1)).alias("size"), F.collect_set(F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))).alias("absent")
+    ).select("c", F.struct("types", "relations", "size", "absent").alias("p"))
+    x = p.select(F.col("c").alias("x"), F.col("p").alias("a"), F.explode(F.array(F.col("c") + 1, F.col("c") + 3)).alias("y"))
+    pairs = x.join(p.select(F.col("c").alias("y"), F.col("p").alias("b")), "y")
+    return matching.pattern_similarities(pairs).select(F.col("x").alias("a"), F.col("y").alias("b"), r6("similarity").alias("similarity"))
 
 
-@query("SELECT round(0.4::DOUBLE * 2 / 3 + 0.3::DOUBLE * 1 / 2 + 0.2::DOUBLE * 2 / 3 + 0.1::DOUBLE * 0, 6) AS similarity", graph=False)
-def u8_pattern_similarity(spark, sf_dir):
-    return spark.createDataFrame([(round(_similarity()[0], 6),)], "similarity double")
+_OUTSIDE = r"""(?:^|[\s"'(])((?:/[\w.-]+){2,}|[A-Z]:\\[\w\\.-]+|~/[\w/.-]+)"""
+
+
+@query(
+    "WITH t AS (SELECT doc_id AS k, text FROM documents UNION ALL SELECT -p_partkey, 'see /opt/data/x' || p_partkey || '.py, \"/repo/a/b' || p_partkey || '.rs\" (~/n/' || p_size || ') C:\\w\\x' || p_partkey || ' and /one http://a/b/c' FROM part), "
+    "f AS (SELECT DISTINCT k, unnest(regexp_extract_all(text, '" + _OUTSIDE.replace("'", "''") + "', 1)) AS reference FROM t) SELECT k, reference FROM f WHERE NOT starts_with(reference, '/repo') AND NOT starts_with(reference, '~/n/1')", graph=False
+)
+def g68_external_references(spark, sf_dir):
+    """Paths outside two known roots in every document, and in a note about each part."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    note = F.concat(F.lit("see /opt/data/x"), k, F.lit('.py, "/repo/a/b'), k, F.lit('.rs" (~/n/'), size, F.lit(") C:\\w\\x"), k, F.lit(" and /one http://a/b/c"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text").unionByName(p.select((-F.col("p_partkey")).alias("k"), note.alias("text")))
+    return documents.external_references(docs, "k", "text", ["/repo", "~/n/1"])
 
 
 @query("WITH t AS (SELECT 'nation::' || n_nationkey AS target FROM nation UNION ALL SELECT lower(n_name) FROM nation UNION ALL SELECT c_custkey::VARCHAR FROM customer UNION ALL SELECT 'none such'), f AS (SELECT target, external_id, 0 AS tier FROM t JOIN spine_nodes ON external_id = target UNION ALL SELECT target, external_id, 1 FROM t JOIN spine_nodes ON lower(label) = lower(target) UNION ALL SELECT target, external_id, 2 FROM t JOIN spine_nodes ON split_part(external_id, '::', 2) = lower(target) OR split_part(external_id, '::', 1) = lower(target)) SELECT target, external_id, tier FROM f QUALIFY row_number() OVER (PARTITION BY target ORDER BY tier, external_id) = 1")

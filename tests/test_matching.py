@@ -115,3 +115,20 @@ def test_a_chain_is_reduced_before_it_is_joined(spark):
     p = matching.Pattern("hub", [{}, {}, {"label_contains": "goal"}], [(0, 1, "calls"), (1, 2, "calls")])
     assert [tuple(r) for r in matching.match_pattern(g, p).collect()] == [(0, 7, n)]
     assert matching.match_pattern(g, p).select(F.count_distinct("n1")).first()[0] == 1
+
+
+def test_similarity_of_columns_is_that_of_patterns(spark):
+    a = matching.Pattern("a", [{"node_type": 1}, {"node_type": 2}], [(0, 1, "calls")], [(1, 0, "imports")])
+    b = matching.Pattern("b", [{"node_type": 1}, {"node_type": 3}, {"node_type": 2}], [(0, 1, "calls"), (1, 2, "reads")])
+    row = lambda p: (sorted({n["node_type"] for n in p.nodes}), sorted({r for *_, r in p.edges}), len(p.nodes), sorted({r for *_, r in p.absent}))
+    kind = "struct<types: array<int>, relations: array<string>, size: int, absent: array<string>>"
+    df = spark.createDataFrame([(row(x), row(y)) for x in (a, b) for y in (a, b)], f"a {kind}, b {kind}")
+    got = [r["similarity"] for r in matching.pattern_similarities(df).collect()]
+    assert got == pytest.approx([matching.pattern_similarity(x, y) for x in (a, b) for y in (a, b)]) and got[0] == pytest.approx(1.0)
+    assert got[1] == pytest.approx(0.4 * 2 / 3 + 0.3 / 2 + 0.2 * 2 / 3)
+
+
+def test_depth_in_a_trace(spark):
+    rows = [("t", 5), ("t", 7), ("t", 7), ("t", 9), ("one", 3)]
+    got = sorted(tuple(r) for r in matching.trace_depth(spark.createDataFrame(rows, "trace string, frame int"), "trace", "frame").collect())
+    assert got == [("one", 3, 0.0), ("t", 5, 0.0), ("t", 7, pytest.approx(1 / 3)), ("t", 7, pytest.approx(1 / 3)), ("t", 9, 1.0)]
