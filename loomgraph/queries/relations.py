@@ -89,6 +89,32 @@ def g20_communities(spark, sf_dir):
     return topology.communities(spine_graph(spark, sf_dir), 5).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 
+def _louvain_sql(rounds: int) -> str:
+    """Rounds of local moves over the whole graph: labels ``l<k>``."""
+    parts = [
+        "le AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY ALL)", "lm AS MATERIALIZED (SELECT sum(w) AS m2 FROM le)",
+        "l0 AS MATERIALIZED (SELECT node_id, node_id AS c, coalesce(k, 0.0::DOUBLE) AS k FROM nodes LEFT JOIN (SELECT src, sum(w) AS k FROM le GROUP BY src) ON src = node_id)",
+    ]
+    for r in range(rounds):
+        p = f"l{r}"
+        parts += [
+            f"li{r} AS MATERIALIZED (SELECT src AS node_id, c, sum(w) AS w FROM le JOIN {p} ON node_id = dst GROUP BY ALL)", f"lt{r} AS MATERIALIZED (SELECT c, sum(k) AS t FROM {p} GROUP BY c)",
+            f"lw{r} AS MATERIALIZED (SELECT i.node_id, i.c, round((i.w / m2 - n.t * l.k / (m2 * m2)) - (coalesce(o.w, 0) / m2 - (ot.t - l.k) * l.k / (m2 * m2)), 12) AS gain FROM li{r} i JOIN {p} l ON l.node_id = i.node_id JOIN lt{r} n ON n.c = i.c JOIN lt{r} ot ON ot.c = l.c LEFT JOIN li{r} o ON o.node_id = l.node_id AND o.c = l.c, lm WHERE i.c <> l.c)",
+            f"lb{r} AS MATERIALIZED (SELECT node_id, c, ((node_id % 1000003) + 1) * {48_271 + 2 * r} % 2147483647 // 1024 % 2 = {r % 2} AS turn FROM lw{r} WHERE gain > 0.000000000001::DOUBLE QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY gain DESC, c) = 1)",
+            f"l{r + 1} AS MATERIALIZED (SELECT l.node_id, coalesce(b.c, l.c) AS c, l.k FROM {p} l LEFT JOIN (SELECT * FROM lb{r} WHERE turn) b ON b.node_id = l.node_id)",
+        ]
+    return ", ".join(parts)
+
+
+@query(f"WITH {_louvain_sql(3)} SELECT c AS community, CAST(count(*) AS BIGINT) AS size, round(sum(k), 3) AS degree FROM l3 GROUP BY c")
+def g20_louvain(spark, sf_dir):
+    """Three rounds of local moves over the whole graph."""
+    g = full_graph(spark, sf_dir)
+    k = g.undirected().groupBy("src", "dst").agg(F.max("weight").alias("w")).where("src <> dst").groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k"))
+    out = topology.louvain(g, 3).join(k, "node_id", "left")
+    return out.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.coalesce("k", F.lit(0.0))), 3).alias("degree"))
+
+
 def _spectral_sql(iterations: int) -> str:
     parts = [
         "se AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges) WHERE src <> dst GROUP BY ALL)",

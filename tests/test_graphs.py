@@ -245,3 +245,52 @@ def test_topology_report_and_scales(spark):
     assert r["n_communities"] == 2 and r["n_nodes"] == 6 and r["n_bridges"] == 1 and r["modularity"] > 0.2 and r["robustness"] in ("Moderate", "Robust")
     views = topology.scale_views(g, 2).collect()
     assert {(v["scale"], v["size"]) for v in views if v["scale"] == 0} == {(0, 3)} and sum(v["size"] for v in views if v["scale"] == 1) == 6
+
+
+def planted_groups(rng, groups, size, inside, across):
+    """Edges that are likely inside groups of nodes and rare across them."""
+    n = groups * size
+    return n, [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (inside if a // size == b // size else across)]
+
+
+def test_louvain_finds_planted_groups_and_beats_label_propagation(spark):
+    import random
+
+    n, edges = planted_groups(random.Random(3), 5, 14, 0.5, 0.02)
+    g = plain_graph(spark, n, edges)
+    got = topology.louvain(g)
+    again = topology.louvain(g)
+    labels = values(got, "node_id", "community")
+    assert labels == values(again, "node_id", "community")
+    q = topology.modularity(g, got).first()[0]
+    assert q >= topology.modularity(g, topology.communities(g)).first()[0] - 1e-9
+    truth = spark.createDataFrame([(i, i // 14) for i in range(n)], "node_id long, community long")
+    assert q >= 0.9 * topology.modularity(g, truth).first()[0]
+
+
+def test_a_round_of_louvain_is_a_plain_round(spark):
+    """The first round restated: the best gain of each node, and half of the nodes move."""
+    import random
+
+    rng = random.Random(4)
+    n = 40
+    edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(80)})
+    got = values(topology.louvain(plain_graph(spark, n, edges), 1), "node_id", "community")
+    near = {i: sorted({b for a, b in edges if a == i} | {a for a, b in edges if b == i}) for i in range(n)}
+    m2 = 2 * len(edges)
+    turn = {i: (i % 1_000_003 + 1) * 48_271 % 2_147_483_647 // 1024 % 2 for i in range(n)}
+    wish = {}
+    for i in range(n):
+        gains = [(-round(1 / m2 - len(near[j]) * len(near[i]) / m2**2, 12), j) for j in near[i]]
+        if gains and -min(gains)[0] > 1e-12:
+            wish[i] = min(gains)[1]
+    moves = {i: j for i, j in wish.items() if turn[i] == 0}
+    assert got == {i: moves.get(i, i) for i in range(n)} and moves and len(moves) < len(wish)
+
+
+def test_louvain_without_edges_or_with_lone_nodes(spark):
+    g, at = graph(spark, "abc", [("a", "b", "calls", 1)])
+    got = values(topology.louvain(g), "node_id", "community")
+    assert got[at["a"]] == got[at["b"]] and got[at["c"]] == at["c"]
+    empty = PropertyGraph(g.nodes, g.edges.limit(0))
+    assert values(topology.louvain(empty), "node_id", "community") == {i: i for i in at.values()}
