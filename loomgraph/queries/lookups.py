@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import flow, ledgers, lookups, matching, metrics, spread
+from loomgraph.operators import flow, ledgers, lookups, matching, metrics, spread, walks
 from loomgraph.operators.graph import r6
+from loomgraph.plans.durable import stored
 from loomgraph.queries.registry import query, table
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 
@@ -119,3 +120,30 @@ def r8_lock_events(spark, sf_dir):
 
     g = full_graph(spark, sf_dir)
     return lock_events(g.edges.select("src", "dst", "relation"), g.seeds(["nation::3"])).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _walks_sql(walks: int, steps: int, seed: int) -> str:
+    """Walks over the whole graph both ways; no node has so many edges here that they are dealt into buckets."""
+    draw = lambda k: f"('0x' || md5('{seed}:' || start || ':' || walk || ':{k}e')[1:8])::UBIGINT::DOUBLE / 4294967296.0::DOUBLE"
+    parts = [
+        "we AS (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) GROUP BY ALL)",
+        "wc AS MATERIALIZED (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY src) AS total FROM we WHERE w > 0)",
+        f"w0 AS MATERIALIZED (SELECT node_id AS start, walk, node_id AS node, 0 AS step FROM nodes, range({walks}) r(walk))",
+    ]
+    for k in range(steps):
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT start, walk, arg_min(dst, upto) AS node, {k + 1} AS step FROM w{k} JOIN wc ON src = node WHERE upto > total * ({draw(k)}) GROUP BY start, walk)")
+    parts.append(f"wp AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM w{k}' for k in range(steps + 1))})")
+    parts.append("wn AS MATERIALIZED (SELECT a.node AS a, b.node AS b, count(*) AS n FROM wp a JOIN wp b ON a.start = b.start AND a.walk = b.walk AND abs(a.step - b.step) BETWEEN 1 AND 4 AND a.node <> b.node GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+@query(
+    f"WITH {_walks_sql(1, 10, 42)}, t AS (SELECT sum(n) AS t FROM wn), s AS (SELECT a, sum(n) AS n FROM wn GROUP BY a), v AS (SELECT wn.a, wn.n, ln(wn.n * t / (x.n * y.n)::DOUBLE) AS v FROM wn JOIN s x ON x.a = wn.a JOIN s y ON y.a = wn.b, t) "
+    "SELECT a, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS n, round(sum(v), 4) AS ppmi FROM v WHERE v > 0 GROUP BY a"
+)
+def x6_random_walks(spark, sf_dir):
+    """Walks from every node both ways along the edges, counted within four steps, as mutual information."""
+    g = full_graph(spark, sf_dir)
+    pairs = stored(walks.co_occurrence(walks.random_walks(g.nodes, g.undirected(), 1, 10, 42)), "met")
+    found = lookups.ppmi(pairs).join(pairs, ["a", "b"])
+    return found.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("n"), F.round(F.sum("ppmi"), 4).alias("ppmi"))
