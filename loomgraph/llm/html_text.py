@@ -37,6 +37,7 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import json
 import re
@@ -45,7 +46,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.durable import checked_join, stored
@@ -440,26 +441,51 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def layouts(pages: DataFrame) -> DataFrame:
-    """(host, layout, key) of every page; ``pages``: host, key, html."""
+def layouts(pages: DataFrame, most: int) -> DataFrame:
+    """(host, layout, key, n): of each layout of a host the pages of the ``most`` least keys that a task has met, and how many rows they stand for.
+
+    ``pages``: host, key (a hash of the html), html.  A task gives no more rows of a
+    layout than that, so no host is gathered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple[str, str], tuple[list[int], set[int], list[int]]] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [(host, layout, -k, count[0] if i == 0 else 0) for (host, layout), (heap, _, count) in met.items() for i, k in enumerate(heap)]
+            met.clear()
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "layout", "key", "n"])
+
         for batch in batches:
-            found = pa.array([layout_of(parse(page.as_py())) for page in batch.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(1)], ["host", "layout", "key"])
+            for host, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                heap, own, count = met.setdefault((host, layout_of(parse(page.as_py()))), ([], set(), [0]))
+                count[0] += 1
+                if key in own or (len(heap) == most and -key <= heap[0]):
+                    continue
+                own.add(key)
+                if len(heap) < most:
+                    heapq.heappush(heap, -key)
+                else:
+                    own.discard(-heapq.heapreplace(heap, -key))
+            if len(met) > HOSTS_AT_ONCE:
+                yield rows()
+        yield rows()
 
-    return pages.select("host", "key", "html").mapInArrow(run, "host string, layout string, key long")
+    return pages.select("host", "key", "html").mapInArrow(run, "host string, layout string, key long, n long")
 
 
 def wrappers_of(pages: DataFrame, pages_a_host: int = PAGES_A_HOST) -> DataFrame:
-    """(host, layout, rules, wrapper) of each layout of a host; ``pages``: host, key (hash of the html), html."""
+    """(host, layout, rules, wrapper) of each layout of a host; ``pages``: host, key (hash of the html), html.
+
+    A wrapper is fitted on the different pages of the least keys, all of them where a layout has no more.
+    """
     known = pages.where("html <> ''")
-    turn = F.pmod(F.col("key"), F.lit(pages_a_host))
-    # one page for each layout and turn: partial minima, so no host is gathered
-    chosen = layouts(known).groupBy("host", "layout", turn.alias("turn")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-    chosen = stored(chosen, "layout-pages")
+    chosen = stored(layouts(known, pages_a_host), "layout-pages")
     several = chosen.groupBy("host", "layout").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "layout")
-    chosen = stored(chosen.join(several, ["host", "layout"], "left_semi").select("host", "key", "layout"), "wrapper-pages")
+    least = Window.partitionBy("host", "layout").orderBy("key")  # of pages_a_host rows from each task at most
+    chosen = chosen.join(several, ["host", "layout"], "left_semi").select("host", "key", "layout").distinct()
+    chosen = stored(chosen.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= pages_a_host).drop("_n"), "wrapper-pages")
     sample = checked_join(known, chosen, ["host", "key"]).groupBy("host", "layout", "key").agg(F.min("html").alias("html"))
 
     def wrap(group: pd.DataFrame) -> pd.DataFrame:

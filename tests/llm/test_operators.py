@@ -826,3 +826,26 @@ def test_html_of_very_many_blocks():
     began = time.time()
     text = html_text.extract(page, {})
     assert text.startswith("T block 0 runs on block 1") and text.endswith("block 29999 runs on") and time.time() - began < 20
+
+
+def test_html_wrappers_see_all_pages_of_a_small_host(spark):
+    """Four pages of a host are all in the sample, whatever their hashes: their shared line is a template text in every draw."""
+    rng = random.Random(41)
+    words = [f"{a}{b}" for a in "bcdfgklmn" for b in ("ana", "olo", "ibe", "upu")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    rows, bodies = [], {}
+    for host in range(12):
+        shared = f"Host {host} keeps this line on every page of its own."
+        for i in range(4):
+            bodies[4 * host + i] = [say(30), say(25), say(28)]
+            rows.append((4 * host + i, f"http://h{host}.example/{i}", "<html><body><article>" + "".join(f"<p>{t}</p>" for t in [*bodies[4 * host + i], shared]) + "</article></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == {k: " ".join(v) for k, v in bodies.items()}
+
+
+def test_html_sample_is_that_of_the_least_keys(spark):
+    pages = [("h", k, f"<html><body><article><p>Some words of page {k} here.</p></article></body></html>") for k in [*range(-40, 40), 3, 3, -7]]
+    df = spark.createDataFrame(pages, "host string, key long, html string").repartition(4)
+    got = html_text.layouts(df, 5)
+    assert got.agg(F.sum("n")).first()[0] == len(pages) and sorted(r["key"] for r in got.select("key").distinct().collect())[:5] == [-40, -39, -38, -37, -36]
+    assert got.count() <= 20
