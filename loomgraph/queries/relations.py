@@ -75,12 +75,17 @@ def a8_layer_health(spark, sf_dir):
     return topology.layer_health(g, _layer(g)).select(F.col("layer").cast("long").alias("layer"), "n_nodes", "n_edges", r6("cohesion").alias("cohesion"), r6("violation_density").alias("violation_density"))
 
 
-def _communities_sql(rounds: int) -> str:
-    parts = ["ce AS MATERIALIZED (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges) WHERE src <> dst GROUP BY ALL)", "co AS (SELECT src AS node_id, avg(w) * 0.5::DOUBLE AS w FROM ce GROUP BY src)", "c0 AS (SELECT node_id, node_id AS c FROM spine_nodes)"]
+_SPINE_BOTH = "(SELECT src, dst, weight FROM spine_edges UNION ALL SELECT dst, src, weight FROM spine_edges)"
+_SPINE_WEIGHTS = f"(SELECT src, dst, max(weight) AS w FROM {_SPINE_BOTH} WHERE src <> dst GROUP BY ALL)"
+
+
+def _communities_sql(rounds: int, n: str = "c", nodes: str = "spine_nodes", weights: str = _SPINE_WEIGHTS) -> str:
+    """Rounds of label propagation: labels ``<n><k>``."""
+    parts = [f"{n}e AS MATERIALIZED {weights}", f"{n}o AS (SELECT src AS node_id, avg(w) * 0.5::DOUBLE AS w FROM {n}e GROUP BY src)", f"{n}0 AS (SELECT node_id, node_id AS c FROM {nodes})"]
     for k in range(1, rounds + 1):
-        votes = f"SELECT src AS node_id, c, w FROM ce JOIN c{k - 1} l ON l.node_id = dst UNION ALL SELECT l.node_id, c, w FROM c{k - 1} l JOIN co USING (node_id)"
+        votes = f"SELECT src AS node_id, c, w FROM {n}e JOIN {n}{k - 1} l ON l.node_id = dst UNION ALL SELECT l.node_id, c, w FROM {n}{k - 1} l JOIN {n}o USING (node_id)"
         best = f"SELECT node_id, c FROM (SELECT node_id, c, sum(w) AS w FROM ({votes}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY w DESC, c) = 1"
-        parts.append(f"c{k} AS MATERIALIZED (SELECT l.node_id, coalesce(b.c, l.c) AS c FROM c{k - 1} l LEFT JOIN ({best}) b USING (node_id))")
+        parts.append(f"{n}{k} AS MATERIALIZED (SELECT l.node_id, coalesce(b.c, l.c) AS c FROM {n}{k - 1} l LEFT JOIN ({best}) b USING (node_id))")
     return ", ".join(parts)
 
 
@@ -145,7 +150,11 @@ def g26_topology(spark, sf_dir):
     return topology.topology_report(g, _group(g), 8).withColumns({"modularity": r6("modularity"), "spectral_gap": r6("spectral_gap")})
 
 
-@query()
+_COARSE = f"(SELECT a.c AS src, b.c AS dst, sum(weight) AS w FROM {_SPINE_BOTH} e JOIN c10 a ON a.node_id = src JOIN c10 b ON b.node_id = dst WHERE a.c <> b.c GROUP BY ALL)"
+_SCALE = "SELECT {0} AS scale, n.c AS community, n.n AS size, CAST(coalesce(internal, 0) AS BIGINT) AS internal, CAST(coalesce(crossing, 0) AS BIGINT) AS crossing FROM (SELECT c, count(*) AS n FROM {1} GROUP BY c) n LEFT JOIN (SELECT a.c, count(*) FILTER (a.c = b.c) AS internal, count(*) FILTER (a.c <> b.c) AS crossing FROM spine_edges JOIN {1} a ON a.node_id = src JOIN {1} b ON b.node_id = dst GROUP BY a.c) e USING (c)"
+
+
+@query(f"WITH {_communities_sql(10)}, {_communities_sql(10, 'dd', '(SELECT DISTINCT c AS node_id FROM c10)', _COARSE)}, cd AS MATERIALIZED (SELECT x.node_id, y.c FROM c10 x JOIN dd10 y ON y.node_id = x.c) {_SCALE.format(0, 'c10')} UNION ALL {_SCALE.format(1, 'cd')}")
 def g25_scales(spark, sf_dir):
     return topology.scale_views(spine_graph(spark, sf_dir), 2)
 
