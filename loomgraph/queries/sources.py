@@ -379,6 +379,21 @@ def s20_spans(spark, sf_dir):
     return s.groupBy("name").agg(F.sum("count").alias("invocations"), F.count_if("is_error").alias("errors"), F.sum("duration_us").alias("duration"))
 
 
+@query(
+    "WITH e AS (SELECT event_id, event_type, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events), a AS (SELECT 'k' AS attribute, 'BIGINT' AS kind, k FROM e UNION ALL SELECT 'who', 'OBJECT<id: BIGINT>', user_id FROM e WHERE event_id % 2 = 0 UNION ALL SELECT 'who', 'STRING', user_id FROM e WHERE event_id % 2 = 1) "
+    "SELECT attribute, kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN kind = 'STRING' THEN NULL ELSE k END) AS BIGINT) AS total FROM a GROUP BY ALL", graph=False
+)
+def s20_attributes(spark, sf_dir):
+    """Attributes of unknown shape: each event's own ones, and one that is an object here and a string there."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    who = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"id": '), user, F.lit("}"))).otherwise(F.concat(F.lit('"u'), user, F.lit('"')))
+    docs = e.select("event_id", F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "who": '), who, F.lit("}")).alias("text"))
+    rows = formats.attribute_rows(docs, "event_id", "text")
+    rows = formats.with_attributes(rows, "value", {"whole": ("$", "long"), "inner": ("$.id", "long")})
+    return rows.groupBy("attribute", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("whole", "inner")).alias("total"))
+
+
 @query("SELECT 'duplicate_node' AS problem, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'dangling_dst', CAST(count(*) AS BIGINT) FROM spine_edges JOIN spine_nodes ON node_id = dst WHERE node_type = 100 UNION ALL SELECT 'dangling_src', 0 FROM region WHERE false", graph=True)
 def s21_builder_problems(spark, sf_dir):
     g = spine_graph(spark, sf_dir)

@@ -216,6 +216,24 @@ def span_batch(docs: DataFrame, text: str = "text") -> DataFrame:
     return s.select("name", F.coalesce("duration_us", F.lit(0)).alias("duration_us"), F.coalesce("count", F.lit(1)).alias("count"), F.coalesce("is_error", F.lit(False)).alias("is_error"), "parent", "attributes").where("name IS NOT NULL")
 
 
+def with_attributes(docs: DataFrame, text: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``docs`` with a column for each wanted attribute of JSON texts of unknown shape.
+
+    ``wanted``: column name to (path, type), as ``{"code": ("$.http.status", "int")}``.
+    The text is parsed once into a variant; what is not there, is of another kind
+    or stands in a broken text is null.
+    """
+    v = docs.withColumn("_v", F.try_parse_json(text))
+    return v.select(*docs.columns, *[F.try_variant_get("_v", path, kind).alias(name) for name, (path, kind) in wanted.items()])
+
+
+def attribute_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, attribute, kind, value) of every top-level attribute of JSON objects of unknown shape; the value as JSON text."""
+    spark = docs.sparkSession
+    held = docs.select(F.col(key).alias("key"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    return spark.sql("SELECT d.key, a.key AS attribute, schema_of_variant(a.value) AS kind, to_json(a.value) AS value FROM {d} d, LATERAL variant_explode(d.v) a", d=held)
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "parquet") -> None:
     """Write a snapshot: nodes, then edges (a two-way edge once, src < dst), each committed atomically."""
     once = edges.where("NOT (direction = 1 AND src > dst)") if "direction" in edges.columns else edges

@@ -16,7 +16,8 @@ f9_scan g1_pagerank g2_wavefront g6_causal g12_spectral_pulses g14_impact g15_ca
 j4_module_paths j6_cross_domain j9_ghost_edges j13_stack_frames j15_pattern_match j16_document_bindings j17_snapshot_diff s16_blocks s16_entities u1_graph_merge u2_drift w1_tremor w6_churn
 x2_find_seeds x5_trigram_tfidf r6_trust_stream s1_code_tree s4_extracted_nodes s5_extracted_edges s6_languages s9_notes s11_bibtex s12_crossref s13_jats s14_patents s15_rfc s18_cargo s19_snapshots s20_spans
 k5_persist k8_artifacts g20_communities g22_spectral_gap g24_equivalents g27_standing_wave g30_sympathetic g32_keystones g34_synergy g41_twin_pairs g47_temporal_report g58_antibody_extraction f14_lock_roots f16_guards
-x4_seek x8_semantic_query t2_query_fast x10_paths r1_auto_ingest r5_observation_ring""".split()
+x4_seek x8_semantic_query t2_query_fast x10_paths r1_auto_ingest r5_observation_ring s6_methods s6_code_scopes_sql s7_strip_comments s11_bibtex_source s1_tree_stream s20_attributes r3_burst_timers
+j14_contained_names g57_separate_parts g20_louvain x1_tokens u8_pattern_similarity g68_external_references w8_trace_depth""".split()
 
 
 def norm(rows, cols):

@@ -122,3 +122,12 @@ def test_state_of_the_newest_complete_version(spark, tmp_path):
 def test_span_batches_have_defaults(spark):
     d = docs(spark, ("b", '[{"name": "f", "duration_us": 5}, {"name": "g", "count": 3, "is_error": true}, {"count": 1}]'), ("c", "broken"))
     assert pairs(formats.span_batch(d), "name", "duration_us", "count", "is_error") == {("f", 5, 1, False), ("g", 0, 3, True)}
+
+
+def test_attributes_of_unknown_shape(spark):
+    d = docs(spark, ("a", '{"http": {"status": 500}, "tags": ["x", "y"], "ok": true}'), ("b", '{"http": "none", "n": 1.5}'), ("c", "broken"), ("d", "[1]"), ("e", None))
+    got = formats.with_attributes(d, "text", {"status": ("$.http.status", "int"), "first": ("$.tags[0]", "string")})
+    assert pairs(got, "path", "status", "first") == {("a", 500, "x"), ("b", None, None), ("c", None, None), ("d", None, None), ("e", None, None)}
+    rows = formats.attribute_rows(d, "path", "text")
+    assert pairs(rows, "key", "attribute", "value") == {("a", "http", '{"status":500}'), ("a", "tags", '["x","y"]'), ("a", "ok", "true"), ("b", "http", '"none"'), ("b", "n", "1.5")}
+    assert pairs(rows, "attribute", "kind") >= {("http", "OBJECT<status: BIGINT>"), ("http", "STRING"), ("ok", "BOOLEAN")}
