@@ -10,13 +10,13 @@ import re
 from pyspark.sql import functions as F
 
 from loomgraph.functions import texts as tf
-from loomgraph.operators import activation, documents, ledgers, lookups, matching, merge, metrics, reports, spread, text, topology, traversal
+from loomgraph.operators import activation, documents, ledgers, matching, merge, metrics, reports, spread, text, topology, traversal
 from loomgraph.operators.graph import PropertyGraph, r6
 from loomgraph.plans.durable import scratch
 from loomgraph.queries.activation import SEEDS, wave_sql
 from loomgraph.queries.documents import _drained
 from loomgraph.queries.registry import ORACLE_SQL, query, table
-from loomgraph.queries.texts import _QUERY, _TRI, _tfidf_sql, _token_sql
+from loomgraph.queries.texts import _QUERY, _tfidf_sql, _token_sql
 from loomgraph.sources import datasources, formats, scopes, state
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
 from loomgraph.streaming import ledgers as streams
