@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.plans.durable import checked_join, stored
+from loomgraph.plans.durable import checked_join, is_small, stored
 
 #: Out-edges of a bucket, about.
 ENTRIES = 1024
@@ -51,12 +51,12 @@ def random_walks(nodes: DataFrame, edges: DataFrame, walks: int = 20, steps: int
     The next edge is drawn by its share of the weights; a walk ends where no edge
     leads on.  Parallel edges count together.
     """
-    own, targets = step_tables(edges)
+    own, targets = (F.broadcast(t) if is_small(t) else t for t in step_tables(edges))  # measured once for all steps
     state = nodes.select(F.col("node_id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     state = state.select("start", "walk", F.array("start").alias("path"), F.col("start").alias("node"))
     for k in range(steps):
-        state = checked_join(state, own, "node", "left").withColumn("bucket", _picked("buckets", _draw(seed, k, "b"))).drop("buckets")
-        state = checked_join(state, targets, ["node", "bucket"], "left").withColumn("to", _picked("edges", _draw(seed, k, "e")))
+        state = state.join(own, "node", "left").withColumn("bucket", _picked("buckets", _draw(seed, k, "b"))).drop("buckets")
+        state = state.join(targets, ["node", "bucket"], "left").withColumn("to", _picked("edges", _draw(seed, k, "e")))
         state = state.select("start", "walk", F.when(F.col("to").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("to"))).alias("path"), F.col("to").alias("node"))
         if k % STEPS_A_TABLE == STEPS_A_TABLE - 1:
             state = stored(state, "walkers")
