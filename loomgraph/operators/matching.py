@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations, permutations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,9 +164,9 @@ def _candidates(g: PropertyGraph, c: dict) -> DataFrame:
 
 
 def _steps(e: DataFrame, a: int, b: int, relation: str | None) -> DataFrame:
-    """The graph's edges that an edge of the pattern may stand for."""
+    """The graph's edges that an edge of the pattern may stand for, parallel ones repeated."""
     e = e.where(F.col("relation") == relation) if relation else e
-    return e.select(F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}")).distinct()
+    return e.select(F.col("src").alias(f"n{a}"), F.col("dst").alias(f"n{b}"))
 
 
 def _part_bindings(g: PropertyGraph, p: Pattern, part: list[int]) -> DataFrame:
@@ -174,9 +175,9 @@ def _part_bindings(g: PropertyGraph, p: Pattern, part: list[int]) -> DataFrame:
     Candidates are first reduced along a tree of the part, from its leaves to its
     root and back: a node stays only if each neighbour in the tree has a candidate
     next to it.  Then the edges are joined from the root outwards, so no join makes
-    rows that a later edge of the tree throws away whole.
+    rows that a later edge of the tree throws away whole.  A single edge is its own tree.
     """
-    e = g.expanded().select("src", "dst", "relation").distinct()
+    e = g.expanded().select("src", "dst", "relation")
     weight = lambda i: (p.nodes[i].get("node_type") is not None) + 2 * bool(p.nodes[i].get("label_contains")) + len(p.nodes[i].get("required_tags") or [])
     root = min(part, key=lambda i: (-weight(i), i))
     tree, done, todo = [], {root}, [x for x in p.edges if x[0] in part]
@@ -187,14 +188,16 @@ def _part_bindings(g: PropertyGraph, p: Pattern, part: list[int]) -> DataFrame:
     held = {i: _candidates(g, p.nodes[i]).select(F.col("node_id").alias(f"n{i}")) for i in part}
     to_root = [(x, (x[0], x[1]) if up == x[0] else (x[1], x[0])) for x, up in reversed(tree)]
     to_leaves = [(x, (outer, inner)) for x, (inner, outer) in reversed(to_root)]
-    for (a, b, r), (kept, other) in [*to_root, *to_leaves]:
+    for (a, b, r), (kept, other) in [*to_root, *to_leaves] if len(tree) > 1 else []:
         met = _steps(e, a, b, r).join(held[other], f"n{other}", "left_semi").join(held[kept], f"n{kept}", "left_semi")
         held[kept] = stored(met.select(f"n{kept}").distinct(), "candidates")
     bound, done = held[root], {root}
     for (a, b, r), up in tree:
         new = b if up == a else a
-        step = _steps(e, a, b, r).join(held[new], f"n{new}", "left_semi")
-        bound = salted_join(bound, step, [f"n{up}"])
+        if len(tree) == 1:
+            bound = _steps(e, a, b, r).join(held[up], f"n{up}", "left_semi").join(held[new], f"n{new}", "left_semi").distinct()
+        else:
+            bound = salted_join(bound, _steps(e, a, b, r).join(held[new], f"n{new}", "left_semi").distinct(), [f"n{up}"])
         for j in done:
             bound = bound.where(F.col(f"n{new}") != F.col(f"n{j}"))
         done.add(new)
@@ -215,11 +218,23 @@ def match_pattern(g: PropertyGraph, p: Pattern, most: int | None = None) -> Data
     return out.orderBy(*out.columns).limit(most) if most else out
 
 
+def _meetings(p: Pattern, x: list[int], y: list[int]) -> list[tuple[tuple[int, int], ...]]:
+    """The ways in which bindings of two parts may share nodes: pairs of places whose node types allow one node for both."""
+    kind = lambda i: p.nodes[i].get("node_type")
+    found = []
+    for n in range(1, min(len(x), len(y)) + 1):
+        for at, to in product(combinations(x, n), permutations(y, n)):
+            if all(kind(i) is None or kind(j) is None or kind(i) == kind(j) for i, j in zip(at, to, strict=True)):
+                found.append(tuple(zip(at, to, strict=True)))
+    return found
+
+
 def match_count(g: PropertyGraph, p: Pattern) -> DataFrame:
     """One row: number of injective bindings (matches), and the least node bound to n0 (first_node).
 
-    Of two separate parts the bindings are not crossed: of all pairs those are
-    taken off whose parts share a node, which a join on the nodes finds.
+    Bindings of two separate parts are neither crossed nor paired.  They are counted
+    by the nodes at the places where the parts may share one; those that share are
+    taken off by inclusion and exclusion over the ways to meet, one join of counts a way.
     """
     parts = pattern_parts(p)
     if len(parts) == 1:
@@ -228,12 +243,17 @@ def match_count(g: PropertyGraph, p: Pattern) -> DataFrame:
         raise ValueError("patterns of more than two separate parts are not matched")
     if any((a in parts[0]) != (b in parts[0]) for a, b, _ in p.absent):
         raise ValueError("an absent edge between separate parts is not matched")
-    x, y = (stored(_part_bindings(g, p, part).withColumn("_id", F.array(*[f"n{i}" for i in part])), "part-bindings") for part in parts)
-    others = y.count()
-    ends = lambda df, part, name: df.select(F.col("_id").alias(name), F.explode(F.array(*[f"n{i}" for i in part])).alias("node"))
-    shared = salted_join(ends(x, parts[0], "x"), ends(y, parts[1], "y"), ["node"]).select("x", "y").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("off"))
-    free = x.join(shared.withColumnRenamed("x", "_id"), "_id", "left").select("n0", (F.lit(others) - F.coalesce("off", F.lit(0))).alias("k"))
-    return free.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("matches"), F.min(F.when(F.col("k") > 0, F.col("n0"))).alias("first_node"))
+    ways = _meetings(p, *parts)
+    at, to = ([f"n{i}" for i in sorted({pair[side] for way in ways for pair in way})] for side in (0, 1))
+    x = stored(_part_bindings(g, p, parts[0]).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.min("n0").alias("_first")), "part-counts")
+    y = stored(_part_bindings(g, p, parts[1]).groupBy(*to).agg(F.count(F.lit(1)).alias("_n")), "part-counts")
+    free = F.lit(y.agg(F.sum("_n")).first()[0] or 0).cast("long")
+    for n, way in enumerate(ways):
+        met = y.groupBy(*[F.col(f"n{j}").alias(f"n{i}") for i, j in way]).agg(F.sum("_n").alias(f"_off{n}"))
+        x = x.join(met, [f"n{i}" for i, _ in way], "left")
+        off = F.coalesce(f"_off{n}", F.lit(0))
+        free = free - off if len(way) % 2 else free + off
+    return x.agg(F.coalesce(F.sum(F.col("_n") * free), F.lit(0)).cast("long").alias("matches"), F.min(F.when(free > 0, F.col("_first"))).alias("first_node"))
 
 
 def scan_patterns(g: PropertyGraph, patterns: list[Pattern], least_severity: float = 0.0, most_each: int = 50) -> DataFrame:
