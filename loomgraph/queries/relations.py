@@ -115,9 +115,7 @@ def _louvain_sql(rounds: int) -> str:
 def g20_louvain(spark, sf_dir):
     """Three rounds of local moves over the whole graph."""
     g = full_graph(spark, sf_dir)
-    k = g.undirected().groupBy("src", "dst").agg(F.max("weight").alias("w")).where("src <> dst").groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k"))
-    out = topology.louvain(g, 3).join(k, "node_id", "left")
-    return out.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.coalesce("k", F.lit(0.0))), 3).alias("degree"))
+    return topology.louvain(g, 3, degrees=True).groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum("k"), 3).alias("degree"))
 
 
 def _spectral_sql(iterations: int) -> str:
