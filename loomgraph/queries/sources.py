@@ -299,9 +299,9 @@ def s11_bibtex_source(spark, sf_dir):
 
 @query(ORACLE_SQL["s12_crossref"], graph=False)
 def s12_crossref_source(spark, sf_dir):
-    """``spark.read.format("crossref")``: one work in a file, so files by the hundred are dealt into few tasks."""
+    """``spark.read.format("crossref")``: a work a line, as a registry hands out its dumps."""
     at = _folder(spark)
-    _crossref_texts(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(at)
+    _crossref_texts(spark, sf_dir).write.option("maxRecordsPerFile", 4096).text(at)
     datasources.register(spark)
     return datasources.graph_of(spark.read.format("crossref").option("pattern", r"\.txt$").load(at))[1].select("src", "dst", "relation")
 
