@@ -259,7 +259,7 @@ def affinity_confidence(sources: list[Column]) -> Column:
     known = F.filter(F.array(*sources), lambda x: x.isNotNull() & (x > 0))
     mean = F.exp(F.aggregate(known, F.lit(0.0), lambda a, x: a + F.log(x)) / F.size(known))
     capped = F.when(F.size(known) == 1, F.least(mean, F.lit(0.40))).otherwise(F.least(mean, F.lit(0.85)))
-    return F.when((F.size(known) > 0) & (capped >= 0.15), capped)
+    return F.when((F.size(known) > 0) & (F.round(capped, 12) >= 0.15), capped)  # what the order of a mean leaves is no less
 
 
 def hypothesis_confidence(likelihoods: DataFrame, key: str, value: str) -> DataFrame:
