@@ -16,6 +16,8 @@ from loomgraph.operators.traversal import DECAY, reach
 from loomgraph.plans.durable import cut
 
 THRESHOLD = 0.04
+#: What rounding can leave where inhibition takes all of a signal off.
+NOTHING = 1e-12
 #: Dimension weights: structural, semantic, temporal, causal.
 WEIGHTS = {"structural": 0.35, "semantic": 0.15, "temporal": 0.25, "causal": 0.25}
 
@@ -31,10 +33,11 @@ def wavefront(g: PropertyGraph, seeds: DataFrame, max_depth: int = 5, strength:
         sent = front.join(edges, front.node_id == edges.src).select("dst", signal.alias("s"), "inhibitory")
         got = sent.groupBy("dst").agg(
             F.max(F.when(~F.col("inhibitory") & (F.col("s") > threshold), F.col("s"))).alias("up"),
-            F.sum(F.when(F.col("inhibitory"), F.col("s") * 0.5)).alias("down"),
+            F.sum(F.when(F.col("inhibitory"), F.col("s") * 0.5).cast("decimal(28,18)")).cast("double").alias("down"),  # the same in any order
         )
         both = state.join(got, state.node_id == got.dst, "full_outer")
         act = F.greatest(F.greatest(F.coalesce("activation", F.lit(0.0)), F.coalesce("up", F.lit(0.0))) - F.coalesce("down", F.lit(0.0)), F.lit(0.0))
+        act = F.when(act > NOTHING, act).otherwise(0.0)
         state = both.select(F.coalesce("node_id", "dst").alias("node_id"), act.alias("activation"), F.when(F.col("entered").isNotNull(), F.col("entered")).when(F.col("up").isNotNull(), F.lit(hop)).alias("entered"))
         if hop % checkpoint_every == 0 and hop < max_depth:
             state = cut(state)
