@@ -38,26 +38,27 @@ def ring(events: DataFrame, key: str, order: str, size: int = 256, tie: str | No
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
 
 
-def tremor(observations: DataFrame, now: float | None = None, window_days: int | None = None, least_observations: int = 3) -> DataFrame:
+def tremor(observations: DataFrame, now: float | None = None, window_days: int | None = None, least_observations: int = 3, least_gap: float = 1.0) -> DataFrame:
     """Acceleration of change. ``observations``: key, ts, delta, edge_events.
 
-    Observations within a second of the last kept one are dropped (a greedy
-    fold over the sorted series); velocities are the deltas over their time
-    step of at least a second, accelerations the change of velocities.
+    Observations within ``least_gap`` seconds of the last kept one are dropped (a
+    greedy fold over the sorted series; 0 keeps all); velocities are the deltas over their time
+    step of at least a second, accelerations the change of velocities.  Accelerations at one time alone have
+    no slope (NaN); without any it is 0.
     """
     if window_days is not None:
         observations = observations.where(F.col("ts") >= float(now) - 86400.0 * window_days)
     series = ring(observations, "key", "ts", 256, "delta").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "delta", "edge_events"))).alias("s"))
     none = F.expr("CAST(array() AS array<struct<ts: double, delta: double, edge_events: bigint>>)")
-    kept = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["ts"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["ts"] >= 1.0), F.array_append(acc, x)).otherwise(acc))
-    rows = series.select("key", F.posexplode(kept).alias("i", "o")).select("key", "i", "o.*")
+    kept = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["ts"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["ts"] >= least_gap), F.array_append(acc, x)).otherwise(acc))
+    rows = series.select("key", F.posexplode(kept if least_gap > 0 else "s").alias("i", "o")).select("key", "i", "o.*")
     w = Window.partitionBy("key").orderBy("i")
     rows = rows.withColumn("dt", F.greatest(F.col("ts") - F.lag("ts").over(w), F.lit(1.0))).withColumn("v", F.col("delta") / F.col("dt"))
     rows = rows.withColumn("a", F.when(F.col("i") > 1, (F.col("v") - F.lag("v").over(w)) / F.col("dt")))
-    s = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_acceleration"), F.regr_slope(F.col("a"), F.col("ts")).alias("slope"), F.sum("edge_events").alias("edge_events")).where(F.col("n") >= least_observations)
+    s = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_acceleration"), F.regr_slope(F.col("a"), F.col("ts")).alias("slope"), F.count("a").alias("n_a"), F.sum("edge_events").alias("edge_events")).where(F.col("n") >= least_observations)
     magnitude = F.least(F.abs("mean_acceleration") * F.sqrt(F.col("edge_events").cast("double")), F.lit(100.0))
     tier = F.when(F.col("magnitude") >= 10, "Critical").when(F.col("magnitude") >= 1, "High").when(F.col("magnitude") >= 0.1, "Medium").otherwise("Low")
-    return s.select("key", "n", F.coalesce("mean_acceleration", F.lit(0.0)).alias("mean_acceleration"), F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce(magnitude, F.lit(0.0)).alias("magnitude")).withColumn("tier", tier)
+    return s.select("key", "n", F.coalesce("mean_acceleration", F.lit(0.0)).alias("mean_acceleration"), F.coalesce("slope", F.when(F.col("n_a") > 0, F.lit(float("nan"))), F.lit(0.0)).alias("slope"), F.coalesce(magnitude, F.lit(0.0)).alias("magnitude")).withColumn("tier", tier)
 
 
 def velocity(values: DataFrame, least: float = 0.1) -> DataFrame:
