@@ -29,6 +29,8 @@ from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, ngrams, r
 SIZE = 1 << 18
 #: Most labelled rows that a fit looks at.
 SAMPLE_ROWS = 6000
+#: Rows of the sample whose values are worked out at once.
+ROWS_AT_ONCE = 256
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 #: Short texts are not scaled up beyond this norm, and all are scaled by SCALE.
@@ -101,8 +103,14 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
     f, c = table["f"].combine_chunks(), table["c"].combine_chunks()
     bounds = f.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
-    v = values(c.flatten().to_numpy().astype(np.float64), bounds)
-    return ftrl(f.flatten().to_numpy(), v, bounds, table["label"].to_numpy())
+    counts, v = c.flatten().to_numpy(), np.empty(bounds[-1])
+    for i in range(0, len(bounds) - 1, ROWS_AT_ONCE):
+        at = bounds[i : i + ROWS_AT_ONCE + 1]
+        v[at[0] : at[-1]] = values(counts[at[0] : at[-1]].astype(np.float64), at - at[0])
+    model = ftrl(f.flatten().to_numpy(), v, bounds, table["label"].to_numpy())
+    del table, f, c, counts, v
+    pa.default_memory_pool().release_unused()  # the driver has little memory, and other stages need it
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

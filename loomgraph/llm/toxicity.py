@@ -33,6 +33,8 @@ from loomgraph.llm.textfeatures import by_row, labelled_sample, lists, remainder
 SIZE = 1 << 20
 #: Most confirmed and most unlabelled rows that a fit looks at.
 POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 6000
+#: Features of the samples that are looked at at once.
+FEATURES_AT_ONCE = 1 << 18
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 #: A feature is used if it is in so many confirmed texts, so many times as frequent there, and if the
@@ -57,20 +59,31 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(f), np.concatenate(b)
 
 
+def _counted(f: np.ndarray) -> np.ndarray:
+    """Times of each feature, without a wide copy of all of them."""
+    n = np.zeros(SIZE, np.int64)
+    for i in range(0, len(f), FEATURES_AT_ONCE):
+        n += np.bincount(f[i : i + FEATURES_AT_ONCE], minlength=SIZE)
+    return n
+
+
 def nnpu(pf, pb, uf, ub, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> Model:
     """Fit on presence features of confirmed (p) and unlabelled (u) rows; ``b``: bounds by row."""
     n_p, n_u = len(pb) - 1, len(ub) - 1
-    in_p, in_u = np.bincount(pf, minlength=SIZE), np.bincount(uf, minlength=SIZE)
+    in_p, in_u = _counted(pf), _counted(uf)
     expected = (in_u + 1) * n_p / max(n_u, 1)
     ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / expected) - (in_p - expected))
     chosen = np.flatnonzero((in_p >= LEAST_TEXTS) & (in_p > LEAST_LIFT * expected) & (ratio > EVIDENCE * np.log1p(n_p)))
-    place = np.full(SIZE, -1)
+    place = np.full(SIZE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def kept(f, b):
-        rows = np.repeat(np.arange(len(b) - 1), np.diff(b))
-        x = place[f]
-        return x[x >= 0], rows[x >= 0]
+        x, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(f), FEATURES_AT_ONCE):
+            one = place[f[i : i + FEATURES_AT_ONCE]]
+            x.append(one[one >= 0].astype(np.int64))
+            at.append(np.flatnonzero(one >= 0) + i)
+        return np.concatenate(x), np.searchsorted(b, np.concatenate(at), "right") - 1
 
     (px, pr), (ux, ur) = kept(pf, pb), kept(uf, ub)
     k = len(chosen)
@@ -120,7 +133,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, positive_rows: i
     share = min(1.0, unlabelled_rows / max(documents.count(), 1))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1_000_003)) <= int(share * 1_000_003)
     uf, ub = _collected(documents.where(spread & learn))
-    return nnpu(pf, pb, uf, ub, float(prior))
+    model = nnpu(pf, pb, uf, ub, float(prior))
+    del pf, uf
+    pa.default_memory_pool().release_unused()  # the driver has little memory, and other stages need it
+    return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
