@@ -5,19 +5,42 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.traversal import reach
+from loomgraph.plans.durable import checked_join, stored
 
 
 def local_maxima(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """Rows above both neighbours in the order."""
-    w = Window.partitionBy(*by).orderBy(order)
+    """Rows above both neighbours in the order; a row without a place in it comes last."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(order))
     return df.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)}).where((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n"))).drop("_p", "_n")
 
 
+def maxima_of_sums(rows: DataFrame, order: str, value: str, by: list[str], turn: str) -> DataFrame:
+    """Local maxima of the sums of ``value`` over ``by`` and ``order``, the same however the rows are dealt.
+
+    A shuffle adds doubles in any order, which moves a sum of n values by less than
+    n roundings of the sum of their magnitudes (of one or two: not at all).  Sums of
+    neighbours nearer to each other than that are added again in the order of ``turn``.
+    """
+    key, n = [*by, order], F.count(value)
+    slack = F.when(n > 2, n * F.sum(F.abs(value)) * 2.0**-52).otherwise(0.0)
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(order))
+    near = [F.coalesce(F.abs(F.col(value) - beside(value).over(w)) < F.col("_e") + beside("_e").over(w), F.lit(False)) for beside in (F.lag, F.lead)]
+    sums = stored(rows.groupBy(*key).agg(F.sum(value).alias(value), slack.alias("_e")).select(*key, value, (near[0] | near[1]).alias("_near")), "sums")
+    close = sums.where("_near").select(*key)
+    if not close.limit(1).count():
+        return local_maxima(sums.drop("_near"), order, value, by)
+    same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key])
+    again = checked_join(rows.alias("r"), close.alias("c"), same, "left_semi")
+    in_turn = Window.partitionBy(*key).orderBy(turn, value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again = again.select(*key, F.sum(value).over(in_turn).alias(value)).dropDuplicates(key)
+    return local_maxima(sums.where("NOT _near").drop("_near").unionByName(again), order, value, by)
+
+
 def standing_wave(g: PropertyGraph, seeds: DataFrame, tones: DataFrame, hops: int = 4, least: float = 0.01, budget: int | None = None) -> DataFrame:
     """(tone, node_id, amplitude) of pulses with phase, all tones in one job.
 
