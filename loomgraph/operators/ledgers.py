@@ -38,21 +38,41 @@ def ring(events: DataFrame, key: str, order: str, size: int = 256, tie: str | No
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
 
 
-def tremor(observations: DataFrame, now: float | None = None, window_days: int | None = None, least_observations: int = 3, least_gap: float = 1.0) -> DataFrame:
+def _apart(rows: DataFrame, gap: float) -> DataFrame:
+    """Rows (key, ts, ...) without those less than ``gap`` behind the last kept one of their key; sorted rows pass by, none are gathered."""
+
+    def kept(batches):
+        key, last = None, None
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["ts"]):
+                keep.append(last is None or k != key or t - last >= gap)
+                if keep[-1]:
+                    key, last = k, t
+            yield batch[keep]
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", *[F.asc_nulls_last(c) for c in rows.columns if c != "key"])
+    return dealt.mapInPandas(kept, rows.schema)
+
+
+def tremor(observations: DataFrame, now: float | None = None, window_days: int | None = None, least_observations: int = 3, least_gap: float = 1.0, newest: int | None = None) -> DataFrame:
     """Acceleration of change. ``observations``: key, ts, delta, edge_events.
 
-    Observations within ``least_gap`` seconds of the last kept one are dropped (a
+    All observations count, or the ``newest`` of each key. Those within ``least_gap``
+    seconds of the last kept one are dropped (a
     greedy fold over the sorted series; 0 keeps all); velocities are the deltas over their time
     step of at least a second, accelerations the change of velocities.  Accelerations at one time alone have
     no slope (NaN); without any it is 0.
     """
     if window_days is not None:
         observations = observations.where(F.col("ts") >= float(now) - 86400.0 * window_days)
-    series = ring(observations, "key", "ts", 256, "delta").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "delta", "edge_events"))).alias("s"))
-    none = F.expr("CAST(array() AS array<struct<ts: double, delta: double, edge_events: bigint>>)")
-    kept = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["ts"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["ts"] >= least_gap), F.array_append(acc, x)).otherwise(acc))
-    rows = series.select("key", F.posexplode(kept if least_gap > 0 else "s").alias("i", "o")).select("key", "i", "o.*")
-    w = Window.partitionBy("key").orderBy("i")
+    if newest is not None:
+        observations = ring(observations, "key", "ts", newest, "delta")
+    rows = observations.select("key", "ts", "delta", "edge_events")
+    if least_gap > 0:
+        rows = _apart(rows, least_gap)
+    w = Window.partitionBy("key").orderBy(*[F.asc_nulls_last(c) for c in ("ts", "delta", "edge_events")])
+    rows = rows.withColumn("i", F.row_number().over(w) - 1)
     rows = rows.withColumn("dt", F.greatest(F.col("ts") - F.lag("ts").over(w), F.lit(1.0))).withColumn("v", F.col("delta") / F.col("dt"))
     rows = rows.withColumn("a", F.when(F.col("i") > 1, (F.col("v") - F.lag("v").over(w)) / F.col("dt")))
     s = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_acceleration"), F.regr_slope(F.col("a"), F.col("ts")).alias("slope"), F.count("a").alias("n_a"), F.sum("edge_events").alias("edge_events")).where(F.col("n") >= least_observations)
