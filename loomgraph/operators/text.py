@@ -254,12 +254,15 @@ def first_pattern(label: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in patterns])
 
 
-def affinity_confidence(sources: list[Column]) -> Column:
-    """Geometric mean of the known sources, at most 0.85 (0.40 for a single one), null below 0.15."""
+def affinity_confidence(sources: list[Column], digits: int | None = 12) -> Column:
+    """Geometric mean of the known sources, at most 0.85 (0.40 for a single one), null below 0.15.
+
+    The least one is compared in so many ``digits``, as the order of a mean may leave a little less; None: as it is.
+    """
     known = F.filter(F.array(*sources), lambda x: x.isNotNull() & (x > 0))
     mean = F.exp(F.aggregate(known, F.lit(0.0), lambda a, x: a + F.log(x)) / F.size(known))
     capped = F.when(F.size(known) == 1, F.least(mean, F.lit(0.40))).otherwise(F.least(mean, F.lit(0.85)))
-    return F.when((F.size(known) > 0) & (F.round(capped, 12) >= 0.15), capped)  # what the order of a mean leaves is no less
+    return F.when((F.size(known) > 0) & ((capped if digits is None else F.round(capped, digits)) >= 0.15), capped)
 
 
 def hypothesis_confidence(likelihoods: DataFrame, key: str, value: str) -> DataFrame:
