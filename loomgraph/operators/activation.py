@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import PropertyGraph
@@ -22,22 +22,32 @@ NOTHING = 1e-12
 WEIGHTS = {"structural": 0.35, "semantic": 0.15, "temporal": 0.25, "causal": 0.25}
 
 
-def wavefront(g: PropertyGraph, seeds: DataFrame, max_depth: int = 5, strength: Column | None = None, threshold: float = THRESHOLD, checkpoint_every: int = 3) -> DataFrame:
-    """(node_id, activation) spread from ``seeds`` (node_id, score; capped at 1)."""
+def wavefront(g: PropertyGraph, seeds: DataFrame, max_depth: int = 5, strength: Column | None = None, threshold: float = THRESHOLD, checkpoint_every: int = 3, turn: str | None = None) -> DataFrame:
+    """(node_id, activation) spread from ``seeds`` (node_id, score; capped at 1).
+
+    Inhibition is added in decimals, the same in any order, and what rounding can
+    leave is nothing.  ``turn``: it is added as doubles in the order of this column of
+    the edges, as one thread would, and what that leaves stays.
+    """
     w = F.col("weight") if strength is None else strength
-    edges = g.expanded().select("src", "dst", w.alias("w"), "inhibitory")
+    edges = g.expanded().select("src", "dst", w.alias("w"), "inhibitory", *([F.col(turn).alias("turn")] if turn else []))
+    half = F.when(F.col("inhibitory"), F.col("s") * 0.5)
+    in_turn = Window.partitionBy("dst").orderBy("turn", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = F.max_by("upto", "place") if turn else F.sum(half.cast("decimal(28,18)")).cast("double")
     state = seeds.groupBy("node_id").agg(F.least(F.max("score"), F.lit(1.0)).alias("activation")).withColumn("entered", F.lit(0))
     for hop in range(1, min(max_depth, 20) + 1):
         front = state.where((F.col("entered") == hop - 1) & (F.col("activation") >= threshold)).select("node_id", "activation")
         signal = F.col("activation") * F.col("w") * DECAY
-        sent = front.join(edges, front.node_id == edges.src).select("dst", signal.alias("s"), "inhibitory")
+        sent = front.join(edges, front.node_id == edges.src).select("dst", signal.alias("s"), "inhibitory", *(["turn"] if turn else []))
+        if turn:
+            sent = sent.select("dst", "s", "inhibitory", F.sum(half).over(in_turn).alias("upto"), F.count(F.lit(1)).over(in_turn).alias("place"))
         got = sent.groupBy("dst").agg(
             F.max(F.when(~F.col("inhibitory") & (F.col("s") > threshold), F.col("s"))).alias("up"),
-            F.sum(F.when(F.col("inhibitory"), F.col("s") * 0.5).cast("decimal(28,18)")).cast("double").alias("down"),  # the same in any order
+            down.alias("down"),
         )
         both = state.join(got, state.node_id == got.dst, "full_outer")
         act = F.greatest(F.greatest(F.coalesce("activation", F.lit(0.0)), F.coalesce("up", F.lit(0.0))) - F.coalesce("down", F.lit(0.0)), F.lit(0.0))
-        act = F.when(act > NOTHING, act).otherwise(0.0)
+        act = F.when(act > (0.0 if turn else NOTHING), act).otherwise(0.0)
         state = both.select(F.coalesce("node_id", "dst").alias("node_id"), act.alias("activation"), F.when(F.col("entered").isNotNull(), F.col("entered")).when(F.col("up").isNotNull(), F.lit(hop)).alias("entered"))
         if hop % checkpoint_every == 0 and hop < max_depth:
             state = cut(state)

@@ -60,3 +60,8 @@ class PropertyGraph:
 def r6(c: Column | str) -> Column:
     """Six decimals: what results are published at."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def scaled6(c: Column | str) -> Column:
+    """Six decimals as the SQL rounds them: the millions are rounded, not the decimal form."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import activation, spread
-from loomgraph.operators.graph import r6
+from loomgraph.operators.graph import r6, scaled6
 from loomgraph.plans.durable import cut
 from loomgraph.queries.registry import query
 from loomgraph.sources.tables_graph import full_graph, id_of, spine_graph
@@ -31,9 +31,9 @@ def wave_sql(hops: int, edges: str = "edges", seeds: str = _SEED_SQL, name: str
 
 @query(f"WITH {wave_sql(4)} SELECT external_id, round(act, 6) AS activation FROM s4 JOIN nodes USING (node_id) WHERE act > 0")
 def g2_wavefront(spark, sf_dir):
-    g = full_graph(spark, sf_dir).finalised()
-    out = activation.wavefront(g, g.seeds(SEEDS), 4)
-    return g.named(out, "external_id").select("external_id", r6("activation").alias("activation"))
+    g = full_graph(spark, sf_dir, turns=True).finalised()
+    out = activation.wavefront(g, g.seeds(SEEDS), 4, turn="turn")
+    return g.named(out, "external_id").select("external_id", scaled6("activation").alias("activation"))
 
 
 _NOW = 915148800.0
@@ -72,7 +72,7 @@ _MERGED = (
 
 def _dimensions(g):
     seeds = g.seeds(SEEDS)
-    return {"structural": activation.wavefront(g, seeds, 3), "temporal": activation.temporal(g, seeds, _NOW), "causal": activation.causal(g, seeds, 3)}
+    return {"structural": activation.wavefront(g, seeds, 3, turn="turn" if "turn" in g.edges.columns else None), "temporal": activation.temporal(g, seeds, _NOW), "causal": activation.causal(g, seeds, 3)}
 
 
 @query(f"WITH {_MERGED} SELECT external_id, round(act, 6) AS activation, CAST(n AS BIGINT) AS n_dimensions FROM merged JOIN nodes USING (node_id)")

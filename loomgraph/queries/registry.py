@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgraph.sources.tables_graph import GRAPH_SQL
+from loomgraph.sources.tables_graph import GRAPH_SQL, place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,12 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with ``place`` (long), a row's place in its files in the order of their names.
-
-    Where rounding decides, sums are added in this order, which is that of the SQL in one thread.
-    """
+    """A table with ``place``, a row's place in its files."""
     df = table(spark, sf_dir, name)
-    files, place = sorted(df.inputFiles()), F.col("_metadata.row_index")
-    if len(files) > 1:
-        place = place + F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_metadata.file_path")).cast("long") * (1 << 40)
-    return df.select("*", place.alias("place"))
+    return df.select("*", place(df).alias("place"))

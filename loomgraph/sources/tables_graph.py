@@ -27,6 +27,17 @@ def id_of(external: str) -> int:
     return CODES[table] * SPAN + int(key)
 
 
+def place(df: DataFrame) -> Column:
+    """A row's place (long) in the files that ``df`` was just read from, in the order of their names.
+
+    Where rounding decides, sums are added in this order, which is that of the SQL in one thread.
+    """
+    files, row = sorted(df.inputFiles()), F.col("_metadata.row_index")
+    if len(files) > 1:
+        row = row + F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_metadata.file_path")).cast("long") * (1 << 40)
+    return row
+
+
 def _nodes(df: DataFrame, table: str, key: str, label: str, tags: Column | None = None, modified: Column | None = None) -> DataFrame:
     return df.select(
         node_id(table, key).alias("node_id"),
@@ -38,9 +49,9 @@ def _nodes(df: DataFrame, table: str, key: str, label: str, tags: Column | None
     )
 
 
-def _edges(df: DataFrame, src: Column, dst: Column, relation: str, weight, causal: float, inhibitory=False) -> DataFrame:
+def _edges(df: DataFrame, src: Column, dst: Column, relation: str, weight, causal: float, inhibitory=False, turn: str | None = None) -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), lit(weight).alias("weight"), F.lit(causal).alias("causal_strength"), lit(inhibitory).alias("inhibitory"), F.lit(0).alias("direction"))
+    return df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), lit(weight).alias("weight"), F.lit(causal).alias("causal_strength"), lit(inhibitory).alias("inhibitory"), F.lit(0).alias("direction"), *([turn] if turn else []))
 
 
 def spine_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -61,19 +72,24 @@ def spine_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nodes, edges)
 
 
-def full_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The spine, orders and parts; ``calls``, ``references`` (inhibitory where all lines came back) and ``imports``."""
+def full_graph(spark: SparkSession, sf_dir: str, turns: bool = False) -> PropertyGraph:
+    """The spine, orders and parts; ``calls``, ``references`` (inhibitory where all lines came back) and ``imports``.
+
+    ``turns``: edges have a column ``turn``, for ``references`` the place of their first line in its file.
+    """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     part, orders, lines = map(t, ("part", "orders", "lineitem"))
     spine = spine_graph(spark, sf_dir)
     nodes = spine.nodes.unionByName(_nodes(part, "part", "p_partkey", "p_name", F.array("p_brand", "p_type"))).unionByName(
         _nodes(orders, "order", "o_orderkey", "o_orderpriority", None, F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6)
     )
-    refs = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.bool_and(F.col("l_returnflag") == "R").alias("back"))
+    first = [F.min("place").alias("turn")] if turns else []
+    placed = lines.withColumn("place", place(lines)) if turns else lines
+    refs = placed.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.bool_and(F.col("l_returnflag") == "R").alias("back"), *first)
     edges = (
         spine.edges.unionByName(_edges(orders, node_id("customer", "o_custkey"), node_id("order", "o_orderkey"), "calls", 0.7, 0.5))
-        .unionByName(_edges(refs, node_id("order", "l_orderkey"), node_id("part", "l_partkey"), "references", F.least(F.col("q") / 50, F.lit(1.0)), 0.4, F.col("back")))
-        .unionByName(_edges(lines.select("l_suppkey", "l_partkey").distinct(), node_id("supplier", "l_suppkey"), node_id("part", "l_partkey"), "imports", 0.5, 0.6))
+        .unionByName(_edges(refs, node_id("order", "l_orderkey"), node_id("part", "l_partkey"), "references", F.least(F.col("q") / 50, F.lit(1.0)), 0.4, F.col("back"), "turn" if turns else None), True)
+        .unionByName(_edges(lines.select("l_suppkey", "l_partkey").distinct(), node_id("supplier", "l_suppkey"), node_id("part", "l_partkey"), "imports", 0.5, 0.6), True)
     )
     return PropertyGraph(nodes, edges)
 
