@@ -77,9 +77,9 @@ def _dimensions(g):
 
 @query(f"WITH {_MERGED} SELECT external_id, round(act, 6) AS activation, CAST(n AS BIGINT) AS n_dimensions FROM merged JOIN nodes USING (node_id)")
 def g7_activate(spark, sf_dir):
-    g = full_graph(spark, sf_dir).finalised()
+    g = full_graph(spark, sf_dir, turns=True).finalised()
     out = activation.merge_dimensions(_dimensions(g))
-    return g.named(out, "external_id").select("external_id", r6("activation").alias("activation"), "n_dimensions")
+    return g.named(out, "external_id").select("external_id", scaled6("activation").alias("activation"), "n_dimensions")
 
 
 @query(f"WITH {_MERGED} SELECT external_id, round(act + 0.1::DOUBLE * coalesce(node_type / 100.0::DOUBLE, 0), 6) AS activation FROM (SELECT * FROM merged ORDER BY act DESC, node_id LIMIT 20) JOIN nodes USING (node_id)")
